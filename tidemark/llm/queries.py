@@ -31,8 +31,64 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import secret_scan
+
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    kinds = [r.kind for r in secret_scan.BASE]
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda x: x["kind"].isin(kinds))
+    return found.select("doc_id", *map(count, kinds), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import curriculum_mix
+
+    mixed = curriculum_mix.by_position(curriculum_mix.mix(_table(spark, sf_dir, "documents")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP10_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM sized GROUP BY source
+), weighted AS (
+  SELECT *, 1 + (n - 1) % 3 AS weight, CAST(3 * source_size AS DOUBLE) / (1 + (n - 1) % 3) AS by_weight FROM sources
+), limits AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER w, 0)) AS rest,
+         (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS rest_weight
+  FROM weighted WINDOW w AS (ORDER BY by_weight, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), cuts AS (
+  SELECT *, 3 * source_size * rest_weight < weight * rest AS cut FROM limits
+), aims AS (
+  SELECT source, source_size, CASE WHEN cut THEN CAST(3 * source_size AS DOUBLE)
+         ELSE CAST(weight * (SELECT arg_min(rest, (by_weight, n)) FROM cuts WHERE NOT cut) AS DOUBLE)
+              / CAST((SELECT arg_min(rest_weight, (by_weight, n)) FROM cuts WHERE NOT cut) AS DOUBLE) END AS target
+  FROM cuts
+), placed AS (
+  SELECT s.doc_id, s.size, a.source_size, a.target,
+         CAST(coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(CAST(s.doc_id AS VARCHAR)), s.doc_id
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+         CASE WHEN a.source_size > 0 THEN CAST(floor(a.target / a.source_size) AS BIGINT) ELSE 0 END AS rounds
+  FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source
+)
+SELECT doc_id, size, source_size, target,
+       CASE WHEN size > 0 THEN size * (rounds + CASE WHEN CAST(2 * start + size AS DOUBLE) < 2 * (target - CAST(rounds * source_size AS DOUBLE)) THEN 1 ELSE 0 END)
+            ELSE 0 END::BIGINT AS taken
+FROM placed
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scans": op1_secret_scans,
     "op2_sentencepiece": op2_sentencepiece,
+    "op10_source_mix": op10_source_mix,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_source_mix": OP10_SQL}
