@@ -32,8 +32,8 @@ SPACE = "▁"
 #: Marks cuts inside a batch; texts that hold it take the plainer way.
 CUT = "\x1f"
 #: Words kept by each Python worker, in two generations.
-KEPT_WORDS = 250_000
-KEPT_PAIRS = 1_500_000
+KEPT_WORDS = 150_000
+KEPT_PAIRS = 800_000
 
 
 class MergeTable:
