@@ -47,6 +47,48 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, kinds), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def held_out(doc_id: str = "doc_id"):
+    """Whether a document is held out: crc32 of its id as text has the remainder 2 by 4."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import lang_id
+
+    docs = _table(spark, sf_dir, "documents")
+    model = lang_id.fit(docs.where(~held_out()))
+    return lang_id.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import line_dedup
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_dedup.dedup(docs, min_docs=10, min_chars=1, keep_first=False)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n
+  FROM documents
+), keyed AS (
+  SELECT doc_id, n, line,
+         translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines
+), repeated AS (
+  SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+), fates AS (
+  SELECT doc_id, n, line, key IN (SELECT key FROM repeated) AS gone FROM keyed
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM fates GROUP BY doc_id
+"""
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm import curriculum_mix
 
@@ -88,7 +130,9 @@ FROM placed
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_sentencepiece": op2_sentencepiece,
+    "op5_language": op5_language,
+    "op6_line_dedup": op6_line_dedup,
     "op10_source_mix": op10_source_mix,
 }
 
-ORACLES: dict[str, str] = {"op10_source_mix": OP10_SQL}
+ORACLES: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op10_source_mix": OP10_SQL}
