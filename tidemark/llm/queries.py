@@ -89,6 +89,12 @@ FROM fates GROUP BY doc_id
 """
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import html_extract
+
+    return html_extract.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm import curriculum_mix
 
@@ -132,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op5_language": op5_language,
     "op6_line_dedup": op6_line_dedup,
+    "op9_html_text": op9_html_text,
     "op10_source_mix": op10_source_mix,
 }
 
