@@ -119,6 +119,18 @@ LABELLED = """
 6 1.0  60 0.0  7 1.0  0 0 0  0
 5 1.0  80 0.0  0 0.0  0 0 0  0
 12 0.9  70 0.0  9 1.0  0 0 0  0
+70 0.0  60 0.0  3 1.0  0 0 0  1
+55 0.0  80 0.0  0 0.0  0 0 0  1
+90 0.0  0 0.0  0 0.0  0 0 0  1
+34 0.0  28 0.0  4 0.0  0 0 0  1
+120 0.1  2 1.0  5 1.0  0 0 0  1
+27 0.0  45 0.0  12 0.0  0 0 0  1
+1 1.0  1 1.0  60 0.0  0 0 0  0
+5 1.0  5 1.0  70 0.0  0 0 0  0
+12 0.9  9 1.0  45 0.0  0 0 0  0
+30 0.9  4 1.0  80 0.0  0 0 0  0
+3 0.7  2 1.0  33 0.0  0 0 0  0
+2 1.0  50 0.0  46 1.0  0 0 0  0
 4 0.0  1 1.0  0 0.0  0 0 0  0
 6 0.3  20 0.9  0 0.0  0 0 0  0
 7 0.0  3 0.6  2 0.5  0 0 0  0

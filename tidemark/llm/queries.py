@@ -89,6 +89,33 @@ FROM fates GROUP BY doc_id
 """
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import permutation_ann
+
+    return permutation_ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import pivot_topk
+
+    return pivot_topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+OP8_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.vec, c.vec), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm import html_extract
 
@@ -138,8 +165,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op5_language": op5_language,
     "op6_line_dedup": op6_line_dedup,
+    "op7_nearest": op7_nearest,
+    "op8_exact_topk": op8_exact_topk,
     "op9_html_text": op9_html_text,
     "op10_source_mix": op10_source_mix,
 }
 
-ORACLES: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op10_source_mix": OP10_SQL}
+ORACLES: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op8_exact_topk": OP8_SQL, "op10_source_mix": OP10_SQL}
