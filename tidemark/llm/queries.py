@@ -47,6 +47,12 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, kinds), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import near_dup
+
+    return near_dup.find(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def held_out(doc_id: str = "doc_id"):
     """Whether a document is held out: crc32 of its id as text has the remainder 2 by 4."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -163,6 +169,7 @@ FROM placed
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_sentencepiece": op2_sentencepiece,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_language": op5_language,
     "op6_line_dedup": op6_line_dedup,
     "op7_nearest": op7_nearest,
