@@ -47,6 +47,15 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, kinds), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import token_files
+
+    with open(_tokenizer("word_bpe_49k.json"), encoding="utf-8") as file:
+        spec = file.read()
+    frames = token_files.write(_table(spark, sf_dir, "documents"), spec, end=1)
+    return token_files.read(frames).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm import near_dup
 
@@ -169,6 +178,7 @@ FROM placed
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_token_files": op3_token_files,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_language": op5_language,
     "op6_line_dedup": op6_line_dedup,
