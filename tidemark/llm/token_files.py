@@ -51,56 +51,75 @@ class Model:
 
     def __init__(self, lanes: int):
         self.lanes = lanes
-        self.row = np.arange(lanes)
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.guess = [np.zeros(lanes * CONTEXTS, np.uint16) for _ in range(2)]
-        self.trust = [np.zeros(lanes * CONTEXTS, np.uint8) for _ in range(2)]
-        self.weight = [np.tile(np.array([0, 12000, 24000, 40000], np.int64), lanes) for _ in range(2)]
-        self.counts = [np.ones((lanes, 256), np.int64) for _ in range(2)]
+        self.cell = np.arange(lanes, dtype=np.int32) * CONTEXTS
+        self.four = np.arange(lanes, dtype=np.int32) * 4
+        self.last, self.before = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        #: By context the id seen there, times 4, and how far it is trusted: 0 (nothing seen) to 3.
+        self.guess = [np.zeros(lanes * CONTEXTS, np.int32) for _ in range(2)]
+        self.weight = [np.tile(np.array([0, 12000, 24000, 40000], np.int32), lanes) for _ in range(2)]
+        self.counts = [np.ones((lanes, 256), np.int32) for _ in range(2)]
         self.steps = 0
         self.refresh()
 
     def refresh(self) -> None:
         """New order-0 tables from the counts so far: every id has at least one slot."""
-        self.starts, self.sizes = [], []
+        self.starts, self.sizes, self.coarse = [], [], []
         for counts in self.counts:
-            sums = np.cumsum(counts, axis=1)
-            ends = sums * (65536 - 256) // sums[:, -1:] + np.arange(1, 257)
-            size = np.diff(ends, axis=1, prepend=0)
+            sums = np.cumsum(counts, axis=1, dtype=np.int64)
+            ends = (sums * (65536 - 256) // sums[:, -1:]).astype(np.int32) + np.arange(1, 257, dtype=np.int32)
+            size = np.diff(ends, axis=1, prepend=np.int32(0))
+            start = ends - size
             self.sizes.append(size.ravel())
-            self.starts.append(ends - size)
+            self.starts.append(start.ravel())
+            self.coarse.append(np.ascontiguousarray(start[:, ::16]))
 
     def mix(self) -> None:
         """The predictions of order 2 and 1 for the next id, and the slots that they get."""
-        contexts = ((self.before * 40503 + self.last * 30011) >> 5, self.last * 40503 >> 6)
-        self.at = [self.row * CONTEXTS + (c & (CONTEXTS - 1)) for c in contexts]
-        self.seen = [g[i].astype(np.int64) for g, i in zip(self.guess, self.at)]
-        self.how = [t[i].astype(np.int64) for t, i in zip(self.trust, self.at)]
-        share = [w[self.row * 4 + h] for w, h in zip(self.weight, self.how)]
-        self.f2 = np.where(self.how[0] > 0, (share[0] * PREDICTED >> 16) + 16, 0)
-        other = (self.how[1] > 0) & ((self.how[0] == 0) | (self.seen[0] != self.seen[1]))
-        self.f1 = np.where(other, (share[1] * (PREDICTED - self.f2) >> 16) + 16, 0)
+        self.at = [self.cell + ((self.before * 20483 + self.last * 30011 >> 5) & (CONTEXTS - 1)), self.cell + ((self.last * 20483 >> 6) & (CONTEXTS - 1))]
+        packed = [g[i] for g, i in zip(self.guess, self.at)]
+        self.seen, self.how = [p >> 2 for p in packed], [p & 3 for p in packed]
+        self.own = [self.four + h for h in self.how]
+        self.share = [w[i] for w, i in zip(self.weight, self.own)]
+        f2 = (self.share[0] * (PREDICTED >> 4) >> 12) + 16
+        f2 *= self.how[0] > 0
+        f1 = (self.share[1] * ((PREDICTED - f2) >> 4) >> 12) + 16
+        f1 *= (self.how[1] > 0) & ((self.how[0] == 0) | (self.seen[0] != self.seen[1]))
+        self.f2, self.f1, self.both = f2, f1, f2 + f1
 
     def event(self, ids: np.ndarray) -> np.ndarray:
         """0 or 1 where order 2 or 1 is right, else 2."""
         return np.where((self.f2 > 0) & (ids == self.seen[0]), 0, np.where((self.f1 > 0) & (ids == self.seen[1]), 1, 2))
 
-    def learn(self, ids: np.ndarray, escaped: np.ndarray) -> None:
+    def slots(self, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        start = np.where(event == 2, self.both, self.f2 * event)
+        return start, np.where(event == 2, 65536 - self.both, np.where(event == 1, self.f1, self.f2))
+
+    def learn(self, ids: np.ndarray, escaped: np.ndarray, cells: list[np.ndarray]) -> None:
         for k in range(2):
-            how, at, cell = self.how[k], self.at[k], self.row * 4 + self.how[k]
-            hit = ids == self.seen[k]
-            self.weight[k][cell] += np.where(how > 0, (hit * 65535 - self.weight[k][cell]) >> 4, 0)
-            anew = ~hit & (how <= 1) | (how == 0)
-            self.trust[k][at] = np.where(anew, 1, np.where(hit, np.minimum(how + 1, 3), how - 1))
-            self.guess[k][at] = np.where(anew, ids, self.seen[k])
-        self.counts[0][escaped, ids[escaped] >> 8] += 24
-        self.counts[1][escaped, ids[escaped] & 255] += 24
+            how, hit = self.how[k], ids == self.seen[k]
+            self.weight[k][self.own[k]] = self.share[k] + ((hit * np.int32(65535) - self.share[k]) >> 4) * (how > 0)
+            anew = (how == 0) | (~hit & (how == 1))
+            trust = np.where(hit, np.minimum(how + 1, 3), how - 1)
+            self.guess[k][self.at[k]] = np.where(anew, ids << 2 | 1, self.seen[k] << 2 | trust)
+            if escaped.size:
+                self.counts[k].ravel()[cells[k]] += 24
         self.before, self.last = self.last, ids
         self.steps += 1
-        if self.steps in (4, 8, 16, 32) or self.steps % 64 == 0:
+        if self.steps in (4, 8, 16, 32) or self.steps % 128 == 0 or self.steps == 64:
             self.refresh()
 
 
+def _due(low: np.ndarray, width: np.ndarray) -> Iterator[np.ndarray]:
+    """Again and again the places whose top 16 bits are settled, or are settled now by cutting a range that is too small."""
+    go = np.flatnonzero(((low ^ (low + width)) < _TOP) | (width < _BOTTOM))
+    while go.size:
+        small = go[(low[go] ^ (low[go] + width[go])) >= _TOP]
+        width[small] = (~low[small] + np.uint64(1)) & (_BOTTOM - np.uint64(1))
+        yield go
+        a, w = low[go], width[go]
+        go = go[((a ^ (a + w)) < _TOP) | (w < _BOTTOM)]
+
+
 class Encoder:
     """A carry-less range coder for each lane; 16 bits go out at a time."""
 
@@ -110,20 +129,15 @@ class Encoder:
 
     def put(self, lanes: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
         """Narrow some lanes to size of 2^16 slots from start."""
-        low, width = self.low[lanes], self.range[lanes] >> _SIXTEEN
-        low = low + width * start.astype(np.uint64)
-        width = width * size.astype(np.uint64)
-        while True:
-            same = (low ^ (low + width)) < _TOP
-            small = ~same & (width < _BOTTOM)
-            go = same | small
-            if not go.any():
-                break
-            width = np.where(small, (~low + np.uint64(1)) & (_BOTTOM - np.uint64(1)), width)
+        width = self.range[lanes] >> _SIXTEEN
+        low = self.low[lanes] + width * start.astype(np.uint64)
+        width *= size.astype(np.uint64)
+        for go in _due(low, width):
             at = lanes[go]
             self.out[at, self.sent[at]] = low[go] >> np.uint64(48)
             self.sent[at] += 1
-            low, width = np.where(go, low << _SIXTEEN, low), np.where(go, width << _SIXTEEN, width)
+            low[go] <<= _SIXTEEN
+            width[go] <<= _SIXTEEN
         self.low[lanes], self.range[lanes] = low, width
 
     def finish(self) -> None:
@@ -145,25 +159,19 @@ class Decoder:
 
     def slot(self, lanes: np.ndarray) -> np.ndarray:
         """The slot (of 2^16) that each lane's code lies in."""
-        return np.minimum((self.code[lanes] - self.low[lanes]) // (self.range[lanes] >> _SIXTEEN), np.uint64(65535)).astype(np.int64)
+        return np.minimum((self.code[lanes] - self.low[lanes]) // (self.range[lanes] >> _SIXTEEN), np.uint64(65535)).astype(np.int32)
 
     def take(self, lanes: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        low, width, code = self.low[lanes], self.range[lanes] >> _SIXTEEN, self.code[lanes]
-        low = low + width * start.astype(np.uint64)
-        width = width * size.astype(np.uint64)
-        while True:
-            same = (low ^ (low + width)) < _TOP
-            small = ~same & (width < _BOTTOM)
-            go = same | small
-            if not go.any():
-                break
-            width = np.where(small, (~low + np.uint64(1)) & (_BOTTOM - np.uint64(1)), width)
+        width = self.range[lanes] >> _SIXTEEN
+        low = self.low[lanes] + width * start.astype(np.uint64)
+        width *= size.astype(np.uint64)
+        for go in _due(low, width):
             at = lanes[go]
-            more = self.data[np.minimum(self.at[at], len(self.data) - 1)].astype(np.uint64)
+            self.code[at] = self.code[at] << _SIXTEEN | self.data[np.minimum(self.at[at], len(self.data) - 1)].astype(np.uint64)
             self.at[at] += 1
-            code[go] = code[go] << _SIXTEEN | more
-            low, width = np.where(go, low << _SIXTEEN, low), np.where(go, width << _SIXTEEN, width)
-        self.low[lanes], self.range[lanes], self.code[lanes] = low, width, code
+            low[go] <<= _SIXTEEN
+            width[go] <<= _SIXTEEN
+        self.low[lanes], self.range[lanes] = low, width
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
@@ -172,7 +180,7 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     if not lanes:
         return []
     steps = min(BLOCK, len(ids))
-    table = np.zeros((lanes, BLOCK), np.int64)
+    table = np.zeros((lanes, BLOCK), np.int32)
     table.ravel()[: len(ids)] = ids
     table = np.ascontiguousarray(table[:, :steps].T)
     with np.errstate(over="ignore"):
@@ -180,15 +188,13 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
         for now in table:
             model.mix()
             event = model.event(now)
-            both = model.f2 + model.f1
-            start = np.where(event == 0, 0, np.where(event == 1, model.f2, both))
-            coder.put(every, start, np.where(event == 0, model.f2, np.where(event == 1, model.f1, 65536 - both)))
-            escaped = np.flatnonzero(event == 2)
+            coder.put(every, *model.slots(event))
+            escaped, cells = np.flatnonzero(event == 2), []
             if escaped.size:
                 for k, part in enumerate((now[escaped] >> 8, now[escaped] & 255)):
-                    cell = escaped * 256 + part
-                    coder.put(escaped, model.starts[k].ravel()[cell], model.sizes[k][cell])
-            model.learn(now, escaped)
+                    cells.append(escaped * 256 + part)
+                    coder.put(escaped, model.starts[k][cells[k]], model.sizes[k][cells[k]])
+            model.learn(now, escaped, cells)
         coder.finish()
     return [coder.out[k, : coder.sent[k]].astype("<u2").tobytes() for k in range(lanes)]
 
@@ -199,30 +205,27 @@ def decode_blocks(data: bytes, sizes: np.ndarray, n: int) -> np.ndarray:
     if not lanes:
         return np.zeros(0, np.int64)
     steps = min(BLOCK, n)
-    out = np.zeros((steps, lanes), np.int64)
+    out = np.zeros((steps, lanes), np.int32)
     with np.errstate(over="ignore"):
         units = np.frombuffer(data, "<u2")
         model, coder, every = Model(lanes), Decoder(units, (np.cumsum(sizes) - sizes) // 2), np.arange(lanes)
         for step in range(steps):
             model.mix()
-            both, slot = model.f2 + model.f1, coder.slot(every)
-            event = np.where(slot < model.f2, 0, np.where(slot < both, 1, 2))
-            start = np.where(event == 0, 0, np.where(event == 1, model.f2, both))
-            coder.take(every, start, np.where(event == 0, model.f2, np.where(event == 1, model.f1, 65536 - both)))
+            slot = coder.slot(every)
+            event = (slot >= model.f2).astype(np.int32) + (slot >= model.both)
+            coder.take(every, *model.slots(event))
             now = np.where(event == 0, model.seen[0], model.seen[1])
-            escaped = np.flatnonzero(event == 2)
+            escaped, cells = np.flatnonzero(event == 2), []
             if escaped.size:
-                whole = np.zeros(len(escaped), np.int64)
+                whole = np.zeros(len(escaped), np.int32)
                 for k in range(2):
-                    starts, slot = model.starts[k], coder.slot(escaped)
-                    coarse = (starts[escaped, ::16] <= slot[:, None]).sum(axis=1) - 1
-                    fine = (starts.reshape(lanes, 16, 16)[escaped, coarse] <= slot[:, None]).sum(axis=1) - 1
-                    part = coarse * 16 + fine
-                    cell = escaped * 256 + part
-                    coder.take(escaped, starts.ravel()[cell], model.sizes[k][cell])
-                    whole = whole << 8 | part
+                    slot = coder.slot(escaped)[:, None]
+                    first = escaped * 16 + np.count_nonzero(model.coarse[k][escaped] <= slot, axis=1) - 1
+                    cells.append(first * 16 + np.count_nonzero(model.starts[k].reshape(-1, 16)[first] <= slot, axis=1) - 1)
+                    coder.take(escaped, model.starts[k][cells[k]], model.sizes[k][cells[k]])
+                    whole = whole << 8 | (cells[k] & 255)
                 now[escaped] = whole
-            model.learn(now, escaped)
+            model.learn(now, escaped, cells)
             out[step] = now
     full = np.zeros((lanes, BLOCK), np.int64)
     full[:, :steps] = out.T
@@ -289,6 +292,9 @@ class WordIds:
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids on end, each with the end id, and each text's number of ids."""
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            # Case and a mark after a word change no ids but would make more words; texts with names of special tokens stay as they are.
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-zß-öø-ÿ])([.,])(\s|$)", r"\1 \2\3")
         words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
         found = [*self.ids_of(coded.dictionary.to_pylist()), [end]]
