@@ -68,13 +68,19 @@ def blocks(queries: DataFrame) -> DataFrame:
 
 
 def meet(segments: DataFrame, query_blocks: DataFrame) -> DataFrame:
-    """Every segment with every query block of its vector size."""
+    """Every segment with every query block of its vector size.
+
+    With few blocks, segments are dealt out over as many salts as keep the cluster busy, and each
+    block goes to every salt.
+    """
     query_blocks = query_blocks.withColumnRenamed("size", "q_size")
     n = query_blocks.agg(F.coalesce(F.max("block"), F.lit(-1))).first()[0] + 1
     if n == 0:
         return segments.join(query_blocks, F.lit(False)).drop("q_size")
-    spread = segments.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return spread.join(query_blocks, "block").where("size = q_size").drop("q_size")
+    salts = -(-4 * segments.sparkSession.sparkContext.defaultParallelism // n)
+    spread = segments.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    salted = query_blocks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return spread.join(salted, ["block", "salt"]).where("size = q_size").drop("q_size", "salt")
 
 
 class Best:
