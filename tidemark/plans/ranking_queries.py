@@ -124,6 +124,7 @@ def kind_entities(d: Domain) -> DataFrame:
 @query(
     "q_12_kind_links",
     "SELECT link_id, list_sort(list(DISTINCT name)) AS names FROM mentions JOIN entities USING (entity_id) WHERE kind_path = 'ASIA' OR starts_with(kind_path, 'ASIA.') GROUP BY 1",
+    lists="names",
 )
 def kind_links(d: Domain) -> DataFrame:
     rows = d.entities().where(hierarchy.within(F.col("kind_path"), "ASIA")).join(d.mentions(), "entity_id")
@@ -215,18 +216,18 @@ def property_summary(d: Domain) -> DataFrame:
     )
 
 
-@query("agg_09_ordered_names", "SELECT link_id, list(name ORDER BY p DESC, name) AS names FROM mentions JOIN entities USING (entity_id) WHERE in_title GROUP BY 1")
+@query("agg_09_ordered_names", "SELECT link_id, list(name ORDER BY p DESC, name) AS names FROM mentions JOIN entities USING (entity_id) WHERE in_title GROUP BY 1", lists="names")
 def ordered_names(d: Domain) -> DataFrame:
     rows = d.mentions().where("in_title").join(d.entities(), "entity_id")
     return rows.groupBy("link_id").agg(aggregates.top_labels("p", "name", 1_000_000).alias("names"))
 
 
-@query("prj_24_top_labels", "SELECT link_id, list(name ORDER BY p DESC, name)[1:3] AS names FROM mentions JOIN entities USING (entity_id) GROUP BY 1")
+@query("prj_24_top_labels", "SELECT link_id, list(name ORDER BY p DESC, name)[1:3] AS names FROM mentions JOIN entities USING (entity_id) GROUP BY 1", lists="names")
 def top_labels(d: Domain) -> DataFrame:
     return d.mentions().join(d.entities(), "entity_id").groupBy("link_id").agg(aggregates.top_labels("p", "name", 3).alias("names"))
 
 
-@query("agg_10_distinct_list", "SELECT link_id, list_sort(list(DISTINCT kind_path)) AS kinds FROM mentions JOIN entities USING (entity_id) GROUP BY 1")
+@query("agg_10_distinct_list", "SELECT link_id, list_sort(list(DISTINCT kind_path)) AS kinds FROM mentions JOIN entities USING (entity_id) GROUP BY 1", lists="kinds")
 def distinct_list(d: Domain) -> DataFrame:
     return d.mentions().join(d.entities(), "entity_id").groupBy("link_id").agg(aggregates.set_of(F.col("kind_path")).alias("kinds"))
 
@@ -258,7 +259,7 @@ def watermarks(d: Domain) -> DataFrame:
     return tops[0].crossJoin(tops[1]).crossJoin(tops[2])  # one row each
 
 
-@query("agg_21_group_lists", "SELECT s_nationkey AS nation, list(s_name ORDER BY s_suppkey) AS names FROM supplier GROUP BY 1")
+@query("agg_21_group_lists", "SELECT s_nationkey AS nation, list(s_name ORDER BY s_suppkey) AS names FROM supplier GROUP BY 1", lists="names")
 def group_lists(d: Domain) -> DataFrame:
     rows = d.raw("supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("x"))
     return rows.select("nation", F.transform("x", lambda r: r["s_name"]).alias("names"))
@@ -300,7 +301,7 @@ by_topic AS (SELECT l.link_id, sum(l.p * h.p) AS score FROM labelled l JOIN here
 SELECT link_id, round(coalesce(e.score, 0) + coalesce(t.score, 0), 9) AS score, coalesce(names, []) AS names FROM by_entity e FULL JOIN by_topic t USING (link_id)"""
 
 
-@query("q_07_related_links", RELATED)
+@query("q_07_related_links", RELATED, lists="names")
 def related_links(d: Domain) -> DataFrame:
     from tidemark.operators.related import related
 
