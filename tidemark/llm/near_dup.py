@@ -6,14 +6,16 @@
    are not compared. At a similarity of 0.8 the defaults miss about one link in three million.
 3. The MinHash sample of each class is folded into an odd sketch: every value flips one bit, so that
    the population count of the XOR of two sketches estimates the symmetric difference of the samples,
-   most precisely for high similarities. Pairs whose estimate is below the threshold by `margin` (five
-   standard errors of the sample) are dropped; all others are confirmed on the full sets.
+   most precisely for high similarities. Pairs whose estimate is below the threshold by several
+   standard errors are dropped; all others are confirmed on the full sets.
 4. First round: in every bucket all members are compared with one of them, the class with the most
    bucket mates overall (ties: the smallest id). This joins a large group of near copies through its
    centre with as many pairs as members. Confirmed pairs are united to components.
 5. Second round, so that no link is lost: buckets that still hold two components or more are dealt out
-   in tiles of bounded size; every pair of members of different components meets in one tile, is
-   compared there by sketch inside the task, and only pairs that pass become rows for confirmation.
+   in tiles of bounded size. Their members get a much finer odd sketch, of a sample of WIDE_SAMPLE values,
+   since large groups of documents just below the threshold are common. A pair of members of different
+   components is compared in the first bucket that it shares, inside a task, and only pairs whose fine
+   sketches pass become rows for confirmation.
 
 No pair rows are made for members of one component, for copies, or for sketches that differ.
 
@@ -37,9 +39,11 @@ from tidemark.llm import common
 
 ROWS, BANDS = 4, 28
 SKETCH_BITS = 512
+#: The sample and the bits of the second round's finer sketch.
+WIDE_SAMPLE, WIDE_BITS = 1024, 2048
 #: Members of a tile's side, about.
 TILE = 256
-STANDARD_ERRORS = 5
+STANDARD_ERRORS = 4.5
 _HIGH = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -101,21 +105,26 @@ def min_hashes(flat: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def odd_sketches(values: np.ndarray) -> np.ndarray:
-    """Each row's values folded into a bitmap of parities: packed, SKETCH_BITS / 8 bytes to a row."""
+def odd_sketches(values: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    """Each row's values folded into a bitmap of parities: packed, bits / 8 bytes to a row."""
     with np.errstate(over="ignore"):
-        bit = _mix(values + np.arange(values.shape[1], dtype=np.uint64) * _HIGH) % np.uint64(SKETCH_BITS)
-    counts = np.zeros((len(values), SKETCH_BITS), np.uint8)
-    np.add.at(counts, (np.arange(len(values))[:, None], bit.astype(np.int64)), 1)
-    return np.packbits(counts & 1, axis=1)
+        bit = _mix(values + np.arange(values.shape[1], dtype=np.uint64) * _HIGH) % np.uint64(bits)
+    at = (np.arange(len(values), dtype=np.int64)[:, None] * bits + bit.astype(np.int64)).ravel()
+    counts = np.bincount(at, minlength=len(values) * bits).reshape(len(values), bits)
+    return np.packbits((counts & 1).astype(np.uint8), axis=1)
 
 
-def most_odd_bits(threshold: float, n: int) -> int:
-    """The largest population count of an XOR of sketches that a pair at the threshold may well have."""
-    margin = STANDARD_ERRORS * (threshold * (1 - threshold) / n) ** 0.5
-    apart = 2 * n * (1 - max(0.0, threshold - margin))
-    expected = SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** apart)
-    return int(expected + STANDARD_ERRORS * expected**0.5 / 2) + 1
+def most_odd_bits(threshold: float, n: int, bits: int = SKETCH_BITS) -> int:
+    """The largest population count of an XOR of sketches that a pair at the threshold may well have.
+
+    Two errors add up: the sample's (n values) and the folding's (bits that even numbers of values hit).
+    """
+    apart = 2 * n * (1 - threshold)
+    expected = bits / 2 * (1 - (1 - 2 / bits) ** apart)
+    slope = (1 - 2 / bits) ** apart
+    sample = 2 * n * (threshold * (1 - threshold) / n) ** 0.5 * slope
+    folding = (bits / 4 * max(1 - slope**2 - 2 * apart / bits * slope**2 * 2, 0.0)) ** 0.5
+    return int(expected + STANDARD_ERRORS * (sample**2 + folding**2) ** 0.5) + 1
 
 
 def signatures(docs: DataFrame, shingle: int, rows: int, bands: int) -> DataFrame:
@@ -163,19 +172,41 @@ def _close(sketch_a: str, sketch_b: str, most: int):
     return total <= most
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, members) of the documents that ids (doc_id) names, staged: their shingles' sorted hashes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, sizes = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), shingle)
-            ends, raw = np.cumsum(sizes), flat.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([raw[8 * (e - n) : 8 * e] for e, n in zip(ends.tolist(), sizes.tolist())], pa.binary())], ["doc_id", "members"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                flat, sizes = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), shingle)
+                ends, raw = np.cumsum(sizes), flat.tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([raw[8 * (e - n) : 8 * e] for e, n in zip(ends.tolist(), sizes.tolist())], pa.binary())], ["doc_id", "members"])
+
+    return common.staged(docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, f"doc_id {kind}, members binary").dropDuplicates(["doc_id"]), "near-dup-sets")
 
-    held = docs.join(needed, "doc_id", "left_semi").mapInArrow(sets, f"doc_id {kind}, members binary").dropDuplicates(["doc_id"])
-    held = common.staged(held, "near-dup-sets")
+
+def wide_sketches(held: DataFrame) -> DataFrame:
+    """(doc_id, wide): the finer sketches of full sets."""
+    kind = held.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                each = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+                with np.errstate(over="ignore"):
+                    values = min_hashes(np.concatenate(each), np.array([len(x) for x in each], np.int64), WIDE_SAMPLE)
+                packed = odd_sketches(values, WIDE_BITS)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in packed], pa.binary())], ["doc_id", "wide"])
+
+    return held.mapInArrow(run, f"doc_id {kind}, wide binary")
+
+
+def confirmed(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    kind = held.schema["doc_id"].dataType.simpleString()
     both = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("members").alias("members_a")), "a")
     both = both.join(held.select(F.col("doc_id").alias("b"), F.col("members").alias("members_b")), "b")
 
@@ -184,8 +215,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common_size = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * common_size >= percent * (len(x) + len(y) - common_size))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return common.staged(both.select("a", "b", "members_a", "members_b").mapInArrow(check, f"a {kind}, b {kind}"), "near-dup-links")
@@ -212,15 +243,16 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _tiles(members: DataFrame, bits: int) -> DataFrame:
-    """(a, b) of members (bucket, doc_id, component, sketch, n_tiles, tile) that differ in component and are close by sketch.
+    """(a, b) of members (bucket, band, doc_id, component, keys, wide, n_tiles, tile) that differ in component and are close by sketch.
 
     Each member goes to the tile pairs (its tile, every tile); a pair of members meets in the one pair
-    of their tiles. Tiles are sorted by it and read as a stream.
+    of their tiles, and is compared in the first band that it shares. Tiles are sorted by and read as a
+    stream.
     """
     kind = members.schema["doc_id"].dataType.simpleString()
     other = F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1)).alias("other")
-    dealt = members.select("bucket", "tile", other, "doc_id", "component", "sketch")
-    dealt = dealt.select("bucket", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), (F.col("tile") > F.col("other")).alias("second"), "doc_id", "component", "sketch")
+    dealt = members.select("bucket", "tile", other, "band", "doc_id", "component", "keys", "wide")
+    dealt = dealt.select("bucket", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), (F.col("tile") > F.col("other")).alias("second"), "band", "doc_id", "component", "keys", "wide")
     dealt = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,17 +261,19 @@ def _tiles(members: DataFrame, bits: int) -> DataFrame:
             right = left if low == high else [r for r in rows if r[0]]
             if not left or not right:
                 return []
-            sketch = lambda part: np.frombuffer(b"".join(r[3] for r in part), np.uint64).reshape(len(part), -1)
-            a, b = sketch(left), sketch(right)
-            names: dict = {}
-            ca = np.array([names.setdefault(r[2], len(names)) for r in left])
-            cb = np.array([names.setdefault(r[2], len(names)) for r in right])
+            band, names = left[0][1], {}
+            number = lambda part: np.array([names.setdefault(r[3], len(names)) for r in part])
+            keys = lambda part: np.array([r[4] for r in part], np.int64)
+            sketch = lambda part: np.frombuffer(b"".join(r[5] for r in part), np.uint64).reshape(len(part), -1)
+            ca, cb, ka, kb, a, b = number(left), number(right), keys(left), keys(right), sketch(left), sketch(right)
             out = []
             for i in range(len(left)):
-                near = np.flatnonzero((np.bitwise_count(a[i] ^ b).sum(axis=1) <= bits) & (cb != ca[i]))
-                for j in near.tolist():
-                    if low != high or i < j:
-                        out.append((left[i][1], right[j][1]))
+                near = np.flatnonzero(cb != ca[i])
+                if low == high:
+                    near = near[near > i]
+                near = near[(kb[near] == ka[i]).argmax(axis=1) == band]
+                near = near[np.bitwise_count(a[i] ^ b[near]).sum(axis=1) <= bits]
+                out += [(left[i][2], right[j][2]) for j in near.tolist()]
             return out
 
         def result(found: list[tuple]) -> pa.RecordBatch:
@@ -250,12 +284,12 @@ def _tiles(members: DataFrame, bits: int) -> DataFrame:
         for batch in batches:
             field = batch.schema.field("doc_id")
             found: list[tuple] = []
-            for bucket, low, high, second, doc, component, sketch in zip(*(c.to_pylist() for c in batch.columns)):
+            for bucket, low, high, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if at != (bucket, low, high):
                     if rows:
                         found += compare(at[1], at[2], rows)
                     at, rows = (bucket, low, high), []
-                rows.append((second, doc, component, sketch))
+                rows.append(row)
             yield result(found)
         if rows:
             yield result(compare(at[1], at[2], rows))
@@ -283,7 +317,7 @@ def find(
     same = members.where(F.col("doc_id") != F.col("class_id")).select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
     heads = named.join(classes.select("set_hash", F.col("class_id").alias("doc_id")), ["set_hash", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_hash"])
     heads = heads.select("doc_id", "keys", "sketch")
-    band_rows = heads.select("doc_id", F.posexplode("keys").alias("band", "key")).select("doc_id", F.xxhash64("band", "key").alias("bucket"))
+    band_rows = heads.select("doc_id", F.posexplode("keys").alias("band", "key")).select("doc_id", "band", F.xxhash64("band", "key").alias("bucket"))
     counts = band_rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     counts = common.staged(counts, "near-dup-buckets")
     mates = common.staged(band_rows.join(counts, "bucket"), "near-dup-mates")
@@ -293,25 +327,30 @@ def find(
     centres = common.staged(centres, "near-dup-centres")
     stars = mates.join(centres, "bucket").where(F.col("doc_id") != F.col("centre")).select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
     stars = common.staged(stars, "near-dup-stars")
-    sketches = heads.select("doc_id", "sketch").join(weights.select("doc_id"), "doc_id", "left_semi")
+    held = full_sets(docs, weights.select("doc_id"), shingle)  # whatever shares a bucket
+    sketches = heads.join(weights.select("doc_id"), "doc_id", "left_semi")
     sketches = common.staged(sketches, "near-dup-sketches")
     bits = most_odd_bits(percent / 100, rows * bands)
     seen = stars.join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sketch_a")), "a")
     seen = seen.join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
     close = common.staged(seen.where(_close("sketch_a", "sketch_b", bits)).select("a", "b"), "near-dup-close")
-    links = confirmed(close, docs, shingle, percent)
+    links = confirmed(close, held, percent)
     labels = components(links)
     # Second round: members of different components that share a bucket.
-    placed = mates.select("doc_id", "bucket").join(labels, "doc_id", "left").select("bucket", "doc_id", F.coalesce("component_id", "doc_id").alias("component"))
+    placed = mates.select("doc_id", "band", "bucket").join(labels, "doc_id", "left").select("bucket", "band", "doc_id", F.coalesce("component_id", "doc_id").alias("component"))
     placed = common.staged(placed, "near-dup-placed")
     mixed = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("bucket", "n")
     mixed = common.staged(mixed, "near-dup-mixed")
-    open_rows = common.staged(placed.join(mixed, "bucket").join(sketches, "doc_id"), "near-dup-open")
+    open_rows = common.staged(placed.join(mixed, "bucket"), "near-dup-open")
+    wide = wide_sketches(held.join(open_rows.select("doc_id").distinct(), "doc_id", "left_semi"))
+    wide = common.staged(wide.join(sketches.select("doc_id", "keys"), "doc_id"), "near-dup-wide")
     n_tiles = F.ceil(F.col("n") / TILE).cast("int")
     tile = F.pmod(F.xxhash64("doc_id", "bucket"), n_tiles).cast("int")
-    more = _tiles(open_rows.select("bucket", "doc_id", "component", "sketch", n_tiles.alias("n_tiles"), tile.alias("tile")), bits)
-    more = common.staged(more.join(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "near-dup-more")
-    late = confirmed(more, docs, shingle, percent)
+    open_rows = open_rows.join(wide, "doc_id").select("bucket", "band", "doc_id", "component", "keys", "wide", n_tiles.alias("n_tiles"), tile.alias("tile"))
+    more = _tiles(open_rows, most_odd_bits(percent / 100, WIDE_SAMPLE, WIDE_BITS))
+    tried = close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = common.staged(more.join(tried, ["a", "b"], "left_anti"), "near-dup-more")
+    late = confirmed(more, held, percent)
     final = components(common.staged(links.union(late), "near-dup-all").union(same))
     found = signed.select("doc_id", "n_shingles").join(final, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
