@@ -60,13 +60,16 @@ def retracting_counts(changes: DataFrame, key: str) -> DataFrame:
     return changes.groupBy(key).agg(F.sum("sign").alias("n"))
 
 
-def followed_by_state(events: DataFrame, timeout_minutes: int = 60) -> DataFrame:
-    """(user_id, event_type, n): each user's last action and how many came so far, by arbitrary state with a timeout."""
+def followed_by_state(events: DataFrame, timeout_minutes: int | None = None) -> DataFrame:
+    """(user_id, event_type, n): each user's last action and how many came so far, by arbitrary state.
+
+    With a timeout, users that are quiet for so long are forgotten; such a stream never ends by itself.
+    """
 
     def step(key, batches, state):
         import pandas as pd
 
-        n, last, at = state.get if state.exists else (0, "", datetime.min)
+        n, last, at = state.get if state.exists else (0, "", datetime(1970, 1, 1))
         if state.hasTimedOut:
             state.remove()
             return
@@ -77,10 +80,11 @@ def followed_by_state(events: DataFrame, timeout_minutes: int = 60) -> DataFrame
                 if pdf["ts"].iloc[-1].to_pydatetime() >= at:
                     last, at = pdf["event_type"].iloc[-1], pdf["ts"].iloc[-1].to_pydatetime()
         state.update((n, last, at))
-        state.setTimeoutDuration(timeout_minutes * 60_000)
+        if timeout_minutes:
+            state.setTimeoutDuration(timeout_minutes * 60_000)
         yield pd.DataFrame({"user_id": [key[0]], "event_type": [last], "n": [n]})
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_type string, n long", "n long, last string, at timestamp", "update", "ProcessingTimeTimeout")
+    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_type string, n long", "n long, last string, at timestamp", "update", "ProcessingTimeTimeout" if timeout_minutes else "NoTimeout")
 
 
 def finished(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
