@@ -64,6 +64,8 @@ class Model:
     def predict(self, texts: pa.Array) -> tuple[list[str], list[float]]:
         """The language and the score (softmax of the sums) of each text."""
         size = len(self.langs)
+        if not size:
+            return [UNKNOWN] * len(texts), [0.0] * len(texts)
         words = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"\P{L}+")
         flat = words.flatten()
         coded = flat.dictionary_encode()
@@ -78,8 +80,6 @@ class Model:
             sums[:, k] = run[ends[1:]] - run[ends[:-1]]
         run = np.concatenate([[0], np.cumsum(full[place])])
         letters = run[ends[1:]] - run[ends[:-1]]
-        if not size:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts)
         best = sums.argmax(axis=1)
         score = 1 / np.exp(np.maximum(sums - sums.max(axis=1, keepdims=True), -700)).sum(axis=1)
         return [self.langs[b] if n else UNKNOWN for b, n in zip(best, letters)], np.where(letters > 0, score, 0.0).tolist()

@@ -10,7 +10,7 @@ For each query a task takes the annuli with the best bound first and stops at th
 below its k-th best; within an annulus only the rows whose own bound may still count are scored.
 
 The bound is widened by a rounding margin and scores are whole numbers, exact below 2^53; beyond that
-Python's integers take over. Vectors that are null or hold null or non-finite components take no part,
+Python's integers take over (scores beyond 64 bits are an error). Vectors that are null or hold null or non-finite components take no part,
 nor do vectors whose number of components differs from the query's. Equal scores go to the smaller id.
 """
 
