@@ -29,7 +29,7 @@ LEAST_COUNT = 3
 LONGEST = 4
 UNKNOWN = "und"
 #: Unseen words whose scores each worker keeps.
-KEPT = 300_000
+KEPT = 80_000
 
 
 @dataclass
@@ -129,8 +129,8 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
                 langs, scores = model.predict(batch.column(at_text))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 

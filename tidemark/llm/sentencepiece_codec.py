@@ -32,8 +32,8 @@ SPACE = "▁"
 #: Marks cuts inside a batch; texts that hold it take the plainer way.
 CUT = "\x1f"
 #: Words kept by each Python worker, in two generations.
-KEPT_WORDS = 150_000
-KEPT_PAIRS = 800_000
+KEPT_WORDS = 100_000
+KEPT_PAIRS = 300_000
 
 
 class MergeTable:
@@ -326,9 +326,10 @@ def encode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = table_of(model)
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
                 yield pa.RecordBatch.from_arrays([batch.column(0), table.encode_many(batch.column(1))], ["doc_id", "ids"])
+            pa.default_memory_pool().release_unused()
 
     schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return rows.mapInArrow(run, schema)

@@ -40,7 +40,7 @@ MAGIC = b"TIDS"
 #: Contexts that a block's tables of order 2 and order 1 tell apart.
 CONTEXTS = 1024
 #: Words whose ids each worker keeps, in two generations.
-KEPT = 150_000
+KEPT = 100_000
 _TOP, _BOTTOM, _SIXTEEN = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64(16)
 #: The share of the 2^16 slots that the predictions of order 2 and 1 may take.
 PREDICTED = 61440
