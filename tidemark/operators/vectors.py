@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -95,8 +96,6 @@ def phases(token: str, size: int) -> list[float]:
 
 def encode_phases(df: DataFrame, tokens: str, size: int = 256) -> DataFrame:
     """df with re and im: the normalised sum of the tokens' unit phasors."""
-    import pandas as pd
-
     @pandas_udf("struct<re:array<double>,im:array<double>>")
     def bundle(column: pd.Series) -> pd.DataFrame:
         import numpy as np
@@ -127,8 +126,8 @@ def bind(a_re: Column, a_im: Column, b_re: Column, b_im: Column, inverse: bool =
     """The product of two phase vectors, place by place; with inverse, by the second's conjugate."""
     s = -1.0 if inverse else 1.0
     ab, cd = F.arrays_zip(a_re.alias("x"), a_im.alias("y")), F.arrays_zip(b_re.alias("x"), b_im.alias("y"))
-    re = F.zip_with(ab, cd, lambda p, q: p["0"] * q["0"] - p["1"] * q["1"] * s)
-    im = F.zip_with(ab, cd, lambda p, q: p["0"] * q["1"] * s + p["1"] * q["0"])
+    re = F.zip_with(ab, cd, lambda p, q: p["x"] * q["x"] - p["y"] * q["y"] * s)
+    im = F.zip_with(ab, cd, lambda p, q: p["x"] * q["y"] * s + p["y"] * q["x"])
     return re, im
 
 
