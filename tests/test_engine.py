@@ -180,3 +180,17 @@ def test_every_query_has_a_name_and_most_an_oracle():
 
     names, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(oracles) <= set(names) and len(oracles) > 100
+
+
+def test_fragments_and_styles(spark):
+    from tidemark.operators import spans, styles
+
+    texts = spark.createDataFrame([(1, "the palais de tokyo in tokyo".split()), (2, "palais de tokyo".split())], "text_id long, words array<string>")
+    names = spark.createDataFrame([("palais de tokyo", "palais de tokyo".split()), ("tokyo", ["tokyo"])], "name string, parts array<string>")
+    assert rows(spans.fragments(spans.occurrences(texts, names)), "text_id", "name") == [(2, "tokyo")]
+    schema = [styles.Declaration("text_color", "color"), styles.Declaration("gap", "size")]
+    values = spark.createDataFrame([(1, "text_color", "#00ff00"), (1, "gap", "2px"), (2, "gap", "url(x)"), (2, "other", "1px")], "style_id long, name string, value string")
+    assert rows(styles.offending(values, schema), "style_id", "name") == [(2, "gap"), (2, "other")]
+    assert rows(styles.declarations(values, schema), "css") == [("gap: 2px; text-color: #00ff00",)]
+    with pytest.raises(ValueError):
+        styles.Declaration("gap", "script")
