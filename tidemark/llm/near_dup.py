@@ -40,7 +40,7 @@ from tidemark.llm import common
 ROWS, BANDS = 4, 28
 SKETCH_BITS = 512
 #: The sample and the bits of the second round's finer sketch.
-WIDE_SAMPLE, WIDE_BITS = 1024, 2048
+WIDE_SAMPLE, WIDE_BITS = 2048, 4096
 #: Members of a tile's side, about.
 TILE = 256
 STANDARD_ERRORS = 4.5
