@@ -15,6 +15,19 @@ WHITE = b" \t\n\r\x0b\x0c"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows in an Arrow batch, at most: whole texts are long, and both the JVM and Python hold a batch at a time.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after lowering its session's Arrow batches to BATCH_ROWS where they are larger."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(setting)) <= BATCH_ROWS:
+        conf.set(setting, str(BATCH_ROWS))
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import common
+
 #: Block-level elements of HTML; a block ends where one begins or ends.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
@@ -282,7 +284,7 @@ def main_text(page: str, tree: object) -> str:
 def extract(df: DataFrame, html_col: str = "html") -> DataFrame:
     """df without its html, with text (empty if none) and n_chars (its code points)."""
     others = [c for c in df.columns if c not in (html_col, "text", "n_chars")]
-    rows = df.select(*others, F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("_html"))
+    rows = common.small_batches(df).select(*others, F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("_html"))
     tree = fit_tree(*labelled())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

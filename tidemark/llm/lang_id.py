@@ -23,6 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import common
+
 #: Labelled documents drawn for the fit, about; words seen fewer times than LEAST_COUNT are left to their n-grams.
 SAMPLE = 6000
 LEAST_COUNT = 3
@@ -123,7 +125,7 @@ def _logs(rows: list[tuple[str, str, int]], langs: list[str]) -> dict[str, tuple
 def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """df with lang_pred and score (0..1), from the text alone."""
     others = [c for c in df.columns if c not in ("lang_pred", "score")]
-    rows = df.select(*others)
+    rows = common.small_batches(df).select(*others)
     at_text, shared = others.index(text_col), df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

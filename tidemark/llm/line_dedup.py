@@ -144,7 +144,7 @@ class Suspects:
 def repeats(df: DataFrame, min_docs: int = 2, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
     """(key, n_docs, first_doc, first_line): the keys of lines found in min_docs documents or more, staged."""
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = common.small_batches(df).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     n_lines = rows.agg(F.sum(lines)).first()[0] or 1
     bits = min(max(SEGMENT_BITS, 1 << (BITS_A_LINE * n_lines - 1).bit_length()), most_bits)

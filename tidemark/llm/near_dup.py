@@ -307,7 +307,7 @@ def find(
     text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of df."""
-    docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    docs = common.small_batches(df).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     signed = common.staged(signatures(docs, shingle, rows, bands), "near-dup-signatures")
     named = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = named.groupBy("set_hash").agg(F.min("doc_id").alias("class_id"))

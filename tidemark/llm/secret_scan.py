@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import common
+
 #: Strings that one part of an expression may stand for, at most, to be spelled out.
 SPELLED = 64
 #: Documents in one segment of the index.
@@ -227,7 +229,7 @@ _indexes: dict[tuple, TrigramIndex] = {}
 
 def scan(df: DataFrame, rules: Sequence[Rule] = BASE + MORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans): for each row the secrets as structs (kind, start, end) in code points."""
-    rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = common.small_batches(df).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rules = tuple(rules)
     kind = rows.schema["doc_id"].dataType.simpleString()
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])

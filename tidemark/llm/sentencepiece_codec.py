@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm import common
+
 SPACE = "▁"
 #: Marks cuts inside a batch; texts that hold it take the plainer way.
 CUT = "\x1f"
@@ -321,7 +323,7 @@ def read_model(path: str) -> bytes:
 
 def encode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>): the ids of each row's whole text, without begin or end ids."""
-    rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = common.small_batches(df).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = table_of(model)
@@ -338,7 +340,7 @@ def encode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
 def decode(df: DataFrame, model: bytes, ids_col: str = "ids") -> DataFrame:
     """df with the column decoded: the text of the ids."""
     kept = [c for c in df.columns if c != "decoded"]
-    rows = df.select(*kept)
+    rows = common.small_batches(df).select(*kept)
     at_ids = kept.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -318,7 +318,7 @@ def write(df: DataFrame, spec: str, end: int, id_col: str = "doc_id", text_col:
     spec is the tokenizer's JSON; (part, frame, before, n_tokens, payload): frames are ordered by part
     and frame, before counts the ids of earlier frames of the part.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = common.small_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
