@@ -1,7 +1,7 @@
 """A training corpus from the documents table: the stages in order, each the next one's input.
 
-Language id drops documents without a letter or without a clear language; line dedup drops lines that
-stand in many documents; near-dedup keeps one document of each group; mixing takes each source's
+Language id drops documents without a letter or without a clear language; line dedup leaves lines that
+stand in many documents in the first of them only; near-dedup keeps one document of each group; mixing takes each source's
 documents as often as its target asks; the last stage encodes what is left and decodes it again.
 """
 
@@ -15,7 +15,7 @@ from tidemark.llm import sentencepiece_codec as codec
 
 #: Documents whose best language has a smaller share than this are rejected.
 CLEAR = 0.5
-#: Lines in at least this many documents go.
+#: Lines in at least this many documents stay in the first of them only.
 LINE_DOCUMENTS = 10
 #: Near duplicates share this much of their five-word shingles.
 SHINGLE, PERCENT = 5, 80
@@ -36,8 +36,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that many of them share."""
-    return _with_text(line_dedup.dedup(docs, min_docs=LINE_DOCUMENTS, keep_first=False), docs.columns)
+    """Documents without the lines that many of them share; the first of them keeps its own."""
+    return _with_text(line_dedup.dedup(docs, min_docs=LINE_DOCUMENTS), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -347,3 +347,20 @@ def test_pipeline_stages(spark):
     assert all(hashlib.sha256(r["decoded"].encode()).hexdigest() in texts[r["doc_id"]] for r in rows)
     near = brute_components([(r["doc_id"], r["text"]) for r in before.dropDuplicates(["doc_id"]).collect()], 5, 80)
     assert all(root == i for i, (n, root) in near.items())
+
+
+def test_pipeline_keeps_one_of_many_copies(spark):
+    import corpus_pipeline
+
+    rng, rows, groups = random.Random(11), [], {}
+    for size in (2, 9, 10, 30):
+        text = "\n".join(prose(rng, 40) for _ in range(3))
+        groups[size] = text, range(len(rows), len(rows) + size)
+        rows += [(len(rows) + k, text, "en", f"s{k % 3}", len(text)) for k in range(size)]
+    docs = spark.createDataFrame(rows, EMPTY + ", n_chars long")
+    lines = {r["doc_id"]: r for r in corpus_pipeline.drop_lines(spark, docs, "").collect()}
+    assert len(lines) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in lines.values())
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_near_duplicates(spark, corpus_pipeline.drop_lines(spark, docs, ""), "").collect()}
+    for size, (text, ids) in groups.items():
+        assert [lines[i]["text"] for i in ids] == ([text] * size if size < 10 else [text] + [""] * (size - 1))
+        assert [left[i] for i in ids if left.get(i)] == [text]
