@@ -154,6 +154,23 @@ def test_stream_upserts_end_like_the_batch(spark, tmp_path):
     assert rows(spark.read.parquet(f"{tmp_path}/version=0"), "user_id", "event_id") == rows(batch, "user_id", "event_id")
 
 
+def test_stream_results_stay_off_the_driver(spark, tmp_path):
+    from tidemark.streaming import events
+
+    source = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    for k in range(2):  # a batch for each file
+        source.where(F.col("event_id") % 2 == k).coalesce(1).write.mode("append").parquet(str(tmp_path))
+    batch = source.withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = events.read_events(spark, str(tmp_path), "*.parquet")
+    some = events.finished(stream.select("event_id"))
+    assert rows(some, "event_id") == rows(batch, "event_id")
+    total = events.finished(events.retracting_counts(stream.withColumn("sign", F.lit(1)), "event_type"), "complete")
+    assert rows(total, "event_type", "n") == rows(batch.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), "event_type", "n")
+    state = events.finished(events.followed_by_state(stream), "update")
+    assert rows(state.groupBy("user_id").agg(F.max("n").alias("n")), "user_id", "n") == rows(batch.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")), "user_id", "n")
+    assert some.inputFiles() and total.inputFiles() and state.inputFiles()
+
+
 QUICK = "q_02_ranked_feed q_01_topic_preferences q_04_filter_links q_07_related_links q_16_relation_summary join_12_interval_overlap join_16_trigram_similarity q_28_merge_entities q_30_undo_merge q_40_index_diff".split()
 
 

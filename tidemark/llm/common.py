@@ -1,11 +1,12 @@
-"""What the operators of this subpackage share: the shared folder and staged tables."""
+"""What the operators of this subpackage share: batches and staged tables."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from tidemark.session import shared_folder
 
 #: The white space that separates words and is stripped from lines: \x20 and \x09-\x0D.
 #: bytes.split() and bytes.strip() use exactly these.
@@ -28,18 +29,6 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset, as in tests on one machine, a temporary folder takes its place.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = getattr(spark, "_tidemark_folder", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark._tidemark_folder = folder
-    return folder.rstrip("/")
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to a new table in the shared folder and read it back.
 

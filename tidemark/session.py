@@ -1,7 +1,9 @@
-"""A session with the settings that the operators assume."""
+"""A session with the settings that the operators assume, and the folder that its processes share."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +20,15 @@ def session(master: str = "local[*]", partitions: int = 8, name: str = "tidemark
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, as in tests on one machine, a temporary folder takes its place.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = getattr(spark, "_tidemark_folder", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark._tidemark_folder = folder
+    return folder.rstrip("/")

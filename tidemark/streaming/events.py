@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import shared_folder
+
 EVENTS = T.StructType(
     [
         T.StructField("event_id", T.LongType()),
@@ -88,13 +90,32 @@ def followed_by_state(events: DataFrame, timeout_minutes: int | None = None) ->
 
 
 def finished(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
-    """The result of a stream over the data that is there now. Append leaves windows out that may still grow."""
-    spark, name = stream.sparkSession, f"s{uuid.uuid4().hex}"
-    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True)
-    writer = writer.foreachBatch(each) if each else writer.format("memory").queryName(name)
-    running = writer.start()
+    """The result of a stream over the data that is there now. Append leaves windows out that may still grow.
+
+    Results and checkpoint are Parquet in the shared folder. Append goes to a file sink; each batch of the
+    other modes is a version of its own, of which complete's last one counts, and update's all.
+    """
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows, versions = f"{folder}/rows", []
+
+    def version(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{rows}/{number}")  # a batch that is run again overwrites itself
+        if f"{rows}/{number}" not in versions:
+            versions.append(f"{rows}/{number}")
+
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if each or mode != "append":
+        running = writer.foreachBatch(each or version).start()
+    else:
+        running = writer.format("parquet").start(rows)
     running.awaitTermination()
-    return spark.table(name) if each is None else spark.range(0)
+    if each:
+        return spark.range(0)
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(rows)
+    found = versions[-1:] if mode == "complete" else versions
+    return spark.read.schema(stream.schema).parquet(*found) if found else spark.createDataFrame([], stream.schema)
 
 
 def upsert_into(spark: SparkSession, folder: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
