@@ -294,6 +294,14 @@ def test_html(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("tag", ["<svg-icon>", "<video-player src=x></video-player>", '<svg viewBox="0 0 1 1"/>', "<MATH />", "<svg><title>no</title></svg>"])
+def test_html_goes_on_after_what_is_no_silent_element(tag):
+    from tidemark.llm import html_extract
+
+    blocks = html_extract.blocks_of(f"<p>one</p>{tag}<p>two</p><p>three</p>")
+    assert [b[0] for b in blocks] == ["one", "two", "three"]
+
+
 def test_mix(spark, docs, texts):
     from tidemark.llm import curriculum_mix
 
