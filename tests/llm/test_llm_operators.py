@@ -119,6 +119,14 @@ def test_token_blocks_round_trip_and_notice_damage(n):
             token_files.read_frame(bytes(damaged))
 
 
+@pytest.mark.parametrize("odd", [65536, -1])
+def test_token_files_refuse_ids_that_do_not_fit(odd):
+    from tidemark.llm import token_files
+
+    with pytest.raises(ValueError):
+        token_files.write_frame([1], np.array([2]), np.array([7, odd]))
+
+
 def brute_components(rows, shingle, percent):
     sets = {}
     for i, t in rows:

@@ -7,7 +7,9 @@ checksum, so that blocks are coded (and damage is found) independently; numpy co
 frame side by side, one id of each at a step.
 
 The model of a block predicts the next id from the last two ids (order 2), from the last one (order 1)
-and from the ids so far (order 0). The orders' weights adapt to how often each was right at its present
+and from the ids so far (order 0). Orders 2 and 1 hold one guessed id for each of CONTEXTS hashed contexts,
+which are not checked; order 0 codes an id as its high and its low byte, by a histogram of each, the low one
+not conditioned on the high one, with new tables every 128 steps. The orders' weights adapt to how often each was right at its present
 confidence; the mixed distribution narrows the interval of a carry-less range coder.
 
 Frames are rows of a Parquet table (`payload` holds the file format's bytes), written and read by Spark,
@@ -175,7 +177,9 @@ class Decoder:
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """The code of each run of BLOCK ids (0..65535); the last run may be shorter."""
+    """The code of each run of BLOCK ids (0..65535, others raise ValueError); the last run may be shorter."""
+    if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) <= 65535:
+        raise ValueError("ids outside 0..65535 do not fit this format")
     lanes = -(-len(ids) // BLOCK)
     if not lanes:
         return []
