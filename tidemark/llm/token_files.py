@@ -1,30 +1,35 @@
 """Token-id files: a context-mixing range coder over independently reset, checksummed blocks.
 
 Documents are tokenized, get an end id each and are written in ascending id order: a range
-partitioning by id, then frames of whole documents. A frame holds its documents' ids and lengths and
-its token ids cut into blocks of BLOCK ids. Every block starts with an empty model and has its own
-checksum, so that blocks are coded (and damage is found) independently; numpy codes all blocks of a
-frame side by side, one id of each at a step.
+partitioning by id, then frames of whole documents. A frame holds its documents' ids and lengths, a
+table of its own ids' frequencies and its token ids cut into blocks of BLOCK ids. Every block starts
+from the same state and has its own checksum, so that blocks are coded (and damage is found)
+independently; numpy codes all blocks of a frame side by side, one id of each at a step.
 
 The model of a block predicts the next id from the last two ids (order 2), from the last one (order 1)
-and from the ids so far (order 0). Orders 2 and 1 hold one guessed id for each of CONTEXTS hashed contexts,
-which are not checked; order 0 codes an id as its high and its low byte, by a histogram of each, the low one
-not conditioned on the high one, with new tables every 128 steps. The orders' weights adapt to how often each was right at its present
-confidence; the mixed distribution narrows the interval of a carry-less range coder.
+and from nothing (order 0). Order 0 is the distribution of the frame's ids, from their true counts. Orders
+2 and 1 learn within the block: each keeps, for CONTEXTS hashed contexts, the id seen there and how far it
+is to be trusted. The share that each order gets in the mixed distribution adapts, separately for each pair of
+trusts and for agreeing and differing guesses. The mixed distribution over all ids narrows the interval of a
+range coder, once for an id; carries are settled at the end of a block.
+
+Ids are any unsigned 32-bit integers. The OWN most frequent ids of a frame have slots of their own in order 0;
+the others share one and are told apart by their number in the frame's table.
 
 Frames are rows of a Parquet table (`payload` holds the file format's bytes), written and read by Spark,
 so any store that Spark reaches will do and lost tasks are simply run again.
 
 Texts: null counts as empty; every document has at least its end id. Rows that repeat an id are
-documents of their own, ordered by text; rows without an id come first. An empty table gives an empty one.
+documents of their own, ordered by text; rows without an id come first. Other columns are left out, whatever
+their names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,236 +43,340 @@ from tidemark.llm import common
 BLOCK = 2048
 #: Ids in a frame, about: its documents are whole.
 FRAME = 1 << 22
-MAGIC = b"TIDS"
+MAGIC = b"TID2"
 #: Contexts that a block's tables of order 2 and order 1 tell apart.
 CONTEXTS = 1024
-#: Words whose ids each worker keeps, in two generations.
-KEPT = 100_000
-_TOP, _BOTTOM, _SIXTEEN = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64(16)
-#: The share of the 2^16 slots that the predictions of order 2 and 1 may take.
-PREDICTED = 61440
+#: Ids of a frame with slots of their own; a number and a trust fit into 16 bits.
+OWN = (1 << 14) - 2
+#: Slots of order 0 and of the mixed distribution; orders 2 and 1 together get at most MOST of these.
+ZERO, SLOTS = float(1 << 15), float(1 << 20)
+MOST = SLOTS - 2 * ZERO
+#: A block's code is made of 24-bit words.
+WORD, FULL = float(1 << 24), float(1 << 48)
+RATE = 1 / 16
+#: Words whose ids each worker keeps, at most, between two batches; then the more used half stays.
+KEPT = 400_000
+#: Bytes of text that are encoded together, about.
+TOGETHER = 8 << 20
+#: What order 2 and order 1 get at first, by their trust.
+EARLY = (0.0, 0.15, 0.4, 0.7)
+
+
+class Frequencies:
+    """A frame's ids, most frequent first, and their slots in order 0. Numbers of ids start at 1."""
+
+    def __init__(self, ids: np.ndarray, slots: np.ndarray):
+        self.ids, self.slots = ids, slots
+        self.many = len(ids) > len(slots)  # then the last number is what the other ids share
+        ends = np.cumsum(slots, dtype=np.int64)
+        self.bounds = np.zeros((2, len(slots) + 1))
+        self.bounds[:, 1:] = ends - slots, ends
+        self.number = np.repeat(np.arange(1, len(slots) + 1, dtype=np.uint16), slots)
+
+    @classmethod
+    def count(cls, ids: np.ndarray) -> tuple[Frequencies, np.ndarray]:
+        """The frequencies of ids, and each one's number."""
+        if int(ids.max()) < 1 << 22:
+            counts = np.bincount(ids)
+            found = np.flatnonzero(counts)
+            counts, place = counts[found], None
+        else:
+            found, place, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        order = np.argsort(-counts, kind="stable")
+        number = np.empty(len(found), np.int32)
+        number[order] = np.arange(1, len(found) + 1, dtype=np.int32)
+        if place is None:
+            table = np.zeros(int(found[-1]) + 1, np.int32)
+            table[found] = number
+            numbers = table[ids]
+        else:
+            numbers = number[place.ravel()]
+        sizes = counts[order].astype(np.int64)
+        if len(sizes) > OWN:
+            sizes = np.append(sizes[:OWN], sizes[OWN:].sum())
+        slots = 1 + sizes * (int(ZERO) - len(sizes)) // sizes.sum()
+        slots[0] += int(ZERO) - slots.sum()
+        return cls(found[order].astype(np.uint32), slots.astype(np.uint16)), numbers
 
 
 class Model:
-    """The adaptive models of many blocks side by side."""
-
-    def __init__(self, lanes: int):
-        self.lanes = lanes
-        self.cell = np.arange(lanes, dtype=np.int32) * CONTEXTS
-        self.four = np.arange(lanes, dtype=np.int32) * 4
-        self.last, self.before = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
-        #: By context the id seen there, times 4, and how far it is trusted: 0 (nothing seen) to 3.
-        self.guess = [np.zeros(lanes * CONTEXTS, np.int32) for _ in range(2)]
-        self.weight = [np.tile(np.array([0, 12000, 24000, 40000], np.int32), lanes) for _ in range(2)]
-        self.counts = [np.ones((lanes, 256), np.int32) for _ in range(2)]
-        self.steps = 0
-        self.refresh()
-
-    def refresh(self) -> None:
-        """New order-0 tables from the counts so far: every id has at least one slot."""
-        self.starts, self.sizes, self.coarse = [], [], []
-        for counts in self.counts:
-            sums = np.cumsum(counts, axis=1, dtype=np.int64)
-            ends = (sums * (65536 - 256) // sums[:, -1:]).astype(np.int32) + np.arange(1, 257, dtype=np.int32)
-            size = np.diff(ends, axis=1, prepend=np.int32(0))
-            start = ends - size
-            self.sizes.append(size.ravel())
-            self.starts.append(start.ravel())
-            self.coarse.append(np.ascontiguousarray(start[:, ::16]))
+    """The mixed predictions of many blocks side by side. Arrays of two rows are for order 2 and order 1."""
+
+    def __init__(self, lanes: int, zero: Frequencies):
+        self.zero = zero
+        self.cell = np.arange(2 * lanes).reshape(2, lanes) * CONTEXTS
+        self.states = np.arange(2 * lanes).reshape(2, lanes) * 32
+        #: Hashes of the two last ids and of the last one.
+        self.key = np.zeros((2, lanes), np.int64)
+        #: By context the number of the id seen there, times 4, and how far it is trusted, 0 (nothing seen) to 3.
+        self.table = np.zeros(2 * lanes * CONTEXTS, np.uint16)
+        two, one = np.meshgrid(EARLY, EARLY)  # state: trust of order 2 + 4 * trust of order 1 + 16 if they agree
+        self.share = np.concatenate([np.tile(MOST * np.concatenate(x, axis=None), lanes) for x in ((two, two), (one * (1 - two), 0 * one))])
+        self.at, self.state = np.zeros((2, lanes), np.int64), np.zeros((2, lanes), np.int64)
+        self.seen, self.trust, self.up = (np.zeros((2, lanes), np.uint16) for _ in range(3))
+        self.gain, self.slots = np.zeros((2, lanes)), np.zeros((2, lanes))
+        self.one, self.fresh, self.agree = np.zeros(lanes, np.uint16), np.zeros(lanes, np.uint16), np.zeros(lanes, bool)
+        self.both, self.rest = np.zeros(lanes), np.zeros(lanes)
+        self.two = self.slots[0]
 
     def mix(self) -> None:
-        """The predictions of order 2 and 1 for the next id, and the slots that they get."""
-        self.at = [self.cell + ((self.before * 20483 + self.last * 30011 >> 5) & (CONTEXTS - 1)), self.cell + ((self.last * 20483 >> 6) & (CONTEXTS - 1))]
-        packed = [g[i] for g, i in zip(self.guess, self.at)]
-        self.seen, self.how = [p >> 2 for p in packed], [p & 3 for p in packed]
-        self.own = [self.four + h for h in self.how]
-        self.share = [w[i] for w, i in zip(self.weight, self.own)]
-        f2 = (self.share[0] * (PREDICTED >> 4) >> 12) + 16
-        f2 *= self.how[0] > 0
-        f1 = (self.share[1] * ((PREDICTED - f2) >> 4) >> 12) + 16
-        f1 *= (self.how[1] > 0) & ((self.how[0] == 0) | (self.seen[0] != self.seen[1]))
-        self.f2, self.f1, self.both = f2, f1, f2 + f1
-
-    def event(self, ids: np.ndarray) -> np.ndarray:
-        """0 or 1 where order 2 or 1 is right, else 2."""
-        return np.where((self.f2 > 0) & (ids == self.seen[0]), 0, np.where((self.f1 > 0) & (ids == self.seen[1]), 1, 2))
-
-    def slots(self, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        start = np.where(event == 2, self.both, self.f2 * event)
-        return start, np.where(event == 2, 65536 - self.both, np.where(event == 1, self.f1, self.f2))
-
-    def learn(self, ids: np.ndarray, escaped: np.ndarray, cells: list[np.ndarray]) -> None:
-        for k in range(2):
-            how, hit = self.how[k], ids == self.seen[k]
-            self.weight[k][self.own[k]] = self.share[k] + ((hit * np.int32(65535) - self.share[k]) >> 4) * (how > 0)
-            anew = (how == 0) | (~hit & (how == 1))
-            trust = np.where(hit, np.minimum(how + 1, 3), how - 1)
-            self.guess[k][self.at[k]] = np.where(anew, ids << 2 | 1, self.seen[k] << 2 | trust)
-            if escaped.size:
-                self.counts[k].ravel()[cells[k]] += 24
-        self.before, self.last = self.last, ids
-        self.steps += 1
-        if self.steps in (4, 8, 16, 32) or self.steps % 128 == 0 or self.steps == 64:
-            self.refresh()
-
-
-def _due(low: np.ndarray, width: np.ndarray) -> Iterator[np.ndarray]:
-    """Again and again the places whose top 16 bits are settled, or are settled now by cutting a range that is too small."""
-    go = np.flatnonzero(((low ^ (low + width)) < _TOP) | (width < _BOTTOM))
-    while go.size:
-        small = go[(low[go] ^ (low[go] + width[go])) >= _TOP]
-        width[small] = (~low[small] + np.uint64(1)) & (_BOTTOM - np.uint64(1))
-        yield go
-        a, w = low[go], width[go]
-        go = go[((a ^ (a + w)) < _TOP) | (w < _BOTTOM)]
+        """The guesses of order 2 and 1 for the next id, and the slots that they get."""
+        np.right_shift(self.key, 16, out=self.at)
+        np.bitwise_and(self.at, CONTEXTS - 1, out=self.at)
+        np.add(self.at, self.cell, out=self.at)
+        self.packed = self.table[self.at]
+        np.right_shift(self.packed, 2, out=self.seen)
+        np.bitwise_and(self.packed, 3, out=self.trust)
+        np.equal(self.seen[0], self.seen[1], out=self.agree)
+        np.left_shift(self.agree.view(np.uint8), 2, out=self.one, dtype=np.uint16)
+        np.add(self.one, self.trust[1], out=self.one)
+        np.left_shift(self.one, 2, out=self.one)
+        np.add(self.one, self.trust[0], out=self.one)
+        np.add(self.states, self.one, out=self.state)
+        self.part = self.share[self.state]
+        np.floor(self.part, out=self.slots)
+        np.add(self.slots, 16, out=self.slots)
+        np.add(self.slots[0], self.slots[1], out=self.both)
+        np.subtract(SLOTS, self.both, out=self.rest)
+
+    def interval(self, now: np.ndarray, hits: np.ndarray) -> np.ndarray:
+        """The first slot of the numbers now, and the one after their last; hits: whether order 2, or only order 1, guessed them."""
+        bound = self.zero.bounds.take(now, axis=1)
+        np.multiply(bound, self.rest, out=bound)
+        np.multiply(bound, 1 / ZERO, out=bound)
+        np.floor(bound, out=bound)
+        np.add(bound, self.both, out=bound)
+        lo, hi = bound
+        np.copyto(lo, self.two, where=hits[1])
+        np.copyto(hi, self.both, where=hits[1])
+        np.copyto(lo, 0, where=hits[0])
+        np.copyto(hi, self.two, where=hits[0])
+        return bound
+
+    def learn(self, now: np.ndarray, hits: np.ndarray) -> None:
+        np.multiply(hits, MOST, out=self.gain)
+        np.subtract(self.gain, self.part, out=self.gain)
+        np.multiply(self.gain, RATE, out=self.gain)
+        np.add(self.gain, self.part, out=self.gain)
+        self.share[self.state] = self.gain
+        # A hit raises the trust, a miss lowers it; at the lowest the new id takes the place.
+        hit = self.seen == now
+        np.add(self.packed, 1, out=self.up)
+        np.bitwise_or(self.packed, 3, out=self.seen)
+        np.minimum(self.up, self.seen, out=self.up)
+        np.subtract(self.packed, 1, out=self.packed)
+        np.left_shift(now, 2, out=self.fresh)
+        np.add(self.fresh, 1, out=self.fresh)
+        np.copyto(self.packed, self.fresh, where=self.trust < 2)
+        np.copyto(self.packed, self.up, where=hit)
+        self.table[self.at] = self.packed
+        np.multiply(self.key[1], 3, out=self.key[0])
+        np.multiply(now, 0x9E3779B1, out=self.key[1], dtype=np.int64)
+        np.bitwise_and(self.key[1], 0xFFFFFFFF, out=self.key[1])
+        np.add(self.key[0], self.key[1], out=self.key[0])
 
 
 class Encoder:
-    """A carry-less range coder for each lane; 16 bits go out at a time."""
-
-    def __init__(self, lanes: int, units: int):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-        self.out, self.sent = np.zeros((lanes, units), np.uint16), np.zeros(lanes, np.int64)
-
-    def put(self, lanes: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        """Narrow some lanes to size of 2^16 slots from start."""
-        width = self.range[lanes] >> _SIXTEEN
-        low = self.low[lanes] + width * start.astype(np.uint64)
-        width *= size.astype(np.uint64)
-        for go in _due(low, width):
-            at = lanes[go]
-            self.out[at, self.sent[at]] = low[go] >> np.uint64(48)
-            self.sent[at] += 1
-            low[go] <<= _SIXTEEN
-            width[go] <<= _SIXTEEN
-        self.low[lanes], self.range[lanes] = low, width
-
-    def finish(self) -> None:
-        lanes = np.arange(len(self.low))
-        for shift in (48, 32, 16, 0):
-            self.out[lanes, self.sent] = self.low >> np.uint64(shift) & np.uint64(0xFFFF)
-            self.sent += 1
+    """A range coder for each lane: words may exceed 24 bits by a carry until finish settles it."""
+
+    def __init__(self, lanes: int, words: int):
+        self.low, self.range = np.zeros(lanes), np.full(lanes, FULL)
+        self.out, self.sent, self.first = np.zeros((lanes, words), np.int32), np.zeros(lanes, np.int64), np.arange(lanes) * words
+        self.flat = self.out.ravel()
+        self.unit, self.step = np.zeros(lanes), np.zeros(lanes)
+
+    def put(self, bound: np.ndarray) -> None:
+        """Narrow every lane to the slots from its first bound to its second."""
+        lo, hi = bound
+        np.multiply(self.range, 1 / SLOTS, out=self.unit)
+        np.floor(self.unit, out=self.unit)
+        np.multiply(lo, self.unit, out=self.step)
+        np.add(self.low, self.step, out=self.low)
+        np.subtract(hi, lo, out=self.step)
+        np.multiply(self.step, self.unit, out=self.range)
+        due = np.flatnonzero(self.range < WORD)
+        if due.size:
+            low = self.low[due]
+            word = np.floor(low * (1 / WORD))
+            sent = self.sent[due]
+            self.flat[self.first[due] + sent] = word
+            self.sent[due] = sent + 1
+            self.low[due] = (low - word * WORD) * WORD
+            self.range[due] *= WORD
+
+    def finish(self) -> list[bytes]:
+        """The code of each lane. What a decoder reads beyond its end counts as 0."""
+        self.flat[self.first + self.sent] = np.ceil(self.low * (1 / WORD))
+        self.sent += 1
+        while (carry := self.out >> 24).any():
+            self.out &= 0xFFFFFF
+            self.out[:, :-1] += carry[:, 1:]
+        raw = self.out.astype(">u4").view(np.uint8).reshape(*self.out.shape, 4)[:, :, 1:]
+        return [raw[k, :n].tobytes() for k, n in enumerate(self.sent.tolist())]
 
 
 class Decoder:
-    def __init__(self, data: np.ndarray, starts: np.ndarray):
-        lanes = len(starts)
-        self.data, self.at = np.concatenate([data, np.zeros(4, np.uint16)]), starts.astype(np.int64)
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-        self.code = np.zeros(lanes, np.uint64)
-        for _ in range(4):
-            self.code = self.code << _SIXTEEN | self.data[self.at].astype(np.uint64)
-            self.at += 1
-
-    def slot(self, lanes: np.ndarray) -> np.ndarray:
-        """The slot (of 2^16) that each lane's code lies in."""
-        return np.minimum((self.code[lanes] - self.low[lanes]) // (self.range[lanes] >> _SIXTEEN), np.uint64(65535)).astype(np.int32)
-
-    def take(self, lanes: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        width = self.range[lanes] >> _SIXTEEN
-        low = self.low[lanes] + width * start.astype(np.uint64)
-        width *= size.astype(np.uint64)
-        for go in _due(low, width):
-            at = lanes[go]
-            self.code[at] = self.code[at] << _SIXTEEN | self.data[np.minimum(self.at[at], len(self.data) - 1)].astype(np.uint64)
-            self.at[at] += 1
-            low[go] <<= _SIXTEEN
-            width[go] <<= _SIXTEEN
-        self.low[lanes], self.range[lanes] = low, width
-
-
-def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """The code of each run of BLOCK ids (0..65535, others raise ValueError); the last run may be shorter."""
-    if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) <= 65535:
-        raise ValueError("ids outside 0..65535 do not fit this format")
-    lanes = -(-len(ids) // BLOCK)
+    def __init__(self, data: bytes, sizes: np.ndarray):
+        raw = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.float64)
+        lengths = np.asarray(sizes) // 3
+        self.words = int(lengths.max()) + 4
+        table = np.zeros((len(lengths), self.words))
+        table[np.arange(self.words) < lengths[:, None]] = raw[:, 0] * 65536 + raw[:, 1] * 256 + raw[:, 2]
+        self.flat, self.first, self.at = table.ravel(), np.arange(len(lengths)) * self.words, np.full(len(lengths), 2)
+        self.code, self.range = table[:, 0] * WORD + table[:, 1], np.full(len(lengths), FULL)
+        self.unit, self.place, self.step = (np.zeros(len(lengths)) for _ in range(3))
+
+    def slot(self) -> np.ndarray:
+        """The slot that each lane's code lies in."""
+        np.multiply(self.range, 1 / SLOTS, out=self.unit)
+        np.floor(self.unit, out=self.unit)
+        np.divide(self.code, self.unit, out=self.place)
+        np.floor(self.place, out=self.place)
+        return np.minimum(self.place, SLOTS - 1, out=self.place)
+
+    def take(self, bound: np.ndarray) -> None:
+        lo, hi = bound
+        np.multiply(lo, self.unit, out=self.step)
+        np.subtract(self.code, self.step, out=self.code)
+        np.subtract(hi, lo, out=self.step)
+        np.multiply(self.step, self.unit, out=self.range)
+        due = np.flatnonzero(self.range < WORD)
+        if due.size:
+            at = self.at[due]
+            self.code[due] = self.code[due] * WORD + self.flat[self.first[due] + np.minimum(at, self.words - 1)]
+            self.at[due] = at + 1
+            self.range[due] *= WORD
+
+
+def _digit(value: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """The slots of a 16-bit digit, all slots for the lanes that have none."""
+    return np.stack([np.where(some, value * (SLOTS / 65536), 0.0), np.where(some, (value + 1) * (SLOTS / 65536), SLOTS)])
+
+
+def encode_blocks(numbers: np.ndarray, zero: Frequencies) -> list[bytes]:
+    """The code of each run of BLOCK ids, given by their numbers in zero; the last run may be shorter."""
+    lanes, shared = -(-len(numbers) // BLOCK), len(zero.slots)
     if not lanes:
         return []
-    steps = min(BLOCK, len(ids))
-    table = np.zeros((lanes, BLOCK), np.int32)
-    table.ravel()[: len(ids)] = ids
+    steps = min(BLOCK, len(numbers))
+    table = np.ones((lanes, BLOCK), np.int32)
+    table.ravel()[: len(numbers)] = numbers
     table = np.ascontiguousarray(table[:, :steps].T)
-    with np.errstate(over="ignore"):
-        model, coder, every = Model(lanes), Encoder(lanes, 3 * steps + 8), np.arange(lanes)
-        for now in table:
-            model.mix()
-            event = model.event(now)
-            coder.put(every, *model.slots(event))
-            escaped, cells = np.flatnonzero(event == 2), []
-            if escaped.size:
-                for k, part in enumerate((now[escaped] >> 8, now[escaped] & 255)):
-                    cells.append(escaped * 256 + part)
-                    coder.put(escaped, model.starts[k][cells[k]], model.sizes[k][cells[k]])
-            model.learn(now, escaped, cells)
-        coder.finish()
-    return [coder.out[k, : coder.sent[k]].astype("<u2").tobytes() for k in range(lanes)]
-
-
-def decode_blocks(data: bytes, sizes: np.ndarray, n: int) -> np.ndarray:
-    """The n ids of blocks whose codes of the given sizes (in bytes) stand on end."""
-    lanes = len(sizes)
+    small = np.minimum(table, shared).astype(np.uint16)
+    model, coder, hits = Model(lanes, zero), Encoder(lanes, steps * (2 if zero.many else 1) + 4), np.zeros((2, lanes), bool)
+    for step, now in enumerate(small):
+        model.mix()
+        np.equal(model.seen, now, out=hits)
+        np.greater(hits[1], hits[0], out=hits[1])
+        coder.put(model.interval(now, hits))
+        if zero.many and (some := now == shared).any():
+            rest = table[step] - float(shared)
+            coder.put(_digit(np.floor(rest / 65536), some))
+            coder.put(_digit(rest % 65536, some))
+        model.learn(now, hits)
+    return coder.finish()
+
+
+def decode_blocks(data: bytes, sizes: np.ndarray, n: int, zero: Frequencies) -> np.ndarray:
+    """The n numbers of blocks whose codes of the given sizes (in bytes) stand on end."""
+    lanes, shared = len(sizes), len(zero.slots)
     if not lanes:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     steps = min(BLOCK, n)
     out = np.zeros((steps, lanes), np.int32)
-    with np.errstate(over="ignore"):
-        units = np.frombuffer(data, "<u2")
-        model, coder, every = Model(lanes), Decoder(units, (np.cumsum(sizes) - sizes) // 2), np.arange(lanes)
-        for step in range(steps):
-            model.mix()
-            slot = coder.slot(every)
-            event = (slot >= model.f2).astype(np.int32) + (slot >= model.both)
-            coder.take(every, *model.slots(event))
-            now = np.where(event == 0, model.seen[0], model.seen[1])
-            escaped, cells = np.flatnonzero(event == 2), []
-            if escaped.size:
-                whole = np.zeros(len(escaped), np.int32)
-                for k in range(2):
-                    slot = coder.slot(escaped)[:, None]
-                    first = escaped * 16 + np.count_nonzero(model.coarse[k][escaped] <= slot, axis=1) - 1
-                    cells.append(first * 16 + np.count_nonzero(model.starts[k].reshape(-1, 16)[first] <= slot, axis=1) - 1)
-                    coder.take(escaped, model.starts[k][cells[k]], model.sizes[k][cells[k]])
-                    whole = whole << 8 | (cells[k] & 255)
-                now[escaped] = whole
-            model.learn(now, escaped, cells)
-            out[step] = now
-    full = np.zeros((lanes, BLOCK), np.int64)
+    model, coder, hits, place = Model(lanes, zero), Decoder(data, sizes), np.zeros((2, lanes), bool), np.zeros(lanes)
+    for step in range(steps):
+        model.mix()
+        slot = coder.slot()
+        np.less(slot, model.two, out=hits[0])
+        np.less(slot, model.both, out=hits[1])
+        # The last slot of order 0 that starts at this slot or before, then its number.
+        np.subtract(slot, model.both, out=place)
+        np.multiply(place, ZERO, out=place)
+        np.add(place, ZERO - 1, out=place)
+        np.divide(place, model.rest, out=place)
+        np.maximum(place, 0, out=place)
+        now = zero.number[place.astype(np.int32)]
+        np.copyto(now, model.seen[1], where=hits[1])
+        np.copyto(now, model.seen[0], where=hits[0])
+        np.greater(hits[1], hits[0], out=hits[1])
+        coder.take(model.interval(now, hits))
+        out[step] = now
+        if zero.many and (some := now == shared).any():
+            number = np.zeros(lanes)
+            for _ in range(2):
+                digit = np.floor(coder.slot() / (SLOTS / 65536))
+                coder.take(_digit(digit, some))
+                number = number * 65536 + digit
+            out[step, some] = np.minimum(number[some] + shared, len(zero.ids))
+        model.learn(now, hits)
+    full = np.zeros((lanes, BLOCK), np.int32)
     full[:, :steps] = out.T
     return full.ravel()[:n]
 
 
+_HEAD = "<4sIQIIII"
+
+
 def write_frame(docs: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """The bytes of one frame."""
-    blocks = encode_blocks(ids)
-    sums = [zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].astype("<u4").tobytes()) for k in range(len(blocks))]
-    head = struct.pack("<4sIQII", MAGIC, len(docs), len(ids), len(blocks), BLOCK)
+    """The bytes of one frame of unsigned 32-bit ids."""
+    if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < 1 << 32:
+        raise ValueError("ids outside 0..4294967295 do not fit this format")
+    zero, numbers = Frequencies.count(ids) if len(ids) else (Frequencies(np.zeros(0, np.uint32), np.zeros(0, np.uint16)), ids)
+    blocks = encode_blocks(numbers, zero)
+    raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+    sums = [zlib.crc32(raw[4 * k * BLOCK : 4 * (k + 1) * BLOCK]) for k in range(len(blocks))]
+    head = struct.pack(_HEAD, MAGIC, len(docs), len(ids), len(blocks), BLOCK, len(zero.ids), len(zero.slots))
     head += bytes(d is not None for d in docs) + np.array([d or 0 for d in docs], "<i8").tobytes() + lengths.astype("<u8").tobytes()
+    head += zero.ids.astype("<u4").tobytes() + zero.slots.astype("<u2").tobytes()
     head += np.array([len(b) for b in blocks], "<u4").tobytes() + np.array(sums, "<u4").tobytes()
     return head + struct.pack("<I", zlib.crc32(head)) + b"".join(blocks)
 
 
 def read_frame(frame: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """(documents, lengths, ids) of a frame; raises ValueError where a checksum differs."""
-    magic, n_docs, n_ids, n_blocks, block = struct.unpack_from("<4sIQII", frame)
+    magic, n_docs, n_ids, n_blocks, block, n_known, n_slots = struct.unpack_from(_HEAD, frame)
     if magic != MAGIC or block != BLOCK:
         raise ValueError("not a frame of this format")
-    at = struct.calcsize("<4sIQII")
-    known, at = np.frombuffer(frame, np.uint8, n_docs, at), at + n_docs
-    docs, at = np.frombuffer(frame, "<i8", n_docs, at), at + 8 * n_docs
-    lengths, at = np.frombuffer(frame, "<u8", n_docs, at).astype(np.int64), at + 8 * n_docs
-    sizes, at = np.frombuffer(frame, "<u4", n_blocks, at).astype(np.int64), at + 4 * n_blocks
-    sums, at = np.frombuffer(frame, "<u4", n_blocks, at), at + 4 * n_blocks
-    if zlib.crc32(frame[:at]) != struct.unpack_from("<I", frame, at)[0]:
+    at, parts = struct.calcsize(_HEAD), []
+    for kind, n in (("u1", n_docs), ("<i8", n_docs), ("<u8", n_docs), ("<u4", n_known), ("<u2", n_slots), ("<u4", n_blocks), ("<u4", n_blocks)):
+        if at + n * int(kind[-1]) > len(frame):
+            raise ValueError("the frame's head is damaged")
+        parts.append(np.frombuffer(frame, kind, n, at))
+        at += n * int(kind[-1])
+    known, docs, lengths, known_ids, slots, sizes, sums = parts
+    if len(frame) < at + 4 or zlib.crc32(frame[:at]) != struct.unpack_from("<I", frame, at)[0]:
         raise ValueError("the frame's head is damaged")
-    ids = decode_blocks(frame[at + 4 :], sizes, n_ids)
+    if len(frame) - at - 4 != int(sizes.sum(dtype=np.int64)):
+        raise ValueError("the frame has lost or gained bytes")
+    zero = Frequencies(known_ids, slots)
+    with np.errstate(all="ignore"):  # damaged codes may lead anywhere until their checksum is compared
+        ids = known_ids[decode_blocks(memoryview(frame)[at + 4 :], sizes.astype(np.int64), n_ids, zero) - 1] if n_ids else known_ids[:0]
+    raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
     for k, total in enumerate(sums.tolist()):
-        if zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].astype("<u4").tobytes()) != total:
+        if zlib.crc32(raw[4 * k * BLOCK : 4 * (k + 1) * BLOCK]) != total:
             raise ValueError(f"block {k} is damaged")
-    return [d if k else None for d, k in zip(docs.tolist(), known.tolist())], lengths, ids
+    return [d if k else None for d, k in zip(docs.tolist(), known.tolist())], lengths.astype(np.int64), ids
+
+
+#: What a tokenizer's JSON must say so that its ids can be taken word by word: white space is dropped, pieces stay
+#: within words, and what lower-casing and splitting off a last mark do to a word, the tokenizer does itself.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: Letters that normalizing leaves as they are.
+PLAIN = "a-zß-öø-ÿ"
 
 
 class WordIds:
-    """A tokenizer's ids by words: its pieces never reach across white space, which it drops."""
+    """The ids of texts. Where the tokenizer allows it (BY_WORDS), each new word is encoded once and many words in one call."""
 
     def __init__(self, spec: str):
         import os
@@ -275,38 +384,91 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        said = json.loads(spec)
+        suffix, added = said["model"].get("end_of_word_suffix"), said.get("added_tokens") or []
         self.tokenizer = Tokenizer.from_str(spec)
-        self.new: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
-
-    def ids_of(self, words: list[str]) -> list[list[int]]:
-        if len(self.new) > KEPT:
-            self.old, self.new = self.new, {}
-        new, old, missing = self.new, self.old, []
-        for word in words:
-            if word not in new:
-                if (ids := old.get(word)) is None:
-                    missing.append(word)
-                else:
-                    new[word] = ids
-        if missing:
-            for word, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-                new[word] = found.ids
-        return [new[word] for word in words]
+        self.by_words = bool(suffix) and all(said.get(k) == v for k, v in BY_WORDS.items()) and all(t["content"].startswith("<|") and not t["normalized"] for t in added) and bool(added)
+        if self.by_words:
+            ways = [{"type": "WhitespaceSplit"}, BY_WORDS["pre_tokenizer"]["pretokenizers"][1]]
+            self.plain = Tokenizer.from_str(json.dumps({**said, "normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": ways}}))
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+            self.mark, self.mark_id = added[0]["content"], added[0]["id"]
+            #: Known words, their uses so far, and their ids: sizes[k] of flat from starts[k].
+            self.words, self.uses = pa.array([], pa.string()), np.zeros(0, np.int64)
+            self.flat, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def _many(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All words' ids on end, and each one's number of ids."""
+        whole = pc.match_substring_regex(words, f"^[{PLAIN}]+$")
+        named = pc.match_substring(words, "<|")
+        parts = []
+        for kind, some in ((0, whole), (1, pc.and_(pc.invert(whole), pc.invert(named))), (2, pc.and_(pc.invert(whole), named))):
+            at = np.flatnonzero(some.to_numpy(zero_copy_only=False))
+            if not at.size:
+                continue
+            chosen = words.filter(some)
+            if kind == 2:
+                found = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(chosen.to_pylist(), add_special_tokens=False)]
+                ids, sizes = np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
+            else:
+                lists = pa.ListArray.from_arrays(pa.array(np.append(np.arange(0, len(chosen), 256), len(chosen)), pa.int32()), chosen)
+                lines = pc.binary_join(lists, " " if kind == 0 else f" {self.mark} ").to_pylist()
+                tokenizer = self.plain if kind == 0 else self.tokenizer
+                found = [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(lines if kind == 0 else [f"{line} {self.mark}" for line in lines], add_special_tokens=False)]
+                ids = np.concatenate(found)
+                last = np.flatnonzero(self.ends[ids] if kind == 0 else ids == self.mark_id)
+                sizes = np.diff(last, prepend=-1)
+                if kind == 1:
+                    ids, sizes = np.delete(ids, last), sizes - 1
+            if len(sizes) != at.size:
+                raise ValueError("the tokenizer's ids do not fall into words")
+            parts.append((at, ids, sizes))
+        sizes = np.zeros(len(words), np.int64)
+        for at, _, each in parts:
+            sizes[at] = each
+        starts = np.cumsum(sizes) - sizes
+        flat = np.zeros(int(sizes.sum()), np.int32)
+        for at, ids, each in parts:
+            flat[np.repeat(starts[at] - (np.cumsum(each) - each), each) + np.arange(len(ids))] = ids
+        return flat, sizes
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """The places of words among the known ones, after encoding the new ones."""
+        if len(self.words) > KEPT:
+            kept = np.sort(np.argsort(-self.uses, kind="stable")[: KEPT // 2])
+            ids = np.repeat(np.cumsum(self.sizes)[kept] - np.cumsum(self.sizes[kept]), self.sizes[kept]) + np.arange(int(self.sizes[kept].sum()))
+            self.words, self.uses, self.flat, self.sizes = self.words.take(pa.array(kept)), self.uses[kept] // 2, self.flat[ids], self.sizes[kept]
+        at = pc.index_in(words, value_set=self.words)
+        if at.null_count:
+            new = words.filter(pc.is_null(at))
+            flat, sizes = self._many(new)
+            at = at.to_numpy(zero_copy_only=False)
+            at[np.isnan(at)] = len(self.words) + np.arange(len(new))
+            self.words, self.uses = pa.concat_arrays([self.words, new]), np.append(self.uses, np.zeros(len(new), np.int64))
+            self.flat, self.sizes = np.append(self.flat, flat), np.append(self.sizes, sizes)
+            return at.astype(np.int64)
+        return at.to_numpy(zero_copy_only=False).astype(np.int64)
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids on end, each with the end id, and each text's number of ids."""
+        if not self.by_words:
+            found = [np.array([*e.ids, end], np.int64) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.int64), *found]), np.fromiter(map(len, found), np.int64, len(found))
         if not pc.any(pc.match_substring(texts, "<|")).as_py():
             # Case and a mark after a word change no ids but would make more words; texts with names of special tokens stay as they are.
-            texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-zß-öø-ÿ])([.,])(\s|$)", r"\1 \2\3")
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), rf"([{PLAIN}])([.,])(\s|$)", r"\1 \2\3")
         words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
-        found = [*self.ids_of(coded.dictionary.to_pylist()), [end]]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
+        known = self._learn(coded.dictionary)
+        indices = coded.indices.to_numpy(zero_copy_only=False)
+        self.uses[known] += np.bincount(indices, minlength=len(known))
+        # The end id stands behind the known words' ids and is put after each text's words.
+        flat, sizes = np.append(self.flat, end), np.append(self.sizes, 1)
         starts = np.cumsum(sizes) - sizes
         counts = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-        place = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(counts), len(found) - 1)
+        place = np.insert(known[indices], np.cumsum(counts), len(sizes) - 1)
         each = sizes[place]
         ends = np.concatenate([[0], np.cumsum(each)])
         ids = flat[np.repeat(starts[place] - ends[:-1], each) + np.arange(ends[-1])]
@@ -316,6 +478,23 @@ class WordIds:
 _tokenizers: dict[int, WordIds] = {}
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about TOGETHER bytes."""
+    held, size = [], 0
+    for batch in batches:
+        pieces = max(1, batch.nbytes // TOGETHER)
+        step = max(1, -(-batch.num_rows // pieces))
+        for at in range(0, batch.num_rows, step):
+            piece = batch.slice(at, step)
+            held.append(piece)
+            size += piece.nbytes
+            if size >= TOGETHER:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def write(df: DataFrame, spec: str, end: int, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Write the files (to path, or to the shared folder) and return their frames.
 
@@ -339,16 +518,14 @@ def write(df: DataFrame, spec: str, end: int, id_col: str = "doc_id", text_col:
             docs.clear(), lengths.clear(), ids.clear()
             return pa.RecordBatch.from_arrays(row, ["part", "frame", "before", "n_tokens", "payload"])
 
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                got, each = tokens.encode(batch.column(1), end)
-                docs += batch.column(0).to_pylist()
-                ids.append(got)
-                lengths.append(each)
-                held += len(got)
-                if held >= FRAME:
-                    yield cut()
+        for batch in _together(batches):
+            got, each = tokens.encode(batch.column(1), end)
+            docs += batch.column(0).to_pylist()
+            ids.append(got)
+            lengths.append(each)
+            held += len(got)
+            if held >= FRAME:
+                yield cut()
         if docs:
             yield cut()
 
