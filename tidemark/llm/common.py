@@ -29,6 +29,14 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or the next one with more underscores that df has no column of (case does not tell columns apart)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to a new table in the shared folder and read it back.
 

@@ -1,13 +1,16 @@
 """The main text of HTML pages from flat text blocks.
 
 A page becomes a flat row of text blocks, cut at block-level tags. Each block has its word count, the
-share of its words inside links, the same two of its neighbours, and what the elements around it say
-(a menu or form, an article, a heading). A decision tree fitted on a small labelled table below tells
-content from the rest; content blocks are joined in page order by line ends.
+share of its words inside links, and the same two of its neighbours. A decision tree fitted on a small
+labelled table below tells content from the rest; content blocks are joined in page order by line ends.
+
+The first PLAIN levels of the tree split by these word counts and link shares alone. Further down it may
+also ask what the elements around a block say (a menu or form, an article, a heading), since a reader's
+comment, a notice or a caption can have an article's counts. `decided` says how many blocks needed that.
 
 Pages: null counts as empty and gives an empty text; broken markup is read as far as it goes: an
-unclosed element lasts to the end, a stray `<` is text. Repeated rows each give a row; an empty table
-gives an empty one.
+unclosed element lasts to the end, a stray `<` is text. Existing columns text and n_chars are replaced, other
+columns stay whatever their names. Repeated rows each give a row; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -40,6 +43,14 @@ OUTSIDE_NAMES = frozenset(
 INSIDE = frozenset(["article", "main"])
 INSIDE_NAMES = frozenset("article content main post entry story body text maintext".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What makes even an article element one of a reader's.
+READERS = frozenset("comment comments reply replies respond discussion review".split())
+#: Levels of the tree that split by counts and shares alone, and columns of these.
+PLAIN, COUNTS = 2, 6
+#: What makes even an article element one of a reader's.
+READERS = frozenset("comment comments reply replies respond discussion review".split())
+#: Levels of the tree that split by counts and shares alone, and columns of these.
+PLAIN, COUNTS = 2, 6
 
 #: A small labelled table of blocks, made by hand. Columns: words and share of linked words of the block, of the one
 #: before and of the one after, then 1 if around it are: an outside element, an inside element, a heading; last 1 for content.
@@ -78,6 +89,33 @@ LABELLED = """
 40 0.0  12 0.0  9 0.0  1 0 0  0
 22 0.0  6 0.0  4 0.0  1 0 0  0
 120 0.0  4 1.0  30 0.0  1 0 0  0
+30 0.0  2 1.0  60 0.0  1 1 0  0
+12 0.0  1 1.0  5 0.0  1 1 0  0
+50 0.0  1 1.0  1 1.0  1 1 0  0
+90 0.0  3 1.0  110 0.0  1 1 0  0
+16 0.0  1 1.0  40 0.0  1 0 0  0
+45 0.0  4 1.0  80 0.0  1 0 0  0
+110 0.0  1 1.0  20 0.0  1 0 0  0
+7 0.0  1 1.0  95 0.0  1 0 0  0
+40 0.0  1 1.0  30 0.0  0 0 0  1
+60 0.0  2 1.0  90 0.0  0 0 0  1
+25 0.0  3 1.0  20 0.0  0 0 0  1
+100 0.0  1 1.0  50 0.0  0 0 0  1
+20 0.0  1 1.0  100 0.0  0 0 0  1
+140 0.0  1 1.0  12 0.0  0 0 0  1
+12 0.0  1 1.0  45 0.0  0 1 0  1
+85 0.0  2 1.0  6 0.0  0 1 0  1
+1 1.0  7 0.0  8 0.0  1 0 0  0
+2 1.0  30 0.0  66 0.0  1 0 0  0
+6 1.0  45 0.0  52 0.0  1 0 0  0
+3 1.0  60 0.0  70 0.0  1 0 0  0
+14 0.8  9 0.0  40 0.0  1 0 0  0
+4 1.0  25 0.0  30 0.0  0 1 0  1
+3 1.0  120 0.0  90 0.0  0 1 0  1
+6 1.0  85 0.0  40 0.0  0 1 0  1
+5 1.0  100 0.0  33 0.0  1 1 0  0
+2 1.0  30 0.0  45 0.0  1 1 0  0
+2 1.0  9 0.0  14 0.0  0 1 0  1
 9 0.0  12 0.0  60 0.0  0 1 1  1
 2 0.0  1 1.0  60 0.0  0 1 1  1
 6 0.0  70 0.0  80 0.0  0 1 1  1
@@ -98,10 +136,43 @@ LABELLED = """
 8 0.0  1 1.0  1 1.0  0 1 0  1
 2 0.0  4 0.0  3 0.0  0 1 0  1
 22 0.8  5 0.0  6 0.0  0 1 0  1
-5 1.0  3 1.0  4 1.0  0 1 0  1
+5 1.0  3 1.0  4 1.0  0 1 0  0
+2 1.0  3 1.0  2 1.0  0 1 0  0
+1 1.0  1 1.0  1 1.0  1 0 0  0
+2 1.0  1 1.0  2 1.0  1 1 0  0
+1 1.0  0 0.0  1 1.0  1 0 0  0
+3 1.0  2 1.0  1 1.0  1 0 0  0
+1 1.0  2 1.0  1 1.0  0 0 0  0
+4 1.0  3 1.0  3 1.0  1 0 0  0
+1 1.0  1 1.0  7 0.0  1 0 0  0
+1 1.0  1 1.0  12 0.0  1 0 0  0
 14 0.0  8 0.0  0 0.0  0 1 0  1
 3 0.0  11 0.0  2 0.0  0 1 1  1
 1 0.0  2 1.0  1 0.0  0 1 1  1
+40 0.0  90 0.0  120 0.0  0 1 0  1
+10 0.0  100 0.0  100 0.0  0 1 0  1
+5 0.0  30 0.0  150 0.0  0 1 0  1
+150 0.0  40 0.0  90 0.0  0 1 0  1
+20 0.0  200 0.0  95 0.0  0 1 0  1
+100 0.1  150 0.0  200 0.0  0 1 0  1
+3 0.0  20 0.0  110 0.0  0 1 0  1
+1 0.0  12 0.0  160 0.0  0 1 0  1
+60 0.0  5 0.0  84 0.0  0 1 0  1
+14 0.0  8 0.0  240 0.0  0 1 0  1
+8 0.0  2 0.0  300 0.0  0 1 1  1
+100 0.0  150 0.0  200 0.0  0 0 0  1
+30 0.0  90 0.0  110 0.0  0 0 0  1
+18 0.0  40 0.0  220 0.0  0 0 0  1
+70 0.0  11 0.0  95 0.0  0 0 0  1
+9 0.0  3 0.0  130 0.0  0 0 1  1
+12 0.3  60 0.0  90 0.1  0 1 0  1
+25 0.4  100 0.0  140 0.0  0 1 0  1
+2 0.0  8 0.0  4 0.0  0 1 0  1
+6 0.0  4 0.0  2 0.0  0 1 0  1
+1 0.0  3 0.0  1 0.0  0 1 0  1
+7 0.0  1 1.0  9 0.0  0 1 1  1
+33 0.0  80 0.0  1 1.0  0 1 0  1
+16 0.0  28 0.0  7 0.0  0 1 0  1
 80 0.0  60 0.0  75 0.0  0 0 0  1
 45 0.1  60 0.0  30 0.0  0 0 0  1
 25 0.0  60 0.0  40 0.0  0 0 0  1
@@ -157,8 +228,11 @@ def _says(name: str, rest: str) -> tuple[bool, bool]:
             value, key = "".join(values), key.lower()
             if key in ("class", "id"):
                 parts = {p.lower() for p in _PARTS.findall(value)}
-                outside |= not parts.isdisjoint(OUTSIDE_NAMES)
-                inside |= not parts.isdisjoint(INSIDE_NAMES)
+                if name in INSIDE:  # `post share-story` is an article still, `ad` and `comment-item` are not
+                    outside |= not parts.isdisjoint(READERS) or not OUTSIDE_NAMES.isdisjoint(value.lower().split())
+                else:
+                    outside |= not parts.isdisjoint(OUTSIDE_NAMES)
+                    inside |= not parts.isdisjoint(INSIDE_NAMES)
             elif key == "role":
                 outside |= value.lower() in OUTSIDE_ROLES
                 inside |= value.lower() in ("main", "article")
@@ -245,12 +319,15 @@ def features(blocks: list[tuple[str, int, int, bool, bool, bool]]) -> np.ndarray
 # A tree is a label or (column, threshold, tree up to it, tree above it).
 
 
-def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 6) -> object:
-    """A decision tree by the largest fall of Gini impurity; ties go to the first column and threshold."""
+def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 7, plain: int = PLAIN) -> object:
+    """A decision tree by the largest fall of Gini impurity; ties go to the first column and threshold.
+
+    In the first `plain` levels only the first COUNTS columns are tried.
+    """
     if depth == 0 or len(set(y.tolist())) < 2:
         return bool(round(float(y.mean()))) if len(y) else False
     best = None
-    for column in range(x.shape[1]):
+    for column in range(COUNTS if plain else x.shape[1]):
         values = np.unique(x[:, column])
         for threshold in ((values[1:] + values[:-1]) / 2).tolist():
             low = x[:, column] <= threshold
@@ -258,10 +335,20 @@ def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 6) -> object:
             if best is None or impurity < best[0] - 1e-12:
                 best = (impurity, column, threshold)
     if best is None:
-        return bool(round(float(y.mean())))
+        return fit_tree(x, y, depth, 0) if plain else bool(round(float(y.mean())))
     _, column, threshold = best
     low = x[:, column] <= threshold
-    return column, threshold, fit_tree(x[low], y[low], depth - 1), fit_tree(x[~low], y[~low], depth - 1)
+    return column, threshold, fit_tree(x[low], y[low], depth - 1, max(0, plain - 1)), fit_tree(x[~low], y[~low], depth - 1, max(0, plain - 1))
+
+
+def decided(tree: object, row: list[float]) -> int:
+    """The last column that the tree asks for a row: below COUNTS, counts and shares alone decide it."""
+    marks = column = 0
+    while not isinstance(tree, bool):
+        column, threshold, low, high = tree
+        marks = max(marks, column if column >= COUNTS else 0)
+        tree = low if row[column] <= threshold else high
+    return marks or column
 
 
 def classify(tree: object, row: list[float]) -> bool:
@@ -284,7 +371,7 @@ def main_text(page: str, tree: object) -> str:
 def extract(df: DataFrame, html_col: str = "html") -> DataFrame:
     """df without its html, with text (empty if none) and n_chars (its code points)."""
     others = [c for c in df.columns if c not in (html_col, "text", "n_chars")]
-    rows = common.small_batches(df).select(*others, F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("_html"))
+    rows = common.small_batches(df).select(*others, F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias(common.fresh(df, "_html")))
     tree = fit_tree(*labelled())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,6 +12,7 @@ lines are suspected, and results stay exact. The repeated keys are broadcast whi
 
 Texts: null and empty texts are one empty line. Keys shorter than `min_chars` are never dropped.
 Each row counts as a document, repeated rows too; every row gives a row; an empty table an empty one.
+Existing columns n_lines and n_dropped are replaced; others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -214,7 +215,8 @@ def dedup(
 
         return rows.mapInArrow(drop, schema)
     # More keys than a broadcast should hold: find the lines' fates by joins. Rows alike in id and text share them.
-    named = rows.withColumn("_row", F.md5(F.concat_ws("\x00", F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")))))
+    row_name, gone_name = common.fresh(df, "_row"), common.fresh(df, "_gone")
+    named = rows.withColumn(row_name, F.md5(F.concat_ws("\x00", F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")))))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,11 +224,11 @@ def dedup(
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], batch.column(1).type), pa.array([x[2] for x in out], pa.int32()), pa.array([x[3] for x in out], pa.binary())], ["_row", "doc", "line", "key"])
 
     kind = rows.schema[id_col].dataType.simpleString()
-    lines = named.select("_row", id_col, text_col).mapInArrow(listed, f"_row string, doc {kind}, line int, key binary").join(found, "key")
+    lines = named.select(F.col(row_name).alias("_row"), id_col, text_col).mapInArrow(listed, f"_row string, doc {kind}, line int, key binary").join(found, "key")
     if keep_first:
         lines = lines.where(~(F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("line") == F.col("first_line"))))
-    fates = lines.groupBy("_row").agg(F.collect_set("line").alias("_gone"))
-    named = named.join(fates, "_row", "left").select(*others, "_gone")
+    fates = lines.groupBy(F.col("_row").alias(row_name)).agg(F.collect_set("line").alias(gone_name))
+    named = named.join(fates, row_name, "left").select(*others, gone_name)
 
     def drop_listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
