@@ -326,11 +326,32 @@ def test_mix(spark, docs, texts):
         assert abs(sum(r["taken"] for r in found) - found[0]["target"]) <= max(r["size"] for r in found)
     again = {r["doc_id"]: (r["taken"], tuple(r["positions"])) for r in curriculum_mix.mix(docs.repartition(7)).collect()}
     assert again == {r["doc_id"]: (r["taken"], tuple(r["positions"])) for r in rows}
-    order = curriculum_mix.training_order(docs, curriculum_mix.mix(docs))
-    assert order.columns == docs.columns and order.count() == sum(len(r["positions"]) for r in rows)
+    for most in (1000, 0):  # totals joined by broadcast and by shuffle
+        order = curriculum_mix.training_order(docs, broadcast_rows=most)
+        taken = {r["doc_id"]: r["count"] for r in order.groupBy("doc_id").count().collect()}
+        assert order.columns == docs.columns and taken == {r["doc_id"]: len(r["positions"]) for r in rows if r["positions"]}
     assert curriculum_mix.mix(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_training_order_follows_positions_and_takes_any_columns(spark):
+    from tidemark.llm import curriculum_mix
+
+    rng = random.Random(2)
+    rows = [(k, prose(rng, rng.randint(0, 12)) or None, f"s{k % 4}" if k % 5 else None, k, "c") for k in range(600)] + [(None, "no id here", "s1", 0, "c"), (7, "again", "s3", 7, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _position long, row string")
+    got = curriculum_mix.training_order(df).collect()
+    assert got[0].__fields__ == df.columns and {r["row"] for r in got} == {"c"}
+    first = {}
+    for n, r in enumerate(got):
+        first.setdefault(r["doc_id"], n)
+    exact = {r["doc_id"]: r["positions"][0] for r in curriculum_mix.mix(df).collect() if r["positions"] and r["doc_id"] not in (None, 7)}
+    order = sorted(exact, key=exact.get)
+    far = [abs(first[d] - n * len(got) / len(order)) for n, d in enumerate(order)]
+    assert sum(far) / len(far) < len(got) / 6
+    empty = spark.createDataFrame([], EMPTY)
+    assert curriculum_mix.training_order(empty).count() == 0
+
+
 def test_positions_follow_the_schedule(spark):
     from pyspark.sql import functions as F
 

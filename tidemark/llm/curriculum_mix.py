@@ -35,6 +35,11 @@ EVEN: Schedule = ((0.0, 1.0), (1.0, 1.0))
 LATE: Schedule = ((0.0, 0.5), (0.6, 1.0), (1.0, 1.75))
 
 
+#: Buckets of a source's order whose totals training_order goes by (a power of 16), and rows of totals that are broadcast, at most (some 100 bytes each).
+BUCKETS = 1 << 12
+BROADCAST_ROWS = 200_000
+
+
 def position_of(share: Column, schedule: Schedule) -> Column:
     """The time by which the share (0..1) of a schedule's whole demand has come: its integral, inverted."""
     areas = [(t1 - t0) * (w0 + w1) / 2 for (t0, w0), (t1, w1) in zip(schedule, schedule[1:])]
@@ -148,11 +153,71 @@ def by_position(mixed: DataFrame) -> DataFrame:
     return first.repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id").drop("first_position")
 
 
-def training_order(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of df as training sees them: one for each position, range-sorted; df's columns.
+def training_order(
+    df: DataFrame,
+    weights: Sequence[int] = (1, 2, 3),
+    most: int = 3,
+    schedules: Sequence[Schedule] = (EARLY, EVEN, LATE),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """The rows of df as training sees them: one for each time that mix takes them, range-sorted by position; df's columns.
 
-    Ids should be unique; of rows that repeat an id, each is taken at every position of the id.
+    Whole rows are shuffled once, for the sort. What they need to know comes from totals of each source's
+    BUCKETS buckets of the order, joined by broadcast while these are at most broadcast_rows. A row is taken as
+    often as mix says, exactly: only the bucket where a source's last round ends is looked at row by row. Its place
+    inside its own bucket is where its hash lies there, so that positions are right to a bucket's words.
+
+    Ids should be unique; rows that repeat an id are taken equally often. Columns may have any name.
     """
-    taken = mixed.where(F.size("positions") > 0).select(F.col("doc_id").alias("_mixed_id"), F.explode("positions").alias("_position")).distinct()
-    rows = df.join(taken, F.col(id_col).eqNullSafe(F.col("_mixed_id")))
-    return rows.repartitionByRange("_position", id_col).sortWithinPartitions("_position", id_col).select(*df.columns)
+    order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    source = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col).cast("string")))
+    text = F.col(text_col).cast("string")
+    digits = len(f"{BUCKETS - 1:x}")
+    sized = df.select(
+        F.col(id_col).alias("doc_id"),
+        source.alias("source_key"),
+        order.alias("order"),
+        F.conv(F.substring(order, 1, digits), 16, 10).cast("int").alias("bucket"),
+        F.coalesce(F.regexp_count(text, F.lit(common.WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
+    )
+    sized = common.staged(sized, "order-sizes")
+    buckets = sized.groupBy("source_key", "bucket").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
+    so_far = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = common.staged(buckets.withColumn("offset", F.coalesce(F.sum("words").over(so_far), F.lit(0))), "order-buckets")
+    aims = targets(buckets.groupBy("source_key").agg(F.sum("words").alias("source_size")), weights, most)
+    rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    aims = aims.withColumn("rounds", rounds).withColumn("over", F.col("target") - (F.col("rounds") * F.col("source_size")).cast("double"))
+    known = common.staged(buckets.join(aims, "source_key"), "order-aims")
+    last = known.where((F.col("offset") < F.col("over")) & (F.col("over") < F.col("offset") + F.col("words")))
+    inside = Window.partitionBy("source_key").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = sized.join(_bounded(last.select("source_key", "bucket", "offset", "over"), broadcast_rows), ["source_key", "bucket"])
+    rows = rows.withColumn("start", F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    out = rows.where((2 * F.col("start") + F.col("size")).cast("double") >= 2 * F.col("over"))
+    ends = out.groupBy("source_key").agg(F.min(F.struct("order", "doc_id")).alias("end"))
+    known = known.join(ends, "source_key", "left").withColumn("whole", F.col("offset") + F.col("words") <= F.col("over")).withColumn("part", (F.col("offset") < F.col("over")) & ~F.col("whole"))
+    known = common.staged(known.withColumnsRenamed({c: f"_{c}" for c in known.columns}), "order-known")
+
+    packed = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).alias("_doc"), source.alias("_source_key"), order.alias("_order"), F.coalesce(text.rlike(common.WORD_PATTERN), F.lit(False)).alias("_words_in"))
+    packed = packed.where("_words_in").withColumn("_bucket", F.conv(F.substring("_order", 1, digits), 16, 10).cast("int"))
+    packed = packed.join(_bounded(known, broadcast_rows), ["_source_key", "_bucket"])
+    here = F.struct(F.col("_order").alias("order"), F.col("_doc").alias("doc_id"))
+    again = F.col("_whole") | (F.col("_part") & F.coalesce(here < F.col("_end"), F.lit(True)))
+    copies = F.col("_rounds") + F.when(again, 1).otherwise(0)
+    fraction = F.conv(F.substring("_order", digits + 1, 7), 16, 10).cast("double") / float(1 << 28)
+    start = F.col("_offset") + fraction * F.col("_words")
+    packed = packed.withColumn("_copies", copies.cast("int")).where("_copies > 0").withColumn("_start", start).withColumn("_turn_of", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
+    share = (F.col("_turn_of") * F.col("_source_size") + F.col("_start")) / F.col("_target")
+    position = None
+    for turn in range(len(weights)):
+        at = position_of(share, schedules[turn % len(schedules)])
+        position = F.when(F.col("_turn") == turn, at) if position is None else position.when(F.col("_turn") == turn, at)
+    packed = packed.select("row", position.alias("position"), F.col("_doc").alias("doc"), F.col("_turn_of").alias("turn"))
+    return packed.repartitionByRange("position", "doc", "turn").sortWithinPartitions("position", "doc", "turn").select("row.*")
+
+
+def _bounded(rows: DataFrame, most: int) -> DataFrame:
+    """rows, to be broadcast if they are at most `most`."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
