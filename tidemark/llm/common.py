@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.session import shared_folder
@@ -29,6 +31,14 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def freeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; after each one's use Arrow gives back what it no longer needs, as workers live on."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, or the next one with more underscores that df has no column of (case does not tell columns apart)."""
     taken = {c.lower() for c in df.columns}

@@ -375,7 +375,7 @@ def extract(df: DataFrame, html_col: str = "html") -> DataFrame:
     tree = fit_tree(*labelled())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.freeing(batches):
             texts = [main_text(page, tree) for page in batch.column(len(others)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*others, "text", "n_chars"])
 

@@ -130,7 +130,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for whole in batches:
+        for whole in common.freeing(batches):
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 langs, scores = model.predict(batch.column(at_text))

@@ -71,7 +71,7 @@ def twice_filter(rows: DataFrame, segments: int, min_chars: int) -> DataFrame:
     """(segment, bits): the packed twice-seen bitmaps of the segments that have any."""
 
     def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.freeing(batches):
             seen = [np.frombuffer(b"".join(d), np.uint64)[::2] for t in _texts(batch.column(1)) if (d := {x for x in digests(t, min_chars) if x})]
             if not seen:
                 continue
@@ -156,7 +156,7 @@ def repeats(df: DataFrame, min_docs: int = 2, min_chars: int = 1, id_col: str =
 
     def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         suspects = shared.value
-        for batch in batches:
+        for batch in common.freeing(batches):
             row, line, keys = [], [], []
             for k, text in enumerate(_texts(batch.column(1))):
                 first: dict[bytes, int] = {}
@@ -207,7 +207,7 @@ def dedup(
 
         def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = shared.value
-            for batch in batches:
+            for batch in common.freeing(batches):
                 gone = []
                 for doc, text in zip(batch.column(at_id).to_pylist(), _texts(batch.column(at_text))):
                     gone.append([n for n, d in enumerate(digests(text or b"", min_chars)) if d in first and not (keep_first and first[d] == (doc, n))])

@@ -132,7 +132,7 @@ def signatures(docs: DataFrame, shingle: int, rows: int, bands: int) -> DataFram
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in common.freeing(batches):
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 flat, sizes = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), shingle)
@@ -177,7 +177,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in common.freeing(batches):
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 flat, sizes = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), shingle)
@@ -192,7 +192,7 @@ def wide_sketches(held: DataFrame) -> DataFrame:
     kind = held.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in common.freeing(batches):
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 each = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]

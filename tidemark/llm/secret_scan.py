@@ -236,7 +236,7 @@ def scan(df: DataFrame, rules: Sequence[Rule] = BASE + MORE, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _indexes.get(rules) or _indexes.setdefault(rules, TrigramIndex(rules))
-        for whole in batches:
+        for whole in common.freeing(batches):
             for at in range(0, whole.num_rows, SEGMENT):
                 batch = whole.slice(at, SEGMENT)
                 spans = [[{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in x] for x in index.spans(batch.column(1))]

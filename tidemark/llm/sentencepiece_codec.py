@@ -96,7 +96,8 @@ class MergeTable:
                     self.suffix[child] = self.goto[up].get(c, 0)
                     below.append(child)
             level = below
-        self.moves: list[dict[str, int]] = [dict(x) for x in self.goto]
+        self.moves: list[dict[str, int]] = [{}] * len(self.goto)  # one shared empty table until a node is visited
+        self.unvisited = self.moves[0]
 
     def move(self, node: int, c: str) -> int:
         up = node
@@ -104,6 +105,8 @@ class MergeTable:
             up = self.suffix[up]
         to = self.goto[up].get(c, 0)
         if c in self.known:
+            if self.moves[node] is self.unvisited:
+                self.moves[node] = {}
             self.moves[node][c] = to
         return to
 
@@ -327,11 +330,10 @@ def encode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = table_of(model)
-        for whole in batches:
+        for whole in common.freeing(batches):
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 yield pa.RecordBatch.from_arrays([batch.column(0), table.encode_many(batch.column(1))], ["doc_id", "ids"])
-            pa.default_memory_pool().release_unused()
 
     schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return rows.mapInArrow(run, schema)
@@ -345,7 +347,7 @@ def decode(df: DataFrame, model: bytes, ids_col: str = "ids") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = table_of(model)
-        for whole in batches:
+        for whole in common.freeing(batches):
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 texts = []

@@ -57,7 +57,7 @@ RATE = 1 / 16
 #: Words whose ids each worker keeps, at most, between two batches; then the more used half stays.
 KEPT = 400_000
 #: Bytes of text that are encoded together, about.
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 #: What order 2 and order 1 get at first, by their trust.
 EARLY = (0.0, 0.15, 0.4, 0.7)
 
@@ -481,7 +481,7 @@ _tokenizers: dict[int, WordIds] = {}
 def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about TOGETHER bytes."""
     held, size = [], 0
-    for batch in batches:
+    for batch in common.freeing(batches):
         pieces = max(1, batch.nbytes // TOGETHER)
         step = max(1, -(-batch.num_rows // pieces))
         for at in range(0, batch.num_rows, step):
@@ -489,8 +489,8 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append(piece)
             size += piece.nbytes
             if size >= TOGETHER:
-                yield pa.concat_batches(held)
-                held, size = [], 0
+                whole, held, size = pa.concat_batches(held), [], 0
+                yield whole
     if held:
         yield pa.concat_batches(held)
 
@@ -545,7 +545,7 @@ def read(frames: DataFrame) -> DataFrame:
         so_far += n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.freeing(batches):
             for part, before, payload in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 docs, lengths, ids = read_frame(payload)
                 ends = np.cumsum(lengths)
