@@ -265,7 +265,7 @@ def word_case(d: Domain) -> DataFrame:
     return rows.groupBy(F.lower("w").alias("word")).agg(F.count_if(F.col("w") != F.lower("w")).alias("capital"), F.count(F.lit(1)).alias("total")).where("total >= 5")
 
 
-@query("prj_09_hosts", "SELECT page_id, regexp_replace(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1), '^www[.]', ''), '^(feeds?|rss)[.]', '') AS host FROM pages")
+@query("prj_09_hosts", "SELECT page_id, regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1), '^(www|feeds?|rss)[.]', '') AS host FROM pages")
 def hosts(d: Domain) -> DataFrame:
     return d.raw("pages").select("page_id", text.feed_host(F.col("url")).alias("host"))
 
