@@ -55,7 +55,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     import public_tokenizers
 
     model = codec.read_model(public_tokenizers.path("piece_bpe_32k.model"))
-    return codec.decode(codec.encode(docs, model), model)
+    return codec.round_trip(docs, model)
 
 
 STAGES = [

@@ -22,7 +22,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm import sentencepiece_codec as codec
 
     model = codec.read_model(_tokenizer("piece_bpe_32k.model"))
-    rows = codec.decode(codec.encode(_table(spark, sf_dir, "documents"), model), model)
+    rows = codec.round_trip(_table(spark, sf_dir, "documents"), model)
     return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

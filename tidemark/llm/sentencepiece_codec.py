@@ -34,8 +34,8 @@ SPACE = "▁"
 #: Marks cuts inside a batch; texts that hold it take the plainer way.
 CUT = "\x1f"
 #: Words kept by each Python worker, in two generations.
-KEPT_WORDS = 100_000
-KEPT_PAIRS = 300_000
+KEPT_WORDS = 80_000
+KEPT_PAIRS = 250_000
 
 
 class MergeTable:
@@ -324,36 +324,47 @@ def read_model(path: str) -> bytes:
         return file.read()
 
 
-def encode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>): the ids of each row's whole text, without begin or end ids."""
+def _encoded(table: MergeTable, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (doc_id, text) as (doc_id, ids)."""
+    for whole in common.freeing(batches):
+        for at in range(0, whole.num_rows, 1024):
+            batch = whole.slice(at, 1024)
+            yield pa.RecordBatch.from_arrays([batch.column(0), table.encode_many(batch.column(1))], ["doc_id", "ids"])
+
+
+def _decoded(table: MergeTable, batches: Iterator[pa.RecordBatch], at_ids: int) -> Iterator[pa.RecordBatch]:
+    """Batches with the column decoded added."""
+    for whole in common.freeing(batches):
+        for at in range(0, whole.num_rows, 512):
+            batch = whole.slice(at, 512)
+            texts = []
+            for ids in batch.column(at_ids):
+                values = ids.values
+                texts.append(table.decode(values.to_numpy(zero_copy_only=False).tolist()) if values is not None else "")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+
+
+def _rows(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, T.StructType]:
     rows = common.small_batches(df).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return rows, T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = table_of(model)
-        for whole in common.freeing(batches):
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                yield pa.RecordBatch.from_arrays([batch.column(0), table.encode_many(batch.column(1))], ["doc_id", "ids"])
 
-    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return rows.mapInArrow(run, schema)
+def encode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids array<int>): the ids of each row's whole text, without begin or end ids."""
+    rows, schema = _rows(df, id_col, text_col)
+    return rows.mapInArrow(lambda batches: _encoded(table_of(model), batches), schema)
 
 
 def decode(df: DataFrame, model: bytes, ids_col: str = "ids") -> DataFrame:
-    """df with the column decoded: the text of the ids."""
+    """df with the column decoded (an existing one is replaced): the text of the ids; null ids give an empty text."""
     kept = [c for c in df.columns if c != "decoded"]
     rows = common.small_batches(df).select(*kept)
     at_ids = kept.index(ids_col)
+    return rows.mapInArrow(lambda batches: _decoded(table_of(model), batches, at_ids), T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = table_of(model)
-        for whole in common.freeing(batches):
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                texts = []
-                for ids in batch.column(at_ids):
-                    values = ids.values
-                    texts.append(table.decode(values.to_numpy(zero_copy_only=False).tolist()) if values is not None else "")
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
-
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
+def round_trip(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded): decode(encode(df)) in one Python worker a task instead of two."""
+    rows, schema = _rows(df, id_col, text_col)
+    schema = T.StructType([*schema.fields, T.StructField("decoded", T.StringType())])
+    return rows.mapInArrow(lambda batches: _decoded(table_of(model), _encoded(table_of(model), batches), 1), schema)
