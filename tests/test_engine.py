@@ -130,7 +130,7 @@ def test_phase_vectors(spark):
 
 
 def test_feeds_and_calendars(spark):
-    from tidemark.sources import feeds
+    from tidemark.sources import feeds, pages
 
     rss = "<rss><item><title>One &amp; two</title><link>http://x/1</link><pubDate>d</pubDate><description><![CDATA[<p>t</p>]]></description></item><item><title>no link</title></item></rss>"
     atom = '<feed><entry><title>A</title><link rel="self" href="http://x/s"/><link href="http://x/a"/><updated>u</updated></entry></feed>'
@@ -141,7 +141,7 @@ def test_feeds_and_calendars(spark):
     at = feeds.wall_clock(F.col("starts"), F.col("starts_zone"), "UTC").cast("string")
     assert rows(found.select("summary", at.alias("at")), "summary", "at") == [("Day", "2026-10-17 00:00:00"), ("Long, name", "2026-10-16 19:00:00")]
     page = '<script type="application/ld+json">{"@type":"Event","name":"E","startDate":"2026","author":{"@type":"Person","name":"P"}}</script>'
-    declared = feeds.linked_data(spark.createDataFrame([(page,), (None,)], "html string")).collect()
+    declared = pages.with_declared(spark.createDataFrame([(page,), (None,)], "html string")).collect()
     assert [[x["name"] for x in r["declared"]] for r in declared] == [["E"], []]
 
 

@@ -61,12 +61,12 @@ def keyset_predicate(d: Domain) -> DataFrame:
     return d.links().where(key < cursor).select("link_id")
 
 
-@query("join_19_marked_branches", "SELECT link_id, list_sort(list(DISTINCT mark)) AS marks FROM (SELECT link_id, 'topic' AS mark FROM labelled WHERE starts_with(topic, 'PROMO') UNION ALL SELECT link_id, 'entity' FROM mentions WHERE entity_id = 9 UNION ALL SELECT link_id, 'down' FROM votes WHERE value = -1 AND voter < 30) GROUP BY 1", lists="marks")
+@query("join_19_marked_branches", "SELECT link_id, list_sort(list(DISTINCT mark)) AS marks FROM (SELECT link_id, 'topic' AS mark FROM labelled WHERE starts_with(topic, 'PROMO') UNION ALL SELECT link_id, 'entity' FROM mentions WHERE entity_id = 9 UNION ALL SELECT link_id, 'down' FROM votes WHERE value = -1) GROUP BY 1", lists="marks")
 def marked_branches(d: Domain) -> DataFrame:
     branches = [
         d.labels().where(F.col("topic").startswith("PROMO")).select("link_id", F.lit("topic").alias("mark")),
         d.mentions().where("entity_id = 9").select("link_id", F.lit("entity").alias("mark")),
-        d.votes().where("value = -1 AND voter < 30").select("link_id", F.lit("down").alias("mark")),
+        d.votes().where("value = -1").select("link_id", F.lit("down").alias("mark")),
     ]
     rows = branches[0].unionByName(branches[1]).unionByName(branches[2])
     return rows.groupBy("link_id").agg(F.sort_array(F.collect_set("mark")).alias("marks"))

@@ -64,13 +64,13 @@ LOG = f"""{RANGES}, log AS (SELECT 0 AS filter, link_id, entity_id FROM mentions
 UNION ALL SELECT 1, link_id, NULL FROM labelled WHERE topic = 'ECONOMY' OR starts_with(topic, 'ECONOMY.')
 UNION ALL SELECT 1, link_id, NULL FROM ranges, (SELECT TIMESTAMP '1999-06-04 18:00:00' AS a, TIMESTAMP '1999-06-05 04:00:00' AS b) WHERE {OVERLAP}),
 passed AS (SELECT link_id, list_sort(list(DISTINCT entity_id) FILTER (entity_id IS NOT NULL)) AS entity_ids FROM log GROUP BY 1 HAVING count(DISTINCT filter) = 2),
-seen AS (SELECT DISTINCT floor(value)::INTEGER AS link_id FROM events WHERE user_id < 20 AND event_type IN ('view', 'click') AND ts <= TIMESTAMP '2024-01-20'),
+seen AS (SELECT DISTINCT floor(value)::INTEGER AS link_id FROM events WHERE user_id = 7 AND event_type IN ('view', 'click') AND ts <= TIMESTAMP '2024-01-20'),
 listed AS (SELECT p.link_id, entity_ids, created_at, p.link_id IN (SELECT link_id FROM seen) AS seen FROM passed p JOIN links USING (link_id))"""
 
 
 def seen_links(d: Domain) -> DataFrame:
-    """What the readers below 20 saw: the whole part of an event's value names the link."""
-    rows = d.raw("events").where("user_id < 20 AND event_type IN ('view', 'click')")
+    """What one reader saw: the whole part of an event's value names the link."""
+    rows = d.raw("events").where("user_id = 7 AND event_type IN ('view', 'click')")
     return filters.seen_by(0, datetime(2024, 1, 20), rows.select(F.floor("value").cast("long").alias("link_id"), F.lit(0).alias("viewer"), F.col("ts").alias("at")))
 
 
@@ -96,9 +96,9 @@ def all_filters(d: Domain) -> DataFrame:
     return filters.passing(filters.matches(FILTERS, d.mentions(), d.entities(), d.labels(), ranges(d)), 2).select("link_id")
 
 
-@query("join_05_semi_join", "SELECT link_id, title FROM links WHERE EXISTS (SELECT 1 FROM votes v WHERE v.link_id = links.link_id AND value = -1 AND voter < 50)")
+@query("join_05_semi_join", "SELECT link_id, title FROM links WHERE EXISTS (SELECT 1 FROM votes v WHERE v.link_id = links.link_id AND value = -1)")
 def semi_join(d: Domain) -> DataFrame:
-    down = d.votes().where("value = -1 AND voter < 50")
+    down = d.votes().where("value = -1")
     return d.links().join(down, "link_id", "left_semi").select("link_id", "title")
 
 
@@ -127,7 +127,7 @@ def feed_top(d: Domain) -> DataFrame:
     return rows.orderBy(F.desc("net"), F.desc("created_at"), F.desc("link_id")).limit(50).select("link_id", "net")
 
 
-@query("q_03_feed_latest", "WITH seen AS (SELECT DISTINCT floor(value)::INTEGER AS link_id FROM events WHERE user_id < 20 AND event_type IN ('view', 'click') AND ts <= TIMESTAMP '2024-01-20') SELECT link_id, link_id IN (SELECT link_id FROM seen) AS seen FROM links ORDER BY seen, created_at DESC, link_id DESC LIMIT 80")
+@query("q_03_feed_latest", "WITH seen AS (SELECT DISTINCT floor(value)::INTEGER AS link_id FROM events WHERE user_id = 7 AND event_type IN ('view', 'click') AND ts <= TIMESTAMP '2024-01-20') SELECT link_id, link_id IN (SELECT link_id FROM seen) AS seen FROM links ORDER BY seen, created_at DESC, link_id DESC LIMIT 80")
 def feed_latest(d: Domain) -> DataFrame:
     rows = d.links().join(seen_links(d).withColumn("seen", F.lit(True)), "link_id", "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
     return rows.orderBy("seen", F.desc("created_at"), F.desc("link_id")).limit(80).select("link_id", "seen")

@@ -32,21 +32,33 @@ def sliding_windows(d: Domain) -> DataFrame:
     'SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k',
 )
 def session_windows(d: Domain) -> DataFrame:
-    rows = events.sessions(d.raw("events").withColumn("ts", F.col("ts").cast("timestamp")))
-    return rows.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")), "n")
+    rows = events.finished(events.sessions(stream(d)), "complete")
+    return rows.select("user_id", *(F.to_timestamp_ntz(F.col(c).cast("string")).alias(c) for c in ("start", "end")), "n")
 
 
-@query("str_08_late_dedup", "SELECT user_id, event_type, min(event_id) AS event_id FROM events WHERE event_id < 2000 GROUP BY user_id, event_type, event_id")
+def thirds(d: Domain) -> list[DataFrame]:
+    """The events of the first ten days, of the next ten, and of the rest."""
+    rows, day = d.raw("events"), F.dayofmonth("ts")
+    return [rows.where(day <= 10), rows.where((day > 10) & (day <= 20)), rows.where(day > 20)]
+
+
+@query("str_08_late_dedup", "SELECT user_id, event_type, event_id FROM events")
 def late_dedup(d: Domain) -> DataFrame:
-    rows = stream(d).where("event_id < 2000")
-    twice = events.finished(events.first_seen(rows.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))), ["event_id"]))
-    return twice.select("user_id", "event_type", "event_id")
+    """Every event comes twice; with the last third come copies of the first under new ids, which are too late and are dropped."""
+    one, two, three = thirds(d)
+    late = one.withColumn("event_id", F.col("event_id") + 1_000_000_000)
+    parts = [x.union(x) for x in (one, two, three)]
+    rows = events.staged_stream(d.spark, [*parts, late])
+    return events.finished(events.first_seen(rows, ["event_id"])).select("user_id", "event_type", "event_id")
 
 
 @query("str_04_retractions", "SELECT event_type, (count(*) - count(*) FILTER (event_id % 5 = 0))::BIGINT AS n FROM events GROUP BY 1")
 def retractions(d: Domain) -> DataFrame:
-    signs = F.when(F.col("event_id") % 5 == 0, F.array(F.lit(1), F.lit(-1))).otherwise(F.array(F.lit(1)))
-    return events.finished(events.retracting_counts(stream(d).withColumn("sign", F.explode(signs)), "event_type"), "complete")
+    """Every fifth event is taken back by a row of a later batch; those carry a negative id."""
+    rows = d.raw("events")
+    back = rows.where("event_id % 5 = 0").withColumn("event_id", -F.col("event_id") - 1)
+    changes = events.staged_stream(d.spark, [rows, back]).withColumn("sign", F.when(F.col("event_id") < 0, -1).otherwise(1))
+    return events.finished(events.retracting_counts(changes, "event_type"), "complete")
 
 
 @query("str_23_keyed_state", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, count(*) AS n FROM events GROUP BY 1")

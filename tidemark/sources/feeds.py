@@ -115,39 +115,3 @@ def first_listing(events: DataFrame, url: str, order: str) -> DataFrame:
     from tidemark.operators.hierarchy import first_per_group
 
     return first_per_group(events, [url], [order]).drop("rank")
-
-
-def linked_data(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """pages with `declared`: the types and names of the objects in JSON-LD scripts, authors and publishers left out."""
-
-    @F.pandas_udf("array<struct<type:string,name:string,start:string>>")
-    def read(column: pd.Series) -> pd.Series:
-        return column.map(lambda page: list(_declared(page or "")))
-
-    return pages.withColumn("declared", read(html_col))
-
-
-def _declared(page: str) -> Iterator[dict[str, str]]:
-    for script in re.findall(r"""<script\b[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script""", page, re.S | re.I):
-        try:
-            todo = [json.loads(script)]
-        except ValueError:
-            continue
-        while todo:
-            node = todo.pop(0)
-            if isinstance(node, list):
-                todo = node + todo
-            elif isinstance(node, dict):
-                kind = node.get("@type")
-                if kind and isinstance(node.get("name"), str):
-                    yield {"type": kind if isinstance(kind, str) else ",".join(map(str, kind)), "name": node["name"], "start": str(node.get("startDate", ""))}
-                todo = [v for k, v in node.items() if k not in ("author", "publisher")] + todo
-
-
-def statuses(raw: DataFrame) -> DataFrame:
-    """(url, title) of social posts as JSON strings (value): the card's url and title, else the post's own."""
-    schema = "url string, content string, account struct<acct:string>, card struct<url:string,title:string>"
-    rows = raw.select(F.from_json("value", schema).alias("s"))
-    text = F.trim(F.regexp_replace(F.regexp_replace("s.content", "<[^>]*>", " "), r"\s+", " "))
-    title = F.coalesce(F.nullif("s.card.title", F.lit("")), F.nullif(F.left(text, F.lit(141)), F.lit("")), F.concat(F.lit("Post by "), "s.account.acct"))
-    return rows.select(F.coalesce("s.card.url", "s.url").alias("url"), title.alias("title"))

@@ -34,6 +34,14 @@ def read_events(spark: SparkSession, folder: str, pattern: str = "events.parquet
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def staged_stream(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
+    """A stream over tables written one after the other into a folder of the shared folder: files in the order of the parts."""
+    folder = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    for part in parts:
+        part.select(*(F.col(f.name).cast(f.dataType) for f in EVENTS)).write.mode("append").parquet(folder)
+    return read_events(spark, folder, "*.parquet")
+
+
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(start, event_type, n, total) of tumbling windows."""
     rows = events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type")
