@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import shared_folder, staged
+
 
 def noisy_or(p: Column, most: float = 0.999) -> Column:
     """The probability that at least one piece of evidence holds; p is cut so that the logarithm is finite."""
@@ -30,10 +32,12 @@ def sum_where(condition: Column, value: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, value)), F.lit(0.0))
 
 
-def top_labels(weight: str, name: str, k: int) -> Column:
-    """Names by weight descending, then name, the first k."""
-    rows = F.array_sort(F.collect_list(F.struct((-F.col(weight)).alias("w"), F.col(name).alias("name"))))
-    return F.transform(F.slice(rows, 1, k), lambda x: x["name"])
+def top_labels(df: DataFrame, key: str, weight: str, name: str, k: int) -> DataFrame:
+    """(key, names): each key's names by weight descending, then name; only the first k of a group are ever gathered."""
+    order = Window.partitionBy(key).orderBy(F.desc(weight), name)
+    first = df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
+    names = F.transform(F.array_sort(F.collect_list(F.struct("_n", F.col(name).alias("name")))), lambda x: x["name"])
+    return first.groupBy(key).agg(names.alias("names"))
 
 
 def set_of(value: Column) -> Column:
@@ -70,9 +74,7 @@ def clusters(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60
     """
     spark = edges.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     ends = edges.select(F.col(a).alias("id"), F.col(b).alias("other")).union(edges.select(b, a)).distinct().checkpoint()
     labels = ends.groupBy("id").agg(F.min("other").alias("other")).select("id", F.least("id", "other").alias("cluster")).checkpoint()
     for _ in range(most_rounds):
@@ -84,3 +86,20 @@ def clusters(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60
             return following
         labels = following
     raise RuntimeError(f"no convergence in {most_rounds} rounds")
+
+
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """df with running numbers from 1 in the order of a unique column: a range sort, then each partition's offset.
+
+    The numbers of rows by partition are all that reaches the driver.
+    """
+    rows = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
+    rows = rows.withColumn("_row", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33))
+    rows = staged(rows, "numbered")
+    totals = sorted((r["_part"], r["n"]) for r in rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets, so_far = [], 0
+    for part, n in totals:
+        offsets.append((part, so_far))
+        so_far += n
+    places = df.sparkSession.createDataFrame(offsets, "_part int, _offset long")
+    return rows.join(F.broadcast(places), "_part").withColumn(name, F.col("_offset") + F.col("_row") + 1).drop("_part", "_row", "_offset")  # a row for each partition

@@ -29,6 +29,22 @@ class Sense:
             raise ValueError("a period ends after it starts")
 
 
+#: What a filter may be given by: its sense, and the named times.
+KEYS = ("entity", "kind", "topic", "period", "time")
+
+
+def read_sense(given: dict, at: datetime) -> Sense:
+    """The sense of a filter's arguments; a named time is resolved at a moment. Errors have fixed messages."""
+    if len(given) != 1 or next(iter(given)) not in KEYS:
+        raise ValueError("exactly one of entity, kind, topic and period")
+    key, value = next(iter(given.items()))
+    if key != "time":
+        return Sense(**{key: value})
+    if value not in intervals.PERIODS:
+        raise ValueError(f"unknown time: {value}")
+    return Sense(period=intervals.PERIODS[value].interval(at))
+
+
 def checked(filters: list[list[Sense]]) -> list[list[Sense]]:
     if not 1 <= len(filters) <= MOST_FILTERS:
         raise ValueError(f"1 to {MOST_FILTERS} filters are possible")

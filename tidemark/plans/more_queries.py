@@ -36,11 +36,6 @@ def link_source(d: Domain) -> DataFrame:
     return sources_of.link_sources(links, sources)
 
 
-@query("q_35_mark_read", "SELECT count(*) AS n FROM conversations WHERE turn > 0 AND conv_id IN (1, 2, 3, 5) AND role = 'assistant'")
-def mark_read(d: Domain) -> DataFrame:
-    return d.raw("conversations").where(F.col("conv_id").isin(1, 2, 3, 5) & (F.col("turn") > 0) & (F.col("role") == "assistant")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("q_36_proposal_checks", "SELECT suggested_by, count(*) AS n_open FROM suggestions WHERE topic IN (SELECT DISTINCT array_to_string(string_split(topic, '.')[1:2], '.') FROM labelled UNION SELECT 'ECONOMY.Own') GROUP BY 1 HAVING count(*) > 1")
 def proposal_checks(d: Domain) -> DataFrame:
     inner = d.labels().select(hierarchy.parent(F.col("topic")).alias("topic")).union(d.spark.createDataFrame([("ECONOMY.Own",)], "topic string")).distinct()

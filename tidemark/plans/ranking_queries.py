@@ -219,12 +219,13 @@ def property_summary(d: Domain) -> DataFrame:
 @query("agg_09_ordered_names", "SELECT link_id, list(name ORDER BY p DESC, name) AS names FROM mentions JOIN entities USING (entity_id) WHERE in_title GROUP BY 1", lists="names")
 def ordered_names(d: Domain) -> DataFrame:
     rows = d.mentions().where("in_title").join(d.entities(), "entity_id")
-    return rows.groupBy("link_id").agg(aggregates.top_labels("p", "name", 1_000_000).alias("names"))
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("w"), "name")))
+    return rows.groupBy("link_id").agg(F.transform(listed, lambda x: x["name"]).alias("names"))
 
 
 @query("prj_24_top_labels", "SELECT link_id, list(name ORDER BY p DESC, name)[1:3] AS names FROM mentions JOIN entities USING (entity_id) GROUP BY 1", lists="names")
 def top_labels(d: Domain) -> DataFrame:
-    return d.mentions().join(d.entities(), "entity_id").groupBy("link_id").agg(aggregates.top_labels("p", "name", 3).alias("names"))
+    return aggregates.top_labels(d.mentions().join(d.entities(), "entity_id"), "link_id", "p", "name", 3)
 
 
 @query("agg_10_distinct_list", "SELECT link_id, list_sort(list(DISTINCT kind_path)) AS kinds FROM mentions JOIN entities USING (entity_id) GROUP BY 1", lists="kinds")
@@ -248,11 +249,6 @@ def count_with_zero(d: Domain) -> DataFrame:
     return d.raw("customer").select(F.col("c_custkey").alias("voter")).join(down, "voter", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-@query("agg_18_unique_value", "SELECT p_name AS name, min(p_type) AS kind FROM part GROUP BY 1 HAVING count(DISTINCT p_type) = 1")
-def unique_value(d: Domain) -> DataFrame:
-    return aggregates.unique_value(d.raw("part").select(F.col("p_name").alias("name"), F.col("p_type").alias("kind")), "name", "kind")
-
-
 @query("agg_19_watermarks", "SELECT (SELECT coalesce(max(seq), 0) FROM evidence) AS evidence, (SELECT coalesce(max(event_id), 0) FROM events) AS events, (SELECT coalesce(max(o_orderkey), 0) FROM orders) AS orders")
 def watermarks(d: Domain) -> DataFrame:
     tops = [d.evidence().agg(F.coalesce(F.max("seq"), F.lit(0)).alias("evidence")), d.raw("events").agg(F.coalesce(F.max("event_id"), F.lit(0)).alias("events")), d.raw("orders").agg(F.coalesce(F.max("o_orderkey"), F.lit(0)).alias("orders"))]

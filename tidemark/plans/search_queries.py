@@ -178,18 +178,6 @@ def trigram_similarity(d: Domain) -> DataFrame:
     return search.similar(names, other, "name", "text", "other", "text").select("name", "other", F.round("similarity", 9).alias("similarity"))
 
 
-@query(
-    "q_13_entity_candidates",
-    f"WITH g AS (SELECT link_id, title, created_at, list_transform([title], {GRAMS})[1] AS grams, list_transform(['smal rings'], {GRAMS})[1] AS want FROM links), "
-    "s AS (SELECT title, min(created_at) AS first, max(len(list_intersect(grams, want)) / (len(grams) + len(want) - len(list_intersect(grams, want)))) AS sim FROM g GROUP BY 1) SELECT title, round(sim, 9) AS similarity FROM s WHERE sim >= 0.3 ORDER BY sim DESC, first, title LIMIT 8",
-)
-def entity_candidates(d: Domain) -> DataFrame:
-    names = d.links().groupBy("title").agg(F.min("created_at").alias("first"))
-    want = search.trigrams(F.lit("smal rings"))
-    rows = names.withColumn("sim", search.similarity(search.trigrams(F.col("title")), want)).where("sim >= 0.3")
-    return rows.orderBy(F.desc("sim"), "first", "title").limit(8).select("title", F.round("sim", 9).alias("similarity"))
-
-
 @query(
     "q_14_match_names",
     "WITH w AS (SELECT link_id, title, list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda x: x <> '') AS ws FROM links), h AS (SELECT link_id, title, len(ws) AS n, len(list_filter(ws, lambda x: x IN ('rings', 'ringss', 'ringses', 'ring') OR starts_with(x, 'sma'))) AS hits FROM w) "
