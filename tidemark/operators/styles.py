@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The kinds of values that a declaration may have.
@@ -25,6 +25,33 @@ class Declaration:
             raise ValueError(f"bad name {self.name}")
 
 
+def compiled(declared: dict[str, str]) -> dict:
+    """The closed JSON Schema of a style type: its names and kinds, nothing else allowed."""
+    rows = [Declaration(name, kind) for name, kind in declared.items()]
+    return {"type": "object", "additionalProperties": False, "properties": {d.name: {"type": "string", "pattern": KINDS[d.kind]} for d in rows}}
+
+
+def changed_schemas(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(type_id) of types (type_id, schema) whose schema is no longer what it was: schemas are immutable."""
+    return old.alias("o").join(new.alias("n"), "type_id").where("o.schema <> n.schema").select("type_id")
+
+
+def matches_schema(value: Column, schema: dict) -> Column:
+    """Whether a JSON object has only a closed schema's names, each with a value of its pattern; anything else fails."""
+    names = F.json_object_keys(value)
+    ok = names.isNotNull() & F.forall(names, lambda n: n.isin(*schema["properties"]))
+    for name, rule in schema["properties"].items():
+        said = F.get_json_object(value, f"$.{name}")
+        ok = ok & (said.isNull() | said.rlike(rule["pattern"]))
+    return F.coalesce(ok, F.lit(False))
+
+
+def tokens_of(value: Column) -> Column:
+    """Name and value pairs of a JSON object whose values hold no unsafe character."""
+    pairs = F.map_entries(F.from_json(value, "map<string,string>"))
+    return F.filter(pairs, lambda e: e["value"].rlike(r"^[A-Za-z0-9#%. ,_-]*$"))
+
+
 def offending(values: DataFrame, schema: list[Declaration]) -> DataFrame:
     """(style_id, name, value) of rows that the closed schema does not allow: unknown names and ill-formed values."""
     ok = F.lit(False)

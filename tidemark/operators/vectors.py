@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -49,16 +50,17 @@ def mean_vector(df: DataFrame, keys: list[str], vec: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda r: r["x"]).alias("mean"))
 
 
-def simhash(vec: Column, bits: int) -> Column:
-    """One bit for each of `bits` planes; a plane's components are +1 or -1 by a hash of (plane, place)."""
+def planes(bits: int, size: int) -> list[list[int]]:
+    """The sides (+1 or -1) of `bits` planes: by the first hexadecimal digit of md5(plane:place), computed once for a plan."""
+    return [[1 if int(hashlib.md5(f"{plane}:{place}".encode()).hexdigest()[0], 16) % 2 == 0 else -1 for place in range(size)] for plane in range(bits)]
 
-    def sign(plane: int) -> Column:
-        side = F.transform(vec, lambda x, i: x * (1 - 2 * F.pmod(F.crc32(F.concat_ws(":", F.lit(str(plane)), i.cast("string")).cast("binary")), F.lit(2))))
-        return F.when(F.aggregate(side, F.lit(0.0), lambda s, x: s + x) >= 0, F.lit(1 << plane).cast("long")).otherwise(F.lit(0).cast("long"))
 
-    out = sign(0)
-    for plane in range(1, bits):
-        out = out.bitwiseOR(sign(plane))
+def simhash(vec: Column, bits: int, size: int) -> Column:
+    """One bit for each of `bits` (up to 63) planes: whether the vector of `size` components is on its side."""
+    out = F.lit(0).cast("long")
+    for plane, sides in enumerate(planes(bits, size)):
+        side = F.aggregate(F.zip_with(vec, F.lit(sides), lambda x, s: x * s), F.lit(0.0), lambda t, x: t + x)
+        out = out + F.when(side >= 0, F.lit(1 << plane).cast("long")).otherwise(F.lit(0).cast("long"))
     return out
 
 
@@ -66,55 +68,90 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def band_pairs(df: DataFrame, key: str, code: str, bands: int, width: int) -> DataFrame:
-    """Distinct pairs (a < b) whose codes agree in a band of `width` bits; a prefilter, to be verified."""
+def band_pairs(df: DataFrame, key: str, code: str, bands: int, width: int, most: int) -> DataFrame:
+    """(a, b, apart): pairs (a < b) whose codes agree in a band of `width` bits and differ in at most `most` bits.
+
+    A pair is made once, in the first band that it shares, and is dropped there if its codes differ more.
+    """
     mask = (1 << width) - 1
-    cut = F.array(*[F.shiftright(F.col(code), k * width).bitwiseAND(F.lit(mask)) for k in range(bands)])
-    rows = df.select(F.col(key).alias("id"), F.posexplode(cut).alias("band", "value"))
-    a, b = rows.withColumnRenamed("id", "a"), rows.withColumnRenamed("id", "b")
-    return a.join(b, ["band", "value"]).where("a < b").select("a", "b").distinct()
+
+    def cut(c: Column) -> Column:
+        return F.array(*[F.shiftright(c, k * width).bitwiseAND(F.lit(mask)) for k in range(bands)])
+
+    rows = df.select(F.col(key).alias("id"), F.col(code).alias("code"), F.posexplode(cut(F.col(code))).alias("band", "value"))
+    a = rows.select("band", "value", F.col("id").alias("a"), F.col("code").alias("x"))
+    b = rows.select("band", "value", F.col("id").alias("b"), F.col("code").alias("y"))
+    same = F.transform(F.zip_with(cut(F.col("x")), cut(F.col("y")), lambda p, q: p == q), lambda e: e)
+    met = a.join(b, ["band", "value"]).where((F.col("a") < F.col("b")) & (hamming(F.col("x"), F.col("y")) <= most))
+    return met.where(F.array_position(same, True) - 1 == F.col("band")).select("a", "b", hamming(F.col("x"), F.col("y")).alias("apart"))
+
+
+def set_cosine(left: DataFrame, right: DataFrame, least: float = 0.0) -> DataFrame:
+    """(l_id, r_id, cosine) of weighted token sets (id, token, weight) whose cosine is at least `least`.
+
+    Tokens of each set are ordered by how rare they are in the right table. Only a set's rarest tokens, those without
+    which the rest cannot reach `least`, bring sets together (a prefix filter), so that frequent tokens make no pairs;
+    the cosine is then counted on whole sets.
+    """
+    rare = right.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+    def sets(df: DataFrame, key: str) -> DataFrame:
+        rows = df.join(rare, "token", "left").select(F.col("id").alias(key), F.coalesce("df", F.lit(0)).alias("df"), "token", "weight")
+        groups = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("df", "token", "weight"))).alias("set"), F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"))
+        # A prefix may end where the squares of what follows sum to less than least^2 of all.
+        tail = F.transform("set", lambda _, i: F.aggregate(F.slice("set", i + 1, F.size("set")), F.lit(0.0), lambda t, x: t + x["weight"] * x["weight"]))
+        prefix = F.filter(F.zip_with("set", tail, lambda x, t: F.when(F.sqrt(t) >= (least - 1e-9) * F.col("norm"), x["token"])), lambda x: x.isNotNull())
+        return groups.select(key, "norm", F.map_from_entries(F.transform("set", lambda x: F.struct(x["token"], x["weight"]))).alias(f"{key}_map"), F.explode(prefix).alias("token"))
+
+    a, b = sets(left, "l_id"), sets(right, "r_id").withColumnRenamed("norm", "r_norm")
+    met = a.join(b, "token").dropDuplicates(["l_id", "r_id"])
+    dots = F.aggregate(F.map_entries("l_id_map"), F.lit(0.0), lambda t, e: t + e["value"] * F.coalesce(F.try_element_at(F.col("r_id_map"), e["key"]), F.lit(0.0)))
+    return met.select("l_id", "r_id", (dots / (F.col("norm") * F.col("r_norm"))).alias("cosine")).where(F.col("cosine") >= least)
 
 
-def set_cosine(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(l_id, r_id, cosine) of weighted token sets (id, token, weight) with a shared token."""
-    ln = left.groupBy(F.col("id").alias("l_id")).agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("l_norm"))
-    rn = right.groupBy(F.col("id").alias("r_id")).agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("r_norm"))
-    a = left.select(F.col("id").alias("l_id"), "token", F.col("weight").alias("x"))
-    b = right.select(F.col("id").alias("r_id"), "token", F.col("weight").alias("y"))
-    dots = a.join(b, "token").groupBy("l_id", "r_id").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    return dots.join(ln, "l_id").join(rn, "r_id").select("l_id", "r_id", (F.col("dot") / (F.col("l_norm") * F.col("r_norm"))).alias("cosine"))
+#: Fixed value: what a token's name is seeded with.
+TOKEN_SEED = "tok:"
 
 
-def phases(token: str, size: int) -> list[float]:
-    """A token's angles: 16-bit steps of its SHAKE-256 digest."""
-    import hashlib
-    import math
+def phases(token: str, size: int) -> np.ndarray:
+    """A token's angles: little-endian 16-bit steps of a turn from the SHAKE-256 digest of its seeded name."""
+    raw = hashlib.shake_256((TOKEN_SEED + token).encode("utf-8")).digest(2 * size)
+    return np.frombuffer(raw, "<u2") * (2 * np.pi / 65536)
 
-    raw = hashlib.shake_256(token.encode("utf-8")).digest(2 * size)
-    return [int.from_bytes(raw[2 * k : 2 * k + 2], "big") / 65536 * 2 * math.pi for k in range(size)]
+
+#: Tokens whose phasors a task keeps.
+KEPT = 20_000
 
 
 def encode_phases(df: DataFrame, tokens: str, size: int = 256) -> DataFrame:
-    """df with re and im: the normalised sum of the tokens' unit phasors."""
-    @pandas_udf("struct<re:array<double>,im:array<double>>")
-    def bundle(column: pd.Series) -> pd.DataFrame:
-        import numpy as np
-
-        kept: dict = {}
-        re, im = [], []
-        for words in column:
-            total = np.zeros(size, complex)
-            for w in words if words is not None else ():
-                if w not in kept:
-                    kept[w] = np.exp(1j * np.array(phases(w, size)))
-                total += kept[w]
-            length = np.linalg.norm(total)
-            total = total / length if length else total
-            re.append(total.real.tolist())
-            im.append(total.imag.tolist())
-        return pd.DataFrame({"re": re, "im": im})
-
-    return df.withColumn("_v", bundle(tokens)).withColumn("re", F.col("_v.re")).withColumn("im", F.col("_v.im")).drop("_v")
+    """df with re and im: the normalised sum of the tokens' unit phasors; a row without tokens gets zeros."""
+    at = df.columns.index(tokens)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, np.ndarray] = {}
+        for batch in batches:
+            if len(kept) > KEPT:
+                kept.clear()
+            total = np.zeros((batch.num_rows, size), complex)
+            for k, words in enumerate(batch.column(at).to_pylist()):
+                for w in words or ():
+                    if w not in kept:
+                        kept[w] = np.exp(1j * phases(w, size))
+                    total[k] += kept[w]
+            length = np.linalg.norm(total, axis=1, keepdims=True)
+            total = total / np.where(length > 0, length, 1)
+            offsets = pa.array(np.arange(batch.num_rows + 1) * size, pa.int32())
+            parts = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(x).ravel())) for x in (total.real, total.imag)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *parts], [*batch.schema.names, "re", "im"])
+
+    empty = F.array().cast("array<double>")
+    return df.mapInArrow(run, df.select("*", empty.alias("re"), empty.alias("im")).schema)
+
+
+def rotated(vec: Column, k: Column, size: int, base: float = 10_000.0) -> tuple[Column, Column]:
+    """Real and imaginary parts of a real vector turned k times: place j turns by base^(-j / size)."""
+    turn = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda j: F.pow(F.lit(base), -j / float(size)) * k)
+    return F.zip_with(vec, turn, lambda x, t: x * F.cos(t)), F.zip_with(vec, turn, lambda x, t: x * F.sin(t))
 
 
 def phase_similarity(a_re: Column, a_im: Column, b_re: Column, b_im: Column) -> Column:
@@ -140,3 +177,28 @@ def retrieval_metrics(ranked: DataFrame, truth: DataFrame, k: int, groups: Seque
 
 def rank_within(df: DataFrame, query: str, score: str, key: str) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc(score), key)))
+
+
+def law_breaches(triples: DataFrame, tolerance: float) -> DataFrame:
+    """(law, n): how many triples (a, b, c of vectors) break a law of sums by more than the tolerance."""
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    laws = {"commutes": close(add(a, b), add(b, a), tolerance), "associates": close(add(add(a, b), c), add(a, add(b, c)), tolerance), "scales": close(scale(add(a, b), 2.0), add(scale(a, 2.0), scale(b, 2.0)), tolerance)}
+    counts = triples.agg(*[F.count_if(~ok).alias(name) for name, ok in laws.items()])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(name).alias("law"), F.col(name).alias("n")) for name in laws])))
+
+
+def inheritance(members: DataFrame, least: int = 1) -> DataFrame:
+    """(a, b, subset, similarity) of fuzzy sets (term, item, p), few terms: shared parts by min, united by max, over items."""
+    sizes = members.groupBy("term").agg(F.sum("p").alias("size"))
+    x, y = members.select(F.col("term").alias("a"), "item", F.col("p").alias("pa")), members.select(F.col("term").alias("b"), "item", F.col("p").alias("pb"))
+    shared = x.join(y, "item").where("a <> b").groupBy("a", "b").agg(F.sum(F.least("pa", "pb")).alias("both"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    both = shared.join(sizes.select(F.col("term").alias("a"), F.col("size").alias("sa")), "a").join(sizes.select(F.col("term").alias("b"), F.col("size").alias("sb")), "b")
+    return both.select("a", "b", (F.col("both") / F.col("sa")).alias("subset"), (F.col("both") / (F.col("sa") + F.col("sb") - F.col("both"))).alias("similarity"))
+
+
+def auc(scored: DataFrame, by: str) -> DataFrame:
+    """(by, auc) of rows (by, score, positive): the share of pairs in the right order, ties half, from rank sums."""
+    per = scored.groupBy(by, "score").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
+    below = F.coalesce(F.sum("n").over(Window.partitionBy(by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = per.withColumn("won", F.col("p") * (below + F.col("n") / 2)).groupBy(by).agg(F.sum("won").alias("won"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    return sums.where("p > 0 AND n > 0").select(by, (F.col("won") / (F.col("p") * F.col("n"))).alias("auc"))

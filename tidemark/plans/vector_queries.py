@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import search, vectors
@@ -48,10 +48,10 @@ def mean_vector(d: Domain) -> DataFrame:
 GRAM_SETS = "g AS (SELECT DISTINCT p_name AS id, unnest(flatten(list_transform(string_split(p_name, ' '), lambda w: list_transform(range(1, len(w) + 2), lambda i: substring('  ' || w || ' ', i, 3))))) AS token FROM part)"
 
 
-@query("vec_07_set_cosine", f"WITH {GRAM_SETS}, n AS (SELECT id, sqrt(count(*)) AS n FROM g GROUP BY 1) SELECT a.id AS l_id, b.id AS r_id, round(count(*) / (any_value(x.n) * any_value(y.n)), 9) AS cosine FROM g a JOIN g b USING (token) JOIN n x ON x.id = a.id JOIN n y ON y.id = b.id GROUP BY 1, 2")
+@query("vec_07_set_cosine", f"WITH {GRAM_SETS}, n AS (SELECT id, sqrt(count(*)) AS n FROM g GROUP BY 1) SELECT a.id AS l_id, b.id AS r_id, round(count(*) / (any_value(x.n) * any_value(y.n)), 9) AS cosine FROM g a JOIN g b USING (token) JOIN n x ON x.id = a.id JOIN n y ON y.id = b.id GROUP BY 1, 2 HAVING count(*) / (any_value(x.n) * any_value(y.n)) >= 0.5 - 1e-9")
 def set_cosine(d: Domain) -> DataFrame:
     rows = gram_sets(d).withColumn("weight", F.lit(1.0))
-    return vectors.set_cosine(rows, rows).select("l_id", "r_id", F.round("cosine", 9).alias("cosine"))
+    return vectors.set_cosine(rows, rows, 0.5 - 1e-9).select("l_id", "r_id", F.round("cosine", 9).alias("cosine"))
 
 
 def gram_sets(d: Domain) -> DataFrame:
@@ -70,19 +70,160 @@ def shifted(d: Domain) -> DataFrame:
     return rows.select("vec_id", F.round(F.element_at("s", 1), 6).alias("first"), F.round(F.element_at("s", -1), 6).alias("last"))
 
 
-@query("vec_08_simhash")
+SIDES = "sides AS (SELECT plane, place, CASE WHEN strpos('02468ace', left(md5(plane || ':' || place), 1)) > 0 THEN 1 ELSE -1 END AS side FROM range(32) p(plane), range(64) q(place))"
+CODES = f"{PLAIN}, {SIDES}, flat AS (SELECT vec_id, unnest(e) AS x, unnest(range(len(e))) AS place FROM v), dots AS (SELECT vec_id, plane, sum(x * side) AS s FROM flat JOIN sides USING (place) GROUP BY 1, 2), codes AS (SELECT vec_id, sum(CASE WHEN s >= 0 THEN 1::BIGINT << plane::INTEGER ELSE 0 END)::BIGINT AS code FROM dots GROUP BY 1)"
+
+
+@query("vec_08_simhash", f"WITH {CODES} SELECT vec_id, code FROM codes")
 def simhash(d: Domain) -> DataFrame:
-    return plain(d).select("vec_id", vectors.simhash(F.col("e"), 16).alias("code"))
+    return plain(d).select("vec_id", vectors.simhash(F.col("e"), 32, 64).alias("code"))
 
 
-@query("vec_09_band_pairs")
+@query("vec_09_band_pairs", f"WITH {CODES} SELECT x.vec_id AS a, y.vec_id AS b, bit_count(xor(x.code, y.code))::INTEGER AS apart FROM codes x JOIN codes y ON x.vec_id < y.vec_id WHERE bit_count(xor(x.code, y.code)) <= 6 AND ((x.code & 255) = (y.code & 255) OR ((x.code >> 8) & 255) = ((y.code >> 8) & 255) OR ((x.code >> 16) & 255) = ((y.code >> 16) & 255) OR ((x.code >> 24) & 255) = ((y.code >> 24) & 255))")
 def band_pairs(d: Domain) -> DataFrame:
-    return vectors.band_pairs(simhash(d), "vec_id", "code", 2, 8)
+    return vectors.band_pairs(simhash(d), "vec_id", "code", 4, 8, 6)
 
 
-@query("vec_03_phase_vectors")
+@query("vec_03_phase_vectors", "SELECT DISTINCT p_name, 1.0::DOUBLE AS own, 256 AS size FROM part")
 def phase_vectors(d: Domain) -> DataFrame:
     names = d.raw("part").select("p_name").distinct().withColumn("tokens", search.trigrams(F.col("p_name")))
     rows = vectors.encode_phases(names, "tokens", 256)
     same = vectors.phase_similarity(F.col("re"), F.col("im"), F.col("re"), F.col("im"))
     return rows.select("p_name", F.round(same, 6).alias("own"), F.size("re").alias("size"))
+
+
+@query("vec_02_phases", "SELECT DISTINCT unnest(string_split(p_name, ' ')) AS token, 256.0::DOUBLE AS length FROM part")
+def phases(d: Domain) -> DataFrame:
+    """A single token's phasor: 256 numbers of length 1, before it is scaled to one."""
+    tokens = d.raw("part").select(F.explode(F.split("p_name", " ")).alias("token")).distinct().withColumn("tokens", F.array("token"))
+    rows = vectors.encode_phases(tokens, "tokens", 256)
+    length = F.aggregate(F.zip_with("re", "im", lambda x, y: (x * x + y * y) * 256), F.lit(0.0), lambda t, x: t + x)
+    return rows.select("token", F.round(length, 6).alias("length"))
+
+
+@query("vec_05_bind", f"WITH {PLAIN} SELECT vec_id, true AS same FROM v")
+def bound(d: Domain) -> DataFrame:
+    """A vector bound to a unit phasor and unbound again."""
+    rows = vectors.encode_phases(plain(d).withColumn("tokens", F.array(F.concat(F.lit("k"), "vec_id"))), "tokens", 64)
+    key_re, key_im = vectors.scale(F.col("re"), 8.0), vectors.scale(F.col("im"), 8.0)
+    zeros = F.transform("e", lambda x: x * 0)
+    re, im = vectors.bind(F.col("e"), zeros, key_re, key_im)
+    back, _ = vectors.bind(re, im, key_re, key_im, inverse=True)
+    return rows.select("vec_id", vectors.close(back, F.col("e"), 1e-9).alias("same"))
+
+
+@query("vec_06_rotated", f"WITH {PLAIN}, t AS (SELECT vec_id, unnest(e) AS x, unnest(range(64)) AS j FROM v) SELECT vec_id, round(sum(x * cos((vec_id % 5) * power(10000.0::DOUBLE, -j / 64.0::DOUBLE))), 6) AS re, round(sum(x * sin((vec_id % 5) * power(10000.0::DOUBLE, -j / 64.0::DOUBLE))), 6) AS im FROM t GROUP BY 1")
+def rotated(d: Domain) -> DataFrame:
+    re, im = vectors.rotated(F.col("e"), F.col("vec_id") % 5, 64)
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda t, x: t + x), 6)
+    return plain(d).select("vec_id", total(re).alias("re"), total(im).alias("im"))
+
+
+@query("vec_12_evaluation_set", "SELECT lower(p_name) AS query, min(p_partkey) AS target, 'surface' AS source FROM part GROUP BY 1 UNION ALL SELECT query, target, 'witness' FROM (SELECT split_part(p_name, ' ', 1) AS query, min(p_partkey) AS target FROM part GROUP BY 1) WHERE query NOT IN (SELECT lower(p_name) FROM part)")
+def evaluation_set(d: Domain) -> DataFrame:
+    parts = d.raw("part")
+    surface = parts.groupBy(F.lower("p_name").alias("query")).agg(F.min("p_partkey").alias("target")).withColumn("source", F.lit("surface"))
+    witness = parts.groupBy(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("query")).agg(F.min("p_partkey").alias("target")).withColumn("source", F.lit("witness"))
+    return surface.union(witness.join(surface, "query", "left_anti"))
+
+
+LAWS = "SELECT * FROM (VALUES ('associates', 0::BIGINT), ('commutes', 0::BIGINT), ('scales', 0::BIGINT)) t(law, n)"
+
+
+def triples(d: Domain) -> DataFrame:
+    """Each vector with those of the next two ids."""
+    rows = plain(d).select("vec_id", "e")
+    b, c = (rows.select((F.col("vec_id") - k).alias("vec_id"), F.col("e").alias(name)) for k, name in ((1, "b"), (2, "c")))
+    return rows.withColumnRenamed("e", "a").join(b, "vec_id").join(c, "vec_id")
+
+
+@query("vec_13_laws", LAWS)
+def laws(d: Domain) -> DataFrame:
+    return vectors.law_breaches(triples(d), 1e-12)
+
+
+@query("vec_22_embedding_laws", LAWS)
+def embedding_laws(d: Domain) -> DataFrame:
+    return vectors.law_breaches(triples(d), 1e-4)
+
+
+@query("vec_14_bag_of_words", "WITH w AS (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents) SELECT doc_id, count(*) FILTER (w = 'the') AS n_the, count(*) FILTER (w = 'de') AS n_de, count(*) FILTER (w = 'la') AS n_la FROM w GROUP BY 1")
+def bag_of_words(d: Domain) -> DataFrame:
+    """Counts over a vocabulary, as MLlib's CountVectorizerModel makes them."""
+    from pyspark.ml.feature import CountVectorizerModel
+    from pyspark.ml.functions import vector_to_array
+
+    model = CountVectorizerModel.from_vocabulary(["the", "de", "la"], inputCol="words", outputCol="counts")
+    rows = d.raw("documents").where("text is not null").select("doc_id", F.split(F.lower("text"), " ", -1).alias("words"))
+    counts = vector_to_array(F.col("counts"))
+    return model.transform(rows).select("doc_id", *(F.get(counts, F.lit(k)).cast("long").alias(f"n_{w}") for k, w in enumerate(("the", "de", "la"))))
+
+
+@query("vec_15_kind_probe")
+def kind_probe(d: Domain) -> DataFrame:
+    """A linear probe of vectors for their label, and the same for control labels (a hash of the id): held-out accuracy, the majority's, selectivity."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    rows = plain(d).select("vec_id", array_to_vector("e").alias("features"), F.col("label").cast("double").alias("label"), F.pmod(F.crc32(F.col("vec_id").cast("string").cast("binary")), F.lit(5)).cast("double").alias("control"))
+    held = F.pmod(F.xxhash64("vec_id"), F.lit(4)) == 0
+    found = {}
+    for name in ("label", "control"):
+        model = LogisticRegression(labelCol=name, maxIter=30, regParam=0.01).fit(rows.where(~held))
+        found[name] = model.transform(rows.where(held)).agg(F.avg((F.col("prediction") == F.col(name)).cast("double")).alias("x")).withColumnRenamed("x", name)
+    most = rows.where(held).groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg((F.max("n") / F.sum("n")).alias("majority"))
+    both = found["label"].crossJoin(found["control"]).crossJoin(most)  # one row each
+    return both.select(F.col("label").alias("accuracy"), F.col("control").alias("control_accuracy"), "majority", (F.col("label") - F.col("control")).alias("selectivity"))
+
+
+@query("vec_16_label_auc", f"WITH {PLAIN}, m AS (SELECT label, place, avg(x) AS x FROM (SELECT label, unnest(e) AS x, unnest(range(len(e))) AS place FROM v) GROUP BY 1, 2), c AS (SELECT label, list(x ORDER BY place) AS e FROM m GROUP BY 1), s AS (SELECT c.label AS label, round(list_cosine_similarity(v.e, c.e), 9) AS score, v.label = c.label AS positive FROM v, c), r AS (SELECT *, avg(k) OVER (PARTITION BY label, score) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score) AS k FROM s)) SELECT label, round((sum(rank) FILTER (positive) - count(*) FILTER (positive) * (count(*) FILTER (positive) + 1) / 2) / (count(*) FILTER (positive) * count(*) FILTER (NOT positive)), 6) AS auc FROM r GROUP BY 1")
+def label_auc(d: Domain) -> DataFrame:
+    """One against the rest: each label's mean vector scores all vectors; labels are few."""
+    means = vectors.mean_vector(plain(d), ["label"], "e").withColumnRenamed("label", "kind")
+    rows = plain(d).crossJoin(F.broadcast(means))
+    scored = rows.select(F.col("kind").alias("label"), F.round(vectors.cosine(F.col("e"), F.col("mean")), 9).alias("score"), (F.col("label") == F.col("kind")).alias("positive"))
+    return vectors.auc(scored, "label").select("label", F.round("auc", 6).alias("auc"))
+
+
+@query("vec_18_inheritance", "WITH m AS (SELECT kind_path AS term, link_id AS item, max(p) AS p FROM mentions JOIN entities USING (entity_id) GROUP BY 1, 2), z AS (SELECT term, sum(p) AS s FROM m GROUP BY 1), b AS (SELECT x.term AS a, y.term AS b, sum(least(x.p, y.p)) AS s FROM m x JOIN m y ON x.item = y.item AND x.term <> y.term GROUP BY 1, 2) SELECT b.a, b.b, round(b.s / za.s, 9) AS subset, round(b.s / (za.s + zb.s - b.s), 9) AS similarity FROM b JOIN z za ON za.term = b.a JOIN z zb ON zb.term = b.b")
+def inheritance(d: Domain) -> DataFrame:
+    """Kinds as fuzzy sets of the links that mention them: at most as many to a link as there are kinds."""
+    members = d.mentions().join(d.entities(), "entity_id").groupBy(F.col("kind_path").alias("term"), F.col("link_id").alias("item")).agg(F.max("p").alias("p"))
+    return vectors.inheritance(members).select("a", "b", F.round("subset", 9).alias("subset"), F.round("similarity", 9).alias("similarity"))
+
+
+@query("vec_19_entity_graph", "SELECT p_partkey // 100 * 100 AS cluster, count(*) AS n, min(p_name) AS name, count(DISTINCT p_brand) > 1 AS conflicting FROM part GROUP BY 1")
+def entity_graph(d: Domain) -> DataFrame:
+    """Mentions linked as the same are clustered; a cluster is named by its least name; it conflicts where its kinds differ."""
+    from tidemark.operators import aggregates
+
+    key = F.col("p_partkey")
+    links = d.raw("part").select(key.alias("a"), (F.floor(key / 10) * 10).cast("long").alias("b")).union(d.raw("part").select((F.floor(key / 10) * 10).cast("long"), (F.floor(key / 100) * 100).cast("long"))).distinct()
+    found = aggregates.clusters(links).withColumnRenamed("id", "p_partkey")
+    rows = d.raw("part").join(found, "p_partkey").groupBy("cluster")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.min("p_name").alias("name"), (F.min("p_brand") != F.max("p_brand")).alias("conflicting"))
+
+
+@query("vec_20_mention_windows", "WITH m AS (SELECT doc_id, strpos(documents.text, left(b.text, 40)) AS place FROM documents JOIN benchmark b ON contains(documents.text, left(b.text, 40))) SELECT doc_id, count(*) AS mentions, (count(*) * (count(*) - 1) // 2)::BIGINT AS pairs, min(place) AS first FROM m GROUP BY 1")
+def mention_windows(d: Domain) -> DataFrame:
+    """Where the first forty characters of benchmark texts stand in documents, and how many pairs of mentions that makes.
+
+    Documents meet phrases by a phrase's first two words, so that no document is compared with all phrases.
+    """
+
+    def pairs(words: Column) -> Column:
+        return F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda x, y: F.concat_ws(" ", x, y))
+
+    words = F.split("text", r"\s+")
+    phrases = d.raw("benchmark").select(F.left("text", F.lit(40)).alias("phrase"), F.get(pairs(words), F.lit(0)).alias("head"))
+    met = d.raw("documents").where("text is not null").select("doc_id", "text", F.explode(F.array_distinct(pairs(words))).alias("head")).join(F.broadcast(phrases), "head")
+    rows = met.select("doc_id", F.position(F.col("phrase"), F.col("text")).alias("at")).where("at > 0")
+    n = F.count(F.lit(1))
+    return rows.groupBy("doc_id").agg(n.alias("mentions"), (n * (n - 1) / 2).cast("long").alias("pairs"), F.min("at").cast("long").alias("first"))
+
+
+@query("vec_21_forms", "WITH a AS (SELECT l_orderkey AS form, l_linenumber AS question, l_returnflag AS option, max(l_discount) AS p FROM lineitem GROUP BY 1, 2, 3) SELECT form, question, arg_max(option, (p, option)) AS answer, max(p) >= 0.05 AS sure FROM a GROUP BY 1, 2")
+def forms(d: Domain) -> DataFrame:
+    """Answers of a form from a table of probabilities: the likeliest option of each question, and whether it passes the threshold."""
+    options = d.raw("lineitem").groupBy(F.col("l_orderkey").alias("form"), F.col("l_linenumber").alias("question"), F.col("l_returnflag").alias("option")).agg(F.max("l_discount").alias("p"))
+    return options.groupBy("form", "question").agg(F.max_by("option", F.struct("p", "option")).alias("answer"), (F.max("p") >= 0.05).alias("sure"))
