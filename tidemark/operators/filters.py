@@ -81,8 +81,9 @@ def matches(filters: list[list[Sense]], mentions: DataFrame, entities: DataFrame
 
 def passing(log: DataFrame, n_filters: int) -> DataFrame:
     """(link_id, entity_ids): links with a match of every filter, and the distinct entities that matched."""
-    rows = log.groupBy("link_id").agg(F.countDistinct("filter").alias("n"), F.sort_array(F.collect_set("entity_id")).alias("entity_ids"))
-    return rows.where(F.col("n") == n_filters).drop("n")
+    passed = F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("filter")))  # one bit for each filter: no row is expanded for a distinct count
+    rows = log.groupBy("link_id").agg(passed.alias("passed"), F.sort_array(F.collect_set("entity_id")).alias("entity_ids"))
+    return rows.where(F.col("passed") == (1 << n_filters) - 1).drop("passed")
 
 
 def seen_by(viewer: int, as_of: datetime, *interactions: DataFrame) -> DataFrame:

@@ -1,8 +1,7 @@
 """Calendar intervals, named periods and overlap joins.
 
 An event without a start is unbounded below, without an end it lasts its day; null bounds of a range
-mean unbounded. The overlap join buckets bounded ranges by day spans so that it is an equi-join; the
-few unbounded ones meet the periods, whose number a query states, by a plain condition.
+mean unbounded. The overlap join buckets ranges by day spans so that it is an equi-join.
 """
 
 from __future__ import annotations
@@ -53,8 +52,17 @@ def overlaps(start_a: Column, end_a: Column, start_b: Column, end_b: Column) ->
     return (start_a.isNull() | end_b.isNull() | (start_a < end_b)) & (start_b.isNull() | end_a.isNull() | (start_b < end_a))
 
 
+#: Buckets that hold periods, at most, for events without a bound to be dealt to just these.
+MOST_BUCKETS = 10_000
+
+
 def overlap_join(events: DataFrame, start: str, end: str, periods: DataFrame, p_start: str, p_end: str, bucket_days: int = 32) -> DataFrame:
-    """Events with every period that they overlap. Periods are bounded; events may be unbounded."""
+    """Events with every period that they overlap. Periods are bounded; events may be unbounded.
+
+    Both kinds are equi-joins on buckets of days. An event with two bounds is in every bucket that it touches, and so is
+    a period; a pair counts in the first bucket that both touch. An event without a bound goes to the buckets where
+    periods start (no later than it ends) and meets each period there once.
+    """
 
     def bucket(at: Column) -> Column:
         return F.floor(F.datediff(at.cast("date"), F.lit("1970-01-01").cast("date")) / bucket_days).cast("int")
@@ -68,4 +76,13 @@ def overlap_join(events: DataFrame, start: str, end: str, periods: DataFrame, p_
     first = F.greatest(bucket(F.col(start)), bucket(F.col(p_start))) == F.col("_bucket")  # a pair counts once
     met = bounded.join(spread, "_bucket").where(condition & first).drop("_bucket")
     open_ones = events.where(F.col(start).isNull() | F.col(end).isNull())
-    return met.unionByName(open_ones.join(periods, condition))
+    held = periods.where(F.col(p_start).isNotNull()).select(bucket(F.col(p_start)).alias("b")).distinct()
+    listed = sorted(r["b"] for r in held.limit(MOST_BUCKETS + 1).collect())  # bounded
+    if len(listed) > MOST_BUCKETS:
+        ends = held.agg(F.min("b"), F.max("b")).first()
+        places = F.sequence(F.lit(ends[0]), F.lit(ends[1]))
+    else:
+        places = F.lit(listed) if listed else F.array().cast("array<int>")
+    reach = F.filter(places, lambda b: F.col(end).isNull() | (b <= bucket(F.col(end))))
+    late = open_ones.withColumn("_bucket", F.explode(reach)).join(periods.withColumn("_bucket", bucket(F.col(p_start))), "_bucket")
+    return met.unionByName(late.where(condition).drop("_bucket"))

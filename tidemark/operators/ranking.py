@@ -26,13 +26,15 @@ def preferences(votes: DataFrame, labels: DataFrame, suggestions: DataFrame) ->
     mine = votes.join(own, ["voter", "link_id"])
     columns = ["voter", "link_id", "value", "topic", "p"]
     rows = hierarchy.with_ancestors(shared.select(*columns).unionByName(mine.select(*columns)), "topic", "topic_id")
+    # A voter has one vote on a link: once its labels under a topic are summed, plain counts are distinct ones.
+    links = rows.groupBy("voter", "topic_id", "link_id", "value").agg(F.sum("p").alias("p"))
     liked, disliked = F.col("value") == 1, F.col("value") == -1
-    out = rows.groupBy("voter", "topic_id").agg(
+    out = links.groupBy("voter", "topic_id").agg(
         aggregates.sum_where(liked, F.col("p")).alias("likes"),
         aggregates.sum_where(disliked, F.col("p")).alias("dislikes"),
-        F.countDistinct("link_id").alias("n_votes"),
-        F.countDistinct(F.when(liked, F.col("link_id"))).alias("n_up"),
-        F.countDistinct(F.when(disliked, F.col("link_id"))).alias("n_down"),
+        F.count(F.lit(1)).alias("n_votes"),
+        F.count_if(liked).alias("n_up"),
+        F.count_if(disliked).alias("n_down"),
     )
     return out.withColumn("alpha", 1 + F.col("likes")).withColumn("beta", 1 + F.col("dislikes"))
 

@@ -48,15 +48,23 @@ def similarity(a: Column, b: Column) -> Column:
 def similar(left: DataFrame, right: DataFrame, l_id: str, l_text: str, r_id: str, r_text: str, least: float = 0.3) -> DataFrame:
     """(l_id, r_id, similarity) of pairs at or above a trigram similarity.
 
-    Trigrams are joined by equality and counted; pairs without a shared trigram are never made. A pair
-    needs at least `least` of either side's trigrams, so sizes are checked on the counts.
+    A prefix filter: two sets at or above `least` share one of the rarest n - ceil(least n) + 1 grams of either, so that
+    frequent grams bring no rows together. Pairs that also agree in size are then compared on whole sets.
     """
-    a = left.select(F.col(l_id).alias("a_id"), trigrams(F.col(l_text)).alias("a_grams")).withColumn("a_n", F.size("a_grams"))
-    b = right.select(F.col(r_id).alias("b_id"), trigrams(F.col(r_text)).alias("b_grams")).withColumn("b_n", F.size("b_grams"))
-    pairs = a.select("a_id", "a_n", F.explode("a_grams").alias("gram")).join(b.select("b_id", "b_n", F.explode("b_grams").alias("gram")), "gram")
-    counts = pairs.where(F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n")).groupBy("a_id", "b_id", "a_n", "b_n").agg(F.count(F.lit(1)).alias("n"))
-    score = F.col("n") / (F.col("a_n") + F.col("b_n") - F.col("n"))
-    return counts.withColumn("similarity", score).where(F.col("similarity") >= least).select(F.col("a_id").alias(l_id), F.col("b_id").alias(r_id), "similarity")
+    a = left.select(F.col(l_id).alias("a_id"), trigrams(F.col(l_text)).alias("a_grams"))
+    b = right.select(F.col(r_id).alias("b_id"), trigrams(F.col(r_text)).alias("b_grams"))
+    rare = a.select(F.explode("a_grams").alias("gram")).union(b.select(F.explode("b_grams"))).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+
+    def sides(rows: DataFrame, name: str) -> DataFrame:
+        grams = rows.select(f"{name}_id", F.explode(f"{name}_grams").alias("gram")).join(rare, "gram")
+        sets = grams.groupBy(f"{name}_id").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("set"))
+        n = F.size("set")
+        prefix = F.slice("set", F.lit(1), n - F.ceil(n * least - 1e-9).cast("int") + 1)
+        return sets.select(f"{name}_id", F.transform("set", lambda x: x["gram"]).alias(f"{name}_grams"), n.alias(f"{name}_n"), F.explode(F.transform(prefix, lambda x: x["gram"])).alias("gram"))
+
+    pairs = sides(a, "a").join(sides(b, "b"), "gram").where(F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n") - 1e-9).dropDuplicates(["a_id", "b_id"])
+    score = similarity(F.col("a_grams"), F.col("b_grams"))
+    return pairs.withColumn("similarity", score).where(F.col("similarity") >= least).select(F.col("a_id").alias(l_id), F.col("b_id").alias(r_id), "similarity")
 
 
 def match_names(names: DataFrame, typed: list[str], partial: str | None = None) -> DataFrame:

@@ -202,3 +202,40 @@ def auc(scored: DataFrame, by: str) -> DataFrame:
     below = F.coalesce(F.sum("n").over(Window.partitionBy(by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = per.withColumn("won", F.col("p") * (below + F.col("n") / 2)).groupBy(by).agg(F.sum("won").alias("won"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return sums.where("p > 0 AND n > 0").select(by, (F.col("won") / (F.col("p") * F.col("n"))).alias("auc"))
+
+
+#: Queries whose vectors a task holds at a time, at most.
+MOST_QUERIES = 10_000
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query, candidate, score, rank): the k largest cosines of each query (query, q) among rows (id, vec) but its own.
+
+    A stated query set against all rows: each task multiplies its rows with blocks of queries and keeps k of each, so that
+    no row is made for a pair. Queries are read MOST_QUERIES at a time.
+    """
+    out, n = None, max(1, -(-queries.count() // MOST_QUERIES))
+    for part in range(n):
+        asked = queries.where(F.pmod(F.xxhash64("query"), F.lit(n)) == part).collect()  # about MOST_QUERIES rows
+        if not asked:
+            continue
+        names, vecs = np.array([r["query"] for r in asked], np.int64), np.array([r["q"] for r in asked], float)
+        vecs = vecs / np.maximum(np.linalg.norm(vecs, axis=1, keepdims=True), 1e-300)
+
+        def run(batches: Iterator[pa.RecordBatch], names: np.ndarray = names, vecs: np.ndarray = vecs) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                mine = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
+                scores = np.round(vecs @ (mine / np.maximum(np.linalg.norm(mine, axis=1, keepdims=True), 1e-300)).T, 9)
+                scores[names[:, None] == ids[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+                best = np.take_along_axis(scores, order, axis=1).ravel()
+                found = [np.repeat(names, order.shape[1]), ids[order].ravel(), best]
+                keep = np.isfinite(best)
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in found], ["query", "candidate", "score"])
+
+        found = rows.select(F.col("id").cast("long"), F.col("vec").cast("array<double>")).mapInArrow(run, "query long, candidate long, score double")
+        out = found if out is None else out.union(found)
+    if out is None:
+        return rows.sparkSession.createDataFrame([], "query long, candidate long, score double, rank int")
+    return rank_within(out, "query", "score", "candidate").where(F.col("rank") <= k)

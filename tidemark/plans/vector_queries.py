@@ -25,9 +25,7 @@ def cosine(d: Domain) -> DataFrame:
 @query("vec_10_brute_force", f"WITH {PLAIN} SELECT query, candidate, rank FROM (SELECT a.vec_id AS query, b.vec_id AS candidate, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.e, b.e), 9) DESC, b.vec_id)::INTEGER AS rank FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id) WHERE rank <= 8")
 def brute_force(d: Domain) -> DataFrame:
     asked = plain(d).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("e").alias("q"))
-    pairs = plain(d).join(F.broadcast(asked) if asked.count() <= 10_000 else asked, F.col("query") != F.col("vec_id"))
-    scored = pairs.select("query", F.col("vec_id").alias("candidate"), F.round(vectors.cosine(F.col("q"), F.col("e")), 9).alias("score"))
-    return vectors.rank_within(scored, "query", "score", "candidate").where("rank <= 8").select("query", "candidate", "rank")
+    return vectors.nearest(plain(d).select(F.col("vec_id").alias("id"), F.col("e").alias("vec")), asked, 8).select("query", "candidate", "rank")
 
 
 @query("vec_11_retrieval_metrics", f"WITH {PLAIN}, r AS (SELECT a.vec_id AS query, a.label AS label, b.label AS found, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.e, b.e), 9) DESC, b.vec_id) AS rank FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id), m AS (SELECT query, label, min(rank) FILTER (found = label AND rank <= 8) AS rank FROM r GROUP BY 1, 2) SELECT count(*) AS queries, round(avg((rank IS NOT NULL)::INTEGER), 6) AS recall, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM m")
