@@ -47,13 +47,24 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+#: Rows of keys and numbers that a task of a small table has, about; and of texts or sets.
+TASK_ROWS, TASK_TEXTS = 20_000, 4_000
+
+
+def staged(df: DataFrame, name: str, rows: int | None = None, each: int = TASK_ROWS) -> DataFrame:
     """Write df to a new table in the shared folder and read it back.
 
     This cuts the lineage: an executor lost later costs no recomputation of df,
     and both sides of a later join start from plain scans.
+
+    rows is an upper bound of df's rows, where one is known: a small table is then written by a task for each
+    `each` rows, not by one for every shuffle partition, each with a file of its own. Large tables stay as they are.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        tasks = max(1, -(-rows // each))
+        if tasks < int(spark.conf.get("spark.sql.shuffle.partitions")):
+            df = df.coalesce(tasks)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

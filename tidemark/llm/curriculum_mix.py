@@ -35,9 +35,9 @@ EVEN: Schedule = ((0.0, 1.0), (1.0, 1.0))
 LATE: Schedule = ((0.0, 0.5), (0.6, 1.0), (1.0, 1.75))
 
 
-#: Buckets of a source's order whose totals training_order goes by (a power of 16), and rows of totals that are broadcast, at most (some 100 bytes each).
-BUCKETS = 1 << 12
-BROADCAST_ROWS = 200_000
+#: Buckets of a source's order whose totals training_order goes by, and rows of totals that are broadcast, at most (some 200 bytes each).
+BUCKETS = 1 << 10
+BROADCAST_ROWS = 100_000
 
 
 def position_of(share: Column, schedule: Schedule) -> Column:
@@ -175,22 +175,24 @@ def training_order(
     order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     source = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col).cast("string")))
     text = F.col(text_col).cast("string")
-    digits = len(f"{BUCKETS - 1:x}")
+    place = F.conv(F.substring(order, 1, 11), 16, 10).cast("double") * (BUCKETS / float(1 << 44))  # of a row's hash among the buckets
     sized = df.select(
         F.col(id_col).alias("doc_id"),
         source.alias("source_key"),
         order.alias("order"),
-        F.conv(F.substring(order, 1, digits), 16, 10).cast("int").alias("bucket"),
+        F.floor(place).cast("int").alias("bucket"),
         F.coalesce(F.regexp_count(text, F.lit(common.WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
     )
     sized = common.staged(sized, "order-sizes")
+    n_rows = sized.count()
     buckets = sized.groupBy("source_key", "bucket").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
     so_far = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = common.staged(buckets.withColumn("offset", F.coalesce(F.sum("words").over(so_far), F.lit(0))), "order-buckets")
+    buckets = common.staged(buckets.withColumn("offset", F.coalesce(F.sum("words").over(so_far), F.lit(0))), "order-buckets", n_rows)
+    n_buckets = buckets.count()
     aims = targets(buckets.groupBy("source_key").agg(F.sum("words").alias("source_size")), weights, most)
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     aims = aims.withColumn("rounds", rounds).withColumn("over", F.col("target") - (F.col("rounds") * F.col("source_size")).cast("double"))
-    known = common.staged(buckets.join(aims, "source_key"), "order-aims")
+    known = common.staged(buckets.join(aims, "source_key"), "order-aims", n_buckets)
     last = known.where((F.col("offset") < F.col("over")) & (F.col("over") < F.col("offset") + F.col("words")))
     inside = Window.partitionBy("source_key").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = sized.join(_bounded(last.select("source_key", "bucket", "offset", "over"), broadcast_rows), ["source_key", "bucket"])
@@ -198,16 +200,15 @@ def training_order(
     out = rows.where((2 * F.col("start") + F.col("size")).cast("double") >= 2 * F.col("over"))
     ends = out.groupBy("source_key").agg(F.min(F.struct("order", "doc_id")).alias("end"))
     known = known.join(ends, "source_key", "left").withColumn("whole", F.col("offset") + F.col("words") <= F.col("over")).withColumn("part", (F.col("offset") < F.col("over")) & ~F.col("whole"))
-    known = common.staged(known.withColumnsRenamed({c: f"_{c}" for c in known.columns}), "order-known")
+    known = common.staged(known.withColumnsRenamed({c: f"_{c}" for c in known.columns}), "order-known", n_buckets)
 
     packed = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).alias("_doc"), source.alias("_source_key"), order.alias("_order"), F.coalesce(text.rlike(common.WORD_PATTERN), F.lit(False)).alias("_words_in"))
-    packed = packed.where("_words_in").withColumn("_bucket", F.conv(F.substring("_order", 1, digits), 16, 10).cast("int"))
+    packed = packed.where("_words_in").withColumn("_place", F.conv(F.substring("_order", 1, 11), 16, 10).cast("double") * (BUCKETS / float(1 << 44))).withColumn("_bucket", F.floor("_place").cast("int"))
     packed = packed.join(_bounded(known, broadcast_rows), ["_source_key", "_bucket"])
     here = F.struct(F.col("_order").alias("order"), F.col("_doc").alias("doc_id"))
     again = F.col("_whole") | (F.col("_part") & F.coalesce(here < F.col("_end"), F.lit(True)))
     copies = F.col("_rounds") + F.when(again, 1).otherwise(0)
-    fraction = F.conv(F.substring("_order", digits + 1, 7), 16, 10).cast("double") / float(1 << 28)
-    start = F.col("_offset") + fraction * F.col("_words")
+    start = F.col("_offset") + (F.col("_place") - F.col("_bucket")) * F.col("_words")
     packed = packed.withColumn("_copies", copies.cast("int")).where("_copies > 0").withColumn("_start", start).withColumn("_turn_of", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
     share = (F.col("_turn_of") * F.col("_source_size") + F.col("_start")) / F.col("_target")
     position = None

@@ -172,7 +172,7 @@ def _close(sketch_a: str, sketch_b: str, most: int):
     return total <= most
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+def full_sets(docs: DataFrame, ids: DataFrame, shingle: int, rows: int) -> DataFrame:
     """(doc_id, members) of the documents that ids (doc_id) names, staged: their shingles' sorted hashes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -184,7 +184,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
                 ends, raw = np.cumsum(sizes), flat.tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([raw[8 * (e - n) : 8 * e] for e, n in zip(ends.tolist(), sizes.tolist())], pa.binary())], ["doc_id", "members"])
 
-    return common.staged(docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, f"doc_id {kind}, members binary").dropDuplicates(["doc_id"]), "near-dup-sets")
+    return common.staged(docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, f"doc_id {kind}, members binary").dropDuplicates(["doc_id"]), "near-dup-sets", rows, common.TASK_TEXTS)
 
 
 def wide_sketches(held: DataFrame) -> DataFrame:
@@ -206,7 +206,7 @@ def wide_sketches(held: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    kind = held.schema["doc_id"].dataType.simpleString()
+    kind, rows = held.schema["doc_id"].dataType.simpleString(), pairs.count()
     both = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("members").alias("members_a")), "a")
     both = both.join(held.select(F.col("doc_id").alias("b"), F.col("members").alias("members_b")), "b")
 
@@ -219,7 +219,7 @@ def confirmed(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return common.staged(both.select("a", "b", "members_a", "members_b").mapInArrow(check, f"a {kind}, b {kind}"), "near-dup-links")
+    return common.staged(both.select("a", "b", "members_a", "members_b").mapInArrow(check, f"a {kind}, b {kind}"), "near-dup-links", rows, common.TASK_TEXTS)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -229,13 +229,14 @@ def components(links: DataFrame) -> DataFrame:
     of that label; the labels are staged after each round until none changes.
     """
     ends = links.select(F.col("a").alias("doc_id"), F.col("b").alias("other")).union(links.select("b", "a")).distinct()
-    ends = common.staged(ends, "near-dup-ends")
-    labels = common.staged(ends.groupBy("doc_id").agg(F.min("other").alias("other")).select("doc_id", F.least("doc_id", "other").alias("component_id")), "near-dup-labels")
+    rows = 2 * links.count()
+    ends = common.staged(ends, "near-dup-ends", rows)
+    labels = common.staged(ends.groupBy("doc_id").agg(F.min("other").alias("other")).select("doc_id", F.least("doc_id", "other").alias("component_id")), "near-dup-labels", rows)
     while True:
         offered = ends.join(labels.select(F.col("doc_id").alias("other"), "component_id"), "other").select("doc_id", "component_id")
-        better = common.staged(offered.union(labels).groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "near-dup-labels")
+        better = common.staged(offered.union(labels).groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "near-dup-labels", rows)
         jumped = better.join(better.select(F.col("doc_id").alias("component_id"), F.col("component_id").alias("root")), "component_id")
-        following = common.staged(jumped.select("doc_id", F.least("component_id", "root").alias("component_id")), "near-dup-labels")
+        following = common.staged(jumped.select("doc_id", F.least("component_id", "root").alias("component_id")), "near-dup-labels", rows)
         changed = following.join(labels.withColumnRenamed("component_id", "before"), "doc_id").where("component_id <> before")
         if changed.isEmpty():
             return following
@@ -311,39 +312,43 @@ def find(
     signed = common.staged(signatures(docs, shingle, rows, bands), "near-dup-signatures")
     named = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = named.groupBy("set_hash").agg(F.min("doc_id").alias("class_id"))
-    classes = common.staged(classes, "near-dup-classes")
+    n_docs = signed.count()
+    classes = common.staged(classes, "near-dup-classes", n_docs)
+    n_classes = classes.count()
     # An id may stand on several rows; its rows then belong together.
-    members = common.staged(named.select("doc_id", "set_hash").join(classes, "set_hash").select("doc_id", "class_id"), "near-dup-members")
+    members = common.staged(named.select("doc_id", "set_hash").join(classes, "set_hash").select("doc_id", "class_id"), "near-dup-members", n_docs)
     same = members.where(F.col("doc_id") != F.col("class_id")).select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
     heads = named.join(classes.select("set_hash", F.col("class_id").alias("doc_id")), ["set_hash", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_hash"])
     heads = heads.select("doc_id", "keys", "sketch")
     band_rows = heads.select("doc_id", F.posexplode("keys").alias("band", "key")).select("doc_id", "band", F.xxhash64("band", "key").alias("bucket"))
     counts = band_rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    counts = common.staged(counts, "near-dup-buckets")
-    mates = common.staged(band_rows.join(counts, "bucket"), "near-dup-mates")
-    weights = common.staged(mates.groupBy("doc_id").agg(F.sum("n").alias("weight")), "near-dup-weights")
+    counts = common.staged(counts, "near-dup-buckets", n_classes * bands)
+    mates = common.staged(band_rows.join(counts, "bucket"), "near-dup-mates", n_classes * bands)
+    n_mates, n_buckets = mates.count(), counts.count()
+    weights = common.staged(mates.groupBy("doc_id").agg(F.sum("n").alias("weight")), "near-dup-weights", n_mates)
+    n_weighed = weights.count()
     weighed = mates.join(weights, "doc_id")
     centres = weighed.groupBy("bucket").agg(F.min(F.struct((-F.col("weight")).alias("weight"), "doc_id"))["doc_id"].alias("centre"))
-    centres = common.staged(centres, "near-dup-centres")
+    centres = common.staged(centres, "near-dup-centres", n_buckets)
     stars = mates.join(centres, "bucket").where(F.col("doc_id") != F.col("centre")).select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
-    stars = common.staged(stars, "near-dup-stars")
-    held = full_sets(docs, weights.select("doc_id"), shingle)  # whatever shares a bucket
+    stars = common.staged(stars, "near-dup-stars", n_mates)
+    held = full_sets(docs, weights.select("doc_id"), shingle, n_weighed)  # whatever shares a bucket
     sketches = heads.join(weights.select("doc_id"), "doc_id", "left_semi")
-    sketches = common.staged(sketches, "near-dup-sketches")
+    sketches = common.staged(sketches, "near-dup-sketches", n_weighed)
     bits = most_odd_bits(percent / 100, rows * bands)
     seen = stars.join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sketch_a")), "a")
     seen = seen.join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-    close = common.staged(seen.where(_close("sketch_a", "sketch_b", bits)).select("a", "b"), "near-dup-close")
+    close = common.staged(seen.where(_close("sketch_a", "sketch_b", bits)).select("a", "b"), "near-dup-close", n_mates)
     links = confirmed(close, held, percent)
     labels = components(links)
     # Second round: members of different components that share a bucket.
     placed = mates.select("doc_id", "band", "bucket").join(labels, "doc_id", "left").select("bucket", "band", "doc_id", F.coalesce("component_id", "doc_id").alias("component"))
-    placed = common.staged(placed, "near-dup-placed")
+    placed = common.staged(placed, "near-dup-placed", n_mates)
     mixed = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("bucket", "n")
-    mixed = common.staged(mixed, "near-dup-mixed")
-    open_rows = common.staged(placed.join(mixed, "bucket"), "near-dup-open")
+    mixed = common.staged(mixed, "near-dup-mixed", n_buckets)
+    open_rows = common.staged(placed.join(mixed, "bucket"), "near-dup-open", n_mates)
     wide = wide_sketches(held.join(open_rows.select("doc_id").distinct(), "doc_id", "left_semi"))
-    wide = common.staged(wide.join(sketches.select("doc_id", "keys"), "doc_id"), "near-dup-wide")
+    wide = common.staged(wide.join(sketches.select("doc_id", "keys"), "doc_id"), "near-dup-wide", n_weighed, common.TASK_TEXTS)
     n_tiles = F.ceil(F.col("n") / TILE).cast("int")
     tile = F.pmod(F.xxhash64("doc_id", "bucket"), n_tiles).cast("int")
     open_rows = open_rows.join(wide, "doc_id").select("bucket", "band", "doc_id", "component", "keys", "wide", n_tiles.alias("n_tiles"), tile.alias("tile"))
@@ -351,7 +356,7 @@ def find(
     tried = close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = common.staged(more.join(tried, ["a", "b"], "left_anti"), "near-dup-more")
     late = confirmed(more, held, percent)
-    final = components(common.staged(links.union(late), "near-dup-all").union(same))
+    final = components(common.staged(links.union(late).union(same), "near-dup-all", links.count() + late.count() + n_docs))
     found = signed.select("doc_id", "n_shingles").join(final, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
