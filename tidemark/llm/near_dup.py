@@ -12,7 +12,8 @@
    bucket mates overall (ties: the smallest id). This joins a large group of near copies through its
    centre with as many pairs as members. Confirmed pairs are united to components.
 5. Second round, so that no link is lost: buckets that still hold two components or more are dealt out
-   in tiles of bounded size. Their members get a much finer odd sketch, of a sample of WIDE_SAMPLE values,
+   in tiles of bounded size; members of the bucket's largest component meet only the tiles of the others, so that
+   a bucket of n members with m outsiders takes about n m / TILE rows. Their members get a much finer odd sketch, of a sample of WIDE_SAMPLE values,
    since large groups of documents just below the threshold are common. A pair of members of different
    components is compared in the first bucket that it shares, inside a task, and only pairs whose fine
    sketches pass become rows for confirmation.
@@ -244,14 +245,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _tiles(members: DataFrame, bits: int) -> DataFrame:
-    """(a, b) of members (bucket, band, doc_id, component, keys, wide, n_tiles, tile) that differ in component and are close by sketch.
+    """(a, b) of members (bucket, band, doc_id, component, keys, wide, meets, tile) that differ in component and are close by sketch.
 
-    Each member goes to the tile pairs (its tile, every tile); a pair of members meets in the one pair
-    of their tiles, and is compared in the first band that it shares. Tiles are sorted by and read as a
-    stream.
+    Each member goes to the tile pairs (its tile, each of the first `meets` tiles); a pair of members meets in the one
+    pair of their tiles, and is compared in the first band that it shares. Tiles are sorted by and read as a stream.
     """
     kind = members.schema["doc_id"].dataType.simpleString()
-    other = F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1)).alias("other")
+    other = F.explode(F.sequence(F.lit(0), F.col("meets") - 1)).alias("other")
     dealt = members.select("bucket", "tile", other, "band", "doc_id", "component", "keys", "wide")
     dealt = dealt.select("bucket", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), (F.col("tile") > F.col("other")).alias("second"), "band", "doc_id", "component", "keys", "wide")
     dealt = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
@@ -349,9 +349,16 @@ def find(
     open_rows = common.staged(placed.join(mixed, "bucket"), "near-dup-open", n_mates)
     wide = wide_sketches(held.join(open_rows.select("doc_id").distinct(), "doc_id", "left_semi"))
     wide = common.staged(wide.join(sketches.select("doc_id", "keys"), "doc_id"), "near-dup-wide", n_weighed, common.TASK_TEXTS)
-    n_tiles = F.ceil(F.col("n") / TILE).cast("int")
-    tile = F.pmod(F.xxhash64("doc_id", "bucket"), n_tiles).cast("int")
-    open_rows = open_rows.join(wide, "doc_id").select("bucket", "band", "doc_id", "component", "keys", "wide", n_tiles.alias("n_tiles"), tile.alias("tile"))
+    # A bucket's largest component is never compared with itself: its members only meet the tiles of the others.
+    shares = open_rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
+    largest = shares.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("largest"))
+    largest = common.staged(largest.select("bucket", F.col("largest.size").alias("size"), F.col("largest.component").alias("largest")), "near-dup-largest", n_buckets)
+    inside = F.col("component") == F.col("largest")
+    own, others = F.ceil(F.col("size") / TILE).cast("int"), F.ceil((F.col("n") - F.col("size")) / TILE).cast("int")
+    tile = F.when(inside, others + F.pmod(F.xxhash64("doc_id", "bucket"), own)).otherwise(F.pmod(F.xxhash64("doc_id", "bucket"), others)).cast("int")
+    meets = F.when(inside, others).otherwise(others + own)
+    open_rows = open_rows.join(largest, "bucket").withColumn("tile", tile).withColumn("meets", meets)
+    open_rows = open_rows.join(wide, "doc_id").select("bucket", "band", "doc_id", "component", "keys", "wide", "meets", "tile")
     more = _tiles(open_rows, most_odd_bits(percent / 100, WIDE_SAMPLE, WIDE_BITS))
     tried = close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = common.staged(more.join(tried, ["a", "b"], "left_anti"), "near-dup-more")
