@@ -8,7 +8,8 @@ segment with the least distance is ranked anew by the exact cosine, in double pr
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do vectors whose
 number of components differs from the query's. Rows that repeat an id count as one candidate each;
-equal scores go to the smaller id. Fewer candidates than k give fewer rows; no query, no rows.
+equal scores go to the smaller id. Fewer candidates than k give fewer rows; no query, no rows. Other columns are
+left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,6 +47,11 @@ def unit(vecs: np.ndarray) -> np.ndarray:
     return vecs / np.maximum(np.linalg.norm(vecs, axis=1, keepdims=True), 1e-300)
 
 
+def halved(vecs: np.ndarray) -> np.ndarray:
+    """Each vector halved or doubled until its largest component is below 1 but not below 1/2: no rounding, no overflow."""
+    return np.ascontiguousarray(np.ldexp(vecs, -np.frexp(np.abs(vecs).max(axis=1))[1][:, None]))
+
+
 def orders(vecs: np.ndarray, pivots: np.ndarray, places: int) -> np.ndarray:
     """The nearest pivots of each vector, nearest first."""
     return np.argsort(-(unit(vecs) @ pivots.T), axis=1, kind="stable")[:, :places].astype(np.int16)
@@ -108,9 +114,8 @@ def search(
                 ids, vecs = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"]).reshape(-1, size)
                 q_ids, q_vecs = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_vectors"]).reshape(-1, size)
                 held = best.setdefault((r["block"], size, r["q_ids"]), vectors.Best(q_ids, k))
-                top = np.abs(vecs).max(axis=1)
-                scaled = vecs / top[:, None]
-                norms = np.linalg.norm(scaled, axis=1)
+                scaled = halved(vecs)
+                norms = np.sqrt((scaled * scaled).sum(axis=1))
                 most = max(LEAST, k + 1, int(np.ceil(share * len(ids))))
                 segment = Segment(np.frombuffer(r["orders"], np.int16).reshape(-1, places), len(pivots)) if r["orders"] and len(ids) > most else None
                 q_orders = orders(q_vecs, pivots, places) if segment else None
@@ -121,8 +126,13 @@ def search(
                         distance = segment.footrule(q_orders[q])[by_id]
                         near = by_id[np.argsort(distance, kind="stable")[:most]]
                     near = near[ids[near] != q_id]
-                    own = q_vecs[q] / np.abs(q_vecs[q]).max()
-                    scores = scaled[near] @ own / (norms[near] * np.linalg.norm(own))
+                    own = halved(q_vecs[q : q + 1])
+                    length = np.sqrt((own * own).sum(axis=1))
+                    scores = scaled[near] @ own[0] / (norms[near] * length)
+                    if len(near) > k:  # what may be among the k best, with a margin for rounding
+                        near = near[scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - 1e-9]
+                    # Row sums of products round alike wherever a row stands, so that equal vectors tie.
+                    scores = (scaled[near] * own).sum(axis=1) / (norms[near] * length)
                     first = np.lexsort((ids[near], -scores))[:k]
                     held.add(q, scores[first].tolist(), ids[near][first].tolist())
         out = [x for b in best.values() for x in b.rows()]
