@@ -10,7 +10,9 @@ For each query a task takes the annuli with the best bound first and stops at th
 below its k-th best; within an annulus only the rows whose own bound may still count are scored.
 
 The bound is widened by a rounding margin and scores are whole numbers, exact below 2^53; beyond that
-Python's integers take over (scores beyond 64 bits are an error). Vectors that are null or hold null or non-finite components take no part,
+Python's integers take over. Whole components of 2^53 or more and scores beyond 64 bits are errors. Rows that repeat an
+id are candidates of their own with one entry each score; an empty table gives no rows; other columns are left out,
+whatever their names. Vectors that are null or hold null or non-finite components take no part,
 nor do vectors whose number of components differs from the query's. Equal scores go to the smaller id.
 """
 
@@ -56,9 +58,12 @@ def scores_of(vecs: np.ndarray, query: np.ndarray) -> list[int]:
 def search(df: DataFrame, queries: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", n_pivots: int = PIVOTS) -> DataFrame:
     """(query_id, rank, vec_id, score long): for each row that `queries` (over vec_id) marks, its k best among all other rows."""
     rows = vectors.plain(df, id_col, vec_col)
-    rows = rows.withColumn("vec", F.transform("vec", lambda x: F.floor(x * float(scale)).cast("double")))
+    rows = rows.withColumn("vec", F.transform("vec", lambda x: F.when(F.abs(x * float(scale)) < EXACT, F.floor(x * float(scale)).cast("double")).otherwise(EXACT)))
     square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
-    largest = rows.agg(F.max(square)).first()[0] or 0.0
+    found = rows.agg(F.max(square).alias("square"), F.max(F.array_max(F.transform("vec", lambda x: F.abs(x)))).alias("most")).first()
+    largest = found["square"] or 0.0
+    if (found["most"] or 0.0) >= EXACT:
+        raise ValueError(f"components of 2^53 / {scale} or more cannot be turned into whole numbers exactly")
     chosen = choose_pivots(rows, n_pivots)
     shared = df.sparkSession.sparkContext.broadcast((chosen, largest))
 
@@ -126,6 +131,8 @@ def search(df: DataFrame, queries: Column, k: int = 5, scale: int = 256, id_col:
                         top = sorted(zip([-s for s in scores], ids[near].tolist()))[:k]
                         held.add(q, [-s for s, _ in top], [i for _, i in top])
         out = [x for b in best.values() for x in b.rows()]
+        if any(not -(1 << 63) <= x[2] < 1 << 63 for x in out):
+            raise ValueError("an inner product does not fit 64 bits")
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], ["query_id", "vec_id", "score"])
 
     return vectors.ranked(pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint"), k)
