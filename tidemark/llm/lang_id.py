@@ -5,10 +5,12 @@ is not known counts by the mean of its longest known n-grams: those of four char
 known, else of three, of two, of one. A text's language is the one with the largest sum.
 
 The model is fitted on labelled rows drawn by a hash of their id, about `SAMPLE` of them at any
-size of the input, so that what is collected and broadcast has a bound.
+size of the input; of their words and n-grams the `MOST_NAMES` most frequent of each kind are kept, so that what
+is collected and sent to tasks has a bound however long the texts are.
 
-Texts: null texts and texts without a letter get `und` and the score 0. Repeated rows each give a
-row; an empty table gives an empty one; without labelled rows every text is `und`.
+Texts: null texts and texts without a letter get `und` and the score 0. Where languages tie, the first by name
+wins. Repeated rows each give a row; existing columns lang_pred and score are replaced, others stay whatever
+their names; an empty table gives an empty one; without labelled rows every text is `und`.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from tidemark.llm import common
 #: Labelled documents drawn for the fit, about; words seen fewer times than LEAST_COUNT are left to their n-grams.
 SAMPLE = 6000
 LEAST_COUNT = 3
+MOST_NAMES = 200_000
 LONGEST = 4
 UNKNOWN = "und"
 #: Unseen words whose scores each worker keeps.
@@ -103,8 +106,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     marked = F.concat(F.lit("<"), "word", F.lit(">"))
     spans = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length(marked))), lambda n: F.transform(F.sequence(F.lit(1), F.length(marked) - n + 1), lambda i: F.substring(marked, i, n))))
     grams = counts.select("lang", "count", F.explode(spans).alias("gram")).groupBy("lang", "gram").agg(F.sum("count").alias("count"))
-    word_rows = counts.where(F.col("count") >= LEAST_COUNT).collect()  # bounded by the sample
-    gram_rows = grams.where(F.col("count") >= LEAST_COUNT).collect()
+    order = F.desc("count"), "lang"
+    word_rows = counts.where(F.col("count") >= LEAST_COUNT).orderBy(*order, "word").limit(MOST_NAMES).collect()  # bounded
+    gram_rows = grams.where(F.col("count") >= LEAST_COUNT).orderBy(*order, "gram").limit(MOST_NAMES).collect()
     counts.unpersist()
     langs = sorted({r["lang"] for r in word_rows} | {r["lang"] for r in gram_rows})
     by_size: dict[int, list] = {n: [] for n in range(1, LONGEST + 1)}
