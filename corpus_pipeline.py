@@ -3,6 +3,12 @@
 Language id drops documents without a letter or without a clear language; line dedup leaves lines that
 stand in many documents in the first of them only; near-dedup keeps one document of each group; mixing takes each source's
 documents as often as its target asks; the last stage encodes what is left and decodes it again.
+
+Odd rows: null texts and texts without a letter leave in the first stage. Rows without an id stay through all
+stages (near-dedup never takes them for copies). Repeated rows are documents of their own: the second of two equal rows
+keeps its lines and, as both carry the same id, both stay in near-dedup. Texts that lose all lines stay empty until the
+mix, which never takes a document without words. Extra columns stay up to the mix whatever their names; n_chars
+follows the text. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -66,7 +72,7 @@ STAGES = [
     ("sentencepiece", encode_pieces),
 ]
 
-#: SQL cannot express the learnt and hashed stages; tests hold the run against brute force.
+#: SQL cannot express the learnt and hashed stages; tests hold run() against a pipeline of plain loops.
 ORACLE_SQL = None
 
 

@@ -30,7 +30,7 @@ from tidemark.llm import common
 BITS_A_LINE = 12
 MOST_BITS = 1 << 30
 SEGMENT_BITS = 1 << 16
-BROADCAST_KEYS = 1_000_000
+BROADCAST_KEYS = 100_000
 
 
 def key_of(line: bytes) -> bytes:

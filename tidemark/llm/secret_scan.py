@@ -8,7 +8,8 @@ a source or a text that is very common costs no more than others.
 
 Texts: null counts as empty, an empty text has no spans; repeated rows each give a row; an empty
 table gives an empty one. Of matches of one rule that overlap, the leftmost holds; spans of
-different rules may overlap and are ordered by start, then by the rules' order.
+different rules may overlap and are ordered by start, then by the rules' order. Columns other than the id and the
+text are left out, whatever their names.
 """
 
 from __future__ import annotations
