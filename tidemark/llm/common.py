@@ -48,7 +48,7 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 #: Rows of keys and numbers that a task of a small table has, about; and of texts or sets.
-TASK_ROWS, TASK_TEXTS = 20_000, 4_000
+TASK_ROWS, TASK_TEXTS = 100_000, 8_000
 
 
 def staged(df: DataFrame, name: str, rows: int | None = None, each: int = TASK_ROWS) -> DataFrame:

@@ -235,7 +235,7 @@ def components(links: DataFrame) -> DataFrame:
     labels = common.staged(ends.groupBy("doc_id").agg(F.min("other").alias("other")).select("doc_id", F.least("doc_id", "other").alias("component_id")), "near-dup-labels", rows)
     while True:
         offered = ends.join(labels.select(F.col("doc_id").alias("other"), "component_id"), "other").select("doc_id", "component_id")
-        better = common.staged(offered.union(labels).groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "near-dup-labels", rows)
+        better = offered.union(labels).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))  # both uses share its shuffle
         jumped = better.join(better.select(F.col("doc_id").alias("component_id"), F.col("component_id").alias("root")), "component_id")
         following = common.staged(jumped.select("doc_id", F.least("component_id", "root").alias("component_id")), "near-dup-labels", rows)
         changed = following.join(labels.withColumnRenamed("component_id", "before"), "doc_id").where("component_id <> before")
@@ -316,22 +316,19 @@ def find(
     classes = common.staged(classes, "near-dup-classes", n_docs)
     n_classes = classes.count()
     # An id may stand on several rows; its rows then belong together.
-    members = common.staged(named.select("doc_id", "set_hash").join(classes, "set_hash").select("doc_id", "class_id"), "near-dup-members", n_docs)
+    members = named.select("doc_id", "set_hash").join(classes, "set_hash").select("doc_id", "class_id")
     same = members.where(F.col("doc_id") != F.col("class_id")).select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
     heads = named.join(classes.select("set_hash", F.col("class_id").alias("doc_id")), ["set_hash", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_hash"])
     heads = heads.select("doc_id", "keys", "sketch")
     band_rows = heads.select("doc_id", F.posexplode("keys").alias("band", "key")).select("doc_id", "band", F.xxhash64("band", "key").alias("bucket"))
     counts = band_rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    counts = common.staged(counts, "near-dup-buckets", n_classes * bands)
     mates = common.staged(band_rows.join(counts, "bucket"), "near-dup-mates", n_classes * bands)
-    n_mates, n_buckets = mates.count(), counts.count()
+    n_mates = mates.count()
     weights = common.staged(mates.groupBy("doc_id").agg(F.sum("n").alias("weight")), "near-dup-weights", n_mates)
     n_weighed = weights.count()
     weighed = mates.join(weights, "doc_id")
     centres = weighed.groupBy("bucket").agg(F.min(F.struct((-F.col("weight")).alias("weight"), "doc_id"))["doc_id"].alias("centre"))
-    centres = common.staged(centres, "near-dup-centres", n_buckets)
     stars = mates.join(centres, "bucket").where(F.col("doc_id") != F.col("centre")).select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
-    stars = common.staged(stars, "near-dup-stars", n_mates)
     held = full_sets(docs, weights.select("doc_id"), shingle, n_weighed)  # whatever shares a bucket
     sketches = heads.join(weights.select("doc_id"), "doc_id", "left_semi")
     sketches = common.staged(sketches, "near-dup-sketches", n_weighed)
@@ -345,14 +342,13 @@ def find(
     placed = mates.select("doc_id", "band", "bucket").join(labels, "doc_id", "left").select("bucket", "band", "doc_id", F.coalesce("component_id", "doc_id").alias("component"))
     placed = common.staged(placed, "near-dup-placed", n_mates)
     mixed = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("bucket", "n")
-    mixed = common.staged(mixed, "near-dup-mixed", n_buckets)
     open_rows = common.staged(placed.join(mixed, "bucket"), "near-dup-open", n_mates)
     wide = wide_sketches(held.join(open_rows.select("doc_id").distinct(), "doc_id", "left_semi"))
     wide = common.staged(wide.join(sketches.select("doc_id", "keys"), "doc_id"), "near-dup-wide", n_weighed, common.TASK_TEXTS)
     # A bucket's largest component is never compared with itself: its members only meet the tiles of the others.
     shares = open_rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
     largest = shares.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("largest"))
-    largest = common.staged(largest.select("bucket", F.col("largest.size").alias("size"), F.col("largest.component").alias("largest")), "near-dup-largest", n_buckets)
+    largest = largest.select("bucket", F.col("largest.size").alias("size"), F.col("largest.component").alias("largest"))
     inside = F.col("component") == F.col("largest")
     own, others = F.ceil(F.col("size") / TILE).cast("int"), F.ceil((F.col("n") - F.col("size")) / TILE).cast("int")
     tile = F.when(inside, others + F.pmod(F.xxhash64("doc_id", "bucket"), own)).otherwise(F.pmod(F.xxhash64("doc_id", "bucket"), others)).cast("int")
