@@ -233,7 +233,7 @@ def entities_decoded(d: Domain) -> DataFrame:
 
 @query("fn_10_calendar_lines", "SELECT page_id, 'Line ' || page_id || ', with; marks' || chr(10) || 'and \\ more' AS line FROM pages")
 def calendar_lines(d: Domain) -> DataFrame:
-    said = F.concat(F.lit("Li\r\n ne "), "page_id", F.lit("\\, with\; ma\n\trks\\nand \\\\ more"))
+    said = F.concat(F.lit("Li\r\n ne "), "page_id", F.lit("\\, with\\; ma\n\trks\\nand \\\\ more"))
     return d.raw("pages").select("page_id", text.calendar_text(said).alias("line"))
 
 

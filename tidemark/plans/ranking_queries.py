@@ -172,8 +172,11 @@ def vote_counts(d: Domain) -> DataFrame:
 
 @query("agg_04_weighted_mean", "SELECT link_id, round(taste, 9) AS taste FROM taste")
 def weighted_mean(d: Domain) -> DataFrame:
-    labels = ranking.effective_labels(d.labels(), d.suggestions(), VIEWER).join(nearest_ancestor(d), "topic", "left")
-    return labels.groupBy("link_id").agg(F.round(aggregates.weighted_mean(F.coalesce("score", F.lit(0.5)), F.col("p")), 9).alias("taste"))
+    labels = ranking.effective_labels(d.labels(), d.suggestions(), VIEWER)
+    own = d.suggestions().where(F.col("suggested_by") == VIEWER)
+    scores = ranking.viewer_scores(ranking.preferences(d.votes().where(F.col("voter") == VIEWER), d.labels(), own), d.overrides(), VIEWER)
+    topics = hierarchy.nearest_ancestor(labels.select("topic").distinct(), [], "topic", scores, "topic_id", "score", 0.5)
+    return labels.join(topics, "topic").groupBy("link_id").agg(F.round(aggregates.weighted_mean(F.col("score"), F.col("p")), 9).alias("taste"))
 
 
 @query(
