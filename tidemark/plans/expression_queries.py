@@ -243,7 +243,7 @@ def one_lines(d: Domain) -> DataFrame:
     return d.raw("part").select("p_partkey", text.one_line(F.concat(F.lit(" a\n\t"), name, F.lit("  b "))).alias("line"), text.markdown_escaped(F.concat(F.lit("*"), F.replace(name, F.lit(" "), F.lit("_")), F.lit("[x]"))).alias("escaped"), F.replace(F.url_encode(F.concat(name, F.lit("/x"))), F.lit("+"), F.lit("%20")).alias("encoded"))
 
 
-@query("fn_12_contained_names", "SELECT doc_id, len(list_filter(range(1, len(w) - 1), lambda i: w[i] = w[2] AND w[i + 1] = w[3])) > 0 AS inside, len(w) AS n FROM (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(replace(lower(text), '’', ''''), '''s\\b', '', 'g'), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents)")
+@query("fn_12_contained_names", "SELECT doc_id, len(list_filter(range(1, len(w)), lambda i: w[i] = w[2] AND w[i + 1] = w[3])) > 0 AS inside, len(w) AS n FROM (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(replace(lower(text), '’', ''''), '''s\\b', '', 'g'), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents)")
 def contained_names(d: Domain) -> DataFrame:
     rows = d.raw("documents").select("doc_id", text.name_words(F.col("text")).alias("w"))
     return rows.select("doc_id", (F.size("w") > 2).__and__(text.contains_words(F.col("w"), F.slice("w", 2, 2))).alias("inside"), F.size("w").cast("long").alias("n"))
