@@ -6,6 +6,7 @@ import html.parser
 import json
 import re
 from collections.abc import Iterator
+from itertools import islice
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
@@ -23,6 +24,8 @@ BOLD = frozenset(["b", "strong"])
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Keys of structured data whose objects are not what a page is about.
 NOT_ABOUT = frozenset(["author", "creator", "publisher", "isPartOf"])
+#: Types of structured data that are someone, and link types that are feeds.
+WHO = frozenset(["Person", "Organization", "NewsMediaOrganization", "Corporation"])
 FEED_TYPES = frozenset(["application/rss+xml", "application/atom+xml", "application/feed+json", "application/json"])
 SECTIONS = "array<struct<heading:string,text:string>>"
 SIGNALS = "struct<canonical:string,title:string,description:string,author:string,feeds:array<string>,rel_me:array<string>,same_as:array<string>,author_urls:array<string>>"
@@ -125,13 +128,17 @@ def linked_objects(page: str) -> list[object]:
     return out
 
 
-def _nodes(node: object, under: bool = False) -> Iterator[tuple[dict, bool]]:
-    for child in node if isinstance(node, list) else ():
-        yield from _nodes(child, under)
+def _nodes(node: object, under: bool = False, depth: int = 0) -> Iterator[tuple[dict, bool]]:
+    """Every object of structured data, down to MOST_DEPTH, and whether it hangs under a key of NOT_ABOUT."""
+    if depth > MOST_DEPTH:
+        return
     if isinstance(node, dict):
         yield node, under
         for key, value in node.items():
-            yield from _nodes(value, under or key in NOT_ABOUT)
+            yield from _nodes(value, under or key in NOT_ABOUT, depth + 1)
+    elif isinstance(node, list):
+        for child in node:
+            yield from _nodes(child, under, depth)
 
 
 def declared_of(page: str) -> list[dict[str, str]]:
@@ -158,77 +165,73 @@ def with_declared(pages: DataFrame, html_col: str = "html", name: str = "declare
     return pages.withColumn(name, read(html_col))
 
 
-class _Tags(html.parser.HTMLParser):
-    def __init__(self) -> None:
+class _Relations(html.parser.HTMLParser):
+    """A page's title, meta values (the first of each name), and what its links relate to, by rel."""
+
+    def __init__(self, url: str) -> None:
         super().__init__()
-        self.tags: list[tuple[str, dict[str, str]]] = []
-        self.title: list[str] = []
+        self.base, self.title, self.said = url, "", {}
+        self.related: dict[str, list[tuple[str, str]]] = {}
         self.inside = False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.tags.append((tag, {k: v or "" for k, v in attrs}))
+        given = {k: (v or "").strip() for k, v in attrs}
         self.inside = tag == "title" and not self.title
+        if tag == "base" and given.get("href"):
+            self.base = urljoin(self.base, given["href"])
+        elif tag == "meta" and given.get("content"):
+            self.said.setdefault((given.get("property") or given.get("name", "")).lower(), given["content"])
+        elif tag in ("a", "link") and given.get("href"):
+            for rel in given.get("rel", "").lower().split():
+                self.related.setdefault(rel, []).append((given["href"], given.get("type", "").lower()))
 
     def handle_endtag(self, tag: str) -> None:
         self.inside = False
 
     def handle_data(self, data: str) -> None:
         if self.inside:
-            self.title.append(data)
+            self.title += data
 
+    def urls(self, found: list[object]) -> list[str]:
+        """Absolute urls of references, each once, the first MOST_ITEMS."""
+        out: dict[str, None] = {}
+        for x in found:
+            if isinstance(x, str) and x.strip():
+                try:
+                    whole = urljoin(self.base, x.strip())
+                    if urlsplit(whole).scheme:
+                        out[whole] = None
+                except ValueError:
+                    continue  # no url
+        return list(out)[:MOST_ITEMS]
 
-def signals_of(page: str, url: str) -> dict[str, object]:
-    """What a page says of itself: canonical url, title, author, feeds, profiles; urls absolute, each once, at most MOST_ITEMS."""
-    reader = _Tags()
-    reader.feed(page)
-    base = next((urljoin(url, a["href"]) for t, a in reader.tags if t == "base" and a.get("href")), url)
-
-    def absolute(value: object) -> str | None:
-        if not isinstance(value, str) or not value.strip():
-            return None
-        try:
-            found = urljoin(base, value.strip())
-            return found if urlsplit(found).scheme else None
-        except ValueError:
-            return None
-
-    def listed(values: Iterator) -> list[str]:
-        return list(dict.fromkeys(v for v in values if v))[:MOST_ITEMS]
+    def of(self, rel: str) -> list[str]:
+        return [href for href, _ in self.related.get(rel, [])]
 
-    def meta(*names: str) -> str | None:
-        said = {(a.get("property") or a.get("name") or "").lower(): a.get("content", "").strip() for t, a in reversed(reader.tags) if t == "meta"}
-        return next((said[n] for n in names if said.get(n)), None)
 
-    def linked(rel: str, *tags: str) -> list[str | None]:
-        return [absolute(a.get("href")) for t, a in reader.tags if t in tags and rel in a.get("rel", "").lower().split()]
+def _each(node: dict, key: str) -> list[object]:
+    """A key's values, whether it has one or a list of them."""
+    value = node.get(key, [])
+    return value if isinstance(value, list) else [value]
 
-    nodes: list[dict] = []
 
-    def walk(value: object, depth: int) -> None:
-        if depth > MOST_DEPTH or len(nodes) > MOST_NODES:
-            return
-        for item in value if isinstance(value, list) else ():
-            walk(item, depth + 1)
-        if isinstance(value, dict):
-            nodes.append(value)
-            for key in ("@graph", "mainEntity", "author", "creator", "publisher", "about"):
-                walk(value.get(key), depth + 1)
-
-    for root in linked_objects(page):
-        walk(root, 0)
-    as_list = lambda x: x if isinstance(x, list) else [] if x is None else [x]
-    people = [n for n in nodes if {"Person", "Organization", "NewsMediaOrganization", "Corporation"} & {t for t in as_list(n.get("@type")) if isinstance(t, str)}]
-    authors = [a for n in nodes for a in as_list(n.get("author")) if isinstance(a, dict)]
-    feeds = (absolute(a.get("href")) for t, a in reader.tags if t == "link" and "alternate" in a.get("rel", "").lower().split() and a.get("type", "").lower().strip() in FEED_TYPES)
+def signals_of(page: str, url: str) -> dict[str, object]:
+    """What a page says of itself: canonical url, title, description, author, feeds and profiles."""
+    page_says = _Relations(url)
+    page_says.feed(page)
+    data = [node for node, _ in islice((x for root in linked_objects(page) for x in _nodes(root)), MOST_NODES)]
+    written = [a for node in data for a in _each(node, "author") if isinstance(a, dict)]
+    profiles = [x for node in data if WHO.intersection(map(str, _each(node, "@type"))) for x in _each(node, "sameAs")]
+    said = page_says.said
     return {
-        "canonical": next(iter(listed(linked("canonical", "link"))), None),
-        "title": meta("og:title") or " ".join("".join(reader.title).split()) or None,
-        "description": meta("description", "og:description"),
-        "author": meta("author") or next((a["name"] for a in authors if isinstance(a.get("name"), str)), None),
-        "feeds": listed(feeds),
-        "rel_me": listed(iter(linked("me", "link") + linked("me", "a"))),
-        "same_as": listed(absolute(x) for n in people for x in as_list(n.get("sameAs"))),
-        "author_urls": listed(iter(linked("author", "link") + linked("author", "a") + [absolute(a.get("url")) for a in authors])),
+        "canonical": next(iter(page_says.urls(page_says.of("canonical"))), None),
+        "title": said.get("og:title") or " ".join(page_says.title.split()) or None,
+        "description": said.get("description") or said.get("og:description"),
+        "author": said.get("author") or next((str(a["name"]) for a in written if a.get("name")), None),
+        "feeds": page_says.urls([href for href, kind in page_says.related.get("alternate", []) if kind in FEED_TYPES]),
+        "rel_me": page_says.urls(page_says.of("me")),
+        "same_as": page_says.urls(profiles),
+        "author_urls": page_says.urls([*page_says.of("author"), *(a.get("url") for a in written)]),
     }
 
 
