@@ -10,8 +10,8 @@ For each query a task takes the annuli with the best bound first and stops at th
 below its k-th best; within an annulus only the rows whose own bound may still count are scored.
 
 The bound is widened by a rounding margin and scores are whole numbers, exact below 2^53; beyond that
-Python's integers take over. Whole components of 2^53 or more and scores beyond 64 bits are errors. Rows that repeat an
-id are candidates of their own with one entry each score; an empty table gives no rows; other columns are left out,
+Python's integers take over. Whole components of 2^53 or more and scores beyond 64 bits are errors. Rows that repeat an id give that id
+once for each of their scores; an empty table gives no rows; other columns are left out,
 whatever their names. Vectors that are null or hold null or non-finite components take no part,
 nor do vectors whose number of components differs from the query's. Equal scores go to the smaller id.
 """
