@@ -11,6 +11,7 @@ from tidemark.plans.registry import query
 
 
 def feed(d: Domain) -> DataFrame:
+    d = d.with_facts()
     return ranking.ranked_feed(d.links(), d.labels(), d.suggestions(), d.votes(), d.overrides(), VIEWER, AS_OF, HALF_LIFE_DAYS)
 
 
@@ -29,6 +30,7 @@ def ranked_page(d: Domain) -> DataFrame:
     "SELECT voter, topic_id, round(likes, 6) AS likes, round(dislikes, 6) AS dislikes, round(1 + likes, 6) AS alpha, round(1 + dislikes, 6) AS beta, n_votes, n_up, n_down FROM preferences",
 )
 def topic_preferences(d: Domain) -> DataFrame:
+    d = d.with_facts()
     rows = ranking.preferences(d.votes(), d.labels(), d.suggestions())
     return rows.select("voter", "topic_id", *(F.round(c, 6).alias(c) for c in ("likes", "dislikes", "alpha", "beta")), "n_votes", "n_up", "n_down")
 
