@@ -175,6 +175,99 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+def op11_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import line_quality
+
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    model = line_quality.fit(docs, labels.where(~held))
+    return line_quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted", "quality")
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import turn_repair
+
+    found = turn_repair.repair(turn_repair.damage(_table(spark, sf_dir, "conversations")))
+    return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(F.array_join("repaired", "\n"), 256).alias("repaired_sha256"))
+
+
+#: By recursion over rows and the four endings, with moves and inserts as tables; the repaired turns come from running counts.
+OP12_SQL = r"""
+WITH RECURSIVE bytes AS (
+  SELECT b, b AS crc, 0 AS step FROM (SELECT unnest(range(256)) AS b)
+  UNION ALL
+  SELECT b, CASE WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END, step + 1 FROM bytes WHERE step < 8
+), crcs AS (SELECT list(crc ORDER BY b) AS entries FROM bytes WHERE step = 8
+), keyed AS (
+  SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+), keys AS (SELECT DISTINCT key FROM keyed
+), hashes AS (
+  SELECT key, 0 AS i, 4294967295 AS crc FROM keys
+  UNION ALL
+  SELECT key, i + 1, xor(crc >> 8, (SELECT entries FROM crcs)[1 + (xor(crc, ascii(substr(key, i + 1, 1))) & 255)]) FROM hashes WHERE i < length(key)
+), kinds AS (SELECT key, xor(crc, 4294967295) % 20 AS kind FROM hashes WHERE i = length(key)
+), hurt AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text
+  FROM keyed JOIN kinds USING (key), unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) WHERE kind <> 0
+), placed AS (
+  SELECT *, row_number() OVER w AS n,
+         substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER w || substr(role, 1, 1) AS pair,
+         regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last
+  FROM hurt WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), again AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) AS again FROM placed
+), judged AS (
+  SELECT *, CASE WHEN last = '' THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM again
+), counted AS (
+  SELECT c.conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps,
+         count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+         count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, count(n) AS rows
+  FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN judged j ON c.conv_id IS NOT DISTINCT FROM j.conv_id GROUP BY c.conv_id
+), moves(prev, state, letter) AS (
+  VALUES ('e', 'e', ''), ('s', 's', ''), ('u', 'u', ''), ('a', 'a', ''), ('e', 's', 's'), ('e', 'u', 'u'), ('s', 'u', 'u'), ('a', 'u', 'u'), ('u', 'a', 'a')
+), inserts(prev, state, added) AS (
+  VALUES ('e', 'e', ''), ('s', 's', ''), ('u', 'u', ''), ('a', 'a', ''), ('e', 'u', 'I'), ('e', 'a', 'II'), ('s', 'u', 'I'), ('s', 'a', 'II'), ('u', 'a', 'I'), ('a', 'u', 'I')
+), best AS (
+  SELECT conv_id, 0 AS n, state, CAST(2 * length(added) AS BIGINT) AS cost, added AS audit FROM counted, inserts WHERE prev = 'e'
+  UNION ALL
+  SELECT conv_id, n, state, min(cost), arg_min(audit, (cost, audit)) FROM (
+    SELECT b.conv_id, j.n, ins.state, b.cost + 2 * length(ins.added)
+             + CASE WHEN m.letter = '' THEN 3 ELSE CAST(j.fault = 'truncated' AS BIGINT) + CASE WHEN m.letter = j.initial THEN 0 ELSE 2 END END AS cost,
+           b.audit || CASE WHEN m.letter = '' THEN 'D' WHEN m.letter = j.initial THEN 'K' ELSE 'R' END || ins.added AS audit
+    FROM best b JOIN judged j ON j.conv_id IS NOT DISTINCT FROM b.conv_id AND j.n = b.n + 1
+    JOIN moves m ON m.prev = b.state AND (m.letter = '' OR j.fault NOT IN ('blank', 'duplicate') AND (m.letter <> 's' OR j.initial = 's'))
+    JOIN inserts ins ON ins.prev = m.state
+  ) GROUP BY conv_id, n, state
+), chosen AS (
+  SELECT c.*, b.cost, b.audit FROM counted c JOIN (
+    SELECT conv_id, n, min(cost) AS cost, arg_min(audit, (cost, audit)) AS audit FROM best WHERE state IN ('e', 'a') GROUP BY conv_id, n
+  ) b ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND c.rows = b.n
+), letters AS (
+  SELECT conv_id, i, substr(audit, i, 1) AS letter FROM chosen, unnest(range(1, length(audit) + 1)) AS t(i)
+), reads AS (
+  SELECT *, count(*) FILTER (WHERE letter <> 'I') OVER w AS n, count(*) FILTER (WHERE letter <> 'D') OVER w AS place
+  FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY i)
+), written AS (
+  SELECT r.conv_id, r.i, place, letter, j.role, CASE WHEN letter = 'I' THEN '' ELSE j.text END AS text,
+         max(CAST(place = 1 AND letter = 'K' AND j.initial = 's' AS INTEGER)) OVER (PARTITION BY r.conv_id) AS headed
+  FROM reads r LEFT JOIN judged j ON r.conv_id IS NOT DISTINCT FROM j.conv_id AND r.n = j.n WHERE letter <> 'D'
+), repaired AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (place + headed) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY i) AS body
+  FROM written GROUP BY conv_id
+)
+SELECT c.conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM chosen c LEFT JOIN repaired r ON c.conv_id IS NOT DISTINCT FROM r.conv_id
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import whitening
+
+    vectors = whitening.integers(_table(spark, sf_dir, "embeddings"))
+    return whitening.by_component(vectors, whitening.fit(vectors))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_sentencepiece": op2_sentencepiece,
@@ -186,6 +279,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_topk": op8_exact_topk,
     "op9_html_text": op9_html_text,
     "op10_source_mix": op10_source_mix,
+    "op11_line_quality": op11_line_quality,
+    "op12_turn_repair": op12_turn_repair,
+    "op13_whitening": op13_whitening,
 }
 
-ORACLES: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op8_exact_topk": OP8_SQL, "op10_source_mix": OP10_SQL}
+ORACLES: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op8_exact_topk": OP8_SQL, "op10_source_mix": OP10_SQL, "op12_turn_repair": OP12_SQL}
