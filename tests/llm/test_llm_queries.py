@@ -176,6 +176,25 @@ def test_near_duplicates_without_ids_and_on_several_rows(spark):
     assert near_dup.dedup(df).count() == 5 and near_dup.find(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("errors", [4.5, None])
+def test_ids_on_several_rows_with_different_texts_lose_no_link(spark, errors):
+    """Each of 30 ids has two texts, and each text a near copy of its own; some texts stand under several ids."""
+    from tidemark.llm import near_dup
+
+    rng, rows, parent = random.Random(11), [], {}
+    for k in range(30):
+        for half in (0, 1):
+            words = prose(rng, 60).split()
+            rows += [(k, " ".join(words)), (1000 + 2 * k + half, " ".join(words[:-1] + ["changed"]))]
+            parent[1000 + 2 * k + half] = k
+    rows += [(7, rows[0][1]), (200, rows[0][1]), (200, prose(rng, 50)), (300, prose(rng, 50))]
+    want = {i: 0 if p in (0, 7) else p for i, p in {**parent, **{k: k for k in range(30)}, 200: 0, 300: 300}.items()}
+    rng.shuffle(rows)
+    found = near_dup.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 2, 80, errors=errors).collect()
+    assert len(found) == len(rows) and {(r["doc_id"], r["component_id"]) for r in found} == set(want.items())
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
+
+
 def test_links_near_the_threshold_are_not_lost(spark):
     """Pairs of sets of equal and unequal sizes at just 0.80 and somewhat above: none is lost by bands or sketches."""
     from tidemark.llm import near_dup

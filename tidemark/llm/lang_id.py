@@ -5,8 +5,8 @@ is not known counts by the mean of its longest known n-grams: those of four char
 known, else of three, of two, of one. A text's language is the one with the largest sum.
 
 The model is fitted on labelled rows drawn by a hash of their id, about `SAMPLE` of them at any
-size of the input; of their words and n-grams the `MOST_NAMES` most frequent of each kind are kept, so that what
-is collected and sent to tasks has a bound however long the texts are.
+size of the input, and of a drawn text at most `PASSAGE` characters in a row, from a place that the hash chooses. That bounds what
+is counted, collected and sent to tasks; no word or n-gram seen `LEAST_COUNT` times in it is left out, and predictions read whole texts.
 
 Texts: null texts and texts without a letter get `und` and the score 0. Where languages tie, the first by name
 wins. Repeated rows each give a row; existing columns lang_pred and score are replaced, others stay whatever
@@ -29,8 +29,8 @@ from tidemark.llm import common
 
 #: Labelled documents drawn for the fit, about; words seen fewer times than LEAST_COUNT are left to their n-grams.
 SAMPLE = 6000
+PASSAGE = 10_000
 LEAST_COUNT = 3
-MOST_NAMES = 200_000
 LONGEST = 4
 UNKNOWN = "und"
 #: Unseen words whose scores each worker keeps.
@@ -101,14 +101,15 @@ def drawn(labelled: DataFrame, id_col: str, sample: int) -> DataFrame:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Counts words and n-grams of the drawn rows by language."""
     rows = drawn(labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()), id_col, sample)
-    words = rows.select(F.col(lang_col).cast("string").alias("lang"), F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
+    place = 1 + F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.greatest(F.length(text_col) - PASSAGE + 1, F.lit(1)))
+    passage = F.substring(F.col(text_col), place.cast("int"), F.lit(PASSAGE))
+    words = rows.select(F.col(lang_col).cast("string").alias("lang"), F.explode(F.regexp_extract_all(F.lower(passage), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     counts = words.groupBy("lang", "word").count().cache()
     marked = F.concat(F.lit("<"), "word", F.lit(">"))
     spans = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length(marked))), lambda n: F.transform(F.sequence(F.lit(1), F.length(marked) - n + 1), lambda i: F.substring(marked, i, n))))
     grams = counts.select("lang", "count", F.explode(spans).alias("gram")).groupBy("lang", "gram").agg(F.sum("count").alias("count"))
-    order = F.desc("count"), "lang"
-    word_rows = counts.where(F.col("count") >= LEAST_COUNT).orderBy(*order, "word").limit(MOST_NAMES).collect()  # bounded
-    gram_rows = grams.where(F.col("count") >= LEAST_COUNT).orderBy(*order, "gram").limit(MOST_NAMES).collect()
+    word_rows = counts.where(F.col("count") >= LEAST_COUNT).collect()  # names of SAMPLE passages
+    gram_rows = grams.where(F.col("count") >= LEAST_COUNT).collect()
     counts.unpersist()
     langs = sorted({r["lang"] for r in word_rows} | {r["lang"] for r in gram_rows})
     by_size: dict[int, list] = {n: [] for n in range(1, LONGEST + 1)}

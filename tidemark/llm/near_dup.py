@@ -1,7 +1,8 @@
 """Near-duplicate documents: MinHash bands, odd sketches, exact confirmation, components.
 
 1. A document is the set of its distinct word shingles. Documents with the same set fall into one
-   class (a 128-bit hash of the sorted set); only the smallest id of each class goes on.
+   class, named by a 128-bit hash of the sorted set; only classes go on. An id on several rows with different
+   sets joins their classes at the end.
 2. `bands` keys of `rows` MinHash values each put classes into buckets; classes that share no bucket
    are not compared. At a similarity of 0.8 the defaults miss about one link in three million.
 3. The MinHash sample of each class is folded into an odd sketch: every value flips one bit, so that
@@ -9,7 +10,7 @@
    most precisely for high similarities. Pairs whose estimate is below the threshold by several
    standard errors are dropped; all others are confirmed on the full sets.
 4. First round: in every bucket all members are compared with one of them, the class with the most
-   bucket mates overall (ties: the smallest id). This joins a large group of near copies through its
+   bucket mates overall (ties: the smallest hash). This joins a large group of near copies through its
    centre with as many pairs as members. Confirmed pairs are united to components.
 5. Second round, so that no link is lost: buckets that still hold two components or more are dealt out
    in tiles of bounded size; members of the bucket's largest component meet only the tiles of the others, so that
@@ -22,7 +23,7 @@ No pair rows are made for members of one component, for copies, or for sketches
 
 Texts: A-Z are lower-cased, words are runs without white space; with fewer words than a shingle takes,
 the whole row of words is the one shingle; null texts and texts without words have an empty set and are
-linked with nothing. Repeated rows are copies of each other and share their id's component. Rows without
+linked with nothing. Repeated rows share their id's component, whether their texts are equal or not. Rows without
 an id have no component and are not kept. An empty table gives an empty one.
 """
 
@@ -115,17 +116,19 @@ def odd_sketches(values: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8), axis=1)
 
 
-def most_odd_bits(threshold: float, n: int, bits: int = SKETCH_BITS) -> int:
-    """The largest population count of an XOR of sketches that a pair at the threshold may well have.
+def most_odd_bits(threshold: float, n: int, bits: int = SKETCH_BITS, errors: float | None = STANDARD_ERRORS) -> int:
+    """The largest population count of an XOR of sketches that a pair at the threshold may well have; all bits without errors.
 
     Two errors add up: the sample's (n values) and the folding's (bits that even numbers of values hit).
     """
+    if errors is None:
+        return bits
     apart = 2 * n * (1 - threshold)
     expected = bits / 2 * (1 - (1 - 2 / bits) ** apart)
     slope = (1 - 2 / bits) ** apart
     sample = 2 * n * (threshold * (1 - threshold) / n) ** 0.5 * slope
     folding = (bits / 4 * max(1 - slope**2 - 2 * apart / bits * slope**2 * 2, 0.0)) ** 0.5
-    return int(expected + STANDARD_ERRORS * (sample**2 + folding**2) ** 0.5) + 1
+    return int(expected + errors * (sample**2 + folding**2) ** 0.5) + 1
 
 
 def signatures(docs: DataFrame, shingle: int, rows: int, bands: int) -> DataFrame:
@@ -173,24 +176,24 @@ def _close(sketch_a: str, sketch_b: str, most: int):
     return total <= most
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, shingle: int, rows: int) -> DataFrame:
-    """(doc_id, members) of the documents that ids (doc_id) names, staged: their shingles' sorted hashes."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def full_sets(docs: DataFrame, nodes: DataFrame, classes: DataFrame, shingle: int, rows: int) -> DataFrame:
+    """(node, members) of nodes (node), staged: their shingles' sorted hashes, read from the rows of each class's smallest id."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in common.freeing(batches):
             for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                flat, sizes = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), shingle)
-                ends, raw = np.cumsum(sizes), flat.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([raw[8 * (e - n) : 8 * e] for e, n in zip(ends.tolist(), sizes.tolist())], pa.binary())], ["doc_id", "members"])
+                flat, sizes = shingle_sets(whole.slice(at, 512).column(1).cast(pa.binary()).to_pylist(), shingle)
+                raw = flat.tobytes()
+                each = [raw[8 * (e - n) : 8 * e] for e, n in zip(np.cumsum(sizes).tolist(), sizes.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in each], pa.binary()), pa.array(each, pa.binary())], ["node", "members"])
 
-    return common.staged(docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, f"doc_id {kind}, members binary").dropDuplicates(["doc_id"]), "near-dup-sets", rows, common.TASK_TEXTS)
+    ids = classes.join(nodes, "node", "left_semi").select(F.col("class_id").alias("doc_id")).distinct()
+    read = docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "node binary, members binary").dropDuplicates(["node"])
+    return common.staged(read.join(nodes, "node", "left_semi"), "near-dup-sets", rows, common.TASK_TEXTS)
 
 
 def wide_sketches(held: DataFrame) -> DataFrame:
-    """(doc_id, wide): the finer sketches of full sets."""
-    kind = held.schema["doc_id"].dataType.simpleString()
+    """(node, wide): the finer sketches of full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in common.freeing(batches):
@@ -200,16 +203,16 @@ def wide_sketches(held: DataFrame) -> DataFrame:
                 with np.errstate(over="ignore"):
                     values = min_hashes(np.concatenate(each), np.array([len(x) for x in each], np.int64), WIDE_SAMPLE)
                 packed = odd_sketches(values, WIDE_BITS)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in packed], pa.binary())], ["doc_id", "wide"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in packed], pa.binary())], ["node", "wide"])
 
-    return held.mapInArrow(run, f"doc_id {kind}, wide binary")
+    return held.mapInArrow(run, "node binary, wide binary")
 
 
 def confirmed(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    kind, rows = held.schema["doc_id"].dataType.simpleString(), pairs.count()
-    both = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("members").alias("members_a")), "a")
-    both = both.join(held.select(F.col("doc_id").alias("b"), F.col("members").alias("members_b")), "b")
+    rows = pairs.count()
+    both = pairs.join(held.select(F.col("node").alias("a"), F.col("members").alias("members_a")), "a")
+    both = both.join(held.select(F.col("node").alias("b"), F.col("members").alias("members_b")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,40 +223,39 @@ def confirmed(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return common.staged(both.select("a", "b", "members_a", "members_b").mapInArrow(check, f"a {kind}, b {kind}"), "near-dup-links", rows, common.TASK_TEXTS)
+    return common.staged(both.select("a", "b", "members_a", "members_b").mapInArrow(check, "a binary, b binary"), "near-dup-links", rows, common.TASK_TEXTS)
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(doc_id, component_id): the smallest id reachable over links (a, b), for every id that has one.
+    """(node, component_id): the smallest node reachable over links (a, b), for every node that has one.
 
-    Every round each id takes the smallest label among itself and its neighbours, and then the label
+    Every round each node takes the smallest label among itself and its neighbours, and then the label
     of that label; the labels are staged after each round until none changes.
     """
-    ends = links.select(F.col("a").alias("doc_id"), F.col("b").alias("other")).union(links.select("b", "a")).distinct()
+    ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")).distinct()
     rows = 2 * links.count()
     ends = common.staged(ends, "near-dup-ends", rows)
-    labels = common.staged(ends.groupBy("doc_id").agg(F.min("other").alias("other")).select("doc_id", F.least("doc_id", "other").alias("component_id")), "near-dup-labels", rows)
+    labels = common.staged(ends.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("component_id")), "near-dup-labels", rows)
     while True:
-        offered = ends.join(labels.select(F.col("doc_id").alias("other"), "component_id"), "other").select("doc_id", "component_id")
-        better = offered.union(labels).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))  # both uses share its shuffle
-        jumped = better.join(better.select(F.col("doc_id").alias("component_id"), F.col("component_id").alias("root")), "component_id")
-        following = common.staged(jumped.select("doc_id", F.least("component_id", "root").alias("component_id")), "near-dup-labels", rows)
-        changed = following.join(labels.withColumnRenamed("component_id", "before"), "doc_id").where("component_id <> before")
+        offered = ends.join(labels.select(F.col("node").alias("other"), "component_id"), "other").select("node", "component_id")
+        better = offered.union(labels).groupBy("node").agg(F.min("component_id").alias("component_id"))  # both uses share its shuffle
+        jumped = better.join(better.select(F.col("node").alias("component_id"), F.col("component_id").alias("root")), "component_id")
+        following = common.staged(jumped.select("node", F.least("component_id", "root").alias("component_id")), "near-dup-labels", rows)
+        changed = following.join(labels.withColumnRenamed("component_id", "before"), "node").where("component_id <> before")
         if changed.isEmpty():
             return following
         labels = following
 
 
 def _tiles(members: DataFrame, bits: int) -> DataFrame:
-    """(a, b) of members (bucket, band, doc_id, component, keys, wide, meets, tile) that differ in component and are close by sketch.
+    """(a, b) of members (bucket, band, node, component, keys, wide, meets, tile) that differ in component and are close by sketch.
 
     Each member goes to the tile pairs (its tile, each of the first `meets` tiles); a pair of members meets in the one
     pair of their tiles, and is compared in the first band that it shares. Tiles are sorted by and read as a stream.
     """
-    kind = members.schema["doc_id"].dataType.simpleString()
     other = F.explode(F.sequence(F.lit(0), F.col("meets") - 1)).alias("other")
-    dealt = members.select("bucket", "tile", other, "band", "doc_id", "component", "keys", "wide")
-    dealt = dealt.select("bucket", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), (F.col("tile") > F.col("other")).alias("second"), "band", "doc_id", "component", "keys", "wide")
+    dealt = members.select("bucket", "tile", other, "band", "node", "component", "keys", "wide")
+    dealt = dealt.select("bucket", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), (F.col("tile") > F.col("other")).alias("second"), "band", "node", "component", "keys", "wide")
     dealt = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +285,7 @@ def _tiles(members: DataFrame, bits: int) -> DataFrame:
 
         at, rows, field = None, [], None
         for batch in batches:
-            field = batch.schema.field("doc_id")
+            field = batch.schema.field("node")
             found: list[tuple] = []
             for bucket, low, high, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if at != (bucket, low, high):
@@ -295,7 +297,7 @@ def _tiles(members: DataFrame, bits: int) -> DataFrame:
         if rows:
             yield result(compare(at[1], at[2], rows))
 
-    return dealt.mapInArrow(pairs, f"a {kind}, b {kind}").distinct()
+    return dealt.mapInArrow(pairs, "a binary, b binary").distinct()
 
 
 def find(
@@ -306,62 +308,72 @@ def find(
     bands: int = BANDS,
     id_col: str = "doc_id",
     text_col: str = "text",
+    errors: float | None = STANDARD_ERRORS,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of df."""
+    """(doc_id, n_shingles, component_id, kept) for each row of df.
+
+    errors: how many standard errors below the threshold a pair's sketches may say and yet be confirmed on full sets; None drops
+    no pair by its sketches, so that only the bands choose what is compared.
+    """
     docs = common.small_batches(df).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     signed = common.staged(signatures(docs, shingle, rows, bands), "near-dup-signatures")
     named = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = named.groupBy("set_hash").agg(F.min("doc_id").alias("class_id"))
+    classes = named.groupBy(F.col("set_hash").alias("node")).agg(F.min("doc_id").alias("class_id"))
     n_docs = signed.count()
     classes = common.staged(classes, "near-dup-classes", n_docs)
     n_classes = classes.count()
-    # An id may stand on several rows; its rows then belong together.
-    members = named.select("doc_id", "set_hash").join(classes, "set_hash").select("doc_id", "class_id")
-    same = members.where(F.col("doc_id") != F.col("class_id")).select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
-    heads = named.join(classes.select("set_hash", F.col("class_id").alias("doc_id")), ["set_hash", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_hash"])
-    heads = heads.select("doc_id", "keys", "sketch")
-    band_rows = heads.select("doc_id", F.posexplode("keys").alias("band", "key")).select("doc_id", "band", F.xxhash64("band", "key").alias("bucket"))
+    # An id may stand on several rows with different sets; its classes then belong together.
+    ids = named.groupBy("doc_id").agg(F.min("set_hash").alias("b"), F.max("set_hash").alias("most")).where("b <> most").select("doc_id", "b")
+    same = named.join(ids, "doc_id").where(F.col("set_hash") != F.col("b")).select(F.col("set_hash").alias("a"), "b").distinct()
+    heads = named.join(classes.select(F.col("node").alias("set_hash"), F.col("class_id").alias("doc_id")), ["set_hash", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_hash"])
+    heads = heads.select(F.col("set_hash").alias("node"), "keys", "sketch")
+    band_rows = heads.select("node", F.posexplode("keys").alias("band", "key")).select("node", "band", F.xxhash64("band", "key").alias("bucket"))
     counts = band_rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     mates = common.staged(band_rows.join(counts, "bucket"), "near-dup-mates", n_classes * bands)
     n_mates = mates.count()
-    weights = common.staged(mates.groupBy("doc_id").agg(F.sum("n").alias("weight")), "near-dup-weights", n_mates)
+    weights = common.staged(mates.groupBy("node").agg(F.sum("n").alias("weight")), "near-dup-weights", n_mates)
     n_weighed = weights.count()
-    weighed = mates.join(weights, "doc_id")
-    centres = weighed.groupBy("bucket").agg(F.min(F.struct((-F.col("weight")).alias("weight"), "doc_id"))["doc_id"].alias("centre"))
-    stars = mates.join(centres, "bucket").where(F.col("doc_id") != F.col("centre")).select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
-    held = full_sets(docs, weights.select("doc_id"), shingle, n_weighed)  # whatever shares a bucket
-    sketches = heads.join(weights.select("doc_id"), "doc_id", "left_semi")
+    weighed = mates.join(weights, "node")
+    centres = weighed.groupBy("bucket").agg(F.min(F.struct((-F.col("weight")).alias("weight"), "node"))["node"].alias("centre"))
+    stars = mates.join(centres, "bucket").where(F.col("node") != F.col("centre")).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    held = full_sets(docs, weights.select("node"), classes, shingle, n_weighed)  # whatever shares a bucket
+    sketches = heads.join(weights.select("node"), "node", "left_semi")
     sketches = common.staged(sketches, "near-dup-sketches", n_weighed)
-    bits = most_odd_bits(percent / 100, rows * bands)
-    seen = stars.join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-    seen = seen.join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
+    bits = most_odd_bits(percent / 100, rows * bands, errors=errors)
+    seen = stars.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a")
+    seen = seen.join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b")
     close = common.staged(seen.where(_close("sketch_a", "sketch_b", bits)).select("a", "b"), "near-dup-close", n_mates)
     links = confirmed(close, held, percent)
     labels = components(links)
     # Second round: members of different components that share a bucket.
-    placed = mates.select("doc_id", "band", "bucket").join(labels, "doc_id", "left").select("bucket", "band", "doc_id", F.coalesce("component_id", "doc_id").alias("component"))
+    placed = mates.select("node", "band", "bucket").join(labels, "node", "left").select("bucket", "band", "node", F.coalesce("component_id", "node").alias("component"))
     placed = common.staged(placed, "near-dup-placed", n_mates)
     mixed = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("bucket", "n")
     open_rows = common.staged(placed.join(mixed, "bucket"), "near-dup-open", n_mates)
-    wide = wide_sketches(held.join(open_rows.select("doc_id").distinct(), "doc_id", "left_semi"))
-    wide = common.staged(wide.join(sketches.select("doc_id", "keys"), "doc_id"), "near-dup-wide", n_weighed, common.TASK_TEXTS)
+    wide = wide_sketches(held.join(open_rows.select("node").distinct(), "node", "left_semi"))
+    wide = common.staged(wide.join(sketches.select("node", "keys"), "node"), "near-dup-wide", n_weighed, common.TASK_TEXTS)
     # A bucket's largest component is never compared with itself: its members only meet the tiles of the others.
     shares = open_rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
     largest = shares.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("largest"))
     largest = largest.select("bucket", F.col("largest.size").alias("size"), F.col("largest.component").alias("largest"))
     inside = F.col("component") == F.col("largest")
     own, others = F.ceil(F.col("size") / TILE).cast("int"), F.ceil((F.col("n") - F.col("size")) / TILE).cast("int")
-    tile = F.when(inside, others + F.pmod(F.xxhash64("doc_id", "bucket"), own)).otherwise(F.pmod(F.xxhash64("doc_id", "bucket"), others)).cast("int")
+    tile = F.when(inside, others + F.pmod(F.xxhash64("node", "bucket"), own)).otherwise(F.pmod(F.xxhash64("node", "bucket"), others)).cast("int")
     meets = F.when(inside, others).otherwise(others + own)
     open_rows = open_rows.join(largest, "bucket").withColumn("tile", tile).withColumn("meets", meets)
-    open_rows = open_rows.join(wide, "doc_id").select("bucket", "band", "doc_id", "component", "keys", "wide", "meets", "tile")
-    more = _tiles(open_rows, most_odd_bits(percent / 100, WIDE_SAMPLE, WIDE_BITS))
+    open_rows = open_rows.join(wide, "node").select("bucket", "band", "node", "component", "keys", "wide", "meets", "tile")
+    more = _tiles(open_rows, most_odd_bits(percent / 100, WIDE_SAMPLE, WIDE_BITS, errors))
     tried = close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = common.staged(more.join(tried, ["a", "b"], "left_anti"), "near-dup-more")
     late = confirmed(more, held, percent)
-    final = components(common.staged(links.union(late).union(same), "near-dup-all", links.count() + late.count() + n_docs))
-    found = signed.select("doc_id", "n_shingles").join(final, "doc_id", "left")
-    component = F.coalesce("component_id", "doc_id")
+    labels = components(common.staged(links.union(late).union(same), "near-dup-all", links.count() + late.count() + n_docs))
+    owned = labels.join(classes, "node")
+    least = owned.groupBy("component_id").agg(F.min("class_id").alias("least"))
+    final = classes.join(owned.join(least, "component_id").select("node", "least"), "node", "left").select(F.col("node").alias("set_hash"), F.coalesce("least", "class_id").alias("component"))
+    final = common.staged(final, "near-dup-final", n_docs)
+    found = signed.select("doc_id", "n_shingles", "set_hash").join(final, "set_hash", "left")
+    component = F.coalesce("component", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), component)
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
