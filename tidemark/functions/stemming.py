@@ -2,7 +2,7 @@
 
 A language is a list of steps, a step a list of rules: where a word ends in a rule's suffix, the suffix is replaced if it
 stands in a region of the word and what stands before it fits. Of several suffixes the longest counts; of several rules
-with one suffix the first that fits. Each step is a column of its own, so that code generation sees each value once.
+with one suffix the first that fits. Each step is a column of its own, whose value later steps read.
 
 Regions begin behind the first vowel and consonant (r1), behind the next such pair (r2), and, in French, behind the first vowel that
 is not the first letter, the third letter, or a listed beginning (rv).
@@ -132,27 +132,34 @@ class _Chain:
         return F.col(name)
 
 
-def _applied(chain: _Chain, word: Column, step: Step, starts: dict[str, Column]) -> Column:
+def _applied(word: Column, step: Step, starts: dict[str, Column]) -> Column:
     """The word after one step; starts has the number of letters before each region."""
     n = F.length(word)
     names = sorted({r.suffix for r in step.rules}, key=len, reverse=True)
     area = F.substring(word, starts["rv"] + 1, n) if step.inside else word
-    suffix = chain.add(F.regexp_extract(area, f"({'|'.join(names)})$", 1))  # a search from the left finds the longest
-    base = chain.add(F.substring(word, F.lit(1), n - F.length(suffix)))
+    suffix = F.regexp_extract(area, f"({'|'.join(names)})$", 1)  # a search from the left finds the longest
 
-    def rule(r: Rule) -> Column:
-        return F.struct(F.lit(r.put).alias("put"), F.lit(r.region).alias("region"), F.lit(r.before).alias("before"), F.lit(r.unless).alias("unless"), F.lit(r.span or len(r.suffix)).alias("span"))
+    def text(x: str) -> str:
+        return "'" + x + "'"
 
-    table = F.create_map(*(x for name in names for x in (F.lit(name), F.array(*(rule(r) for r in step.rules if r.suffix == name)))))
+    def rule(r: Rule) -> str:
+        return f"struct({text(r.put)} AS put, {text(r.region)} AS region, {text(r.before)} AS before, {text(r.unless)} AS unless, {r.span or len(r.suffix)} AS span)"
 
-    def fits(r: Column) -> Column:
-        place = n - r["span"]
-        region = F.when(r["region"] == "", True).when(r["region"] == "none", starts["r1"] >= n).when(r["region"] == "r1", place >= starts["r1"])
-        region = region.when(r["region"] == "r2", place >= starts["r2"]).otherwise(place >= starts.get("rv", starts["r1"]))
-        return region & F.rlike(base, r["before"]) & ((r["unless"] == "") | ~F.rlike(base, r["unless"]))
+    table = F.expr("map(" + ", ".join(f"{text(name)}, array({', '.join(rule(r) for r in step.rules if r.suffix == name)})" for name in names) + ")")  # a constant
 
-    put = F.get(F.filter(F.try_element_at(table, suffix), fits), F.lit(0))["put"]
-    return chain.add(F.coalesce(F.concat(base, put), word))
+    def replaced(suffix: Column) -> Column:
+        base = F.substring(word, F.lit(1), n - F.length(suffix))
+
+        def fits(r: Column) -> Column:
+            place = n - r["span"]
+            region = F.when(r["region"] == "", True).when(r["region"] == "none", starts["r1"] >= n).when(r["region"] == "r1", place >= starts["r1"])
+            region = region.when(r["region"] == "r2", place >= starts["r2"]).otherwise(place >= starts.get("rv", starts["r1"]))
+            return region & ((r["before"] == "") | F.rlike(base, r["before"])) & ((r["unless"] == "") | ~F.rlike(base, r["unless"]))
+
+        put = F.get(F.filter(F.try_element_at(table, suffix), fits), F.lit(0))["put"]
+        return F.coalesce(F.concat(base, put), word)
+
+    return F.get(F.transform(F.array(suffix), replaced), F.lit(0))
 
 
 def stemmed(df: DataFrame, word: str, language: str, name: str = "stem") -> DataFrame:
@@ -163,14 +170,13 @@ def stemmed(df: DataFrame, word: str, language: str, name: str = "stem") -> Data
         w = chain.add(F.regexp_replace(F.regexp_replace(w, "^y", "Y"), f"([{VOWELS}])y", "$1Y"))
         head = F.regexp_extract(w, "^(gener|commun|arsen)", 1)
         r1 = chain.add(F.when(head != "", F.length(head)).otherwise(_behind(w, VOWELS, 1)))
-        rest = F.substring(w, r1 + 1, F.length(w))
-        starts = {"r1": r1, "r2": chain.add(r1 + _behind(rest, VOWELS, 1))}
-        a = _applied(chain, w, ENGLISH[0], starts)
-        b = _applied(chain, a, ENGLISH[1], starts)
+        starts = {"r1": r1, "r2": chain.add(r1 + _behind(F.substring(w, r1 + 1, F.length(w)), VOWELS, 1))}
+        a = chain.add(_applied(w, ENGLISH[0], starts))
+        b = chain.add(_applied(a, ENGLISH[1], starts))
         again = (a != b) & ~a.rlike("eed(ly)?$")
-        c = chain.add(F.when(again, _applied(chain, b, ENGLISH[2], starts)).otherwise(b))
+        c = chain.add(F.when(again, _applied(b, ENGLISH[2], starts)).otherwise(b))
         for step in ENGLISH[3:]:
-            c = _applied(chain, c, step, starts)
+            c = chain.add(_applied(c, step, starts))
         words = F.create_map(*(F.lit(x) for pair in ENGLISH_WORDS.items() for x in pair))
         out = F.when(F.length(word) <= 2, F.col(word)).when(F.col(word).isin(*ENGLISH_WORDS), F.try_element_at(words, F.col(word))).when(F.lower(a).isin(*ENGLISH_WHOLE), a).otherwise(c)
     else:
@@ -180,13 +186,13 @@ def stemmed(df: DataFrame, word: str, language: str, name: str = "stem") -> Data
         first = F.length(F.regexp_extract(w, f"^.[^{FRENCH_VOWELS}]*{_FV}", 0))
         rv = chain.add(F.when(w.rlike(f"^({_FV}{_FV}|par|col|tap)"), F.least(F.lit(3), F.length(w))).when(first > 0, first).otherwise(F.length(w)))
         starts = {"rv": rv, "r1": chain.add(_behind(w, FRENCH_VOWELS, 1)), "r2": chain.add(_behind(w, FRENCH_VOWELS, 2))}
-        one = _applied(chain, w, FRENCH[0], starts)
-        go = chain.add(F.when(one == w, _applied(chain, one, FRENCH[1], starts)).otherwise(one))
-        two = chain.add(F.when(one == w, _applied(chain, go, FRENCH[2], starts)).otherwise(one))
-        three = chain.add(F.when((one == w) & (two == go), _applied(chain, go, FRENCH[3], starts)).otherwise(two))
+        one = chain.add(_applied(w, FRENCH[0], starts))
+        go = chain.add(F.when(one == w, _applied(one, FRENCH[1], starts)).otherwise(one))
+        two = chain.add(F.when(one == w, _applied(go, FRENCH[2], starts)).otherwise(one))
+        three = chain.add(F.when((one == w) & (two == go), _applied(go, FRENCH[3], starts)).otherwise(two))
         done = (one != w) | (three != go)
-        left = chain.add(F.when(done, _applied(chain, three, FRENCH[4], starts)).otherwise(_applied(chain, three, FRENCH[5], starts)))
-        rest = chain.add(F.when(done, left).otherwise(_applied(chain, left, FRENCH[6], starts)))
-        last = _applied(chain, rest, FRENCH[7], starts)
+        left = chain.add(F.when(done, _applied(three, FRENCH[4], starts)).otherwise(_applied(three, FRENCH[5], starts)))
+        rest = chain.add(F.when(done, left).otherwise(_applied(left, FRENCH[6], starts)))
+        last = chain.add(_applied(rest, FRENCH[7], starts))
         out = F.regexp_replace(last, f"[éè]({_NV}+)$", "e$1")
     return chain.df.withColumn(name, F.lower(out)).drop(*chain.names)

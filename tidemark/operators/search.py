@@ -94,16 +94,17 @@ def match_names(names: DataFrame, typed: list[str], partial: str | None = None)
 def hits(links: DataFrame, mentions: DataFrame, entities: DataFrame, search: str, as_of: datetime, half_life_days: float = 60.0) -> DataFrame:
     """(link_id, score, names) of links that a search finds.
 
-    Token hits count by the share of the title's words they are, entity tags by 0.3 p (half outside the
+    The title's full-text rank counts, entity tags by 0.3 p (half outside the
     title), a title that holds all words as substrings by 0.02. Only text, substrings, and entities named
     by the whole search qualify a link; the sum is boosted for young links.
     """
+    from tidemark.operators import fulltext
+
     wanted = [w for w in fold_text(search).split() if w]
     folded = fold_text(" ".join(wanted))
-    title = words(F.col("title"))
-    found = F.size(F.filter(title, lambda w: w.isin(wanted)))
-    text = links.where(F.forall(F.array(*[F.lit(w) for w in wanted]), lambda w: F.array_contains(title, w)))
-    text = text.select("link_id", (found / (1 + F.ln(1.0 + F.size(title)))).alias("r"), F.lit(None).cast("string").alias("name"), F.lit(True).alias("qualifies"))
+    postings = fulltext.index(links.select("link_id", "title"), "link_id", [fulltext.Field("title", "A")])
+    text = fulltext.ranks(links.sparkSession, postings, "link_id", search)
+    text = text.select("link_id", F.col("rank").alias("r"), F.lit(None).cast("string").alias("name"), F.lit(True).alias("qualifies"))
     whole = fold(F.col("name")) == folded
     named = entities.where(whole | F.arrays_overlap(words(F.col("name")), F.array(*[F.lit(w) for w in wanted]))).select("entity_id", "name", whole.alias("qualifies"))
     tags = mentions.join(named, "entity_id").select("link_id", (0.3 * F.col("p") * F.when(F.col("in_title"), 1.0).otherwise(0.5)).alias("r"), "name", "qualifies")

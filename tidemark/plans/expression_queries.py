@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text, urls
-from tidemark.operators import search
+from tidemark.operators import fulltext, search
+from tidemark.plans import oracle_text
 from tidemark.plans.domain import Domain
 from tidemark.plans.registry import query
 
@@ -32,18 +33,32 @@ def search_text(d: Domain) -> DataFrame:
     return d.raw("pages").select("page_id", F.lower(F.concat(F.lit("Page "), "page_id", F.lit(" "), text.host(F.col("url")))).alias("search_text"))
 
 
-@query(
-    "prj_02_weighted_tokens",
-    f"""WITH t AS (SELECT page_id, 'A' AS weight, unnest(list_filter(regexp_split_to_array(translate(lower(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ', 'aaaaaaceeeeiiiinoooooouuuuyy'), '[^a-z0-9]+'), lambda w: w <> '')) AS token FROM pages
-      UNION ALL SELECT page_id, 'B', unnest(list_filter(string_split({HOST}, '.'), lambda w: w <> '')) FROM pages)
-    SELECT page_id, token, min(weight) AS weight, count(*) AS n FROM t GROUP BY 1, 2""",
-)
+#: A page's title, host and first paragraph; a document's first line and what follows.
+PAGE_FIELDS = [fulltext.Field("title", "A"), fulltext.Field("host", "B", ("simple",)), fulltext.Field("description", "C")]
+DOCUMENT_FIELDS = [fulltext.Field("title", "A"), fulltext.Field("body", "C")]
+PAGE_TEXTS = f"""page_texts AS (SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, replace({HOST}, '.', ' ') AS host,
+  regexp_replace(regexp_extract(html, '(?is)<p>(.*?)</p>', 1), '<[^>]*>', ' ', 'g') AS description FROM pages)"""
+DOCUMENT_TEXTS = "document_texts AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, CASE WHEN contains(text, chr(10)) THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS body FROM documents)"
+
+
+def page_texts(d: Domain) -> DataFrame:
+    paragraph = F.regexp_replace(F.regexp_extract("html", r"(?is)<p>(.*?)</p>", 1), "<[^>]*>", " ")
+    return d.raw("pages").select("page_id", F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), F.replace(text.host(F.col("url")), F.lit("."), F.lit(" ")).alias("host"), paragraph.alias("description"))
+
+
+def document_texts(d: Domain) -> DataFrame:
+    end = F.instr(F.col("text"), "\n")
+    return d.raw("documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.when(end > 0, F.substring(F.col("text"), end + 1, F.length("text"))).otherwise("").alias("body"))
+
+
+@query("prj_02_weighted_tokens", f"WITH {PAGE_TEXTS}, {oracle_text.vectors('page_texts', 'page_id', PAGE_FIELDS)} SELECT page_id, n_tokens, n_places, md5(vector) AS vector FROM vectors")
 def weighted_tokens(d: Domain) -> DataFrame:
-    pages = d.raw("pages")
-    title = F.translate(F.lower(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)), search.ACCENTED, search.PLAIN)
-    a = pages.select("page_id", F.lit("A").alias("weight"), F.explode(F.filter(F.split(title, "[^a-z0-9]+"), lambda w: w != "")).alias("token"))
-    b = pages.select("page_id", F.lit("B").alias("weight"), F.explode(F.filter(F.split(text.host(F.col("url")), r"\."), lambda w: w != "")).alias("token"))
-    return a.union(b).groupBy("page_id", "token").agg(F.min("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
+    return fulltext.vectors(page_texts(d), "page_id", PAGE_FIELDS).withColumn("vector", F.md5("vector"))
+
+
+@query("prj_02_document_tokens", f"WITH {DOCUMENT_TEXTS}, {oracle_text.vectors('document_texts', 'doc_id', DOCUMENT_FIELDS)} SELECT doc_id, n_tokens, n_places, md5(vector) AS vector FROM vectors")
+def document_tokens(d: Domain) -> DataFrame:
+    return fulltext.vectors(document_texts(d), "doc_id", DOCUMENT_FIELDS).withColumn("vector", F.md5("vector"))
 
 
 VIDEO = "CASE page_id % 8 WHEN 1 THEN 'abcde' || lpad(page_id::VARCHAR, 6, '0') WHEN 2 THEN 'ABCDE_' || lpad(page_id::VARCHAR, 5, '0') END"

@@ -7,8 +7,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import filters, intervals, ranking, search
+from tidemark.operators import filters, fulltext, intervals, ranking, search
+from tidemark.plans import oracle_text
 from tidemark.plans.domain import AS_OF, VIEWER, Domain
+from tidemark.plans.expression_queries import DOCUMENT_FIELDS, DOCUMENT_TEXTS, document_texts
 from tidemark.plans.ranking_queries import feed
 from tidemark.plans.registry import query
 
@@ -146,24 +148,33 @@ def feed_order(d: Domain) -> DataFrame:
     return rows.orderBy(F.desc("n_mentions"), F.desc("rank"), F.desc("created_at"), F.desc("link_id")).limit(50).select("link_id", "n_mentions", "rank")
 
 
-SEARCH = """WITH found AS (SELECT link_id, len(list_filter(w, lambda x: x IN ('small', 'ring'))) / (1 + ln(1.0::DOUBLE + len(w))) AS r, NULL AS name, true AS ok FROM (SELECT link_id, string_split(lower(title), ' ') AS w FROM links) WHERE list_has_all(w, ['small', 'ring'])
-UNION ALL SELECT link_id, 0.02::DOUBLE, NULL, true FROM links WHERE contains(title, 'small') AND contains(title, 'ring')),
-sums AS (SELECT link_id, sum(r) AS r FROM found GROUP BY 1 HAVING bool_or(ok))
+TITLES = [fulltext.Field("title", "A")]
+SEARCH = f"""WITH {oracle_text.ranks('links', 'link_id', TITLES, [['small', 'ring']])},
+found AS (SELECT link_id, rank AS r FROM ranks UNION ALL SELECT link_id, 0.02::DOUBLE FROM links WHERE contains(title, 'small') AND contains(title, 'rings')),
+sums AS (SELECT link_id, sum(r) AS r FROM found GROUP BY 1)
 SELECT link_id, round(r * (0.75 + 0.25 * power(0.5, date_diff('microsecond', created_at, TIMESTAMP '2001-12-31') / 86400000000.0 / 60)), 9) AS score, created_at FROM sums JOIN links USING (link_id)"""
 
 
 @query("q_05_search_hits", f"SELECT link_id, score FROM ({SEARCH})")
 def search_hits(d: Domain) -> DataFrame:
-    found = search.hits(d.links(), d.mentions(), d.entities(), "Small ring", AS_OF)
+    found = search.hits(d.links(), d.mentions(), d.entities(), "Small rings", AS_OF)
     return found.select("link_id", F.round("score", 9).alias("score"))
 
 
 @query("q_06_search_links", f"SELECT link_id, score FROM ({SEARCH}) ORDER BY score DESC, created_at DESC, link_id DESC LIMIT 20")
 def search_links(d: Domain) -> DataFrame:
-    found = search.hits(d.links(), d.mentions(), d.entities(), "Small ring", AS_OF).withColumn("score", F.round("score", 9))
+    found = search.hits(d.links(), d.mentions(), d.entities(), "Small rings", AS_OF).withColumn("score", F.round("score", 9))
     return ranking.page(found, [F.desc("score"), F.desc("created_at"), F.desc("link_id")], 0, 20, 50).select("link_id", "score")
 
 
+@query("q_05_document_hits", f"WITH {DOCUMENT_TEXTS}, {oracle_text.ranks('document_texts', 'doc_id', DOCUMENT_FIELDS, [['apach', 'licens', 'version'], ['apach', 'licensed', 'version'], ['apache', 'licensed', 'versions'], ['gnu', 'licens'], ['gnu', 'licenses']], ['mit'])} SELECT doc_id, round(rank, 9) AS rank FROM ranks")
+def document_hits(d: Domain) -> DataFrame:
+    """Stems of licensing lines in every document, either of two alternatives, without a word."""
+    postings = fulltext.index(document_texts(d), "doc_id", DOCUMENT_FIELDS)
+    found = fulltext.ranks(d.spark, postings, "doc_id", "licensed apache versions -mit or gnu licenses -mit")
+    return found.select("doc_id", F.round("rank", 9).alias("rank"))
+
+
 GRAMS = """lambda s: list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(s), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, len(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"""
 
 
