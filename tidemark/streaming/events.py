@@ -126,6 +126,27 @@ def finished(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame,
     return spark.read.schema(stream.schema).parquet(*found) if found else spark.createDataFrame([], stream.schema)
 
 
+def continued(stream: DataFrame, folder: str, each: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> None:
+    """One scheduled run: what is new since the checkpoint under folder, then an end. A batch goes to folder/rows/batch=number.
+
+    A run that breaks off in a batch leaves it uncommitted; the next run does that batch again and overwrites what it wrote.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    writer.foreachBatch(each or write).start().awaitTermination()
+
+
+def growing(spark: SparkSession, parts: list[DataFrame], run: Callable[[str, int], None]) -> None:
+    """Writes each part into a growing folder and calls run(folder, number) after it."""
+    folder = f"{shared_folder(spark)}/growing-{uuid.uuid4().hex}"
+    for number, part in enumerate(parts):
+        part.write.mode("append").parquet(folder)
+        run(folder, number)
+
+
 def upsert_into(spark: SparkSession, folder: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
     """A sink: each batch makes a new version of the table under folder, the last row of each key winning.
 
