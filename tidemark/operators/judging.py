@@ -58,18 +58,32 @@ def read_query(rows: DataFrame, key: str, text: str, topics: DataFrame) -> DataF
     return named.groupBy(key).agg(F.coalesce(read[0], F.lit("ranked")).alias("sort"), read[1].alias("topic"), search.alias("search"))
 
 
-def follow_same(entities: DataFrame, same: DataFrame, most: int = 5) -> DataFrame:
+def follow_same(entities: DataFrame, same: DataFrame, most: int = 64) -> DataFrame:
     """(entity_id, root): where chains of same (entity_id, other) end; a chain in a circle ends at its smallest id.
 
-    Each round doubles the length of what is followed and is staged; `most` rounds follow chains of 2^most steps.
+    Each round doubles how far every entity has followed its chain and is staged. It carries the smallest id on the way, so that
+    after n rounds an entity in a circle of up to 2^n steps has seen all of it. Rounds go on until no root and no smallest id changes;
+    `most` rounds, 2^most steps, are more than there are ids, and going on beyond them raises.
     """
     rows = entities.select("entity_id").join(same.groupBy("entity_id").agg(F.min("other").alias("other")), "entity_id", "left")
     rows = rows.select("entity_id", F.coalesce("other", "entity_id").alias("root"), F.least("entity_id", F.coalesce("other", "entity_id")).alias("least"))
+    rows = staged(rows, "same")
+    starts = same.select(F.col("entity_id").alias("root")).distinct().withColumn("_on", F.lit(True))
     for _ in range(most):
         step = rows.select(F.col("entity_id").alias("root"), F.col("root").alias("further"), F.col("least").alias("its"))
-        rows = staged(rows.join(step, "root").select("entity_id", F.col("further").alias("root"), F.least("least", "its").alias("least")), "same")
-    ends = same.select(F.col("entity_id").alias("root")).distinct().withColumn("_on", F.lit(True))
-    return rows.join(ends, "root", "left").select("entity_id", F.when(F.col("_on"), F.col("least")).otherwise(F.col("root")).alias("root"))
+        on = rows.join(step, "root", "left").select("entity_id", F.coalesce("further", "root").alias("root"), F.least("least", F.coalesce("its", "root")).alias("least"), F.col("root").alias("_root"), F.col("least").alias("_least"))
+        on = staged(on, "same")
+        # Chains with an end stand still when they are there; in circles roots go round for ever, but smallest ids settle.
+        moved = on.join(starts, "root", "left").where((F.col("_least") != F.col("least")) | (F.col("_on").isNull() & (F.col("_root") != F.col("root"))))
+        rows = on.select("entity_id", "root", "least")
+        if moved.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"chains are longer than 2^{most} steps")
+    # An end is an entity that is the same as no other. An entity before a circle takes the circle's smallest id, which its root there knows.
+    circles = rows.select(F.col("entity_id").alias("root"), F.col("least").alias("_circle"))
+    found = rows.join(starts, "root", "left").join(circles, "root", "left")
+    return found.select("entity_id", F.when(F.col("_on"), F.coalesce("_circle", "least")).otherwise(F.col("root")).alias("root"))
 
 
 def resolved(phrases: DataFrame, entities: DataFrame, judged: DataFrame, least: float = LEAST_PICK) -> DataFrame:
