@@ -188,6 +188,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, classes: DataFrame, shingle: in
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in each], pa.binary()), pa.array(each, pa.binary())], ["node", "members"])
 
     ids = classes.join(nodes, "node", "left_semi").select(F.col("class_id").alias("doc_id")).distinct()
+    ids = common.staged(ids, "near-dup-ids", rows)  # of known size, so that Spark need not shuffle the texts where it is small
     read = docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "node binary, members binary").dropDuplicates(["node"])
     return common.staged(read.join(nodes, "node", "left_semi"), "near-dup-sets", rows, common.TASK_TEXTS)
 
