@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text
 from tidemark.plans.domain import Domain
 from tidemark.plans.registry import query
-from tidemark.sources import feeds, items, pages, tables
+from tidemark.sources import articles, feeds, items, pages, tables
 
 
 @query("src_01_typed_projection", "SELECT o_orderkey, o_custkey, coalesce(array_to_string(list(l_partkey ORDER BY l_linenumber, l_partkey) FILTER (l_partkey IS NOT NULL), '|'), '') AS parts FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
@@ -142,6 +142,26 @@ def page_sections(d: Domain) -> DataFrame:
     return rows.select("page_id", "n", F.col("s.heading").alias("heading"), F.col("s.text").alias("said"))
 
 
+#: The table's own markup: paragraphs of the article element, of which some begin with bold text that nothing closes.
+ARTICLES = r"""WITH parts AS (SELECT page_id, unnest(p) AS part, generate_subscripts(p, 1) AS i FROM (SELECT page_id, string_split(regexp_extract(html, '(?is)<article>(.*)</article>', 1), '<p>') AS p FROM pages)),
+  lines AS (SELECT page_id, i, part, unnest(l) AS line, generate_subscripts(l, 1) AS j FROM (SELECT *, string_split(part, '<br>') AS l FROM parts)),
+  bare AS (SELECT page_id, i, j, part, regexp_replace(line, '<[^>]*>', '', 'g') AS line FROM lines),
+  decoded AS (SELECT page_id, i, j, part, replace(replace(replace(replace(replace(line, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS line FROM bare),
+  said AS (SELECT page_id, i, j, trim(regexp_replace(line, '\s+', ' ', 'g')) AS line, starts_with(part, '<b>') AS bold, starts_with(part, '<h1>') AS head FROM decoded),
+  whole AS (SELECT page_id, i, bold, head, trim(string_agg(line, '' ORDER BY j)) AS all_of, string_agg(line, chr(10) ORDER BY j) FILTER (line <> '') AS text FROM said GROUP BY 1, 2, 3, 4),
+  marked AS (SELECT *, head OR (bold AND length(all_of) BETWEEN 12 AND 200) AS opens FROM whole),
+  numbered AS (SELECT *, sum(opens::INTEGER) OVER (PARTITION BY page_id ORDER BY i) AS n FROM marked),
+  grouped AS (SELECT page_id, n, max(all_of) FILTER (opens) AS heading, coalesce(string_agg(text, chr(10) ORDER BY i) FILTER (NOT opens), '') AS said FROM numbered GROUP BY 1, 2)
+  SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS INTEGER) AS n, heading, length(said) AS chars, md5(said) AS said FROM grouped WHERE said <> '' OR heading <> ''"""
+
+
+@query("src_18_article_sections", ARTICLES)
+def article_sections(d: Domain) -> DataFrame:
+    """The sections of every page's own article."""
+    rows = articles.with_sections(d.raw("pages").select("page_id", "html"), most_text=None).select("page_id", F.posexplode("sections").alias("n", "s"))
+    return rows.select("page_id", "n", F.col("s.heading").alias("heading"), F.length("s.text").cast("long").alias("chars"), F.md5("s.text").alias("said"))
+
+
 @query("src_19_declared_names", "SELECT page_id, 'MusicEvent' AS kind, 'Gig ' || page_id AS name, '2024-05-01' AS start FROM pages UNION ALL SELECT page_id, 'Place', 'Hall', '' FROM pages")
 def declared_names(d: Domain) -> DataFrame:
     data = F.concat(F.lit('{"@graph":[{"@type":["MusicEvent","Event"],"name":"Gig '), "page_id", F.lit('","startDate":"2024-05-01","location":{"@type":"Place","name":"Hall"},"publisher":{"@id":"#o"},"author":{"@type":"Person","name":"Me"}},{"@type":"Organization","@id":"#o","name":"Us"}]}'))
