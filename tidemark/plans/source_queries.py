@@ -124,14 +124,25 @@ def upcoming(d: Domain) -> DataFrame:
     return items.upcoming(calendar_rows(d), "source", F.lit("1998-01-10").cast("date")).select("source", "uid")
 
 
-@query("src_17_page_markup", r"SELECT page_id, length(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)(<script\b[^>]*>).*?</script\s*>', '\1</script>', 'g'), '(?is)(<style\b[^>]*>).*?</style\s*>', '\1</style>', 'g')) AS chars FROM pages WHERE page_id % 5 <> 0 AND NOT contains(html, 'ld+json')")
+KEPT = r"regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script([^>]*application/ld\+json[^>]*>.*?)</script\s*>', '<kept\1</kept>', 'g')"
+
+
+@query("src_17_page_markup", rf"SELECT page_id, length(replace(replace(regexp_replace(regexp_replace({KEPT}, '(?is)(<script\b[^>]*>).*?</script\s*>', '\1</script>', 'g'), '(?is)(<style\b[^>]*>).*?</style\s*>', '\1</style>', 'g'), '<kept', '<script'), '</kept>', '</script>')) AS chars FROM pages")
 def page_markup(d: Domain) -> DataFrame:
-    """Pages of an html content type; those with structured data have a query of their own."""
-    kind = F.when(F.col("page_id") % 5 == 0, "application/pdf").otherwise("text/HTML; charset=utf-8")
-    rows = d.raw("pages").where(pages.is_html(kind) & ~F.col("html").contains("ld+json"))
+    """All pages' markup, structured data kept."""
+    rows = d.raw("pages").where(pages.is_html(F.lit("text/HTML; charset=utf-8")))
     return rows.select("page_id", F.length(pages.cleaned(F.col("html"))).cast("long").alias("chars"))
 
 
+#: DuckDB: a page's title.
+TITLE = "trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g'))"
+
+
+def in_head(d: Domain, made) -> DataFrame:
+    """Every page's own markup with more in its head."""
+    return d.raw("pages").select("page_id", "url", F.replace(F.col("html"), F.lit("</head>"), F.concat(made, F.lit("</head>"))).alias("html"))
+
+
 SECTIONED = "SELECT page_id, n, heading, said FROM (SELECT page_id, 0 AS n, NULL AS heading, 'Lead ' || page_id AS said FROM pages UNION ALL SELECT page_id, 1, 'Title of ' || page_id, 'One & two' || chr(10) || 'three' FROM pages UNION ALL SELECT page_id, 2, 'A bold beginning', 'and its text' FROM pages UNION ALL SELECT page_id, 3, 'Last', 'Short bold is text' FROM pages)"
 
 
@@ -162,24 +173,30 @@ def article_sections(d: Domain) -> DataFrame:
     return rows.select("page_id", "n", F.col("s.heading").alias("heading"), F.length("s.text").cast("long").alias("chars"), F.md5("s.text").alias("said"))
 
 
-@query("src_19_declared_names", "SELECT page_id, 'MusicEvent' AS kind, 'Gig ' || page_id AS name, '2024-05-01' AS start FROM pages UNION ALL SELECT page_id, 'Place', 'Hall', '' FROM pages")
+@query("src_19_declared_names", "SELECT page_id, 'MusicEvent' AS type, 'event' AS kind, 'Gig ' || page_id AS name, '2024-05-01' AS start FROM pages UNION ALL SELECT page_id, 'Place', 'place', 'Hall & Yard', '' FROM pages UNION ALL SELECT page_id, 'LocalBusiness', 'company', 'Deep ' || page_id, '' FROM pages")
 def declared_names(d: Domain) -> DataFrame:
-    data = F.concat(F.lit('{"@graph":[{"@type":["MusicEvent","Event"],"name":"Gig '), "page_id", F.lit('","startDate":"2024-05-01","location":{"@type":"Place","name":"Hall"},"publisher":{"@id":"#o"},"author":{"@type":"Person","name":"Me"}},{"@type":"Organization","@id":"#o","name":"Us"}]}'))
-    markup = F.concat(F.lit('<script type="application/ld+json">{broken</script><script type="application/ld+json">'), data, F.lit("</script>"))
-    return pages.with_declared(d.raw("pages").select("page_id", markup.alias("html"))).select("page_id", F.inline("declared")).select("page_id", F.col("type").alias("kind"), "name", "start")
+    """Data in the pages' own heads: offers, crumbs, images, authors and what a publisher refers to are no names of the page."""
+    data = F.concat(
+        F.lit('{"@graph":[{"@type":["Thing","MusicEvent","Event"],"name":"Gig '), "page_id",
+        F.lit('","startDate":"2024-05-01","location":{"@type":"Place","name":"Hall &amp; Yard"},"publisher":{"@id":"#o"},"author":{"@type":"Person","name":"Me"},"offers":{"@type":"Product","name":"Ticket"},"image":{"@type":"Place","name":"Picture"}},'
+              '{"@type":"BreadcrumbList","name":"Crumbs","itemListElement":[{"@type":"Place","name":"Home"}]},{"@type":"Organization","@id":"#o","name":"Us"},{"about":[{"about":{"about":{"about":{"about":{"about":{"about":{"about":{"@type":"LocalBusiness","name":"Deep '), "page_id",
+        F.lit('"}}}}}}}}]}]}'),
+    )
+    made = F.concat(F.lit('<script type="application/ld+json">{broken</script><script type="application/ld+json">'), data, F.lit("</script>"))
+    return pages.with_declared(in_head(d, made)).select("page_id", F.inline("declared"))
 
 
 @query(
     "src_20_page_signals",
-    "SELECT page_id, 'https://s.org/c/' || page_id AS canonical, 'Own ' || page_id AS title, 'About' AS description, 'Ann' AS author, 'https://s.org/a/feed.xml' AS feeds, 'https://m.org/@u' || page_id || '|https://s.org/me' AS rel_me, 'https://w.org/' || page_id AS same_as, 'https://s.org/ann' AS author_urls FROM pages",
+    f"SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+') || '/c/' || page_id AS canonical, CASE WHEN page_id % 2 = 0 THEN 'Own ' || page_id ELSE replace({TITLE}, '&amp;', '&') END AS title, 'Site' AS site_name, 'About' AS description, 'Ann' AS author, regexp_extract(url, '^[a-z]+://[^/]+') || '/feed.xml' AS feeds, 'All' AS feed_titles, 'https://m.org/@u' || page_id || '|' || regexp_extract(url, '^[a-z]+://[^/]+') || '/me' AS rel_me, 'https://w.org/' || page_id AS same_as, regexp_extract(url, '^[a-z]+://[^/]+') || '/ann' AS author_urls FROM pages",
 )
 def page_signals(d: Domain) -> DataFrame:
+    """What every page says of itself, by its own url and, where no other title is given, its own title."""
     n = F.col("page_id")
-    head = F.concat(F.lit('<head><title>T</title><meta property="og:title" content="Own '), n, F.lit('"><meta content="About" name="description"><link rel="canonical" href="/c/'), n, F.lit('"><link rel="alternate" type="application/rss+xml" href="feed.xml"><link rel="alternate" type="text/html" href="no"><link rel="me" href="https://m.org/@u'), n, F.lit('"></head>'))
+    own = F.when(n % 2 == 0, F.concat(F.lit('<meta property="og:title" content="Own '), n, F.lit('">'))).otherwise("")
+    head = F.concat(own, F.lit('<meta property="og:site_name" content="Site"><meta content="About" name="description"><link rel="canonical" href="/c/'), n, F.lit('"><link rel="alternate" type="application/rss+xml" href="/feed.xml" title="All"><link rel="alternate" type="application/atom+xml" href="/feed.xml" title="Again"><link rel="alternate" type="text/html" href="no"><link rel="me" href="https://m.org/@u'), n, F.lit('"><link rel="me nofollow" href="/me"><link rel="me" href="/me">'))
     data = F.concat(F.lit('<script type="application/ld+json">{"@type":"Article","author":{"@type":"Person","name":"Ann","url":"/ann","sameAs":["https://w.org/'), n, F.lit('"]}}</script>'))
-    markup = F.concat(head, data, F.lit('<a rel="me nofollow" href="/me">me</a><a rel="me" href="/me">again</a>'))
-    rows = pages.with_signals(d.raw("pages").select("page_id", markup.alias("html"), F.lit("https://s.org/a/b").alias("url")))
-    return rows.select("page_id", "signals.*")
+    return pages.with_signals(in_head(d, F.concat(head, data))).select("page_id", "signals.*")
 
 
 @query("src_21_located_items", "SELECT 'Q' || n_nationkey AS id, n_name AS label, CASE WHEN n_nationkey % 3 <> 0 THEN CASE WHEN n_nationkey % 3 = 1 THEN 'R' || n_regionkey ELSE 'C' || n_regionkey END END AS parent, CASE WHEN n_nationkey % 3 = 0 THEN 'Q' || n_nationkey ELSE 'C' || n_regionkey END AS country, CASE WHEN n_nationkey % 3 = 0 THEN 'I' || n_nationkey END AS iso, true AS located FROM nation")
@@ -233,11 +250,12 @@ def scheduled(d: Domain) -> DataFrame:
     return events.finished(stream).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("src_26_preview_images", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://s.org/i/' || page_id || '.png' WHEN 1 THEN 'https://cdn.org/' || page_id || '.png' ELSE 'https://s.org/a/first.png' END AS image FROM pages")
+@query("src_26_preview_images", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || '/i/' || page_id || '.png' WHEN 1 THEN 'https://cdn.org/' || page_id || '.png' END AS image FROM pages")
 def preview_images(d: Domain) -> DataFrame:
+    """The image that each page's head names, made absolute by the page's own url; every third names none, nor has one."""
     n = F.col("page_id")
-    markup = F.when(n % 3 == 0, F.concat(F.lit('<meta content="/i/'), n, F.lit('.png" property="og:image"><img src="no.png">'))).when(n % 3 == 1, F.concat(F.lit('<meta name="twitter:image" content="//cdn.org/'), n, F.lit('.png">'))).otherwise('<p><img alt="" src="first.png"></p>')
-    return d.raw("pages").select("page_id", pages.absolute_url(text.preview_image(markup), F.lit("https://s.org/a/b?c")).alias("image"))
+    made = F.when(n % 3 == 0, F.concat(F.lit('<meta content="/i/'), n, F.lit('.png" property="og:image">'))).when(n % 3 == 1, F.concat(F.lit('<meta name="twitter:image" content="https://cdn.org/'), n, F.lit('.png">'))).otherwise("")
+    return in_head(d, made).select("page_id", pages.absolute_url(text.preview_image(F.col("html")), F.col("url")).alias("image"))
 
 
 @query("fn_36_page_titles", "SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '') AS title FROM pages")

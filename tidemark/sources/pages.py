@@ -22,19 +22,43 @@ BREAKS = frozenset("address article aside blockquote body br dd div dl dt fields
 DEAD = frozenset("script style noscript template iframe svg form button nav header footer aside".split())
 BOLD = frozenset(["b", "strong"])
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Keys of structured data whose objects are not what a page is about.
-NOT_ABOUT = frozenset(["author", "creator", "publisher", "isPartOf"])
+#: Keys of structured data whose objects made or host the page, or are parts of it, and are not what it is about.
+NOT_ABOUT = frozenset(
+    """author creator publisher copyrightHolder provider sourceOrganization editor contributor funder sponsor potentialAction breadcrumb image logo
+    isPartOf mainEntityOfPage itemListElement brand seller offers aggregateRating review""".split()
+)
+#: The kinds of thing that types of structured data name; other types are no one's names.
+KINDS = (
+    (r"Person$", "person"),
+    (r".*Event$|Festival$|Exhibition", "event"),
+    (r"(GovernmentOrganization|GovernmentOffice|Courthouse|City|Country|State|AdministrativeArea)$", "public_body"),
+    (r"(NGO|NonprofitOrganization|Charity)$", "nonprofit"),
+    (r".*Organization$|Corporation$|.*Business$|Store$|Restaurant$|Museum$|Library$|MusicGroup$|SportsTeam$", "company"),
+    (r"(Place|LandmarksOrHistoricalBuildings|TouristAttraction|Park|CivicStructure|Venue|.*Venue)$", "place"),
+    (r"(Product|SoftwareApplication|MobileApplication|WebApplication|VideoGame)$", "product"),
+    (r"(Book|Movie|TVSeries|MusicAlbum|MusicRecording|VisualArtwork|Painting|Sculpture|Play|Podcast|PodcastSeries|CreativeWorkSeries)$", "work"),
+)
 #: Types of structured data that are someone, and link types that are feeds.
 WHO = frozenset(["Person", "Organization", "NewsMediaOrganization", "Corporation"])
 FEED_TYPES = frozenset(["application/rss+xml", "application/atom+xml", "application/feed+json", "application/json"])
 SECTIONS = "array<struct<heading:string,text:string>>"
-SIGNALS = "struct<canonical:string,title:string,description:string,author:string,feeds:array<string>,rel_me:array<string>,same_as:array<string>,author_urls:array<string>>"
+SIGNALS = "struct<canonical:string,title:string,site_name:string,description:string,author:string,feeds:array<string>,feed_titles:array<string>,rel_me:array<string>,same_as:array<string>,author_urls:array<string>>"
 
 
-def cleaned(markup: Column) -> Column:
-    """Markup without comments and the bodies of scripts and styles, but for structured data; cut at MOST_MARKUP."""
-    bare = F.regexp_replace(F.substring(markup, 1, MOST_MARKUP), r"(?s)<!--.*?-->", "")
-    return F.regexp_replace(bare, r"(?is)(<(script|style)\b(?![^>]*application/ld\+json)[^>]*>).*?</\2\s*>", "$1</$2>")
+def cleaned(markup: Column, most: int | None = None) -> Column:
+    """Markup without comments and the bodies of scripts and styles, but for structured data; the first `most` characters of it, if given."""
+    bare = F.regexp_replace(markup, r"(?s)<!--.*?-->", "")
+    bare = F.regexp_replace(bare, r"(?is)(<(script|style)\b(?![^>]*application/ld\+json)[^>]*>).*?</\2\s*>", "$1</$2>")
+    return bare if most is None else F.substring(bare, 1, most)
+
+
+def kind_of(node: dict) -> tuple[str, str] | None:
+    """The first type of a node that names a kind of thing, and that kind."""
+    for name in node["@type"] if isinstance(node.get("@type"), list) else [node.get("@type")]:
+        for pattern, kind in KINDS:
+            if isinstance(name, str) and re.match(pattern, name):
+                return name, kind
+    return None
 
 
 def is_html(content_type: Column) -> Column:
@@ -123,42 +147,41 @@ def linked_objects(page: str) -> list[object]:
     for script in re.findall(r"""(?is)<script\b[^>]*type\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script""", page):
         try:
             out.append(json.loads(script.strip()))
-        except ValueError:
+        except (ValueError, RecursionError):
             continue  # a page's broken script says nothing; its others still count
     return out
 
 
-def _nodes(node: object, under: bool = False, depth: int = 0) -> Iterator[tuple[dict, bool]]:
-    """Every object of structured data, down to MOST_DEPTH, and whether it hangs under a key of NOT_ABOUT."""
-    if depth > MOST_DEPTH:
-        return
-    if isinstance(node, dict):
-        yield node, under
-        for key, value in node.items():
-            yield from _nodes(value, under or key in NOT_ABOUT, depth + 1)
-    elif isinstance(node, list):
-        for child in node:
-            yield from _nodes(child, under, depth)
+def _nodes(root: object, most_depth: int | None = MOST_DEPTH) -> Iterator[tuple[dict, bool]]:
+    """Every object of structured data, down to a depth of objects, and whether it hangs under a key of NOT_ABOUT."""
+    todo: list[tuple[object, bool, int]] = [(root, False, 0)]
+    while todo:
+        node, under, depth = todo.pop()
+        if isinstance(node, dict) and (most_depth is None or depth <= most_depth):
+            yield node, under
+            todo.extend((value, under or key in NOT_ABOUT, depth + 1) for key, value in reversed(node.items()))
+        elif isinstance(node, list):
+            todo.extend((child, under, depth) for child in reversed(node))
 
 
-def declared_of(page: str) -> list[dict[str, str]]:
-    """Names that structured data declares, the first of each; not those under an author or publisher, nor what these refer to."""
-    nodes = [pair for root in linked_objects(page) for pair in _nodes(root)]
+def declared_of(page: str, most: int | None = MOST_DECLARED, depth: int | None = None) -> list[dict[str, str]]:
+    """Names that structured data declares, the first of each: of things of some kind that neither hang under a key of NOT_ABOUT nor are
+    referred to from there."""
+    nodes = [pair for root in linked_objects(page) for pair in _nodes(root, most_depth=depth)]
     apart = {n["@id"] for n, under in nodes if under and isinstance(n.get("@id"), str)}
     out: dict[str, dict[str, str]] = {}
     for node, under in nodes:
-        kinds = node.get("@type")
-        kind = next((k for k in (kinds if isinstance(kinds, list) else [kinds]) if isinstance(k, str)), None)
-        name = node.get("name")
-        if kind and isinstance(name, str) and name.strip() and not under and node.get("@id") not in apart:
-            out.setdefault(name.strip().lower(), {"type": kind, "name": name.strip(), "start": str(node.get("startDate") or "")})
-    return list(out.values())[:MOST_DECLARED]
+        found, name = kind_of(node), node.get("name")
+        if found and isinstance(name, str) and name.strip() and not under and node.get("@id") not in apart:
+            name = html.unescape(name.strip())
+            out.setdefault(name.lower(), {"type": found[0], "kind": found[1], "name": name, "start": str(node.get("startDate") or "")})
+    return list(out.values())[:most]
 
 
 def with_declared(pages: DataFrame, html_col: str = "html", name: str = "declared") -> DataFrame:
-    """pages with the declared names (type, name, start) of their structured data."""
+    """pages with the declared names (type, kind, name, start) of their structured data."""
 
-    @F.pandas_udf("array<struct<type:string,name:string,start:string>>")
+    @F.pandas_udf("array<struct<type:string,kind:string,name:string,start:string>>")
     def read(column: pd.Series) -> pd.Series:
         return column.map(lambda page: declared_of(page or ""))
 
@@ -171,7 +194,7 @@ class _Relations(html.parser.HTMLParser):
     def __init__(self, url: str) -> None:
         super().__init__()
         self.base, self.title, self.said = url, "", {}
-        self.related: dict[str, list[tuple[str, str]]] = {}
+        self.related: dict[str, list[tuple[str, str, str]]] = {}
         self.inside = False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -183,7 +206,7 @@ class _Relations(html.parser.HTMLParser):
             self.said.setdefault((given.get("property") or given.get("name", "")).lower(), given["content"])
         elif tag in ("a", "link") and given.get("href"):
             for rel in given.get("rel", "").lower().split():
-                self.related.setdefault(rel, []).append((given["href"], given.get("type", "").lower()))
+                self.related.setdefault(rel, []).append((given["href"], given.get("type", "").lower(), given.get("title", "")))
 
     def handle_endtag(self, tag: str) -> None:
         self.inside = False
@@ -206,7 +229,7 @@ class _Relations(html.parser.HTMLParser):
         return list(out)[:MOST_ITEMS]
 
     def of(self, rel: str) -> list[str]:
-        return [href for href, _ in self.related.get(rel, [])]
+        return [href for href, *_ in self.related.get(rel, [])]
 
 
 def _each(node: dict, key: str) -> list[object]:
@@ -223,12 +246,20 @@ def signals_of(page: str, url: str) -> dict[str, object]:
     written = [a for node in data for a in _each(node, "author") if isinstance(a, dict)]
     profiles = [x for node in data if WHO.intersection(map(str, _each(node, "@type"))) for x in _each(node, "sameAs")]
     said = page_says.said
+    feeds: dict[str, str] = {}
+    for href, kind, title in page_says.related.get("alternate", []):
+        if kind in FEED_TYPES:
+            for whole in page_says.urls([href]):
+                feeds.setdefault(whole, title)
+    feeds = dict(islice(feeds.items(), MOST_ITEMS))
     return {
         "canonical": next(iter(page_says.urls(page_says.of("canonical"))), None),
         "title": said.get("og:title") or " ".join(page_says.title.split()) or None,
+        "site_name": said.get("og:site_name"),
         "description": said.get("description") or said.get("og:description"),
         "author": said.get("author") or next((str(a["name"]) for a in written if a.get("name")), None),
-        "feeds": page_says.urls([href for href, kind in page_says.related.get("alternate", []) if kind in FEED_TYPES]),
+        "feeds": list(feeds),
+        "feed_titles": list(feeds.values()),
         "rel_me": page_says.urls(page_says.of("me")),
         "same_as": page_says.urls(profiles),
         "author_urls": page_says.urls([*page_says.of("author"), *(a.get("url") for a in written)]),
@@ -240,7 +271,7 @@ def with_signals(pages: DataFrame, html_col: str = "html", url_col: str = "url",
 
     @F.pandas_udf(SIGNALS)
     def read(markup: pd.Series, url: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([signals_of(m or "", u or "") for m, u in zip(markup, url)], columns=["canonical", "title", "description", "author", "feeds", "rel_me", "same_as", "author_urls"])
+        return pd.DataFrame([signals_of(m or "", u or "") for m, u in zip(markup, url)], columns=["canonical", "title", "site_name", "description", "author", "feeds", "feed_titles", "rel_me", "same_as", "author_urls"])
 
     return pages.withColumn(name, read(html_col, url_col))
 
