@@ -88,3 +88,14 @@ def test_scores_equal_plain_recursion_on_the_pages(spark):
         best = max(s for _, s in scores.values())
         assert any(abs(scores[id(n)][1] - best) < 1e-9 for n in found if id(n) in scores)
         assert all("article" in {n.tag, n.parent.tag} or n.tag == "body" for n in found)
+
+
+def test_public_links(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import urls
+
+    bad = [f"https://a.{x}/" for x in "localdomain intranet corp home.arpa onion local LOCAL lan internal".split()] + ["https://a.corp./x", "https://b .org/", "https://b.org/​x", "https://b.org/ ", "https://localhost", "https://b.org./\x00", "https://1.2.3.4/"]
+    good = ["https://b.org./x", "https://corp.org/", "https://home.arpa.org/", "http://b.org/é?q=1#f"]
+    rows = spark.createDataFrame([(u,) for u in bad + good], "url string").select("url", urls.public_https(F.col("url")).alias("clean")).collect()
+    assert [r["url"] for r in rows if r["clean"] is None] == bad and rows[-1]["clean"] == "https://b.org/é?q=1"

@@ -10,8 +10,8 @@ from tidemark.functions.text import host
 #: Second-level labels under which names are registered as under a top-level one.
 SECOND_LEVELS = "ac co com edu gov net org".split()
 LONGEST_URL = 2048
-#: Hosts that name no public site: numbers, local names, reserved endings.
-PRIVATE_HOST = r"^[0-9.]+$|^\[|(^|\.)(localhost|local|internal|lan|home|test|invalid|example)$|^[^.]*$"
+#: Endings of hosts that name no public site; numbers, brackets and hosts of one label name none either.
+PRIVATE_HOST = r"^[0-9.]+$|^\[|(^|\.)(localhost|local|localdomain|internal|intranet|lan|home|corp|home\.arpa|onion|test|invalid|example)$|^[^.]*$"
 
 
 def registrable(url: Column) -> Column:
@@ -31,8 +31,9 @@ def public_https(url: Column) -> Column:
     """A url that is safe to show and to follow: https, no credentials, port, fragment or private host; else null."""
     plain = F.regexp_replace(F.regexp_replace(F.trim(url), "(?i)^http://", "https://"), "#.*$", "")
     authority = F.regexp_extract(plain, "(?i)^https://([^/?]*)", 1)
-    hidden = plain.rlike(r"[\x00-\x20\x7F​-‏‪-‮⁠-⁤﻿]")
-    odd = authority.contains("@") | authority.contains(":") | F.lower(authority).rlike(PRIVATE_HOST) | (authority == "")
+    hidden = plain.rlike(r"[\p{Cc}\p{Cf}\p{Z}]")  # controls, invisible characters and spaces of any kind
+    name = F.regexp_replace(F.lower(authority), r"\.+$", "")  # a host's last dot says nothing
+    odd = authority.contains("@") | authority.contains(":") | name.rlike(PRIVATE_HOST) | (name == "")
     return F.when(plain.rlike("(?i)^https://") & ~hidden & ~odd & (F.length(plain) <= LONGEST_URL), plain)
 
 

@@ -164,16 +164,21 @@ class Relation:
 RELATIONS = (
     Relation("acquires", ("person", "place"), ("person", "place")),
     Relation("invests_in", ("place",), ("person", "place")),
+    Relation("customer_of", object_not=("person", "place")),
     Relation("part_of", ("person",), ("person",)),
+    Relation("makes", ("place",), ("person", "place")),
     Relation("leads", subject_only=("person",), object_not=("person", "place")),
     Relation("works_for", subject_only=("person",), object_not=("place",)),
+    Relation("sues"),
+    Relation("regulates", ("person",)),
+    Relation("criticizes"),
     Relation("located_in", object_only=("place",)),
     Relation("partners_with", ("person", "place"), ("person", "place"), symmetric=True),
     Relation("competes_with", ("place",), ("place",), symmetric=True),
 )
 
 
-def claims(mentions: DataFrame, answers, most: int = 6, least: float = LEAST_CLAIM) -> DataFrame:
+def claims(mentions: DataFrame, answers, most: int = 5, least: float = LEAST_CLAIM) -> DataFrame:
     """(link_id, subject, relation, object, p) from mentions (link_id, entity_id, kind, p): the likeliest allowed relation of each pair.
 
     answers(a, b, name) is the probability of a relation as a Column. A link's `most` surest mentions are paired; symmetric

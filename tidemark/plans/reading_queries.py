@@ -125,9 +125,12 @@ KINDS = "CASE entity_id % 3 WHEN 0 THEN 'person' WHEN 1 THEN 'place' ELSE 'organ
 
 @query(
     "txt_24_claims",
-    f"""WITH m AS (SELECT link_id, entity_id, {KINDS} AS kind, row_number() OVER (PARTITION BY link_id ORDER BY p DESC, entity_id) AS n FROM mentions WHERE in_title QUALIFY n <= 6),
-    r(k, name, sn, obn, so, oo, sym) AS (VALUES (0, 'acquires', ['person', 'place'], ['person', 'place'], NULL, NULL, false), (1, 'invests_in', ['place'], ['person', 'place'], NULL, NULL, false), (2, 'part_of', ['person'], ['person'], NULL, NULL, false),
-      (3, 'leads', [], ['person', 'place'], 'person', NULL, false), (4, 'works_for', [], ['place'], 'person', NULL, false), (5, 'located_in', [], [], NULL, 'place', false), (6, 'partners_with', ['person', 'place'], ['person', 'place'], NULL, NULL, true), (7, 'competes_with', ['place'], ['place'], NULL, NULL, true)),
+    f"""WITH m AS (SELECT link_id, entity_id, {KINDS} AS kind, row_number() OVER (PARTITION BY link_id ORDER BY p DESC, entity_id) AS n FROM mentions WHERE in_title QUALIFY n <= 5),
+    r(k, name, sn, obn, so, oo, sym) AS (VALUES (0, 'acquires', ['person', 'place'], ['person', 'place'], NULL, NULL, false), (1, 'invests_in', ['place'], ['person', 'place'], NULL, NULL, false), (2, 'customer_of', [], ['person', 'place'], NULL, NULL, false),
+      (3, 'part_of', ['person'], ['person'], NULL, NULL, false), (4, 'makes', ['place'], ['person', 'place'], NULL, NULL, false), (5, 'leads', [], ['person', 'place'], 'person', NULL, false),
+      (6, 'works_for', [], ['place'], 'person', NULL, false), (7, 'sues', [], [], NULL, NULL, false), (8, 'regulates', ['person'], [], NULL, NULL, false),
+      (9, 'criticizes', [], [], NULL, NULL, false), (10, 'located_in', [], [], NULL, 'place', false), (11, 'partners_with', ['person', 'place'], ['person', 'place'], NULL, NULL, true),
+      (12, 'competes_with', ['place'], ['place'], NULL, NULL, true)),
     pairs AS (SELECT a.link_id, a.entity_id AS s, a.kind AS sk, b.entity_id AS o, b.kind AS ok, a.n < b.n AS forward FROM m a JOIN m b ON a.link_id = b.link_id AND a.n <> b.n),
     options AS (SELECT link_id, least(s, o) AS lo, greatest(s, o) AS hi, ((s * 7 + o * 3 + length(name) * 11) % 100) / 100.0::DOUBLE AS p, -k AS ord, CASE WHEN sym THEN least(s, o) ELSE s END AS subject, name AS relation, CASE WHEN sym THEN greatest(s, o) ELSE o END AS object
       FROM pairs, r WHERE (forward OR NOT sym) AND NOT list_contains(sn, sk) AND NOT list_contains(obn, ok) AND (so IS NULL OR so = sk) AND (oo IS NULL OR oo = ok) AND (NOT sym OR (NOT list_contains(sn, ok) AND NOT list_contains(obn, sk))))
