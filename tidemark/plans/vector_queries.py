@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import search, vectors
+from tidemark.operators import search, sparse, vectors
 from tidemark.plans.domain import Domain
 from tidemark.plans.registry import query
 
@@ -28,6 +28,70 @@ def brute_force(d: Domain) -> DataFrame:
     return vectors.nearest(plain(d).select(F.col("vec_id").alias("id"), F.col("e").alias("vec")), asked, 8).select("query", "candidate", "rank")
 
 
+WORD_SETS = """doc_words AS (SELECT DISTINCT doc_id AS id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w <> '')) AS token FROM documents),
+  item_words AS (SELECT DISTINCT item_id AS query, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w <> '')) AS token FROM benchmark)"""
+
+
+def word_sets(d: Domain, table: str, key: str, name: str) -> DataFrame:
+    return d.raw(table).select(F.col(key).alias(name), F.explode(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "")).alias("token")).distinct()
+
+
+@query(
+    "vec_10_sparse_cosine",
+    f"""WITH {WORD_SETS}, n AS (SELECT count(DISTINCT id) AS n FROM doc_words), dfs AS (SELECT token, ln((SELECT n + 1.0::DOUBLE FROM n) / (count(*) + 1)) + 1 AS w FROM doc_words GROUP BY 1),
+    a AS (SELECT query, i.token, coalesce(w, ln(n + 1.0::DOUBLE) + 1) AS w FROM item_words i CROSS JOIN n LEFT JOIN dfs USING (token)), an AS (SELECT query, sqrt(sum(w * w)) AS size FROM a GROUP BY 1), bn AS (SELECT id, sqrt(sum(w * w)) AS size FROM doc_words JOIN dfs USING (token) GROUP BY 1),
+    s AS (SELECT query, id, round(sum(a.w * t.w) / (any_value(an.size) * any_value(bn.size)), 9) AS score FROM a JOIN doc_words d USING (token) JOIN dfs t USING (token) JOIN an USING (query) JOIN bn USING (id) GROUP BY 1, 2)
+    SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id)::INTEGER AS rank FROM s QUALIFY rank <= 5""",
+)
+def sparse_cosine(d: Domain) -> DataFrame:
+    """The five documents nearest to each benchmark passage, by rare words first."""
+    found = sparse.index(word_sets(d, "documents", "doc_id", "id"))
+    return sparse.top_k(found, word_sets(d, "benchmark", "item_id", "query"), 5)
+
+
+@query(
+    "vec_10_sparse_jaccard",
+    f"""WITH {WORD_SETS}, an AS (SELECT query, count(*) AS n FROM item_words GROUP BY 1), bn AS (SELECT id, count(*) AS n FROM doc_words GROUP BY 1),
+    s AS (SELECT query, id, round(count(*) / (any_value(an.n) + any_value(bn.n) - count(*)), 9) AS score FROM item_words JOIN doc_words USING (token) JOIN an USING (query) JOIN bn USING (id) GROUP BY 1, 2)
+    SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id)::INTEGER AS rank FROM s QUALIFY rank <= 5""",
+)
+def sparse_jaccard(d: Domain) -> DataFrame:
+    found = sparse.index(word_sets(d, "documents", "doc_id", "id"), cosine=False)
+    return sparse.top_k(found, word_sets(d, "benchmark", "item_id", "query"), 5)
+
+
+TOPS = """tops AS (SELECT a.vec_id % 3 AS source, round(list_cosine_similarity(a.e, b.e), 6) AS score, a.label = b.label AS good FROM v a JOIN v b ON a.vec_id % 10 = 0 AND a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.e, b.e), 9) DESC, b.vec_id) = 1)"""
+
+
+@query(
+    "vec_11_threshold_sweep",
+    f"WITH {PLAIN}, {TOPS}, t AS (SELECT DISTINCT source, score AS threshold FROM tops) SELECT source, threshold, (SELECT count(*) FROM tops x WHERE x.source = t.source AND score >= threshold) AS covered, round((SELECT count(*) FILTER (score >= threshold) / count(*) FROM tops x WHERE x.source = t.source), 9) AS coverage, round((SELECT count(*) FILTER (good) / count(*) FROM tops x WHERE x.source = t.source AND score >= threshold), 9) AS precision FROM t",
+)
+def threshold_sweep(d: Domain) -> DataFrame:
+    """Precision and coverage at every threshold of the nearest vector's score, by source."""
+    return sparse.sweep(nearest_label(d), ["source"]).select("source", "threshold", "covered", F.round("coverage", 9).alias("coverage"), F.round("precision", 9).alias("precision"))
+
+
+@query(
+    "vec_11_matched_coverage",
+    f"WITH {PLAIN}, {TOPS}, c AS (SELECT source, score, good, count(*) OVER (PARTITION BY source ORDER BY score DESC RANGE UNBOUNDED PRECEDING) / count(*) OVER (PARTITION BY source) AS coverage FROM tops) SELECT source, min(score) AS threshold, round(max(coverage), 9) AS coverage, round(avg(good::INTEGER), 9) AS precision FROM c WHERE coverage <= 0.5 GROUP BY 1",
+)
+def matched_coverage(d: Domain) -> DataFrame:
+    """The threshold at which half of each source's queries are answered, and the precision there."""
+    rows = sparse.at_coverage(sparse.sweep(nearest_label(d), ["source"]), ["source"], 0.5)
+    return rows.select("source", "threshold", F.round("coverage", 9).alias("coverage"), F.round("precision", 9).alias("precision"))
+
+
+def nearest_label(d: Domain) -> DataFrame:
+    """(source, score, right) of each tenth vector's nearest one."""
+    rows = plain(d)
+    asked = rows.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query"), F.col("e").alias("q"))
+    found = vectors.nearest(rows.select(F.col("vec_id").alias("id"), F.col("e").alias("vec")), asked, 1)
+    labels = rows.select(F.col("vec_id").alias("query"), F.col("label").alias("own")), rows.select(F.col("vec_id").alias("candidate"), "label")
+    met = found.join(labels[0], "query").join(labels[1], "candidate")
+    return met.select((F.col("query") % 3).alias("source"), F.round("score", 6).alias("score"), (F.col("own") == F.col("label")).alias("right"))
+
+
 @query("vec_11_retrieval_metrics", f"WITH {PLAIN}, r AS (SELECT a.vec_id AS query, a.label AS label, b.label AS found, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.e, b.e), 9) DESC, b.vec_id) AS rank FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id), m AS (SELECT query, label, min(rank) FILTER (found = label AND rank <= 8) AS rank FROM r GROUP BY 1, 2) SELECT count(*) AS queries, round(avg((rank IS NOT NULL)::INTEGER), 6) AS recall, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM m")
 def retrieval_metrics(d: Domain) -> DataFrame:
     labels = plain(d).select(F.col("vec_id").alias("candidate"), F.col("label").alias("found"))
