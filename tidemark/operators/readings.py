@@ -100,6 +100,35 @@ def claimed_names(typed: DataFrame, lexicon: DataFrame, key: str, longest: int =
     return claims.select(key, "name")
 
 
+def prefix_index(lexicon: DataFrame) -> DataFrame:
+    """(prefix, anchor, names, n, name, others) of a lexicon (name, words array): which names a word's beginning may complete.
+
+    A name stands under each beginning of each of its words with the words that do not begin so (others) and the first of them
+    (anchor). Names that need no other word are one row for each prefix: how many there are, and the name where there is one.
+    """
+    named = lexicon.groupBy("words").agg(F.min("name").alias("name"))
+    beginnings = F.transform("words", lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda k: F.substring(w, F.lit(1), k)))
+    rows = named.select("name", "words", F.explode(F.array_distinct(F.flatten(beginnings))).alias("prefix"))
+    rows = rows.withColumn("others", F.filter("words", lambda w: ~w.startswith(F.col("prefix"))))
+    rows = rows.withColumn("anchor", F.coalesce(F.get("others", F.lit(0)), F.lit("")))
+    alone = rows.where("anchor = ''").groupBy("prefix", "anchor").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("name"), F.first("others").alias("others"))
+    return alone.unionByName(rows.where("anchor <> ''").select("prefix", "anchor", F.lit(1).cast("long").alias("n"), "name", "others"))
+
+
+def completed_names(typed: DataFrame, lexicon: DataFrame, key: str, longest: int = 3) -> DataFrame:
+    """(key, name) of typed words (key, words array, partial): the names that whole words claim and, behind them, the one name that the word
+    still being typed may finish. A beginning that several names share finishes none; nor does a word that a name has taken."""
+    claims = claimed_names(typed, lexicon, key, longest)
+    words = claims.join(lexicon.groupBy("name").agg(F.min("words").alias("words")), "name").groupBy(key).agg(F.flatten(F.collect_list("words")).alias("taken"))
+    left = typed.join(words, key, "left").withColumn("open", F.array_except("words", F.coalesce("taken", F.array().cast("array<string>"))))
+    left = left.where(F.array_contains("open", F.col("partial")) & (F.length("partial") > 0))
+    anchors = F.array_union(F.array(F.lit("")), F.array_except("open", F.array("partial")))
+    met = left.select(key, "open", F.col("partial").alias("prefix"), F.explode(anchors).alias("anchor")).join(prefix_index(lexicon), ["prefix", "anchor"])
+    met = met.where(F.size(F.array_except("others", "open")) == 0)
+    only = met.groupBy(key).agg(F.sum("n").alias("n"), F.min("name").alias("name")).where("n = 1")
+    return claims.unionByName(only.select(key, "name"))
+
+
 @dataclass(frozen=True)
 class Filter:
     """A conjunction of terms; local is its form on a local index, None where it has none."""

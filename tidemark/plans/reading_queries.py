@@ -90,6 +90,26 @@ def claimed_names(d: Domain) -> DataFrame:
     return readings.claimed_names(typed, two.union(one).withColumn("words", F.split("name", " ")), "p_partkey")
 
 
+@query(
+    "txt_20_completed_names",
+    """WITH two AS (SELECT DISTINCT p_name AS name FROM part WHERE p_size > 40), one AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS name FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 1) FROM part WHERE p_size < 2),
+    names AS (SELECT name, string_split(name, ' ') AS w FROM two UNION SELECT name, [name] FROM one),
+    t AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS whole, left(split_part(p_name, ' ', 2), 1 + p_partkey % 2) AS part, split_part(p_name, ' ', 1) IN (SELECT name FROM one) AS claimed FROM part),
+    whole AS (SELECT p_partkey, whole AS name FROM t WHERE whole IN (SELECT name FROM names) UNION SELECT p_partkey, part FROM t WHERE part IN (SELECT name FROM names)),
+    fits AS (SELECT p_partkey, name FROM t, names n WHERE part NOT IN (SELECT name FROM names) AND len(list_filter(n.w, lambda x: starts_with(x, part))) > 0
+      AND len(list_filter(n.w, lambda x: NOT starts_with(x, part) AND (x <> whole OR claimed))) = 0)
+    SELECT * FROM whole UNION ALL SELECT p_partkey, min(name) FROM fits GROUP BY 1 HAVING count(*) = 1""",
+)
+def completed_names(d: Domain) -> DataFrame:
+    """Names whose last word is still being typed, after one or two letters of it."""
+    parts = d.raw("part")
+    last = F.substring(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(1), (1 + F.col("p_partkey") % 2).cast("int"))
+    typed = parts.select("p_partkey", F.array(F.split_part("p_name", F.lit(" "), F.lit(1)), last).alias("words"), last.alias("partial"))
+    two = parts.where("p_size > 40").select(F.col("p_name").alias("name")).distinct()
+    one = parts.select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("name")).union(parts.where("p_size < 2").select(F.split_part("p_name", F.lit(" "), F.lit(1)))).distinct()
+    return readings.completed_names(typed, two.union(one).distinct().withColumn("words", F.split("name", " ")), "p_partkey")
+
+
 @query("txt_21_filter_monoid", "SELECT link_id FROM labelled WHERE starts_with(topic, 'ECONOMY') AND p > 0.6")
 def filter_monoid(d: Domain) -> DataFrame:
     a, b = readings.Filter(("startswith(topic, 'ECONOMY')",), ("economy",)), readings.Filter(("p > 0.6",), None)
