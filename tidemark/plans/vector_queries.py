@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import search, sparse, vectors
+from tidemark.operators import encodings, search, sparse, vectors
 from tidemark.plans.domain import Domain
 from tidemark.plans.registry import query
 
@@ -189,6 +189,37 @@ def evaluation_set(d: Domain) -> DataFrame:
     return surface.union(witness.join(surface, "query", "left_anti"))
 
 
+@query(
+    "vec_13_encoding_laws",
+    """WITH names AS (SELECT DISTINCT p_name AS name FROM part), laws(law, fails) AS (VALUES ('bags have length 1', false), ('bags are order free', false), ('binding commutes', false), ('unbinding gives back', false), ('moving a sequence turns it', false), ('pairs are order free', true))
+    SELECT law, count(*) AS tried, count(*) FILTER (fails AND string_split(name, ' ')[1] <> string_split(name, ' ')[-1]) AS broken FROM names, laws GROUP BY 1""",
+)
+def encoding_laws(d: Domain) -> DataFrame:
+    """Laws of composed encodings over the names' trigrams and words; that pairs are free of order is none and breaks wherever words differ."""
+    names = d.raw("part").select("p_name").distinct()
+    return encodings.law_breaches(names.select(search.trigrams(F.col("p_name")).alias("grams"), F.split("p_name", " ").alias("words")), "grams", "words")
+
+
+@query(
+    "vec_03_titles",
+    "WITH names AS (SELECT DISTINCT string_split(p_name, ' ') AS w FROM part) SELECT array_to_string(w, ' ') AS name, true AS same_bag, w[1] = w[-1] AS same_title FROM names",
+)
+def title_vectors(d: Domain) -> DataFrame:
+    """A name and the same words the other way round: equal bags, other titles."""
+    names = d.raw("part").select(F.col("p_name").alias("name")).distinct()
+    names = names.withColumn("grams", search.trigrams(F.col("name"))).withColumn("words", F.split("name", " ")).withColumn("back", F.reverse(F.split("name", " ")))
+    bags = names.withColumn("weighted", F.transform("grams", lambda g: F.struct(g.alias("token"), F.lit(1.0).alias("weight")))).withColumn("weighted_back", F.reverse("weighted"))
+
+    def both(rows: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+        close = vectors.phase_similarity(F.col("a_re"), F.col("a_im"), F.col("b_re"), F.col("b_im")) > 1 - 1e-9
+        x, y = (r.select("name", F.col("re").alias(f"{n}_re"), F.col("im").alias(f"{n}_im")) for r, n in ((a, "a"), (b, "b")))
+        return x.join(y, "name").select("name", close.alias("same"))
+
+    bag = both(bags, encodings.encode_bags(bags, "weighted"), encodings.encode_bags(bags, "weighted_back"))
+    titles = both(names, encodings.encode_titles(names, "grams", "words"), encodings.encode_titles(names, "grams", "back"))
+    return bag.withColumnRenamed("same", "same_bag").join(titles.withColumnRenamed("same", "same_title"), "name")
+
+
 LAWS = "SELECT * FROM (VALUES ('associates', 0::BIGINT), ('commutes', 0::BIGINT), ('scales', 0::BIGINT)) t(law, n)"
 
 
