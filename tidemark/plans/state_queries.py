@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import change_index, edits, filters, hierarchy, intervals, search, sources_of, states
+from tidemark.operators import change_index, edits, filters, hierarchy, intervals, search, sources_of, states, stores
 from tidemark.plans.domain import Domain
 from tidemark.plans.registry import query
 from tidemark.plans.search_queries import GRAMS
@@ -328,6 +328,63 @@ def bounded_decrement(d: Domain) -> DataFrame:
     return d.raw("orders").groupBy(F.col("o_custkey").alias("account")).agg(F.greatest(used, F.lit(0)).cast("long").alias("used"))
 
 
+@query(
+    "snk_04_merged_pending",
+    """WITH stored AS (SELECT user_id AS owner, event_type AS page, CASE WHEN user_id % 3 = 0 THEN 'active' ELSE 'pending' END AS status, max(ts) AS renewed, count(*) AS requests FROM events WHERE day(ts) <= 10 AND user_id % 7 <> 0 GROUP BY 1, 2, 3),
+    asked AS (SELECT user_id AS owner, event_type AS page, max(ts) AS renewed, count(*) AS n FROM events WHERE day(ts) > 20 AND user_id % 5 <> 0 GROUP BY 1, 2)
+    SELECT * FROM stored WHERE status = 'active' UNION ALL
+    SELECT coalesce(s.owner, a.owner), coalesce(s.page, a.page), 'pending', greatest(s.renewed, a.renewed), coalesce(s.requests, 0) + coalesce(n, 0) FROM (SELECT * FROM stored WHERE status = 'pending') s FULL JOIN asked a ON s.owner = a.owner AND s.page = a.page""",
+)
+def merged_pending(d: Domain) -> DataFrame:
+    """Requests of the last days meet stored rows of the first ones: pending rows are renewed or made, active ones stay as they are."""
+    rows = d.raw("events").select(F.col("user_id").alias("owner"), F.col("event_type").alias("page"), F.col("ts").alias("renewed"), F.dayofmonth("ts").alias("day"))
+    status = F.when(F.col("owner") % 3 == 0, "active").otherwise("pending")
+    stored = rows.where("day <= 10 and owner % 7 <> 0").groupBy("owner", "page", status.alias("status")).agg(F.max("renewed").alias("renewed"), F.count(F.lit(1)).alias("requests"))
+    return stores.merge_pending(stored, rows.where("day > 20 and owner % 5 <> 0").select("owner", "page", "renewed"), ["owner", "page"], "renewed")
+
+
+def used(d: Domain) -> DataFrame:
+    """(account, used): what accounts have used before."""
+    rows = d.raw("orders").where("o_orderstatus = 'F' and o_custkey % 4 <> 0").groupBy(F.col("o_custkey").alias("account"))
+    return rows.agg(F.least(F.count(F.lit(1)), F.lit(10)).alias("used"))
+
+
+def spending(d: Domain) -> DataFrame:
+    asks = d.raw("orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("account"), F.col("o_orderkey").alias("ask"))
+    return stores.spend(used(d), asks, "account", "ask", 12)
+
+
+USED = "used AS (SELECT o_custkey AS account, least(count(*), 10) AS used FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 4 <> 0 GROUP BY 1), asks AS (SELECT o_custkey AS account, o_orderkey AS ask, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders WHERE o_orderstatus = 'O')"
+
+
+@query("snk_05_spent_credit", f"WITH {USED} SELECT account, ask, CASE WHEN coalesce(used, 0) + place <= 12 THEN 12 - coalesce(used, 0) - place END AS remaining FROM asks LEFT JOIN used USING (account)")
+def spent_credit(d: Domain) -> DataFrame:
+    """What each ask is told: how much the limit leaves, nothing where it is used up."""
+    return spending(d)
+
+
+@query(
+    "snk_06_refunded_credit",
+    f"WITH {USED}, total AS (SELECT coalesce(u.account, a.account) AS account, coalesce(used, 0) + least(coalesce(n, 0), 12 - coalesce(used, 0)) AS used FROM used u FULL JOIN (SELECT account, count(*) AS n FROM asks GROUP BY 1) a ON a.account = u.account) "
+    "SELECT account, greatest(used - coalesce(n, 0), 0)::BIGINT AS used FROM total LEFT JOIN (SELECT o_custkey AS account, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) USING (account)",
+)
+def refunded_credit(d: Domain) -> DataFrame:
+    """Counters after the asks, less what is given back."""
+    refunds = d.raw("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("account"))
+    return stores.refund(stores.after_spending(used(d), spending(d), "account"), refunds, "account")
+
+
+@query(
+    "join_26_both_ways",
+    "WITH touched AS (SELECT DISTINCT l_partkey AS link_id, l_suppkey AS entity_id FROM lineitem WHERE l_orderkey % 3 = 0), present AS (SELECT l_partkey AS link_id, l_suppkey AS entity_id, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2) "
+    "SELECT coalesce(t.link_id, p.link_id) AS link_id, coalesce(t.entity_id, p.entity_id) AS entity_id, t.link_id IS NOT NULL AS touched, p.n IS NOT NULL AS there, coalesce(p.n, 0) AS n FROM touched t FULL JOIN present p ON t.link_id = p.link_id AND t.entity_id = p.entity_id",
+)
+def both_ways(d: Domain) -> DataFrame:
+    """Keys of the change log and of the table: which touched ones are there, and which are there untouched."""
+    rows = d.raw("lineitem").select(F.col("l_partkey").alias("link_id"), F.col("l_suppkey").alias("entity_id"), "l_orderkey", "l_returnflag")
+    return stores.presence(rows.where("l_orderkey % 3 = 0"), rows.where("l_returnflag = 'R'"), ["link_id", "entity_id"])
+
+
 @query("snk_07_claimed_rows", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'sent' ELSE 'refused' END AS status FROM orders WHERE o_orderstatus = 'P' OR o_orderstatus = 'O'")
 def claimed_rows(d: Domain) -> DataFrame:
     queue = d.raw("orders").withColumn("status", F.when(F.col("o_orderstatus").isin("P", "O"), "pending").otherwise("sent"))
