@@ -25,6 +25,16 @@ def test_stems_are_the_published_ones(spark, language, text):
     pairs = [(a, b or a) for a, _, b in (x.partition(">") for x in text.split())]
     rows = stemming.stemmed(spark.createDataFrame([*pairs, (None, None)], "word string, want string"), "word", language).collect()
     assert [(r["word"], r["stem"]) for r in rows] == [*pairs, (None, None)]
+    assert [stemming.stem(a, language) for a, _ in pairs] == [b for _, b in pairs]
+
+
+@pytest.mark.parametrize("language", ["english", "french"])
+def test_single_stems_are_those_of_columns(spark, language):
+    rng = random.Random(7)
+    parts = "a e i o u y b c d t s st ss ing ed ly ly ation ateur ement iv eus ité é è qu ou ie ier ions eux aux able ment isse ent".split()
+    words = sorted({"".join(rng.choices(parts, k=rng.randint(1, 5))) for _ in range(3000)})
+    rows = stemming.stemmed(spark.createDataFrame([(w,) for w in words], "word string"), "word", language).collect()
+    assert [r["stem"] for r in rows] == [stemming.stem(r["word"], language) for r in rows]
 
 
 FIELDS = [fulltext.Field("title", "A", ("simple",)), fulltext.Field("body", "C", ("simple",))]
@@ -55,16 +65,16 @@ def test_ranks_equal_every_stretch_tried(spark, monkeypatch):
     docs += [(80, None, None), (81, "ab", None)]
     postings = fulltext.index(spark.createDataFrame(docs, "id long, title string, body string"), "id", FIELDS).cache()
     for query, readings, absent in (("ab cd", [{"ab", "cd"}], ()), ("ab", [{"ab"}], ()), ("AB -xy cd", [{"ab", "cd"}], ("xy",)), ("ab ef or gh", [{"ab", "ef"}, {"gh"}], ()), ("nothing here", [{"nothing", "here"}], ())):
-        got = {r["id"]: r["rank"] for r in fulltext.ranks(spark, postings, "id", query).collect()}
+        got = {r["id"]: r["rank"] for r in fulltext.ranks(postings, "id", query).collect()}
         want = {d[0]: x for d in docs if (x := plain_rank(d, readings, absent)) is not None}
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want), query
-    assert fulltext.ranks(spark, postings, "id", " -ab ").collect() == []
+    assert fulltext.ranks(postings, "id", " -ab ").collect() == []
 
 
 def test_phrases_and_languages(spark):
     docs = [(1, "The licenses of the apache", ""), (2, "Apache licensed", "versions of it"), (3, "Un musée des batteries", ""), (4, "musee", "battery"), (5, "", "")]
     postings = fulltext.index(spark.createDataFrame(docs, "id long, title string, body string"), "id", [fulltext.Field("title", "A"), fulltext.Field("body", "C")])
-    found = lambda q: {r["id"] for r in fulltext.ranks(spark, postings, "id", q).collect()}
+    found = lambda q: {r["id"] for r in fulltext.ranks(postings, "id", q).collect()}
     assert found("license apache") == {1, 2} and found('"apache license"') == {2} and found('apache -"apache licensed"') == {1}
     assert found('"licenses of the apache"') == {1} and found("batteries musees") == {3, 4} and found("the of") == {1}
     row = fulltext.vectors(spark.createDataFrame(docs, "id long, title string, body string"), "id", FIELDS).where("id = 4").first()

@@ -10,6 +10,7 @@ is not the first letter, the third letter, or a listed beginning (rv).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -196,3 +197,63 @@ def stemmed(df: DataFrame, word: str, language: str, name: str = "stem") -> Data
         last = chain.add(_applied(rest, FRENCH[7], starts))
         out = F.regexp_replace(last, f"[éè]({_NV}+)$", "e$1")
     return chain.df.withColumn(name, F.lower(out)).drop(*chain.names)
+
+
+def _next(word: str, step: Step, starts: dict[str, int]) -> str:
+    """One step for one word, as `_applied` has it for columns."""
+    for suffix in sorted({r.suffix for r in step.rules}, key=len, reverse=True):
+        if not word.endswith(suffix) or (step.inside and len(word) - len(suffix) < starts["rv"]):
+            continue
+        base = word[: len(word) - len(suffix)]
+        for r in (r for r in step.rules if r.suffix == suffix):
+            start = 0 if not r.region else starts["r1"] if r.region == "none" else starts[r.region]
+            placed = start >= len(word) if r.region == "none" else len(word) - (r.span or len(suffix)) >= start
+            if placed and re.search(r.before, base) and not (r.unless and re.search(r.unless, base)):
+                return base + r.put
+        return word
+    return word
+
+
+def stem(word: str, language: str) -> str:
+    """The stem of a single word, for the few words of a query; "simple" gives the word."""
+
+    def behind(w: str, vowels: str, pairs: int) -> int:
+        found = re.match(f".*?[{vowels}][^{vowels}]" * pairs, w)
+        return found.end() if found else len(w)
+
+    if language == "english":
+        if len(word) <= 2 or word in ENGLISH_WORDS:
+            return ENGLISH_WORDS.get(word, word)
+        w = re.sub(f"([{VOWELS}])y", r"\1Y", re.sub("^y", "Y", word))
+        head = re.match("gener|commun|arsen", w)
+        r1 = head.end() if head else behind(w, VOWELS, 1)
+        starts = {"r1": r1, "r2": r1 + behind(w[r1:], VOWELS, 1)}
+        first = _next(w, ENGLISH[0], starts)
+        if first.lower() in ENGLISH_WHOLE:
+            return first.lower()
+        w = _next(first, ENGLISH[1], starts)
+        if w != first and not re.search("eed(ly)?$", first):
+            w = _next(w, ENGLISH[2], starts)
+        for step in ENGLISH[3:]:
+            w = _next(w, step, starts)
+        return w.lower()
+    if language == "french":
+        w = word.replace("qu", "qU")
+        for letter, capital in (("u", "U"), ("i", "I")):
+            w = re.sub(f"({_FV}){letter}(?={_FV})", rf"\1{capital}", w)
+        w = re.sub(f"({_FV})y", r"\1Y", re.sub(f"y(?={_FV})", "Y", w))
+        first = re.match(f".{_NV}*{_FV}", w)
+        rv = min(3, len(w)) if re.match(f"{_FV}{_FV}|par|col|tap", w) else first.end() if first else len(w)
+        starts = {"rv": rv, "r1": behind(w, FRENCH_VOWELS, 1), "r2": behind(w, FRENCH_VOWELS, 2)}
+        one = _next(w, FRENCH[0], starts)
+        done = one != w
+        if not done:
+            one = _next(one, FRENCH[1], starts)
+            for step in (2, 3):
+                then = _next(one, FRENCH[step], starts)
+                if then != one:
+                    one, done = then, True
+                    break
+        one = _next(one, FRENCH[4], starts) if done else _next(_next(one, FRENCH[5], starts), FRENCH[6], starts)
+        return re.sub(f"[éè]({_NV}+)$", r"e\1", _next(one, FRENCH[7], starts)).lower()
+    return word

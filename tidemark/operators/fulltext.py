@@ -9,7 +9,7 @@ A query is read in every language too. Each reading of each alternative (`or`) i
 of positions that holds all tokens of some reading; it counts the mean weight of its tokens' positions by the share of
 positions in it that are no tokens of the query. A document's rank is the sum of its covers, divided by the logarithm of its length.
 
-Windows run over one document's hits, rows of the query's own tokens; the query is a table of a few rows.
+Windows run over one document's hits, rows of the query's own tokens.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import stemming
@@ -135,14 +135,17 @@ def readings(query: str) -> list[Slot]:
     return out
 
 
-def ranks(spark: SparkSession, postings: DataFrame, key: str, query: str) -> DataFrame:
+def ranks(postings: DataFrame, key: str, query: str) -> DataFrame:
     """(key, rank) of the documents that match the query, from the index (token, key, length, places)."""
     slots = readings(query)
     if not slots:
         return postings.select(key, F.lit(0.0).alias("rank")).limit(0)
-    asked = spark.createDataFrame([(s.word, s.language, 100 * s.reading + s.slot) for s in slots], "word string, language string, mark int")
-    marks = as_tokens(asked).groupBy("token").agg(F.collect_set("mark").alias("marks"))
-    hits = postings.join(F.broadcast(marks), "token").select(key, "length", "marks", F.inline("places"))  # a row for each slot, at most
+    marks: dict[str, set[int]] = {}
+    for s in slots:
+        marks.setdefault(stemming.stem(s.word, s.language), set()).add(100 * s.reading + s.slot)
+    table = F.create_map(*(x for token, each in marks.items() for x in (F.lit(token), F.array(*map(F.lit, sorted(each))))))
+    asked = postings.where(F.col("token").isin(*marks))  # reaches the index, where it is stored by token
+    hits = asked.select(key, "length", F.element_at(table, F.col("token")).alias("marks"), F.inline("places"))
     hits = hits.groupBy(key, "length", "pos").agg(F.array_distinct(F.flatten(F.collect_list("marks"))).alias("marks"), F.max(_weight(F.col("weight"))).alias("weight"))
     whole, so_far = Window.partitionBy(key), Window.partitionBy(key).orderBy("pos")
     last, bad, phrases = {}, {}, {}

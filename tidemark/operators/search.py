@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import ranking
+from tidemark.session import staged
 
 #: Accented Latin letters and their base letters.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
@@ -102,8 +103,9 @@ def hits(links: DataFrame, mentions: DataFrame, entities: DataFrame, search: str
 
     wanted = [w for w in fold_text(search).split() if w]
     folded = fold_text(" ".join(wanted))
+    links = staged(links.select("link_id", "title", "created_at"), "search-links")  # read four times below
     postings = fulltext.index(links.select("link_id", "title"), "link_id", [fulltext.Field("title", "A")])
-    text = fulltext.ranks(links.sparkSession, postings, "link_id", search)
+    text = fulltext.ranks(postings, "link_id", search)
     text = text.select("link_id", F.col("rank").alias("r"), F.lit(None).cast("string").alias("name"), F.lit(True).alias("qualifies"))
     whole = fold(F.col("name")) == folded
     named = entities.where(whole | F.arrays_overlap(words(F.col("name")), F.array(*[F.lit(w) for w in wanted]))).select("entity_id", "name", whole.alias("qualifies"))

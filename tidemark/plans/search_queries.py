@@ -171,7 +171,7 @@ def search_links(d: Domain) -> DataFrame:
 def document_hits(d: Domain) -> DataFrame:
     """Stems of licensing lines in every document, either of two alternatives, without a word."""
     postings = fulltext.index(document_texts(d), "doc_id", DOCUMENT_FIELDS)
-    found = fulltext.ranks(d.spark, postings, "doc_id", "licensed apache versions -mit or gnu licenses -mit")
+    found = fulltext.ranks(postings, "doc_id", "licensed apache versions -mit or gnu licenses -mit")
     return found.select("doc_id", F.round("rank", 9).alias("rank"))
 
 
