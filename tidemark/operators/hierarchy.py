@@ -102,3 +102,26 @@ def first_per_group(df: DataFrame, keys: list[str], order: list, n: int = 1, ran
     """The first n rows of each group by a total order, with their rank."""
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank_col, F.row_number().over(window)).where(F.col(rank_col) <= n)
+
+
+def judged_moves(places: DataFrame, moves: DataFrame) -> DataFrame:
+    """moves (node, parent) with refusal and the node's new path, each judged by the places (node, path, is_place) as they are stored.
+
+    Refused, in this order: a node that is not there, a parent that is no place, a parent inside the node's own subtree (or the node itself).
+    """
+    nodes = places.select("node", F.col("path").alias("_own"))
+    parents = places.select(F.col("node").alias("parent"), F.col("path").alias("_up"), "is_place")
+    met = moves.join(nodes, "node", "left").join(parents, "parent", "left")
+    inside = (F.col("_up") == F.col("_own")) | F.col("_up").startswith(F.concat("_own", F.lit(".")))
+    refusal = F.when(F.col("_own").isNull(), "no such node").when(~F.coalesce("is_place", F.lit(False)), "parent is not a place").when(inside, "a cycle")
+    label = F.element_at(F.split("_own", r"\."), -1)
+    return met.select("node", "parent", refusal.alias("refusal"), F.when(refusal.isNull(), F.concat("_up", F.lit("."), label)).alias("path"))
+
+
+def after_move(places: DataFrame, node: str, path: str) -> DataFrame:
+    """places after an accepted move of a node to a new path: the node's whole subtree goes with it."""
+    own = places.where(F.col("node") == node).select(F.col("path").alias("_old")).limit(1)  # one row
+    met = places.crossJoin(F.broadcast(own))
+    below = (F.col("path") == F.col("_old")) | F.col("path").startswith(F.concat("_old", F.lit(".")))
+    moved = F.concat(F.lit(path), F.substring(F.col("path"), F.length("_old") + 1, F.length("path")))
+    return met.select(*[F.when(below, moved).otherwise(F.col("path")).alias("path") if c == "path" else c for c in places.columns])

@@ -136,6 +136,44 @@ def kind_links(d: Domain) -> DataFrame:
     return rows.groupBy("link_id").agg(aggregates.set_of(F.col("name")).alias("names"))
 
 
+PLACES = """places AS (SELECT 'R' || r_regionkey AS node, 'R' || r_regionkey AS path, true AS is_place FROM region UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey || '.N' || n_nationkey, true FROM nation
+  UNION ALL SELECT 'S' || s_suppkey, 'R' || n_regionkey || '.N' || n_nationkey || '.S' || s_suppkey, s_suppkey % 2 = 0 FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+  moves AS (SELECT 'S' || s_suppkey AS node, CASE s_suppkey % 4 WHEN 0 THEN 'N' || (s_suppkey % 25) WHEN 1 THEN 'S' || (s_suppkey + 1) WHEN 2 THEN 'S' || s_suppkey ELSE 'X' END AS parent FROM supplier UNION ALL SELECT 'R' || n_regionkey, 'N' || n_nationkey FROM nation UNION ALL SELECT 'N' || n_nationkey, 'R' || ((n_regionkey + 1) % 5) FROM nation UNION ALL SELECT 'Y', 'R0')"""
+
+
+def places(d: Domain) -> tuple[DataFrame, DataFrame]:
+    """Regions, nations and suppliers as places, of which every other supplier is none; and moves between them."""
+    text_of = lambda letter, c: F.concat(F.lit(letter), F.col(c))
+    region, nation, supplier = d.raw("region"), d.raw("nation"), d.raw("supplier")
+    of_nation = F.concat(text_of("R", "n_regionkey"), F.lit("."), text_of("N", "n_nationkey"))
+    low = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    known = region.select(text_of("R", "r_regionkey").alias("node"), text_of("R", "r_regionkey").alias("path"), F.lit(True).alias("is_place"))
+    known = known.union(nation.select(text_of("N", "n_nationkey"), of_nation, F.lit(True)))
+    known = known.union(low.select(text_of("S", "s_suppkey"), F.concat(of_nation, F.lit("."), text_of("S", "s_suppkey")), F.col("s_suppkey") % 2 == 0))
+    n = F.col("s_suppkey")
+    parent = F.when(n % 4 == 0, F.concat(F.lit("N"), n % 25)).when(n % 4 == 1, F.concat(F.lit("S"), n + 1)).when(n % 4 == 2, F.concat(F.lit("S"), n)).otherwise("X")
+    moves = supplier.select(text_of("S", "s_suppkey").alias("node"), parent.alias("parent"))
+    moves = moves.union(nation.select(text_of("R", "n_regionkey"), text_of("N", "n_nationkey"))).union(nation.select(text_of("N", "n_nationkey"), F.concat(F.lit("R"), (F.col("n_regionkey") + 1) % 5)))
+    return known, moves.union(d.spark.createDataFrame([("Y", "R0")], "node string, parent string"))
+
+
+@query(
+    "q_26_judged_moves",
+    f"WITH {PLACES}, met AS (SELECT m.node, m.parent, a.path AS own, b.path AS up, b.is_place FROM moves m LEFT JOIN places a ON a.node = m.node LEFT JOIN places b ON b.node = m.parent), "
+    "told AS (SELECT *, CASE WHEN own IS NULL THEN 'no such node' WHEN is_place IS NOT TRUE THEN 'parent is not a place' WHEN list_contains(string_split(up, '.'), node) THEN 'a cycle' END AS refusal FROM met) "
+    "SELECT node, parent, refusal, CASE WHEN refusal IS NULL THEN up || '.' || node END AS path FROM told",
+)
+def judged_moves(d: Domain) -> DataFrame:
+    """Moves of places: which are refused and why, and where the others lead."""
+    return hierarchy.judged_moves(*places(d))
+
+
+@query("q_26_moved_subtree", f"WITH {PLACES} SELECT node, CASE WHEN list_contains(string_split(path, '.'), 'N7') THEN 'R0.N0' || substr(path, strpos(path, '.N7')) ELSE path END AS path FROM places")
+def moved_subtree(d: Domain) -> DataFrame:
+    """A nation moved under another: its suppliers go with it."""
+    return hierarchy.after_move(places(d)[0].select("node", "path"), "N7", "R0.N0.N7")
+
+
 @query("q_26_set_parent", "SELECT entity_id, CASE WHEN kind_path = 'ASIA' OR starts_with(kind_path, 'ASIA.') THEN 'EUROPE.ASIA' || substring(kind_path, 5) ELSE kind_path END AS kind_path FROM entities")
 def set_parent(d: Domain) -> DataFrame:
     return d.entities().select("entity_id", hierarchy.reroot(F.col("kind_path"), "ASIA", "EUROPE").alias("kind_path"))
