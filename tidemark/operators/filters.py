@@ -45,6 +45,37 @@ def read_sense(given: dict, at: datetime) -> Sense:
     return Sense(period=intervals.PERIODS[value].interval(at))
 
 
+#: Paths of kinds and topics.
+PATH = r"^[A-Za-z0-9_]+(\.[A-Za-z0-9_]+)*$"
+
+
+def read_senses(given: Column, at: Column) -> Column:
+    """(key, value, error) of stored filters: maps with one of KEYS, and the moment at which a named time is said.
+
+    A period is `start|end`, as is what a named time becomes. Where something is wrong, key and value are null and error says what.
+    """
+    key, value = F.get(F.map_keys(given), F.lit(0)), F.get(F.map_values(given), F.lit(0))
+    ends = F.transform(F.split(value, r"\|"), lambda x: F.try_to_timestamp(x).cast("timestamp_ntz"))
+    start, end = F.get(ends, F.lit(0)), F.get(ends, F.lit(1))
+    named = intervals.named(value, at)
+    rules = [
+        (given.isNull() | (F.size(given) != 1) | ~key.isin(*KEYS) | value.isNull(), F.lit("exactly one of entity, kind, topic and period")),
+        ((key == "time") & ~value.isin(*intervals.PERIODS), F.concat(F.lit("unknown time: "), value)),
+        ((key == "time") & at.isNull(), F.concat(F.lit("when is "), value)),
+        ((key == "entity") & value.try_cast("long").isNull(), F.lit("an entity is a number")),
+        (key.isin("kind", "topic") & ~value.rlike(PATH), F.concat(F.lit("bad path: "), value)),
+        ((key == "period") & ((F.size(ends) != 2) | start.isNull() | end.isNull()), F.lit("a period has two ends")),
+        ((key == "period") & (start >= end), F.lit("a period ends after it starts")),
+    ]
+    error = F.lit(None).cast("string")
+    for holds, message in reversed(rules):
+        error = F.when(F.coalesce(holds, F.lit(False)), message).otherwise(error)
+    text = lambda moment: F.date_format(moment, "yyyy-MM-dd HH:mm:ss")
+    read = F.when(key == "time", F.concat_ws("|", text(named["starts"]), text(named["ends"]))).otherwise(value)
+    name = F.when(key == "time", "period").otherwise(key)
+    return F.struct(F.when(error.isNull(), name).alias("key"), F.when(error.isNull(), read).alias("value"), error.alias("error"))
+
+
 def checked(filters: list[list[Sense]]) -> list[list[Sense]]:
     if not 1 <= len(filters) <= MOST_FILTERS:
         raise ValueError(f"1 to {MOST_FILTERS} filters are possible")

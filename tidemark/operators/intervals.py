@@ -38,6 +38,15 @@ PERIODS = {
 }
 
 
+def named(term: Column, at: Column) -> Column:
+    """(starts, ends) of the period that a term names as said at a moment; null for other terms and without a moment."""
+    out = F.lit(None)
+    for name, period in PERIODS.items():
+        day = (at - F.lit(period.day_starts)).cast("date").cast("timestamp_ntz")
+        out = F.when(term == name, F.struct((day + F.lit(period.after)).alias("starts"), (day + F.lit(period.until)).alias("ends"))).otherwise(out)
+    return out
+
+
 def event_range(starts_on: Column, ends_on: Column, start_hour: Column) -> tuple[Column, Column]:
     """[start, end) of an event as timestamps; null start: unbounded below."""
     first = starts_on.cast("timestamp_ntz") + F.make_dt_interval(hours=F.coalesce(start_hour, F.lit(DAY_STARTS_HOUR)))
@@ -52,17 +61,32 @@ def overlaps(start_a: Column, end_a: Column, start_b: Column, end_b: Column) ->
     return (start_a.isNull() | end_b.isNull() | (start_a < end_b)) & (start_b.isNull() | end_a.isNull() | (start_b < end_a))
 
 
-#: Buckets that hold periods, at most, for events without a bound to be dealt to just these.
-MOST_BUCKETS = 10_000
+#: Periods, at most, that are listed in one row which every event compares itself with; buckets that hold periods, at most, for
+#: events without a bound to be dealt to just these.
+MOST_LISTED, MOST_BUCKETS = 256, 10_000
 
 
-def overlap_join(events: DataFrame, start: str, end: str, periods: DataFrame, p_start: str, p_end: str, bucket_days: int = 32) -> DataFrame:
+def overlap_join(events: DataFrame, start: str, end: str, periods: DataFrame, p_start: str, p_end: str, bucket_days: int = 32, most_listed: int = MOST_LISTED) -> DataFrame:
     """Events with every period that they overlap. Periods are bounded; events may be unbounded.
 
-    Both kinds are equi-joins on buckets of days. An event with two bounds is in every bucket that it touches, and so is
-    a period; a pair counts in the first bucket that both touch. An event without a bound goes to the buckets where
-    periods start (no later than it ends) and meets each period there once.
+    Few periods (most_listed at most, which is checked) are one row of a list: an event keeps those that it overlaps, and neither side is
+    shuffled or copied. More are joined by buckets: both kinds are equi-joins on buckets of days. An event with two bounds is in every
+    bucket that it touches, and so is a period; a pair counts in the first bucket that both touch. An event without a bound goes to the
+    buckets where periods start (no later than it ends) and meets each period there once.
     """
+    spark = events.sparkSession
+    few = periods.limit(most_listed + 1).collect()  # bounded
+    if len(few) <= most_listed:
+        listed = F.array_agg(F.struct(*[F.col(c) for c in periods.columns]))
+        row = spark.createDataFrame(few, periods.schema).agg(listed.alias("_periods"))
+        rows = events.crossJoin(F.broadcast(row))  # one row of few periods
+        meets = F.filter("_periods", lambda p: overlaps(F.col(start), F.col(end), p[p_start], p[p_end]))
+        return rows.select(*events.columns, F.inline(meets))
+    return bucketed(events, start, end, periods, p_start, p_end, bucket_days)
+
+
+def bucketed(events: DataFrame, start: str, end: str, periods: DataFrame, p_start: str, p_end: str, bucket_days: int) -> DataFrame:
+    """The overlap join by buckets, for any number of periods."""
 
     def bucket(at: Column) -> Column:
         return F.floor(F.datediff(at.cast("date"), F.lit("1970-01-01").cast("date")) / bucket_days).cast("int")

@@ -6,6 +6,7 @@ Every operator returns the new rows or the new state of a table; the caller writ
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,6 +70,42 @@ def proposal_refusals(proposals: DataFrame, topics: DataFrame) -> DataFrame:
     return refused(rows, rules).select("proposal_id", "person", "topic", "refusal")
 
 
+@dataclass(frozen=True)
+class Proposals:
+    """proposals with their new status; topics and labels with what was accepted; decisions (proposal_id, accept, refusal)."""
+
+    proposals: DataFrame
+    topics: DataFrame
+    labels: DataFrame
+    decisions: DataFrame
+
+
+def decide_proposals(proposals: DataFrame, decisions: DataFrame, topics: DataFrame, examples: DataFrame, labels: DataFrame) -> Proposals:
+    """What a batch of decisions (proposal_id, accept, at) makes of proposals (proposal_id, person, topic, name, status).
+
+    An accepted proposal becomes a topic (topic, name, proposed_by) and its examples (proposal_id, link_id, p) become labels (link_id,
+    topic, p, labeled_by), but where a label is there already. Refused, with the proposal left as it was: a decision on no open proposal,
+    any but the first on one proposal in a batch, and a topic that is there or that an earlier proposal of the batch makes.
+    """
+    order = Window.partitionBy("proposal_id").orderBy("at", F.desc("accept"))
+    rows = decisions.withColumn("_turn", F.row_number().over(order)).join(proposals, "proposal_id", "left")
+    rows = rows.join(topics.select("topic").distinct().withColumn("_known", F.lit(True)), "topic", "left")
+    asks = F.col("accept") & (F.col("status") == "open") & (F.col("_turn") == 1)
+    makers = Window.partitionBy("topic")
+    rows = rows.withColumn("_maker", F.min(F.when(asks, F.col("proposal_id"))).over(makers))
+    later = F.col("accept") & (F.col("_known") | (F.col("proposal_id") != F.col("_maker")))
+    rules = [(F.col("status").isNull() | (F.col("status") != "open"), "no open proposal"), (F.col("_turn") > 1, "decided already"), (later, "already a topic")]
+    judged = refused(rows, rules)
+    done = judged.where("refusal is null").select("proposal_id", "accept", "topic", "person", "name")
+    accepted = done.where("accept")
+    status = F.when(F.col("accept"), "accepted").when(~F.col("accept"), "rejected").otherwise(F.col("status"))
+    after = proposals.join(done.select("proposal_id", "accept"), "proposal_id", "left").withColumn("status", status).select(*proposals.columns)
+    new = accepted.select("topic", F.trim("name").alias("name"), F.col("person").alias("proposed_by"))
+    made = examples.join(accepted.select("proposal_id", "topic"), "proposal_id").groupBy("link_id", "topic").agg(F.max("p").alias("p")).withColumn("labeled_by", F.lit("manual"))
+    made = made.join(labels.select("link_id", "topic"), ["link_id", "topic"], "left_anti")
+    return Proposals(after, new, made, judged.select("proposal_id", "accept", "refusal"))
+
+
 def decided(queue: DataFrame, allowed: Column) -> DataFrame:
     """Pending rows of a queue, each decided once: `sent` or `refused`; rows decided before stay out."""
     return queue.where("status = 'pending'").withColumn("status", F.when(F.coalesce(allowed, F.lit(False)), "sent").otherwise("refused"))

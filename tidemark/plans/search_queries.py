@@ -45,9 +45,22 @@ def interval_overlap(d: Domain) -> DataFrame:
 TONIGHT = intervals.PERIODS["tonight"].interval(datetime(1999, 6, 5, 1, 30))
 
 
-@query("q_19_named_period", "SELECT TIMESTAMP '1999-06-04 18:00:00' AS starts, TIMESTAMP '1999-06-05 04:00:00' AS ends")
+TERMS = "CASE event_id % 4 WHEN 0 THEN 'tonight' WHEN 1 THEN 'tomorrow' WHEN 2 THEN 'today' ELSE 'someday' END"
+
+
+@query(
+    "q_19_named_period",
+    f"WITH e AS (SELECT event_id, ts, {TERMS} AS term FROM events), s AS (SELECT *, CASE WHEN term <> 'tomorrow' AND hour(ts) < 4 THEN CAST(ts AS DATE) - 1 ELSE CAST(ts AS DATE) END AS day FROM e) "
+    "SELECT event_id, term, CASE term WHEN 'tonight' THEN day + INTERVAL 18 HOUR WHEN 'tomorrow' THEN day + INTERVAL 24 HOUR WHEN 'today' THEN CAST(day AS TIMESTAMP) END AS starts, "
+    "CASE term WHEN 'tomorrow' THEN day + INTERVAL 48 HOUR WHEN 'someday' THEN NULL ELSE day + INTERVAL 28 HOUR END AS ends FROM s",
+)
 def named_period(d: Domain) -> DataFrame:
-    return d.spark.range(1).select(*(F.to_timestamp_ntz(F.lit(str(x))).alias(n) for x, n in zip(TONIGHT, ("starts", "ends"))))
+    """What a term named at the moment of each event; one of four terms names nothing."""
+    key = F.col("event_id") % 4
+    term = F.when(key == 0, "tonight").when(key == 1, "tomorrow").when(key == 2, "today").otherwise("someday")
+    rows = d.raw("events").select("event_id", term.alias("term"), F.col("ts").cast("timestamp_ntz").alias("at"))
+    period = intervals.named(F.col("term"), F.col("at"))
+    return rows.select("event_id", "term", period["starts"].alias("starts"), period["ends"].alias("ends"))
 
 
 @query("q_21_period_summary", f"WITH {RANGES}, p AS (SELECT TIMESTAMP '1999-06-04 18:00:00' AS a, TIMESTAMP '1999-06-05 04:00:00' AS b) SELECT a AS starts, b AS ends, count(DISTINCT link_id) AS n_links FROM p, ranges WHERE {OVERLAP} GROUP BY 1, 2")

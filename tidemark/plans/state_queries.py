@@ -49,17 +49,30 @@ def match_entities(d: Domain) -> DataFrame:
     return rows.select("link_id", F.col("name").alias("title"), "n", "hits")
 
 
-@query("q_22_filter_sense", "SELECT 'topic' AS key, 'ECONOMY' AS value UNION ALL SELECT 'period', '2001-12-31 00:00:00|2002-01-01 04:00:00' UNION ALL SELECT 'error', 'exactly one of entity, kind, topic and period' UNION ALL SELECT 'error', 'unknown time: someday'")
+SENSES = """CASE o_orderkey % 9 WHEN 0 THEN 'topic' WHEN 1 THEN 'time' WHEN 2 THEN 'time' WHEN 3 THEN 'entity' WHEN 4 THEN 'period' WHEN 5 THEN 'period' WHEN 6 THEN 'kind' WHEN 7 THEN NULL ELSE 'topic' END"""
+
+
+@query(
+    "q_22_filter_sense",
+    f"""WITH g AS (SELECT o_orderkey AS id, o_orderdate + to_hours((o_orderkey % 24)::BIGINT) AS moment, {SENSES} AS key FROM orders),
+    t AS (SELECT *, id % 9 AS m, CASE WHEN hour(moment) < 4 THEN CAST(moment AS DATE) - 1 ELSE CAST(moment AS DATE) END AS day FROM g)
+    SELECT id, CASE WHEN m IN (2, 5, 7, 8) OR (m = 3 AND id % 2 = 0) OR (m = 6 AND id % 2 = 0) THEN NULL WHEN m = 1 THEN 'period' ELSE key END AS key,
+      CASE m WHEN 0 THEN 'ECONOMY.B' || id WHEN 1 THEN strftime(day + INTERVAL 18 HOUR, '%Y-%m-%d %H:%M:%S') || '|' || strftime(day + INTERVAL 28 HOUR, '%Y-%m-%d %H:%M:%S') WHEN 3 THEN CASE WHEN id % 2 = 1 THEN id::VARCHAR END
+        WHEN 4 THEN strftime(moment, '%Y-%m-%d %H:%M:%S') || '|' || strftime(moment + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') WHEN 6 THEN CASE WHEN id % 2 = 1 THEN 'EUROPE.FRANCE' END END AS value,
+      CASE WHEN m IN (7, 8) THEN 'exactly one of entity, kind, topic and period' WHEN m = 2 THEN 'unknown time: someday' WHEN m = 5 THEN 'a period ends after it starts' WHEN m = 3 AND id % 2 = 0 THEN 'an entity is a number' WHEN m = 6 AND id % 2 = 0 THEN 'bad path: a b' END AS error FROM t""",
+)
 def filter_sense(d: Domain) -> DataFrame:
-    """Arguments of a filter are read when the plan is built: one key, a named time resolved at a given moment, errors by fixed messages."""
-    at, rows = datetime(2001, 12, 31, 15), []
-    for given in ({"topic": "ECONOMY"}, {"time": "today"}, {"topic": "x", "entity": 1}, {"time": "someday"}):
-        try:
-            sense = filters.read_sense(given, at)
-            rows.append(("topic", sense.topic) if sense.topic else ("period", "|".join(str(x) for x in sense.period)))
-        except ValueError as error:
-            rows.append(("error", str(error)))
-    return d.spark.createDataFrame(rows, "key string, value string")
+    """Stored filters, one to an order: one key each, a named time as said at the order's moment, errors by fixed messages."""
+    key, m = F.col("o_orderkey"), F.col("o_orderkey") % 9
+    at = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(hours=(key % 24).cast("int"))
+    hour = F.make_dt_interval(hours=F.lit(1))
+    said = lambda a, b: F.concat_ws("|", F.date_format(a, "yyyy-MM-dd HH:mm:ss"), F.date_format(b, "yyyy-MM-dd HH:mm:ss"))
+    one = lambda name, value: F.create_map(F.lit(name), value)
+    given = F.when(m == 0, one("topic", F.concat(F.lit("ECONOMY.B"), key.cast("string")))).when(m == 1, one("time", F.lit("tonight"))).when(m == 2, one("time", F.lit("someday")))
+    given = given.when(m == 3, one("entity", F.when(key % 2 == 1, key.cast("string")).otherwise("x"))).when(m == 4, one("period", said(at, at + hour))).when(m == 5, one("period", said(at, at)))
+    given = given.when(m == 6, one("kind", F.when(key % 2 == 1, "EUROPE.FRANCE").otherwise("a b"))).when(m == 8, F.create_map(F.lit("topic"), F.lit("a"), F.lit("kind"), F.lit("b")))
+    sense = filters.read_senses(given, at)
+    return d.raw("orders").select(key.alias("id"), sense["key"].alias("key"), sense["value"].alias("value"), sense["error"].alias("error"))
 
 
 @query("q_25_place_paths", "SELECT entity_id, split_part(kind_path, '.', 2) AS label, split_part(kind_path, '.', 1) AS parent, starts_with(kind_path || '.', 'ASIA.') AS in_asia, split_part(kind_path, '.', 1) || '|' || kind_path AS ancestors FROM entities")
@@ -135,6 +148,45 @@ def proposals(d: Domain) -> DataFrame:
     return states.proposal_refusals(rows.select(key.alias("proposal_id"), F.col("o_custkey").alias("person"), topic.alias("topic")), tree)
 
 
+DECIDED = """pr AS (SELECT o_orderkey AS id, o_custkey AS person, CASE WHEN o_orderkey % 7 = 0 THEN (SELECT min(topic) FROM labelled) ELSE 'ECONOMY.New' || (o_orderkey // 4) END AS topic, CASE WHEN o_orderstatus = 'F' THEN 'accepted' ELSE 'open' END AS status FROM orders),
+    de AS (SELECT o_orderkey + (o_orderkey % 5 = 0)::BIGINT AS id, o_orderkey % 3 = 0 AS accept, o_orderkey AS moment FROM orders WHERE o_orderkey % 3 <> 2),
+    turns AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY moment, accept DESC) AS turn FROM de),
+    makers AS (SELECT topic, min(id) AS maker FROM pr JOIN turns USING (id) WHERE accept AND status = 'open' AND turn = 1 GROUP BY 1),
+    judged AS (SELECT id, accept, person, topic, CASE WHEN status IS NULL OR status <> 'open' THEN 'no open proposal' WHEN turn > 1 THEN 'decided already' WHEN accept AND (topic IN (SELECT topic FROM labelled) OR id <> maker) THEN 'already a topic' END AS refusal
+      FROM turns LEFT JOIN pr USING (id) LEFT JOIN makers USING (topic))"""
+
+
+def decided_proposals(d: Domain) -> states.Proposals:
+    """Orders as proposals, four neighbours for one topic; two decisions in three orders, some of them on the next one."""
+    key = F.col("o_orderkey")
+    orders, least = d.raw("orders"), d.labels().agg(F.min("topic").alias("least"))
+    topic = F.when(key % 7 == 0, F.col("least")).otherwise(F.concat(F.lit("ECONOMY.New"), F.floor(key / 4).cast("string")))
+    proposals = orders.crossJoin(F.broadcast(least)).select(key.alias("proposal_id"), F.col("o_custkey").alias("person"), topic.alias("topic"), F.concat(F.lit(" New "), key).alias("name"), F.when(F.col("o_orderstatus") == "F", "accepted").otherwise("open").alias("status"))  # one row
+    decisions = orders.where(key % 3 != 2).select((key + (key % 5 == 0).cast("long")).alias("proposal_id"), (key % 3 == 0).alias("accept"), key.alias("at"))
+    examples = d.raw("lineitem").select(F.col("l_orderkey").alias("proposal_id"), F.col("l_partkey").alias("link_id"), (0.5 + F.col("l_discount")).alias("p"))
+    return states.decide_proposals(proposals, decisions, d.labels().select("topic"), examples, d.labels())
+
+
+@query("q_36_decisions", f"WITH {DECIDED} SELECT id AS proposal_id, accept, refusal FROM judged")
+def proposal_decisions(d: Domain) -> DataFrame:
+    return decided_proposals(d).decisions
+
+
+@query("q_36_decided_proposals", f"WITH {DECIDED} SELECT pr.id AS proposal_id, CASE WHEN accept THEN 'accepted' WHEN NOT accept THEN 'rejected' ELSE status END AS status FROM pr LEFT JOIN (SELECT * FROM judged WHERE refusal IS NULL) j ON j.id = pr.id")
+def proposals_after(d: Domain) -> DataFrame:
+    return decided_proposals(d).proposals.select("proposal_id", "status")
+
+
+@query("q_36_accepted_topics", f"WITH {DECIDED} SELECT topic, 'New ' || id AS name, person AS proposed_by FROM judged WHERE accept AND refusal IS NULL")
+def accepted_topics(d: Domain) -> DataFrame:
+    return decided_proposals(d).topics
+
+
+@query("q_36_accepted_labels", f"WITH {DECIDED} SELECT l_partkey AS link_id, topic, max(0.5::DOUBLE + l_discount) AS p, 'manual' AS labeled_by FROM lineitem JOIN judged ON id = l_orderkey WHERE accept AND refusal IS NULL GROUP BY 1, 2")
+def accepted_labels(d: Domain) -> DataFrame:
+    return decided_proposals(d).labels
+
+
 @query(
     "q_38_federated_claims",
     "SELECT event_id, CASE WHEN user_id % 4 <> 0 AND user_id <> 7 AND (SELECT count(*) FROM events b WHERE b.user_id = a.user_id AND b.ts >= a.ts - INTERVAL 1 HOUR AND b.ts < a.ts) < 2 THEN 'sent' ELSE 'refused' END AS status FROM events a WHERE event_type IN ('purchase', 'view')",
