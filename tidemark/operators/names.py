@@ -153,6 +153,37 @@ def parse_sections(text: Column) -> Column:
     return F.transform(F.split(text, "\n\n"), one)
 
 
+#: Longer names told of a name, at most.
+LONGER = 4
+
+
+def name_words(surface: Column) -> Column:
+    """The words of a name, in lower case, without a possessive s."""
+    plain = F.regexp_replace(F.replace(F.lower(surface), F.lit("’"), F.lit("'")), r"'s(?![\p{L}\p{N}_])", "")
+    return F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def longer_names(names: DataFrame, most: int | None = LONGER) -> DataFrame:
+    """(surface, longer, place): the names that hold a name's words in a row among others, or spell the same words in a greater way.
+
+    Of each name the nearest, at most `most` (None: all): the fewest words first, then by spelling. A name is looked up by its rarest word
+    only, so that a frequent word brings together just the names that have no other; a rank's limit is applied before names are shuffled
+    together. Names without words have none.
+    """
+    known = names.select("surface").where("surface is not null").distinct().withColumn("words", name_words(F.col("surface"))).where(F.size("words") > 0)
+    words = known.select("surface", "words", F.explode(F.array_distinct("words")).alias("word"))
+    df = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    rarest = words.join(df, "word").groupBy("surface", "words").agg(F.min_by("word", F.struct("df", "word")).alias("word"))
+    other = words.select(F.col("surface").alias("longer"), F.col("words").alias("more"), "word")
+    spaced = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    inside = (F.size("more") > F.size("words")) & spaced(F.col("more")).contains(spaced(F.col("words")))
+    respelt = (F.col("more") == F.col("words")) & (F.col("longer") > F.col("surface"))
+    met = rarest.join(other, "word").where(inside | respelt)
+    order = Window.partitionBy("surface").orderBy(F.size("more"), "longer")
+    ranked = met.select("surface", "longer", F.row_number().over(order).alias("place"))
+    return ranked if most is None else ranked.where(F.col("place") <= most)
+
+
 def scores(labelled: DataFrame, found: DataFrame, by: str) -> DataFrame:
     """(by, n, exact, overlapping, relevant): how well found names (by, words array) cover labelled ones (by, words array)."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -171,6 +171,27 @@ def beam_labels(probabilities: DataFrame, key: str, levels: int, width: int = BE
     return chosen.where(F.col("rank") <= most).select(key, "node", F.round("score", 3).alias("score"))
 
 
+def beam_over_tree(links: DataFrame, tree: DataFrame, key: str, levels: int, answer: Callable[[Column, Column], Column], width: int = BEAM, least: float = LEAST_SCORE, most: int = MOST_LABELS) -> DataFrame:
+    """The same over a tree (parent, node) whose questions are asked as the beam reaches them: answer(key, node) is a node's probability.
+
+    At each level a path meets its own node's children, held as one row a node: what is joined grows with the links and the beam's width,
+    never with the tree. Many links at one node (all are at the root) are a skewed key, which adaptive execution splits on the links' side.
+    """
+    children = tree.groupBy(F.col("parent").alias("node")).agg(F.sort_array(F.collect_set("node")).alias("children"))  # a node's children, as many as the taxonomy gives it
+    beam = links.select(key).distinct().select(key, F.lit("").alias("node"), F.lit(0.0).alias("logs"), F.lit(0).alias("decisions"), F.lit(1.0).alias("score"))
+    best = Window.partitionBy(key).orderBy(F.desc("score"), "node")
+    for _ in range(levels):
+        grown = beam.join(children, "node", "left").withColumn("decided", (F.size("children") > 1) | (F.col("node") == ""))
+        grown = grown.select(key, "node", "logs", "decisions", F.coalesce("decided", F.lit(False)).alias("decided"), F.explode_outer("children").alias("child"))
+        asked = F.col("decided") & F.col("child").isNotNull()
+        logs = F.col("logs") + F.when(asked, F.log(F.greatest(answer(F.col(key), F.col("child")), F.lit(1e-300)))).otherwise(0.0)
+        grown = grown.select(key, F.coalesce("child", "node").alias("node"), logs.alias("logs"), (F.col("decisions") + asked.cast("int")).alias("decisions"))
+        grown = grown.withColumn("score", F.when(F.col("decisions") > 0, F.exp(F.col("logs") / F.col("decisions"))).otherwise(1.0))
+        beam = grown.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= width).drop("rank")
+    chosen = beam.where((F.col("node") != "") & (F.col("score") >= least)).withColumn("rank", F.row_number().over(best))
+    return chosen.where(F.col("rank") <= most).select(key, "node", F.round("score", 3).alias("score"))
+
+
 @dataclass(frozen=True)
 class Relation:
     """A relation and the kinds that may not be its subject or object; only: kinds that alone may be."""

@@ -31,6 +31,26 @@ def compiled(declared: dict[str, str]) -> dict:
     return {"type": "object", "additionalProperties": False, "properties": {d.name: {"type": "string", "pattern": KINDS[d.kind]} for d in rows}}
 
 
+#: What a declared name looks like, and how many a type has at most.
+NAME, MOST_NAMES = r"^[a-z][a-z0-9_]{0,31}$", 64
+
+
+def compiled_type(declared: Column) -> tuple[Column, Column]:
+    """(schema, refusal) of declared types, maps from names to kinds: the closed JSON Schema as text, every name required, names in order.
+
+    Refused, by the first of: no name or too many, a name of another shape, an unknown kind; of several the least is told.
+    """
+    entries = F.array_sort(F.map_entries(declared))
+    names = F.transform(entries, lambda e: e["key"])
+    bad = F.get(F.filter(names, lambda n: ~n.rlike(NAME)), F.lit(0))
+    unknown = F.get(F.array_sort(F.filter(F.transform(entries, lambda e: F.coalesce(e["value"], F.lit("null"))), lambda k: ~k.isin(*KINDS))), F.lit(0))
+    refusal = F.when(declared.isNull() | ~F.size(entries).between(1, MOST_NAMES), f"a type declares 1 to {MOST_NAMES} names").when(bad.isNotNull(), F.concat(F.lit("bad name: "), bad)).when(unknown.isNotNull(), F.concat(F.lit("unknown kind: "), unknown))
+    patterns = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
+    properties = F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], F.struct(F.lit("string").alias("type"), F.try_element_at(patterns, F.coalesce(e["value"], F.lit(""))).alias("pattern")))))
+    schema = F.to_json(F.struct(F.lit("object").alias("type"), F.lit(False).alias("additionalProperties"), properties.alias("properties"), names.alias("required")))
+    return F.when(refusal.isNull(), schema), refusal
+
+
 def changed_schemas(old: DataFrame, new: DataFrame) -> DataFrame:
     """(type_id) of types (type_id, schema) whose schema is no longer what it was: schemas are immutable."""
     return old.alias("o").join(new.alias("n"), "type_id").where("o.schema <> n.schema").select("type_id")

@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import arguments
 from tidemark.operators import edits, intervals, judging, spans, styles
-from tidemark.operators.filters import read_sense
 from tidemark.plans.domain import Domain
 from tidemark.plans.registry import query
 from tidemark.streaming import events
@@ -153,16 +153,34 @@ def from_metadata(d: Domain) -> DataFrame:
     return counts[0].union(counts[1]).union(counts[2])
 
 
-@query("udf_07_typed_arguments", "SELECT * FROM (VALUES (0, 'ok'), (1, 'exactly one of entity, kind, topic and period'), (2, 'a period ends after it starts'), (3, 'unknown time: now')) t(n, said)")
+#: What a call over an event may say.
+ARGUMENTS = {
+    "k": arguments.integer(0, 80),
+    "value": arguments.optional(arguments.number(above=0, maximum=20)),
+    "type": arguments.one_of(["click", "view", "purchase"], default="view"),
+    "name": arguments.optional(arguments.string(least=2, most=4)),
+    "ids": arguments.optional(arguments.array(arguments.integer(minimum=0), 1, 3)),
+}
+
+
+@query(
+    "udf_07_typed_arguments",
+    """WITH e AS (SELECT event_id AS id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, value, event_type AS t, event_id % 6 AS m, user_id AS u FROM events),
+    said AS (SELECT *, CASE WHEN k IS NULL OR k NOT BETWEEN 0 AND 80 THEN 'k must be an integer from 0 to 80' WHEN value IS NOT NULL AND NOT (value > 0 AND value <= 20) THEN 'value must be a number in (0, 20]'
+      WHEN m <> 1 AND t NOT IN ('click', 'view', 'purchase') THEN 'type must be one of click, view, purchase' WHEN m = 2 AND length('u' || u) NOT BETWEEN 2 AND 4 THEN 'name must be a string of 2 to 4 characters'
+      WHEN m = 3 THEN 'ids must list 1-3 items' WHEN m = 4 AND u % 2 = 1 THEN 'ids[1] must be an integer from 0 to 9007199254740991' END AS error FROM e)
+    SELECT id, error, CASE WHEN error IS NULL THEN k END AS k, CASE WHEN error IS NULL THEN CASE WHEN m = 1 THEN 'view' ELSE t END END AS type, CASE WHEN error IS NULL AND m = 2 THEN 'u' || u END AS name, CASE WHEN error IS NULL AND m = 4 THEN 2 WHEN error IS NULL AND m = 5 THEN 1 END::INTEGER AS n FROM said""",
+)
 def typed_arguments(d: Domain) -> DataFrame:
-    at, said = datetime(2001, 1, 1), []
-    for given in ({"entity": 3}, {}, {"period": (at, at)}, {"time": "now"}):
-        try:
-            read_sense(given, at)
-            said.append("ok")
-        except ValueError as error:
-            said.append(str(error))
-    return d.spark.createDataFrame(list(enumerate(said)), "n int, said string")
+    """A call over each event: its own properties, value and type, some left out, a name, and lists of every length."""
+    m, user = F.col("event_id") % 6, F.col("user_id")
+    ids = F.when(m == 3, F.array().cast("array<bigint>")).when(m == 4, F.array(user, F.when(user % 2 == 1, -user).otherwise(user))).when(m == 5, F.array(user))
+    name = F.when(m == 2, F.concat(F.lit(" u"), user.cast("string")))
+    k = F.get_json_object("props", "$.k").cast("long")
+    call = F.to_json(F.struct(k.alias("k"), "value", F.when(m != 1, F.col("event_type")).alias("type"), F.trim(name).alias("name"), ids.alias("ids")))
+    value, error = arguments.parsed(F.col("call"), ARGUMENTS)
+    rows = d.raw("events").select(F.col("event_id").alias("id"), call.alias("call")).select("id", error.alias("error"), value.alias("v"))
+    return rows.select("id", "error", "v.k", "v.type", "v.name", F.when(F.col("v.ids").isNotNull(), F.size("v.ids")).alias("n"))
 
 
 SCHEMA = {"text_color": "color", "gap": "size", "font": "word"}
@@ -176,11 +194,21 @@ def style_values(d: Domain) -> DataFrame:
     return d.raw("part").select(key.alias("style_id"), F.concat(F.lit('{"text_color":"'), color, F.lit('","gap":"'), F.col("p_size"), F.lit('px"'), extra, F.lit("}")).alias("value"))
 
 
-@query("sty_01_compiled_schema", "SELECT * FROM (VALUES ('font', '^[a-z][a-z-]{0,30}$'), ('gap', '^[0-9]{1,3}(px|rem|%)$'), ('text_color', '^#[0-9a-f]{6}$')) t(name, pattern)")
+@query(
+    "sty_01_compiled_schema",
+    """WITH t AS (SELECT p_partkey AS id, lower(p_type) AS a, ['#[0-9a-f]{6}', '[0-9]{1,3}(px|rem|%)', '[a-z][a-z-]{0,30}'][(p_size % 4 + 1)::INTEGER] AS x, p_size % 4 AS m, p_size % 5 AS f, p_size FROM part)
+    SELECT id, CASE WHEN p_size % 9 = 0 THEN 'a type declares 1 to 64 names' WHEN f = 0 THEN 'bad name: Bad Name' WHEN m = 3 THEN 'unknown kind: script' END AS refusal,
+      CASE WHEN p_size % 9 <> 0 AND f <> 0 AND m <> 3 THEN '{"type":"object","additionalProperties":false,"properties":{' || CASE WHEN a < 'gap' THEN '"' || a || '":{"type":"string","pattern":"^' || x || '$"},"gap":{"type":"string","pattern":"^[0-9]{1,3}(px|rem|%)$"}' ELSE '"gap":{"type":"string","pattern":"^[0-9]{1,3}(px|rem|%)$"},"' || a || '":{"type":"string","pattern":"^' || x || '$"}' END
+        || '},"required":' || CASE WHEN a < 'gap' THEN '["' || a || '","gap"]' ELSE '["gap","' || a || '"]' END || '}' END AS schema FROM t""",
+)
 def compiled_schema(d: Domain) -> DataFrame:
-    schema = styles.compiled(SCHEMA)
-    assert schema["additionalProperties"] is False
-    return d.spark.createDataFrame([(name, rule["pattern"]) for name, rule in schema["properties"].items()], "name string, pattern string")
+    """Types declared from parts: one name each of a part's own, some of a kind or by a name that is refused, some without any."""
+    size = F.col("p_size")
+    kind = F.when(size % 4 == 0, "color").when(size % 4 == 1, "size").when(size % 4 == 2, "word").otherwise("script")
+    name = F.when(size % 5 == 0, "Bad Name").otherwise(F.lower("p_type"))
+    declared = F.when(size % 9 == 0, F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("gap"), F.lit("size"), name, kind))
+    schema, refusal = styles.compiled_type(declared)
+    return d.raw("part").select(F.col("p_partkey").alias("id"), refusal.alias("refusal"), schema.alias("schema"))
 
 
 @query("sty_02_style_checks", "SELECT 'value' AS what, p_partkey AS id FROM part WHERE p_partkey % 4 = 0 OR p_partkey % 5 = 0 UNION ALL SELECT 'quota', p_size FROM part GROUP BY p_size HAVING count(*) > 50 UNION ALL SELECT 'schema', n_nationkey FROM nation WHERE n_nationkey % 6 = 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import hierarchy, ranking, sources_of, spans
+from tidemark.operators import hierarchy, names, ranking, sources_of, spans
 from tidemark.plans.domain import Domain
 from tidemark.plans.registry import query
 
@@ -100,11 +100,18 @@ def fragments(d: Domain) -> DataFrame:
     return spans.fragments(spans.occurrences(texts, names))
 
 
-@query("txt_29_longer_names", "SELECT DISTINCT a.p_name AS name, b.p_name AS longer FROM part a JOIN part b ON starts_with(b.p_name, split_part(a.p_name, ' ', 1) || ' ') AND length(b.p_name) > length(a.p_name)")
+@query(
+    "txt_29_longer_names",
+    """WITH n AS (SELECT DISTINCT unnest([p_name, split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), upper(p_name), 'the ' || p_name || ' ' || lower(p_type)]) AS surface FROM part), w AS (SELECT surface, string_split(lower(surface), ' ') AS words FROM n)
+    SELECT a.surface, b.surface AS longer, row_number() OVER (PARTITION BY a.surface ORDER BY len(b.words), b.surface)::INTEGER AS place FROM w a JOIN w b
+      ON (len(b.words) > len(a.words) AND contains(' ' || lower(b.surface) || ' ', ' ' || lower(a.surface) || ' ')) OR (a.words = b.words AND b.surface > a.surface) QUALIFY place <= 4""",
+)
 def longer_names(d: Domain) -> DataFrame:
-    names = d.raw("part").select(F.col("p_name").alias("name")).distinct().withColumn("first", F.split_part("name", F.lit(" "), F.lit(1)))
-    other = names.select("first", F.col("name").alias("longer"))
-    return names.join(other, "first").where(F.length("longer") > F.length("name")).select("name", "longer")
+    """Names of parts, their words, other spellings, and longer ones around them."""
+    word = lambda k: F.split_part("p_name", F.lit(" "), F.lit(k))
+    around = F.concat_ws(" ", F.lit("the"), "p_name", F.lower("p_type"))
+    surfaces = F.array("p_name", word(1), word(2), F.upper("p_name"), around)
+    return names.longer_names(d.raw("part").select(F.explode(surfaces).alias("surface")))
 
 
 @query("snk_05_guarded_counter", "SELECT o_custkey AS account, least(count(*), 12)::BIGINT AS used, greatest(12 - count(*), 0)::BIGINT AS left_over FROM orders GROUP BY 1")

@@ -134,10 +134,8 @@ def topic_beam(d: Domain) -> DataFrame:
     parts = F.split("topic", r"\.")
     paths = d.labels().select(F.get(parts, F.lit(0)).alias("a"), F.concat_ws(".", F.get(parts, F.lit(0)), F.get(parts, F.lit(1))).alias("b")).distinct()
     edges = paths.select(F.lit("").alias("parent"), F.col("a").alias("node")).union(paths.where("a <> 'PROMO' or b like '%1'").select("a", "b")).distinct()
-    listed = edges.agg(F.collect_list(F.struct("parent", "node")).alias("edges"))  # the topic tree, one small row
-    rows = d.links().select("link_id").crossJoin(F.broadcast(listed)).select("link_id", F.inline("edges"))
-    p = (1 + (F.col("link_id") + F.length("node") * 7 + F.ascii(F.right("node", F.lit(1))) * 5) % 50) / 50.0
-    return readings.beam_labels(rows.withColumn("p", p), "link_id", 2)
+    answer = lambda link, node: (1 + (link + F.length(node) * 7 + F.ascii(F.right(node, F.lit(1))) * 5) % 50) / 50.0
+    return readings.beam_over_tree(d.links(), edges, "link_id", 2, answer)
 
 
 KINDS = "CASE entity_id % 3 WHEN 0 THEN 'person' WHEN 1 THEN 'place' ELSE 'organisation' END"

@@ -215,12 +215,18 @@ def located_items(d: Domain) -> DataFrame:
     return items.items(d.raw("nation").select(value.alias("value")))
 
 
-@query("src_22_inline_values", "SELECT * FROM (VALUES ('A', 'Economics'), ('B', 'Methods'), ('C', 'Data')) t(topic, name)")
+#: A taxonomy as literals.
+TAXONOMY = [("ECONOMY", "Economics"), ("STANDARD", "Standards"), ("METHODS", "Methods")]
+
+
+@query("src_22_inline_values", "WITH new(topic, name) AS (VALUES ('ECONOMY', 'Economics'), ('STANDARD', 'Standards'), ('METHODS', 'Methods')), t AS (SELECT * FROM new UNION ALL SELECT topic, lower(topic) FROM (SELECT split_part(topic, '.', 1) AS topic FROM labelled GROUP BY 1) WHERE topic NOT IN (SELECT topic FROM new)) SELECT t.topic, name, count(l.link_id) AS n FROM t LEFT JOIN labelled l ON split_part(l.topic, '.', 1) = t.topic GROUP BY 1, 2")
 def inline_values(d: Domain) -> DataFrame:
-    """A taxonomy as literals, put over a stored one whose names are old: last wins."""
-    stored = d.spark.createDataFrame([("A", "Old"), ("C", "Data")], "topic string, name string")
-    new = d.spark.createDataFrame([("A", "Economics"), ("B", "Methods")], "topic string, name string")
-    return new.union(stored.join(new, "topic", "left_anti"))
+    """A taxonomy as literals put over the topics that labels have, last wins; each topic with its labels."""
+    top = F.split_part("topic", F.lit("."), F.lit(1)).alias("topic")
+    counts = d.labels().groupBy(top).agg(F.count("link_id").alias("n"))  # the labels are read once, before the literals
+    new = d.spark.createDataFrame(TAXONOMY, "topic string, name string").withColumn("new", F.lit(True))
+    both = counts.join(F.broadcast(new), "topic", "full")  # three rows
+    return both.select("topic", F.coalesce("name", F.lower("topic")).alias("name"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 @query("src_23_reference_columns", "SELECT * FROM (VALUES ('customer', 'c_nationkey'), ('nation', 'n_nationkey'), ('supplier', 's_nationkey')) t(\"table\", \"column\")")
