@@ -62,3 +62,25 @@ def test_beam_asks_what_it_reaches(spark):
         for s in [s for s in beam if score(s) >= 0.5][:3]:
             expected[link, s[0]] = round(score(s), 3)
     assert got == expected
+
+
+def test_scores_of_names(spark):
+    dice = random.Random(7)
+    some = lambda n: [(g, [dice.choice("abcd") for _ in range(dice.randint(0, 3))]) for g in "xyz" for _ in range(n)]
+    gold, got = some(12), [r for r in some(10) if r[0] != "z"]
+    frame = lambda rows: spark.createDataFrame(rows, "g string, words array<string>")
+    sides = lambda rows, g: {tuple(w) for k, w in rows if k == g}
+    holds = lambda y, x: x != () and any(y[k : k + len(x)] == x for k in range(len(y)))
+    near = lambda x, y: holds(y, x) or holds(x, y)
+    expected = {(g, len(a := sides(gold, g)), len(a & (b := sides(got, g))), sum(any(near(x, y) for y in b) for x in a), sum(any(near(x, y) for x in a) for y in b)) for g in "xyz"}
+    assert {tuple(r) for r in names.scores(frame(gold), frame(got), "g").collect()} == expected
+
+
+def test_few_rows_as_lists(spark):
+    from tidemark.operators import few
+
+    rows, table = spark.range(50), spark.createDataFrame([(k, str(k)) for k in range(23)], "k int, s string")
+    for most in (23, 22, 5, 1):
+        met = few.with_lists(rows, table, "list", most).select("id", F.inline("list"))
+        assert met.count() == 50 * 23 and met.distinct().count() == 50 * 23
+    assert few.with_lists(rows, table.limit(0), "list").select(F.size("list")).distinct().collect()[0][0] == 0

@@ -12,6 +12,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import few
+
 #: A day of events starts at 06:00; a timed event of one day lasts three hours.
 DAY_STARTS_HOUR, TIMED_HOURS = 6, 3
 
@@ -74,12 +76,9 @@ def overlap_join(events: DataFrame, start: str, end: str, periods: DataFrame, p_
     bucket that it touches, and so is a period; a pair counts in the first bucket that both touch. An event without a bound goes to the
     buckets where periods start (no later than it ends) and meets each period there once.
     """
-    spark = events.sparkSession
-    few = periods.limit(most_listed + 1).collect()  # bounded
-    if len(few) <= most_listed:
-        listed = F.array_agg(F.struct(*[F.col(c) for c in periods.columns]))
-        row = spark.createDataFrame(few, periods.schema).agg(listed.alias("_periods"))
-        rows = events.crossJoin(F.broadcast(row))  # one row of few periods
+    listed = few.listed(periods, "_periods", most_listed)
+    if listed is not None:
+        rows = events.crossJoin(F.broadcast(listed))  # one row
         meets = F.filter("_periods", lambda p: overlaps(F.col(start), F.col(end), p[p_start], p[p_end]))
         return rows.select(*events.columns, F.inline(meets))
     return bucketed(events, start, end, periods, p_start, p_end, bucket_days)

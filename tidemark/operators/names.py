@@ -184,19 +184,28 @@ def longer_names(names: DataFrame, most: int | None = LONGER) -> DataFrame:
     return ranked if most is None else ranked.where(F.col("place") <= most)
 
 
-def scores(labelled: DataFrame, found: DataFrame, by: str) -> DataFrame:
-    """(by, n, exact, overlapping, relevant): how well found names (by, words array) cover labelled ones (by, words array)."""
-
-    def holds(outer: Column, inner: Column) -> Column:
-        return F.concat(F.lit(" "), F.array_join(outer, " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.array_join(inner, " "), F.lit(" ")))
+def held_names(inner: DataFrame, outer: DataFrame, by: str) -> DataFrame:
+    """(by, inner, outer): distinct names (by, words) of the one table that stand in a row within names of the other, met by the inner name's rarest word."""
+    words = outer.select(by, F.col("words").alias("outer"), F.explode(F.array_distinct("words")).alias("word"))
+    df = words.groupBy(by, "word").agg(F.count(F.lit(1)).alias("df"))
+    parts = inner.select(by, F.col("words").alias("inner"), F.explode(F.array_distinct("words")).alias("word"))
+    rarest = parts.join(df, [by, "word"], "left").groupBy(by, "inner").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"))
+    spaced = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    return rarest.join(words, [by, "word"]).where(spaced(F.col("outer")).contains(spaced(F.col("inner")))).select(by, "inner", "outer")
 
-    sets = labelled.groupBy(by).agg(F.collect_set("words").alias("gold")).join(found.groupBy(by).agg(F.collect_set("words").alias("got")), by, "left")
-    sets = sets.withColumn("got", F.coalesce("got", F.array().cast("array<array<string>>")))
 
-    def near(a: Column, b: Column) -> Column:
-        return holds(a, b) | holds(b, a)
+def scores(labelled: DataFrame, found: DataFrame, by: str) -> DataFrame:
+    """(by, n, exact, overlapping, relevant): how well found names (by, words array) cover labelled ones (by, words array).
 
-    exact = F.size(F.array_intersect("gold", "got"))
-    overlapping = F.size(F.filter("gold", lambda g: F.exists("got", lambda x: near(g, x))))
-    relevant = F.size(F.filter("got", lambda x: F.exists("gold", lambda g: near(g, x))))
-    return sets.select(by, *[c.cast("long").alias(n) for c, n in ((F.size("gold"), "n"), (exact, "exact"), (overlapping, "overlapping"), (relevant, "relevant"))])
+    Names overlap where the one's words stand in the other; names meet by word, so that no group is gathered in a row. Empty names count
+    in n and match only their like.
+    """
+    gold, got = (df.select(by, "words").distinct() for df in (labelled, found))
+    near = held_names(gold, got, by).select(by, F.col("inner").alias("gold"), F.col("outer").alias("got")).union(held_names(got, gold, by).select(by, "outer", "inner"))
+    marks = gold.withColumn("n", F.lit(1)).join(got.withColumn("exact", F.lit(1)), [by, "words"], "left")
+    marks = marks.join(near.select(by, F.col("gold").alias("words")).distinct().withColumn("overlapping", F.lit(1)), [by, "words"], "left")
+    marks = marks.select(by, "n", "exact", "overlapping", F.lit(0).alias("relevant"))
+    zero = F.lit(0)
+    relevant = near.select(by, "got").distinct().select(by, zero.alias("n"), zero.alias("exact"), zero.alias("overlapping"), F.lit(1).alias("relevant"))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("n", "exact", "overlapping", "relevant")]
+    return marks.unionByName(relevant).groupBy(by).agg(*sums).where("n > 0")

@@ -110,9 +110,9 @@ def topic_link_count(d: Domain) -> DataFrame:
     "SELECT kind, count(DISTINCT e.entity_id) AS n_entities, count(DISTINCT link_id) AS n_links FROM kinds JOIN entities e ON kind_path = kind OR starts_with(kind_path, kind || '.') LEFT JOIN mentions USING (entity_id) GROUP BY 1",
 )
 def kind_counts(d: Domain) -> DataFrame:
-    """Entities are unique by path, so that they are counted before any join; links are distinct by path before they go up."""
+    """Entities are unique by path, so that they are counted before any join; links go up at once and are told apart in one shuffle."""
     entities = hierarchy.rollup(d.entities(), "kind_path", F.count(F.lit(1)).alias("n_entities")).withColumnRenamed("ancestor", "kind")
-    links = d.mentions().select("entity_id", "link_id").join(d.entities().select("entity_id", "kind_path"), "entity_id").select("kind_path", "link_id").distinct()
+    links = d.mentions().select("entity_id", "link_id").join(d.entities().select("entity_id", "kind_path"), "entity_id").select("kind_path", "link_id")
     above = hierarchy.with_ancestors(links, "kind_path", "kind").select("kind", "link_id").distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("n_links"))
     return entities.join(above, "kind", "left").select("kind", "n_entities", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 

@@ -49,16 +49,17 @@ def stories(d: Domain) -> DataFrame:
 
 
 def feed_documents(d: Domain) -> DataFrame:
-    """(source, content): an RSS or Atom document for each brand, with an item for each part; parts by price of 49 have no title."""
+    """(source, content): RSS or Atom documents of a brand, one for each 500 ids, with an item for each part; parts of size 49 have no title."""
     item = F.concat(F.lit("<item><title><![CDATA[A & "), F.when(F.col("p_size") == 49, "").otherwise(F.col("p_name")), F.lit("]]></title><link>/p/"), "p_partkey", F.lit("?a=1&amp;b=2</link><dc:date>2024-01-"), F.lpad((F.col("p_partkey") % 28 + 1).cast("string"), 2, "0"), F.lit("</dc:date><description>&lt;b&gt;d&lt;/b&gt;</description></item>"))
     entry = F.concat(F.lit('<entry><title type="html">A &amp; '), "p_name", F.lit('</title><link rel="self" href="no"/><link href="https://y.org/'), "p_partkey", F.lit('"/><updated>2024-01-'), F.lpad((F.col("p_partkey") % 28 + 1).cast("string"), 2, "0"), F.lit("</updated><content>c</content></entry>"))
-    rows = d.raw("part").select("p_brand", "p_partkey", F.when(F.col("p_brand").endswith("1"), entry).otherwise(item).alias("x"))
-    docs = rows.groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "x"))), lambda r: r["x"]), "\n").alias("body"))
-    return docs.select(F.col("p_brand").alias("source"), F.concat(F.lit("<rss><channel>"), "body", F.lit("</channel></rss>")).alias("content"))
+    source = F.concat_ws("/", "p_brand", F.floor(F.col("p_partkey") / 500).cast("string"))
+    rows = d.raw("part").select("p_brand", "p_partkey", source.alias("source"), F.when(F.col("p_brand").endswith("1"), entry).otherwise(item).alias("x"))
+    docs = rows.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "x"))), lambda r: r["x"]), "\n").alias("body"))
+    return docs.select("source", F.concat(F.lit("<rss><channel>"), "body", F.lit("</channel></rss>")).alias("content"))
 
 
-FEED = """SELECT p_brand AS source, CASE WHEN p_brand LIKE '%1' THEN 'https://y.org/' || p_partkey ELSE 'https://base.org/p/' || p_partkey || '?a=1&b=2' END AS url, 'A & ' || p_name AS title,
-  '2024-01-' || lpad((p_partkey % 28 + 1)::VARCHAR, 2, '0') AS published, CASE WHEN p_brand LIKE '%1' THEN 'c' ELSE '<b>d</b>' END AS description FROM part WHERE true QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) <= 10"""
+FEED = """SELECT p_brand || '/' || p_partkey // 500 AS source, CASE WHEN p_brand LIKE '%1' THEN 'https://y.org/' || p_partkey ELSE 'https://base.org/p/' || p_partkey || '?a=1&b=2' END AS url, 'A & ' || p_name AS title,
+  '2024-01-' || lpad((p_partkey % 28 + 1)::VARCHAR, 2, '0') AS published, CASE WHEN p_brand LIKE '%1' THEN 'c' ELSE '<b>d</b>' END AS description FROM part WHERE true QUALIFY row_number() OVER (PARTITION BY p_brand, p_partkey // 500 ORDER BY p_partkey) <= 10"""
 
 
 @query("src_10_feed_items", FEED.replace("'A & ' || p_name AS title", "'A &' || CASE WHEN p_brand NOT LIKE '%1' AND p_size = 49 THEN '' ELSE ' ' || p_name END AS title"))
@@ -84,7 +85,7 @@ def statuses(d: Domain) -> DataFrame:
 
 
 def calendar_documents(d: Domain) -> DataFrame:
-    """(source, content): a calendar for each status of orders, with folded lines, an alarm inside and events without a summary."""
+    """(source, content): calendars of orders' statuses, one for each 64 ids, with folded lines, an alarm inside and events without a summary."""
     at = F.col("o_orderdate")
     key = F.col("o_orderkey")
     start = F.when(key % 3 == 0, F.concat(F.lit(";VALUE=DATE:"), F.date_format(at, "yyyyMMdd"))).when(key % 3 == 1, F.concat(F.lit(";TZID=Europe/Paris:"), F.date_format(at, "yyyyMMdd"), F.lit("T183000"))).otherwise(F.concat(F.lit(":"), F.date_format(at, "yyyyMMdd"), F.lit("T220000Z")))
@@ -92,7 +93,7 @@ def calendar_documents(d: Domain) -> DataFrame:
     summary = F.when(key % 10 != 7, F.concat(F.lit("\r\nSUMMARY:Order\\, no\r\n . "), key)).otherwise("")
     status = F.when(key % 5 == 0, "\r\nSTATUS:CANCELLED").otherwise("")
     event = F.concat(F.lit("BEGIN:VEVENT\r\nUID:"), key, F.lit("\r\nDTSTART"), start, F.lit("\r\nDTEND"), end, summary, status, F.lit("\r\nBEGIN:VALARM\r\nSUMMARY:no\r\nEND:VALARM\r\nEND:VEVENT"))
-    docs = d.raw("orders").groupBy(F.col("o_orderstatus").alias("source"), (key % 64).alias("part")).agg(F.array_join(F.collect_list(event), "\r\n").alias("body"))
+    docs = d.raw("orders").groupBy(F.col("o_orderstatus").alias("source"), F.floor(key / 64).alias("part")).agg(F.array_join(F.collect_list(event), "\r\n").alias("body"))
     return docs.select("source", F.concat(F.lit("BEGIN:VCALENDAR\r\n"), "body", F.lit("\r\nEND:VCALENDAR")).alias("content"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import encodings, search, sparse, vectors
+from tidemark.operators import encodings, few, search, sparse, vectors
 from tidemark.plans.domain import Domain
 from tidemark.plans.registry import query
 
@@ -271,9 +271,9 @@ def kind_probe(d: Domain) -> DataFrame:
 
 @query("vec_16_label_auc", f"WITH {PLAIN}, m AS (SELECT label, place, avg(x) AS x FROM (SELECT label, unnest(e) AS x, unnest(range(len(e))) AS place FROM v) GROUP BY 1, 2), c AS (SELECT label, list(x ORDER BY place) AS e FROM m GROUP BY 1), s AS (SELECT c.label AS label, round(list_cosine_similarity(v.e, c.e), 9) AS score, v.label = c.label AS positive FROM v, c), r AS (SELECT *, avg(k) OVER (PARTITION BY label, score) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score) AS k FROM s)) SELECT label, round((sum(rank) FILTER (positive) - count(*) FILTER (positive) * (count(*) FILTER (positive) + 1) / 2) / (count(*) FILTER (positive) * count(*) FILTER (NOT positive)), 6) AS auc FROM r GROUP BY 1")
 def label_auc(d: Domain) -> DataFrame:
-    """One against the rest: each label's mean vector scores all vectors; labels are few."""
+    """One against the rest: each label's mean vector scores all vectors, in lists of means."""
     means = vectors.mean_vector(plain(d), ["label"], "e").withColumnRenamed("label", "kind")
-    rows = plain(d).crossJoin(F.broadcast(means))
+    rows = few.with_lists(plain(d), means, "means", 1000).select("label", "e", F.inline("means"))
     scored = rows.select(F.col("kind").alias("label"), F.round(vectors.cosine(F.col("e"), F.col("mean")), 9).alias("score"), (F.col("label") == F.col("kind")).alias("positive"))
     return vectors.auc(scored, "label").select("label", F.round("auc", 6).alias("auc"))
 
@@ -309,7 +309,7 @@ def mention_windows(d: Domain) -> DataFrame:
 
     words = F.split("text", r"\s+")
     phrases = d.raw("benchmark").select(F.left("text", F.lit(40)).alias("phrase"), F.get(pairs(words), F.lit(0)).alias("head"))
-    met = d.raw("documents").where("text is not null").select("doc_id", "text", F.explode(F.array_distinct(pairs(words))).alias("head")).join(F.broadcast(phrases), "head")
+    met = d.raw("documents").where("text is not null").select("doc_id", "text", F.explode(F.array_distinct(pairs(words))).alias("head")).join(phrases, "head")
     rows = met.select("doc_id", F.position(F.col("phrase"), F.col("text")).alias("at")).where("at > 0")
     n = F.count(F.lit(1))
     return rows.groupBy("doc_id").agg(n.alias("mentions"), (n * (n - 1) / 2).cast("long").alias("pairs"), F.min("at").cast("long").alias("first"))
