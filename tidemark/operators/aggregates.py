@@ -55,10 +55,11 @@ def revision(strength: str, confidence: str, k: float) -> tuple[Column, Column]:
     return F.sum(n * F.col(strength)) / F.sum(n), F.sum(n) / (F.sum(n) + k)
 
 
-def inverse_document_frequency(tokens: DataFrame, doc_col: str, token_col: str, n_docs: int) -> DataFrame:
-    """(token, df, idf): ln((n + 1) / (df + 1)) + 1 over documents that hold the token."""
+def inverse_document_frequency(tokens: DataFrame, doc_col: str, token_col: str, docs: DataFrame) -> DataFrame:
+    """(token, df, idf): ln((n + 1) / (df + 1)) + 1 over documents that hold the token; n, the rows of docs, is counted in the same job."""
     counts = tokens.select(doc_col, token_col).distinct().groupBy(token_col).agg(F.count(F.lit(1)).alias("df"))
-    return counts.withColumn("idf", F.ln(F.lit(n_docs + 1.0) / (F.col("df") + 1.0)) + 1)
+    rows = counts.crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("_n"))))  # one row
+    return rows.select(token_col, "df", (F.ln((F.col("_n") + 1.0) / (F.col("df") + 1.0)) + 1).alias("idf"))
 
 
 def unique_value(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -125,3 +125,24 @@ def after_move(places: DataFrame, node: str, path: str) -> DataFrame:
     below = (F.col("path") == F.col("_old")) | F.col("path").startswith(F.concat("_old", F.lit(".")))
     moved = F.concat(F.lit(path), F.substring(F.col("path"), F.length("_old") + 1, F.length("path")))
     return met.select(*[F.when(below, moved).otherwise(F.col("path")).alias("path") if c == "path" else c for c in places.columns])
+
+
+#: Where each flat kind stands in the tree.
+KIND_PATHS = {
+    "person": "entity.agent.person",
+    "company": "entity.agent.org.company",
+    "nonprofit": "entity.agent.org.nonprofit",
+    "public_body": "entity.agent.org.public_body",
+    "cooperative": "entity.agent.org",
+    "product": "entity.artifact.product",
+    "work": "entity.artifact.work",
+    "place": "entity.place",
+    "event": "entity.event",
+    "source": "entity.source",
+}
+
+
+def kind_to_path(kind: Column) -> Column:
+    """The path of a flat kind; other kinds, and none, are just entities."""
+    paths = F.create_map(*[F.lit(x) for pair in KIND_PATHS.items() for x in pair])
+    return F.coalesce(F.try_element_at(paths, F.coalesce(kind, F.lit(""))), F.lit("entity"))

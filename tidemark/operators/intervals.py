@@ -79,8 +79,8 @@ def overlap_join(events: DataFrame, start: str, end: str, periods: DataFrame, p_
     listed = few.listed(periods, "_periods", most_listed)
     if listed is not None:
         rows = events.crossJoin(F.broadcast(listed))  # one row
-        meets = F.filter("_periods", lambda p: overlaps(F.col(start), F.col(end), p[p_start], p[p_end]))
-        return rows.select(*events.columns, F.inline(meets))
+        met = rows.select(*events.columns, F.inline("_periods"))  # generated and filtered in one stage, row by row
+        return met.where(overlaps(F.col(start), F.col(end), F.col(p_start), F.col(p_end)))
     return bucketed(events, start, end, periods, p_start, p_end, bucket_days)
 
 

@@ -50,6 +50,20 @@ def mean_vector(df: DataFrame, keys: list[str], vec: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda r: r["x"]).alias("mean"))
 
 
+def hashed_bag(tokens: DataFrame, key: str, token: str, size: int) -> DataFrame:
+    """(key, place, value): signed counts of tokens (key, token) hashed to `size` places, those that are not 0; no vocabulary is kept.
+
+    The place is the first four hexadecimal digits of a token's md5, the sign the parity of the fifth. Tokens are counted by key before
+    they are hashed, so that a frequent token is hashed once for a key.
+    """
+    counts = tokens.groupBy(key, token).agg(F.count(F.lit(1)).alias("n"))
+    digest = F.md5(F.col(token).cast("binary"))
+    place = F.conv(F.substring(digest, 1, 4), 16, 10).cast("int") % size
+    sign = F.when(F.conv(F.substring(digest, 5, 1), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
+    sums = counts.select(key, place.alias("place"), (sign * F.col("n")).alias("x")).groupBy(key, "place").agg(F.sum("x").alias("value"))
+    return sums.where("value <> 0")
+
+
 def planes(bits: int, size: int) -> list[list[int]]:
     """The sides (+1 or -1) of `bits` planes: by the first hexadecimal digit of md5(plane:place), computed once for a plan."""
     return [[1 if int(hashlib.md5(f"{plane}:{place}".encode()).hexdigest()[0], 16) % 2 == 0 else -1 for place in range(size)] for plane in range(bits)]

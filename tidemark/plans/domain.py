@@ -76,6 +76,10 @@ class Domain:
         rows = self.raw("lineitem").groupBy(F.col("l_partkey").alias("link_id"), F.col("l_suppkey").alias("entity_id"))
         return rows.agg((0.5 + F.max("l_discount")).alias("p"), (F.min("l_linenumber") <= 2).alias("in_title"))
 
+    def mentioned(self) -> DataFrame:
+        """(link_id, entity_id) of mentions, each as often as it is said: for callers that count what is distinct themselves."""
+        return self.raw("lineitem").select(F.col("l_partkey").alias("link_id"), F.col("l_suppkey").alias("entity_id"))
+
     def evidence(self) -> DataFrame:
         """(subject, object, relation, p, status, created_at, seq): one row for each order line."""
         return self.raw("lineitem").select(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text, urls
-from tidemark.operators import fulltext, search
+from tidemark.operators import fulltext, hierarchy, search
 from tidemark.plans import oracle_text
 from tidemark.plans.domain import Domain
 from tidemark.plans.registry import query
@@ -75,10 +75,16 @@ def thumbnails(d: Domain) -> DataFrame:
     return odd_urls(d).select("page_id", F.coalesce(own, F.concat(F.lit("https://i.ytimg.com/vi/"), text.video_id(F.col("url")), F.lit("/hqdefault.jpg"))).alias("image"))
 
 
-@query("prj_06_kind_path", "SELECT p_partkey, CASE lower(split_part(p_type, ' ', 1)) WHEN 'economy' THEN 'entity.work' WHEN 'standard' THEN 'entity.place' WHEN 'promo' THEN 'entity.event' ELSE 'entity' END AS path FROM part")
+@query(
+    "prj_06_kind_path",
+    """SELECT c_custkey, CASE c_custkey % 13 WHEN 0 THEN 'entity.agent.person' WHEN 1 THEN 'entity.agent.org.company' WHEN 2 THEN 'entity.agent.org.nonprofit' WHEN 3 THEN 'entity.agent.org.public_body' WHEN 4 THEN 'entity.agent.org' WHEN 5 THEN 'entity.artifact.product'
+      WHEN 6 THEN 'entity.artifact.work' WHEN 7 THEN 'entity.place' WHEN 8 THEN 'entity.event' WHEN 9 THEN 'entity.source' ELSE 'entity' END AS path FROM customer""",
+)
 def kind_paths(d: Domain) -> DataFrame:
-    paths = F.create_map(*[F.lit(x) for x in ("economy", "entity.work", "standard", "entity.place", "promo", "entity.event")])
-    return d.raw("part").select("p_partkey", F.coalesce(F.element_at(paths, F.lower(F.split_part("p_type", F.lit(" "), F.lit(1)))), F.lit("entity")).alias("path"))
+    """Every kind in turn, by a customer's number; an unknown one, another spelling and none at last."""
+    kinds = F.array(*[F.lit(k) for k in hierarchy.KIND_PATHS], F.lit("other"), F.lit("Person"), F.lit(None).cast("string"))
+    kind = F.get(kinds, (F.col("c_custkey") % 13).cast("int"))
+    return d.raw("customer").select("c_custkey", hierarchy.kind_to_path(kind).alias("path"))
 
 
 LABEL = "CASE c_custkey % 5 WHEN 0 THEN 'Luma: ' || c_name WHEN 1 THEN c_mktsegment || ': about ' || c_name || ': x' WHEN 2 THEN '  : no name' WHEN 3 THEN c_name || ':  ' ELSE c_name END"
@@ -383,10 +389,13 @@ def maps(d: Domain) -> DataFrame:
     return rows.select("user_id", F.coalesce(F.try_element_at("m", F.lit("view")), F.lit(0)).cast("long").alias("views"), F.size("m").cast("long").alias("kinds"))
 
 
-@query("fn_32_tokens", "SELECT c_custkey, 36 AS n FROM customer")
+@query("fn_32_tokens", "SELECT c_nationkey, count(*) AS ids, count(*) AS well_formed FROM customer GROUP BY 1")
 def tokens(d: Domain) -> DataFrame:
-    """Random tokens; only their length is fixed."""
-    return d.raw("customer").select("c_custkey", F.length(F.expr("uuid()")).alias("n"))
+    """Random ids: none twice in a group, all of version 4 and its variant."""
+    rows = d.raw("customer").select("c_nationkey", F.expr("uuid()").alias("id"))
+    good = F.col("id").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")
+    each = rows.withColumn("good", good).groupBy("c_nationkey", "id").agg(F.sum(good.cast("long")).alias("good"))
+    return each.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("ids"), F.sum("good").alias("well_formed"))
 
 
 @query("fn_33_smoothing", "SELECT link_id, round((sum(CASE WHEN value = 1 THEN 1 ELSE 0 END) + 1)::DOUBLE / (count(*) + 2), 3) AS p FROM votes GROUP BY 1")

@@ -112,7 +112,7 @@ def topic_link_count(d: Domain) -> DataFrame:
 def kind_counts(d: Domain) -> DataFrame:
     """Entities are unique by path, so that they are counted before any join; links go up at once and are told apart in one shuffle."""
     entities = hierarchy.rollup(d.entities(), "kind_path", F.count(F.lit(1)).alias("n_entities")).withColumnRenamed("ancestor", "kind")
-    links = d.mentions().select("entity_id", "link_id").join(d.entities().select("entity_id", "kind_path"), "entity_id").select("kind_path", "link_id")
+    links = d.mentioned().join(d.entities().select("entity_id", "kind_path"), "entity_id").select("kind_path", "link_id")
     above = hierarchy.with_ancestors(links, "kind_path", "kind").select("kind", "link_id").distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("n_links"))
     return entities.join(above, "kind", "left").select("kind", "n_entities", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
@@ -132,7 +132,7 @@ def kind_entities(d: Domain) -> DataFrame:
     lists="names",
 )
 def kind_links(d: Domain) -> DataFrame:
-    rows = d.entities().where(hierarchy.within(F.col("kind_path"), "ASIA")).join(d.mentions(), "entity_id")
+    rows = d.entities().where(hierarchy.within(F.col("kind_path"), "ASIA")).join(d.mentioned(), "entity_id")
     return rows.groupBy("link_id").agg(aggregates.set_of(F.col("name")).alias("names"))
 
 

@@ -259,7 +259,7 @@ def clusters(d: Domain) -> DataFrame:
 def idf(d: Domain) -> DataFrame:
     docs = d.raw("documents")
     tokens = docs.select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("token"))
-    rows = aggregates.inverse_document_frequency(tokens, "doc_id", "token", docs.count())
+    rows = aggregates.inverse_document_frequency(tokens, "doc_id", "token", docs)
     return rows.select("token", "df", F.round("idf", 9).alias("idf"))
 
 

@@ -181,12 +181,25 @@ def rotated(d: Domain) -> DataFrame:
     return plain(d).select("vec_id", total(re).alias("re"), total(im).alias("im"))
 
 
-@query("vec_12_evaluation_set", "SELECT lower(p_name) AS query, min(p_partkey) AS target, 'surface' AS source FROM part GROUP BY 1 UNION ALL SELECT query, target, 'witness' FROM (SELECT split_part(p_name, ' ', 1) AS query, min(p_partkey) AS target FROM part GROUP BY 1) WHERE query NOT IN (SELECT lower(p_name) FROM part)")
+@query(
+    "vec_12_evaluation_set",
+    """WITH surface AS (SELECT lower(p_name) AS query, min(p_partkey) AS target FROM part GROUP BY 1), witness AS (SELECT split_part(p_name, ' ', 1) AS query, min(p_partkey) AS target FROM part GROUP BY 1),
+    merges AS (SELECT s_suppkey AS gone, s_suppkey // 3 * 3 AS kept, s_name AS name FROM supplier WHERE s_suppkey % 3 <> 0), kept AS (SELECT m.*, s_name AS kept_name FROM merges m JOIN supplier ON s_suppkey = kept)
+    SELECT query, target, NULL AS own, 'surface' AS source FROM surface UNION ALL SELECT query, target, NULL, 'witness' FROM witness WHERE query NOT IN (SELECT query FROM surface)
+    UNION ALL SELECT lower(name), kept, gone, 'merge' FROM kept WHERE lower(name) <> lower(kept_name)""",
+)
 def evaluation_set(d: Domain) -> DataFrame:
-    parts = d.raw("part")
-    surface = parts.groupBy(F.lower("p_name").alias("query")).agg(F.min("p_partkey").alias("target")).withColumn("source", F.lit("surface"))
-    witness = parts.groupBy(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("query")).agg(F.min("p_partkey").alias("target")).withColumn("source", F.lit("witness"))
-    return surface.union(witness.join(surface, "query", "left_anti"))
+    """Queries by where they come from: names as written, witnesses that are no name, and names of entities that were merged into another; those
+    leave out the entity's own old row (own)."""
+    parts, none = d.raw("part"), F.lit(None).cast("long").alias("own")
+    surface = parts.groupBy(F.lower("p_name").alias("query")).agg(F.min("p_partkey").alias("target"))
+    witness = parts.groupBy(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("query")).agg(F.min("p_partkey").alias("target")).join(surface, "query", "left_anti")
+    suppliers = d.raw("supplier").select(F.col("s_suppkey").alias("gone"), F.lower("s_name").alias("query"))
+    merges = suppliers.where("gone % 3 <> 0").withColumn("target", (F.floor(F.col("gone") / 3) * 3).cast("long"))
+    kept = merges.join(suppliers.select(F.col("gone").alias("target"), F.col("query").alias("kept")), "target").where("query <> kept")
+    told = [(surface, none, "surface"), (witness, none, "witness"), (kept, F.col("gone").alias("own"), "merge")]
+    out = [rows.select("query", "target", own, F.lit(source).alias("source")) for rows, own, source in told]
+    return out[0].union(out[1]).union(out[2])
 
 
 @query(
@@ -252,6 +265,28 @@ def bag_of_words(d: Domain) -> DataFrame:
     return model.transform(rows).select("doc_id", *(F.get(counts, F.lit(k)).cast("long").alias(f"n_{w}") for k, w in enumerate(("the", "de", "la"))))
 
 
+@query(
+    "vec_14_hashed_bags",
+    "WITH w AS (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents) SELECT doc_id, (('0x' || left(md5(w), 4))::INTEGER % 64)::INTEGER AS place, "
+    "sum(CASE WHEN ('0x' || md5(w)[5])::INTEGER % 2 = 0 THEN 1 ELSE -1 END)::BIGINT AS value FROM w GROUP BY 1, 2 HAVING value <> 0",
+)
+def hashed_bags(d: Domain) -> DataFrame:
+    """All words of all documents in 64 signed places."""
+    words = d.raw("documents").select("doc_id", F.explode(F.split(F.lower("text"), " ", -1)).alias("word"))
+    return vectors.hashed_bag(words, "doc_id", "word", 64)
+
+
+@query(
+    "vec_14_frequent_words",
+    "WITH w AS (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents), v AS (SELECT w FROM w WHERE w <> '' GROUP BY 1 ORDER BY count(*) DESC, w LIMIT 200) SELECT w.w AS word, count(DISTINCT doc_id) AS documents, count(*) AS n FROM w JOIN v ON v.w = w.w GROUP BY 1",
+)
+def frequent_words(d: Domain) -> DataFrame:
+    """A vocabulary of the most frequent words, with the bags that hold them."""
+    counts = d.raw("documents").select("doc_id", F.explode(F.split(F.lower("text"), " ", -1)).alias("word")).where("word <> ''").groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy("word").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("n"))
+    return totals.orderBy(F.desc("n"), "word").limit(200)  # the vocabulary's size
+
+
 @query("vec_15_kind_probe")
 def kind_probe(d: Domain) -> DataFrame:
     """A linear probe of vectors for their label, and the same for control labels (a hash of the id): held-out accuracy, the majority's, selectivity."""
