@@ -111,13 +111,14 @@ def entity_graph(mentions: DataFrame, pairs: DataFrame) -> EntityGraph:
 
     Ids of mentions are unique over all texts and rise with their place. Pairs that are the same with SAME at least are one entity, chains
     included; an entity is named by its first mention, by its longest where another entity of the text begins alike. A pair of one entity
-    whose own probability is below CONFLICT is a conflict. Pairs between entities are evidence for the links of these.
+    whose own probability is below CONFLICT is a conflict. Means of individuals are rounded to 12 digits, so that the order in which rows are
+    added does not decide about a threshold. Pairs between entities are evidence for the links of these.
     """
     joined = pairs.where(F.col("same") >= SAME).select("a", "b")
     placed = mentions.join(aggregates.clusters(joined).withColumnRenamed("id", "mention"), "mention", "left").withColumn("entity", F.coalesce("cluster", "mention")).drop("cluster")
 
     first, longest = F.min_by("surface", "mention"), F.max_by("surface", F.struct(F.length("surface"), -F.col("mention")))
-    entities = placed.groupBy("text", "entity").agg(first.alias("first"), longest.alias("longest"), F.avg("individual").alias("individual"), F.avg("confidence").alias("confidence"))
+    entities = placed.groupBy("text", "entity").agg(first.alias("first"), longest.alias("longest"), F.round(F.avg("individual"), 12).alias("individual"), F.avg("confidence").alias("confidence"))
     alike = F.count(F.lit(1)).over(Window.partitionBy("text", F.lower("first")))
     entities = entities.withColumn("label", F.when(alike > 1, F.col("longest")).otherwise(F.col("first"))).select("text", "entity", "label", "individual", "confidence")
 
