@@ -75,6 +75,36 @@ def test_word_ids_are_those_of_the_library(monkeypatch):
         assert sizes.tolist() == [len(e) for e in expected] and ids.tolist() == [i for e in expected for i in e]
 
 
+def test_case_and_marks_make_no_new_words_to_encode():
+    """op3's CPU time: a word goes to the library once, whatever its case and the marks behind it."""
+    from tokenizers import Tokenizer
+
+    from tidemark.llm import token_files
+
+    spec = spec_of(SPEC)
+    words, library = token_files.WordIds(spec), Tokenizer.from_str(spec)
+
+    def checked(texts):
+        ids, sizes = words.encode(pa.array(texts), 1)
+        expected = [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+        assert sizes.tolist() == [len(e) for e in expected] and ids.tolist() == [i for e in expected for i in e]
+
+    checked(["study study&&& Study,%%%", "STUDY*** study.\nstudy!! study***", "", "***"])
+    assert sorted(filter(None, words.words.to_pylist())) == sorted(["study", "&&&", ",%%%", "***", ".", "!!"])
+    checked(["ÉTUDE&&& Étude'. étude's. É.É,, à÷÷ à÷. ß×", "study<|endoftext|>&&& Study<|. <|&&& 12,,, ٣.. e\u0301!! \u0301!! a'!'s'", "'s' 's. ''s,"])
+
+
+def test_the_bytes_of_frames_stay():
+    """Files written earlier must still be read: these sums are of frames that the first coder of this format wrote."""
+    from tidemark.llm import token_files
+
+    at = np.arange(60_000, dtype=np.int64)
+    for kinds, size, total in ((900, 68_702, 481_368_103), (40_000, 172_145, 2_373_937_069)):
+        ids = (at * at // 7 + at // 50) % np.where(at % 3, 90, kinds)
+        frame = token_files.write_frame([1], np.array([len(ids)]), ids)
+        assert (len(frame), zlib.crc32(frame)) == (size, total)
+
+
 def test_another_tokenizer_gets_whole_texts():
     from tokenizers import Tokenizer
 

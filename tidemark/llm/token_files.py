@@ -27,6 +27,7 @@ their names. An empty table gives an empty one.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -42,7 +43,7 @@ from tidemark.llm import common
 
 BLOCK = 2048
 #: Ids in a frame, about: its documents are whole.
-FRAME = 1 << 22
+FRAME = 3 << 21
 MAGIC = b"TID2"
 #: Contexts that a block's tables of order 2 and order 1 tell apart.
 CONTEXTS = 1024
@@ -57,7 +58,7 @@ RATE = 1 / 16
 #: Words whose ids each worker keeps, at most, between two batches; then the more used half stays.
 KEPT = 400_000
 #: Bytes of text that are encoded together, about.
-TOGETHER = 4 << 20
+TOGETHER = 8 << 20
 #: What order 2 and order 1 get at first, by their trust.
 EARLY = (0.0, 0.15, 0.4, 0.7)
 
@@ -68,9 +69,8 @@ class Frequencies:
     def __init__(self, ids: np.ndarray, slots: np.ndarray):
         self.ids, self.slots = ids, slots
         self.many = len(ids) > len(slots)  # then the last number is what the other ids share
-        ends = np.cumsum(slots, dtype=np.int64)
-        self.bounds = np.zeros((2, len(slots) + 1))
-        self.bounds[:, 1:] = ends - slots, ends
+        #: By number the end of its slots, as a share of ZERO; they start where those of the number before end.
+        self.ends = np.append(0.0, np.cumsum(slots, dtype=np.int64) / ZERO)
         self.number = np.repeat(np.arange(1, len(slots) + 1, dtype=np.uint16), slots)
 
     @classmethod
@@ -99,153 +99,198 @@ class Frequencies:
         return cls(found[order].astype(np.uint32), slots.astype(np.uint16)), numbers
 
 
+#: Numbers of the steps below as arrays without a dimension: numpy takes those in half the time that it needs for Python's numbers.
+U1, U2, U3 = (np.array(k, np.uint16) for k in (1, 2, 3))
+HASHED, CONTEXT, NEXT, TWICE, SPREAD = (np.array(k, np.int64) for k in (16, CONTEXTS - 1, 1, 3, 0x9E3779B1))
+LEAST, WHOLE, ALL, GIVEN, STEP = (np.array(k, np.float64) for k in (16, 1, SLOTS, MOST, RATE))
+UNIT, RADIX, SHIFT, LAST = (np.array(k, np.float64) for k in (1 / SLOTS, WORD, 1 / WORD, SLOTS - 1))
+
+
 class Model:
-    """The mixed predictions of many blocks side by side. Arrays of two rows are for order 2 and order 1."""
+    """The mixed predictions of many blocks side by side. Arrays of two rows are for order 2 and order 1.
+
+    A step is some forty calls on a few thousand lanes: choices are made by sums and masks, as numpy's own (where) take
+    several times as long, and what a lane needs together lies together.
+    """
 
     def __init__(self, lanes: int, zero: Frequencies):
         self.zero = zero
         self.cell = np.arange(2 * lanes).reshape(2, lanes) * CONTEXTS
-        self.states = np.arange(2 * lanes).reshape(2, lanes) * 32
-        #: Hashes of the two last ids and of the last one.
+        self.states = np.arange(lanes) * 32
+        #: Hashes of the two last ids and of the last one; only 26 bits of them count.
         self.key = np.zeros((2, lanes), np.int64)
+        self.before, self.last = self.key
         #: By context the number of the id seen there, times 4, and how far it is trusted, 0 (nothing seen) to 3.
         self.table = np.zeros(2 * lanes * CONTEXTS, np.uint16)
         two, one = np.meshgrid(EARLY, EARLY)  # state: trust of order 2 + 4 * trust of order 1 + 16 if they agree
-        self.share = np.concatenate([np.tile(MOST * np.concatenate(x, axis=None), lanes) for x in ((two, two), (one * (1 - two), 0 * one))])
-        self.at, self.state = np.zeros((2, lanes), np.int64), np.zeros((2, lanes), np.int64)
-        self.seen, self.trust, self.up = (np.zeros((2, lanes), np.uint16) for _ in range(3))
-        self.gain, self.slots = np.zeros((2, lanes)), np.zeros((2, lanes))
+        early = [np.concatenate(x, axis=None) for x in ((two, two), (one * (1 - two), 0 * one))]
+        #: By state what order 2 (real) and order 1 (imaginary) get, so that one look-up finds both.
+        self.share = np.tile(MOST * (early[0] + 1j * early[1]), lanes)
+        self.at, self.state, self.place = np.zeros((2, lanes), np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.intp)
+        self.packed, self.seen, self.trust, self.kept, self.mask, self.hit = (np.zeros((2, lanes), np.uint16) for _ in range(6))
         self.one, self.fresh, self.agree = np.zeros(lanes, np.uint16), np.zeros(lanes, np.uint16), np.zeros(lanes, bool)
-        self.both, self.rest = np.zeros(lanes), np.zeros(lanes)
-        self.two = self.slots[0]
+        #: Rows are lanes here, as in share.
+        self.part, self.gain, self.whole = np.zeros(lanes, np.complex128), np.zeros(lanes, np.complex128), np.zeros((lanes, 2))
+        self.parts, self.gains = (x.view(np.float64).reshape(lanes, 2) for x in (self.part, self.gain))
+        self.two, self.both, self.rest, self.none = (np.zeros(lanes) for _ in range(4))
+        self.bound, self.chosen, self.step = np.zeros((2, lanes)), np.zeros((2, lanes)), np.zeros(lanes)
 
     def mix(self) -> None:
         """The guesses of order 2 and 1 for the next id, and the slots that they get."""
-        np.right_shift(self.key, 16, out=self.at)
-        np.bitwise_and(self.at, CONTEXTS - 1, out=self.at)
-        np.add(self.at, self.cell, out=self.at)
-        self.packed = self.table[self.at]
-        np.right_shift(self.packed, 2, out=self.seen)
-        np.bitwise_and(self.packed, 3, out=self.trust)
-        np.equal(self.seen[0], self.seen[1], out=self.agree)
-        np.left_shift(self.agree.view(np.uint8), 2, out=self.one, dtype=np.uint16)
-        np.add(self.one, self.trust[1], out=self.one)
-        np.left_shift(self.one, 2, out=self.one)
-        np.add(self.one, self.trust[0], out=self.one)
-        np.add(self.states, self.one, out=self.state)
-        self.part = self.share[self.state]
-        np.floor(self.part, out=self.slots)
-        np.add(self.slots, 16, out=self.slots)
-        np.add(self.slots[0], self.slots[1], out=self.both)
-        np.subtract(SLOTS, self.both, out=self.rest)
+        np.right_shift(self.key, HASHED, self.at)
+        np.bitwise_and(self.at, CONTEXT, self.at)
+        np.add(self.at, self.cell, self.at)
+        self.table.take(self.at, mode="wrap", out=self.packed)
+        np.right_shift(self.packed, U2, self.seen)
+        np.bitwise_and(self.packed, U3, self.trust)
+        np.equal(self.seen[0], self.seen[1], self.agree)
+        np.copyto(self.one, self.agree.view(np.uint8))
+        np.left_shift(self.one, U2, self.one)
+        np.add(self.one, self.trust[1], self.one)
+        np.left_shift(self.one, U2, self.one)
+        np.add(self.one, self.trust[0], self.one)
+        np.copyto(self.state, self.one)
+        np.add(self.states, self.state, self.state)
+        self.share.take(self.state, mode="wrap", out=self.part)
+        np.floor(self.parts, self.whole)
+        np.add(self.whole[:, 0], LEAST, self.two)
+        np.add(self.whole[:, 1], LEAST, self.both)
+        np.add(self.both, self.two, self.both)
+        np.subtract(ALL, self.both, self.rest)
 
     def interval(self, now: np.ndarray, hits: np.ndarray) -> np.ndarray:
         """The first slot of the numbers now, and the one after their last; hits: whether order 2, or only order 1, guessed them."""
-        bound = self.zero.bounds.take(now, axis=1)
-        np.multiply(bound, self.rest, out=bound)
-        np.multiply(bound, 1 / ZERO, out=bound)
-        np.floor(bound, out=bound)
-        np.add(bound, self.both, out=bound)
-        lo, hi = bound
-        np.copyto(lo, self.two, where=hits[1])
-        np.copyto(hi, self.both, where=hits[1])
-        np.copyto(lo, 0, where=hits[0])
-        np.copyto(hi, self.two, where=hits[0])
+        lo, hi = bound = self.bound
+        np.copyto(self.place, now)
+        self.zero.ends.take(self.place, mode="clip", out=hi)
+        np.subtract(self.place, NEXT, self.place)
+        self.zero.ends.take(self.place, mode="clip", out=lo)
+        np.multiply(bound, self.rest, bound)
+        np.floor(bound, bound)
+        np.add(bound, self.both, bound)
+        # Guessed by order 2: from 0 to two; by order 1: from two to both; all are whole numbers, so sums are exact.
+        np.copyto(self.chosen, hits)
+        by_two, by_one = self.chosen
+        np.subtract(WHOLE, by_two, self.none)
+        np.subtract(self.none, by_one, self.none)
+        np.multiply(bound, self.none, bound)
+        np.multiply(by_one, self.two, self.step)
+        np.add(lo, self.step, lo)
+        np.multiply(by_two, self.two, self.step)
+        np.add(hi, self.step, hi)
+        np.multiply(by_one, self.both, self.step)
+        np.add(hi, self.step, hi)
         return bound
 
     def learn(self, now: np.ndarray, hits: np.ndarray) -> None:
-        np.multiply(hits, MOST, out=self.gain)
-        np.subtract(self.gain, self.part, out=self.gain)
-        np.multiply(self.gain, RATE, out=self.gain)
-        np.add(self.gain, self.part, out=self.gain)
+        np.multiply(self.chosen, GIVEN, self.gains.T)
+        np.subtract(self.gains, self.parts, self.gains)
+        np.multiply(self.gains, STEP, self.gains)
+        np.add(self.gains, self.parts, self.gains)
         self.share[self.state] = self.gain
-        # A hit raises the trust, a miss lowers it; at the lowest the new id takes the place.
-        hit = self.seen == now
-        np.add(self.packed, 1, out=self.up)
-        np.bitwise_or(self.packed, 3, out=self.seen)
-        np.minimum(self.up, self.seen, out=self.up)
-        np.subtract(self.packed, 1, out=self.packed)
-        np.left_shift(now, 2, out=self.fresh)
-        np.add(self.fresh, 1, out=self.fresh)
-        np.copyto(self.packed, self.fresh, where=self.trust < 2)
-        np.copyto(self.packed, self.up, where=hit)
-        self.table[self.at] = self.packed
-        np.multiply(self.key[1], 3, out=self.key[0])
-        np.multiply(now, 0x9E3779B1, out=self.key[1], dtype=np.int64)
-        np.bitwise_and(self.key[1], 0xFFFFFFFF, out=self.key[1])
-        np.add(self.key[0], self.key[1], out=self.key[0])
+        # A hit raises the trust up to 3, a miss lowers it; at the lowest the new id takes the place.
+        np.equal(self.seen, now, hits)
+        np.copyto(self.hit, hits.view(np.uint8))
+        np.add(self.trust, U1, self.kept)
+        np.right_shift(self.kept, U2, self.kept)
+        np.subtract(U2, self.kept, self.kept)
+        np.multiply(self.kept, self.hit, self.kept)
+        np.subtract(self.kept, U1, self.kept)
+        np.add(self.kept, self.packed, self.kept)
+        np.right_shift(self.trust, U1, self.mask)
+        np.bitwise_or(self.mask, self.hit, self.mask)
+        np.negative(self.mask, self.mask)
+        np.left_shift(now, U2, self.fresh)
+        np.add(self.fresh, U1, self.fresh)
+        np.bitwise_xor(self.kept, self.fresh, self.kept)
+        np.bitwise_and(self.kept, self.mask, self.kept)
+        np.bitwise_xor(self.kept, self.fresh, self.kept)
+        self.table[self.at] = self.kept
+        np.multiply(self.last, TWICE, self.before)
+        np.copyto(self.last, now)
+        np.multiply(self.last, SPREAD, self.last)
+        np.add(self.before, self.last, self.before)
 
 
 class Encoder:
     """A range coder for each lane: words may exceed 24 bits by a carry until finish settles it."""
 
-    def __init__(self, lanes: int, words: int):
+    def __init__(self, lanes: int):
         self.low, self.range = np.zeros(lanes), np.full(lanes, FULL)
-        self.out, self.sent, self.first = np.zeros((lanes, words), np.int32), np.zeros(lanes, np.int64), np.arange(lanes) * words
-        self.flat = self.out.ravel()
-        self.unit, self.step = np.zeros(lanes), np.zeros(lanes)
+        #: The words sent at each step and their lanes.
+        self.words, self.lanes = [], []
+        self.kind = np.uint16 if lanes <= 1 << 16 else np.uint32
+        self.unit, self.step, self.short = np.zeros(lanes), np.zeros(lanes), np.zeros(lanes, bool)
 
     def put(self, bound: np.ndarray) -> None:
         """Narrow every lane to the slots from its first bound to its second."""
         lo, hi = bound
-        np.multiply(self.range, 1 / SLOTS, out=self.unit)
-        np.floor(self.unit, out=self.unit)
-        np.multiply(lo, self.unit, out=self.step)
-        np.add(self.low, self.step, out=self.low)
-        np.subtract(hi, lo, out=self.step)
-        np.multiply(self.step, self.unit, out=self.range)
-        due = np.flatnonzero(self.range < WORD)
+        np.multiply(self.range, UNIT, self.unit)
+        np.floor(self.unit, self.unit)
+        np.multiply(lo, self.unit, self.step)
+        np.add(self.low, self.step, self.low)
+        np.subtract(hi, lo, self.step)
+        np.multiply(self.step, self.unit, self.range)
+        np.less(self.range, RADIX, self.short)
+        due = np.flatnonzero(self.short)
         if due.size:
             low = self.low[due]
-            word = np.floor(low * (1 / WORD))
-            sent = self.sent[due]
-            self.flat[self.first[due] + sent] = word
-            self.sent[due] = sent + 1
-            self.low[due] = (low - word * WORD) * WORD
-            self.range[due] *= WORD
+            word = np.floor(low * SHIFT)
+            self.words.append(word.astype(np.int32))
+            self.lanes.append(due.astype(self.kind))
+            self.low[due] = (low - word * RADIX) * RADIX
+            self.range[due] *= RADIX
 
     def finish(self) -> list[bytes]:
         """The code of each lane. What a decoder reads beyond its end counts as 0."""
-        self.flat[self.first + self.sent] = np.ceil(self.low * (1 / WORD))
-        self.sent += 1
-        while (carry := self.out >> 24).any():
-            self.out &= 0xFFFFFF
-            self.out[:, :-1] += carry[:, 1:]
-        raw = self.out.astype(">u4").view(np.uint8).reshape(*self.out.shape, 4)[:, :, 1:]
-        return [raw[k, :n].tobytes() for k, n in enumerate(self.sent.tolist())]
+        lanes = len(self.low)
+        self.words.append(np.ceil(self.low * SHIFT).astype(np.int32))
+        self.lanes.append(np.arange(lanes, dtype=self.kind))
+        lane = np.concatenate(self.lanes)
+        order, sent = np.argsort(lane, kind="stable"), np.bincount(lane, minlength=lanes)
+        out = np.zeros((lanes, int(sent.max())), np.int32)
+        out[np.arange(out.shape[1]) < sent[:, None]] = np.concatenate(self.words)[order]
+        while (carry := out >> 24).any():
+            out &= 0xFFFFFF
+            out[:, :-1] += carry[:, 1:]
+        raw = out.astype(">u4").view(np.uint8).reshape(*out.shape, 4)[:, :, 1:]
+        return [raw[k, :n].tobytes() for k, n in enumerate(sent.tolist())]
 
 
 class Decoder:
     def __init__(self, data: bytes, sizes: np.ndarray):
         raw = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.float64)
         lengths = np.asarray(sizes) // 3
-        self.words = int(lengths.max()) + 4
-        table = np.zeros((len(lengths), self.words))
-        table[np.arange(self.words) < lengths[:, None]] = raw[:, 0] * 65536 + raw[:, 1] * 256 + raw[:, 2]
-        self.flat, self.first, self.at = table.ravel(), np.arange(len(lengths)) * self.words, np.full(len(lengths), 2)
-        self.code, self.range = table[:, 0] * WORD + table[:, 1], np.full(len(lengths), FULL)
+        words = int(lengths.max()) + 4
+        table = np.zeros((len(lengths), words), np.float32)  # exact, as words have 24 bits
+        table[np.arange(words) < lengths[:, None]] = raw[:, 0] * 65536 + raw[:, 1] * 256 + raw[:, 2]
+        #: Where in flat each lane's next word stands; only a damaged code leaves its lane.
+        self.flat, self.at = table.ravel(), np.arange(len(lengths)) * words + 2
+        self.code, self.range = table[:, :2].astype(np.float64) @ (WORD, 1.0), np.full(len(lengths), FULL)
         self.unit, self.place, self.step = (np.zeros(len(lengths)) for _ in range(3))
+        self.short = np.zeros(len(lengths), bool)
 
     def slot(self) -> np.ndarray:
         """The slot that each lane's code lies in."""
-        np.multiply(self.range, 1 / SLOTS, out=self.unit)
-        np.floor(self.unit, out=self.unit)
-        np.divide(self.code, self.unit, out=self.place)
-        np.floor(self.place, out=self.place)
-        return np.minimum(self.place, SLOTS - 1, out=self.place)
+        np.multiply(self.range, UNIT, self.unit)
+        np.floor(self.unit, self.unit)
+        np.divide(self.code, self.unit, self.place)
+        np.floor(self.place, self.place)
+        return np.minimum(self.place, LAST, self.place)
 
     def take(self, bound: np.ndarray) -> None:
         lo, hi = bound
-        np.multiply(lo, self.unit, out=self.step)
-        np.subtract(self.code, self.step, out=self.code)
-        np.subtract(hi, lo, out=self.step)
-        np.multiply(self.step, self.unit, out=self.range)
-        due = np.flatnonzero(self.range < WORD)
+        np.multiply(lo, self.unit, self.step)
+        np.subtract(self.code, self.step, self.code)
+        np.subtract(hi, lo, self.step)
+        np.multiply(self.step, self.unit, self.range)
+        np.less(self.range, RADIX, self.short)
+        due = np.flatnonzero(self.short)
         if due.size:
             at = self.at[due]
-            self.code[due] = self.code[due] * WORD + self.flat[self.first[due] + np.minimum(at, self.words - 1)]
+            self.code[due] = self.code[due] * RADIX + self.flat.take(at, mode="clip")
             self.at[due] = at + 1
-            self.range[due] *= WORD
+            self.range[due] *= RADIX
 
 
 def _digit(value: np.ndarray, some: np.ndarray) -> np.ndarray:
@@ -259,15 +304,15 @@ def encode_blocks(numbers: np.ndarray, zero: Frequencies) -> list[bytes]:
     if not lanes:
         return []
     steps = min(BLOCK, len(numbers))
-    table = np.ones((lanes, BLOCK), np.int32)
+    table = np.ones((lanes, BLOCK), np.int32 if zero.many else np.uint16)
     table.ravel()[: len(numbers)] = numbers
     table = np.ascontiguousarray(table[:, :steps].T)
-    small = np.minimum(table, shared).astype(np.uint16)
-    model, coder, hits = Model(lanes, zero), Encoder(lanes, steps * (2 if zero.many else 1) + 4), np.zeros((2, lanes), bool)
+    small = np.minimum(table, shared).astype(np.uint16) if zero.many else table
+    model, coder, hits = Model(lanes, zero), Encoder(lanes), np.zeros((2, lanes), bool)
     for step, now in enumerate(small):
         model.mix()
-        np.equal(model.seen, now, out=hits)
-        np.greater(hits[1], hits[0], out=hits[1])
+        np.equal(model.seen, now, hits)
+        np.greater(hits[1], hits[0], hits[1])
         coder.put(model.interval(now, hits))
         if zero.many and (some := now == shared).any():
             rest = table[step] - float(shared)
@@ -283,23 +328,30 @@ def decode_blocks(data: bytes, sizes: np.ndarray, n: int, zero: Frequencies) ->
     if not lanes:
         return np.zeros(0, np.int32)
     steps = min(BLOCK, n)
-    out = np.zeros((steps, lanes), np.int32)
-    model, coder, hits, place = Model(lanes, zero), Decoder(data, sizes), np.zeros((2, lanes), bool), np.zeros(lanes)
+    out = np.zeros((steps, lanes), np.int32 if zero.many else np.uint16)
+    model, coder, hits, place, at = Model(lanes, zero), Decoder(data, sizes), np.zeros((2, lanes), bool), np.zeros(lanes), np.zeros(lanes, np.intp)
+    now, either, flags, guess = np.zeros(lanes, np.uint16), np.zeros(lanes, np.uint16), np.zeros((2, lanes), np.uint16), np.zeros((2, lanes), np.uint16)
+    spread, top = np.array(ZERO), np.array(ZERO - 1)
     for step in range(steps):
         model.mix()
         slot = coder.slot()
-        np.less(slot, model.two, out=hits[0])
-        np.less(slot, model.both, out=hits[1])
-        # The last slot of order 0 that starts at this slot or before, then its number.
-        np.subtract(slot, model.both, out=place)
-        np.multiply(place, ZERO, out=place)
-        np.add(place, ZERO - 1, out=place)
-        np.divide(place, model.rest, out=place)
-        np.maximum(place, 0, out=place)
-        now = zero.number[place.astype(np.int32)]
-        np.copyto(now, model.seen[1], where=hits[1])
-        np.copyto(now, model.seen[0], where=hits[0])
-        np.greater(hits[1], hits[0], out=hits[1])
+        np.less(slot, model.two, hits[0])
+        np.less(slot, model.both, hits[1])
+        np.greater(hits[1], hits[0], hits[1])
+        # The last slot of order 0 that starts at this slot or before, then its number, unless an order guessed it.
+        np.subtract(slot, model.both, place)
+        np.multiply(place, spread, place)
+        np.add(place, top, place)
+        np.divide(place, model.rest, place)
+        np.copyto(at, place, casting="unsafe")
+        zero.number.take(at, mode="clip", out=now)
+        np.copyto(flags, hits.view(np.uint8))
+        np.multiply(flags, model.seen, guess)
+        np.add(flags[0], flags[1], either)
+        np.subtract(either, U1, either)  # all bits where neither guessed it
+        np.bitwise_and(now, either, now)
+        np.add(now, guess[0], now)
+        np.add(now, guess[1], now)
         coder.take(model.interval(now, hits))
         out[step] = now
         if zero.many and (some := now == shared).any():
@@ -371,8 +423,20 @@ BY_WORDS = {
         ],
     },
 }
-#: Letters that normalizing leaves as they are.
-PLAIN = "a-zß-öø-ÿ"
+#: Letters to which normalizing does no more than to lower-case them.
+PLAIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Marks; a run of them at a word's end, behind a letter or a digit, is a piece of its own.
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+
+
+def _lists(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists named by which on end, and where each ends; flat holds sizes[k] values of list k, on end."""
+    starts, each = np.cumsum(sizes) - sizes, sizes[which]
+    ends = np.cumsum(each)
+    total = int(ends[-1]) if len(ends) else 0
+    at = np.repeat((starts[which] - ends + each).astype(np.int32 if total + len(flat) < 1 << 31 else np.int64), each)
+    at += np.arange(total, dtype=at.dtype)
+    return flat[at], ends
 
 
 class WordIds:
@@ -395,9 +459,9 @@ class WordIds:
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
             self.mark, self.mark_id = added[0]["content"], added[0]["id"]
-            #: Known words, their uses so far, and their ids: sizes[k] of flat from starts[k].
+            #: Known pieces of words, their uses so far, and their ids: sizes[k] of flat for each, on end.
             self.words, self.uses = pa.array([], pa.string()), np.zeros(0, np.int64)
-            self.flat, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+            self.flat, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def _many(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All words' ids on end, and each one's number of ids."""
@@ -414,7 +478,7 @@ class WordIds:
                 ids, sizes = np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
             else:
                 lists = pa.ListArray.from_arrays(pa.array(np.append(np.arange(0, len(chosen), 256), len(chosen)), pa.int32()), chosen)
-                lines = pc.binary_join(lists, " " if kind == 0 else f" {self.mark} ").to_pylist()
+                lines = (pc.utf8_lower(pc.binary_join(lists, " ")) if kind == 0 else pc.binary_join(lists, f" {self.mark} ")).to_pylist()
                 tokenizer = self.plain if kind == 0 else self.tokenizer
                 found = [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(lines if kind == 0 else [f"{line} {self.mark}" for line in lines], add_special_tokens=False)]
                 ids = np.concatenate(found)
@@ -425,7 +489,7 @@ class WordIds:
             if len(sizes) != at.size:
                 raise ValueError("the tokenizer's ids do not fall into words")
             parts.append((at, ids, sizes))
-        sizes = np.zeros(len(words), np.int64)
+        sizes = np.zeros(len(words), np.int32)
         for at, _, each in parts:
             sizes[at] = each
         starts = np.cumsum(sizes) - sizes
@@ -438,41 +502,54 @@ class WordIds:
         """The places of words among the known ones, after encoding the new ones."""
         if len(self.words) > KEPT:
             kept = np.sort(np.argsort(-self.uses, kind="stable")[: KEPT // 2])
-            ids = np.repeat(np.cumsum(self.sizes)[kept] - np.cumsum(self.sizes[kept]), self.sizes[kept]) + np.arange(int(self.sizes[kept].sum()))
-            self.words, self.uses, self.flat, self.sizes = self.words.take(pa.array(kept)), self.uses[kept] // 2, self.flat[ids], self.sizes[kept]
-        at = pc.index_in(words, value_set=self.words)
-        if at.null_count:
-            new = words.filter(pc.is_null(at))
-            flat, sizes = self._many(new)
-            at = at.to_numpy(zero_copy_only=False)
-            at[np.isnan(at)] = len(self.words) + np.arange(len(new))
-            self.words, self.uses = pa.concat_arrays([self.words, new]), np.append(self.uses, np.zeros(len(new), np.int64))
+            self.flat = _lists(self.flat, self.sizes, kept)[0]
+            self.words, self.uses, self.sizes = self.words.take(pa.array(kept)), self.uses[kept] // 2, self.sizes[kept]
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy()
+        if (new := at < 0).any():
+            learnt, at = words.filter(pa.array(new)), at.copy()
+            flat, sizes = self._many(learnt)
+            at[new] = len(self.words) + np.arange(len(learnt))
+            self.words, self.uses = pa.concat_arrays([self.words, learnt]), np.append(self.uses, np.zeros(len(learnt), np.int64))
             self.flat, self.sizes = np.append(self.flat, flat), np.append(self.sizes, sizes)
-            return at.astype(np.int64)
-        return at.to_numpy(zero_copy_only=False).astype(np.int64)
+        return at
+
+    def _ids(self, words: pa.Array, uses: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids on end of different words, each used so often, and each one's number of ids.
+
+        Case and marks after a word change no ids of the rest but would make more words to know. What holds "<|" may
+        name a special token and stays as it is.
+        """
+        named = pc.match_substring(words, "<|")
+        words = pc.if_else(named, words, pc.ascii_lower(words))
+        marked = pc.and_not(pc.less(pc.binary_length(pc.ascii_rtrim(words, MARKS)), pc.binary_length(words)), named)
+        cut = pc.extract_regex(words.filter(marked), rf"^(?P<stem>.*[{PLAIN}0-9])(?P<marks>[{re.escape(MARKS)}]+)$")
+        apart = np.flatnonzero(marked.to_numpy(zero_copy_only=False))[cut.is_valid().to_numpy(zero_copy_only=False)]
+        stems, marks = cut.drop_null().flatten()
+        split = np.zeros(len(words), bool)
+        split[apart] = True
+        coded = pa.concat_arrays([pc.replace_with_mask(words, pa.array(split), stems), marks]).dictionary_encode()
+        pieces = coded.indices.to_numpy()
+        known = self._learn(coded.dictionary)
+        self.uses[known] += np.bincount(pieces, np.append(uses, uses[apart]), len(known)).astype(np.int64)
+        pieces = known[pieces]
+        stem, mark = pieces[: len(words)], pieces[len(words) :]
+        sizes = self.sizes[stem]
+        sizes[apart] += self.sizes[mark]
+        return _lists(self.flat, self.sizes, np.insert(stem, apart + 1, mark))[0], sizes
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids on end, each with the end id, and each text's number of ids."""
         if not self.by_words:
             found = [np.array([*e.ids, end], np.int64) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
             return np.concatenate([np.zeros(0, np.int64), *found]), np.fromiter(map(len, found), np.int64, len(found))
-        if not pc.any(pc.match_substring(texts, "<|")).as_py():
-            # Case and a mark after a word change no ids but would make more words; texts with names of special tokens stay as they are.
-            texts = pc.replace_substring_regex(pc.ascii_lower(texts), rf"([{PLAIN}])([.,])(\s|$)", r"\1 \2\3")
         words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
-        known = self._learn(coded.dictionary)
-        indices = coded.indices.to_numpy(zero_copy_only=False)
-        self.uses[known] += np.bincount(indices, minlength=len(known))
-        # The end id stands behind the known words' ids and is put after each text's words.
-        flat, sizes = np.append(self.flat, end), np.append(self.sizes, 1)
-        starts = np.cumsum(sizes) - sizes
-        counts = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-        place = np.insert(known[indices], np.cumsum(counts), len(sizes) - 1)
-        each = sizes[place]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        ids = flat[np.repeat(starts[place] - ends[:-1], each) + np.arange(ends[-1])]
-        return ids, np.diff(ends[np.concatenate([[0], np.cumsum(counts + 1)])])
+        indices = coded.indices.to_numpy()
+        flat, sizes = self._ids(coded.dictionary, np.bincount(indices, minlength=len(coded.dictionary)))
+        # The end id stands behind the words' ids and is put after each text's words.
+        ends = np.cumsum(pc.list_value_length(words).to_numpy())
+        ids, upto = _lists(np.append(flat, np.array(end, flat.dtype)), np.append(sizes, np.int32(1)), np.insert(indices, ends, len(sizes)))
+        return ids, np.diff(upto[ends + np.arange(len(ends))], prepend=0)
 
 
 _tokenizers: dict[int, WordIds] = {}
