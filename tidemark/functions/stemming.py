@@ -11,8 +11,9 @@ is not the first letter, the third letter, or a listed beginning (rv).
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import cache, cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,13 @@ class Step:
     rules: tuple[Rule, ...]
     inside: bool = False
 
+    @cached_property
+    def by_last(self) -> dict[str, list[tuple[str, list[Rule]]]]:
+        """By a word's last letter, the suffixes that it may end in, the longest first, with their rules; the empty suffix under ""."""
+        names = sorted({r.suffix for r in self.rules}, key=len, reverse=True)
+        pairs = [(x, [r for r in self.rules if r.suffix == x]) for x in names]
+        return {last: [p for p in pairs if p[0][-1:] in ("", last)] for last in {x[-1:] for x in names} | {""}}
+
 
 def _rules(pairs: str, region: str = "", before: str = "") -> list[Rule]:
     """`a>b c` as the rules a to b and c to nothing."""
@@ -199,40 +207,65 @@ def stemmed(df: DataFrame, word: str, language: str, name: str = "stem") -> Data
     return chain.df.withColumn(name, F.lower(out)).drop(*chain.names)
 
 
+@cache
+def _found(pattern: str) -> Callable[[str], re.Match | None]:
+    return re.compile(pattern).search
+
+
+class _Starts(dict):
+    """The regions of a word, each found when first asked for."""
+
+    def __init__(self, word: str, language: str) -> None:
+        super().__init__()
+        self.word, self.language = word, language
+
+    def __missing__(self, region: str) -> int:
+        w, vowels = self.word, VOWELS if self.language == "english" else FRENCH_VOWELS
+        if region == "rv":
+            first = _found(f"^.{_NV}*{_FV}")(w)
+            start = min(3, len(w)) if _found(f"^(?:{_FV}{_FV}|par|col|tap)")(w) else first.end() if first else len(w)
+        elif region == "r1" and self.language == "english" and w.startswith(("gener", "commun", "arsen")):
+            start = 6 if w.startswith("commun") else 5
+        else:
+            skipped = 0 if region == "r1" else self["r1"]
+            found = _pairs(vowels)(w, skipped)
+            start = found.end() if found else len(w)
+        self[region] = start
+        return start
+
+
+@cache
+def _pairs(vowels: str) -> Callable[..., re.Match | None]:
+    return re.compile(f"[{vowels}][^{vowels}]").search
+
+
 def _next(word: str, step: Step, starts: dict[str, int]) -> str:
     """One step for one word, as `_applied` has it for columns."""
-    for suffix in sorted({r.suffix for r in step.rules}, key=len, reverse=True):
+    for suffix, rules in step.by_last.get(word[-1:], step.by_last[""]):
         if not word.endswith(suffix) or (step.inside and len(word) - len(suffix) < starts["rv"]):
             continue
         base = word[: len(word) - len(suffix)]
-        for r in (r for r in step.rules if r.suffix == suffix):
+        for r in rules:
             start = 0 if not r.region else starts["r1"] if r.region == "none" else starts[r.region]
             placed = start >= len(word) if r.region == "none" else len(word) - (r.span or len(suffix)) >= start
-            if placed and re.search(r.before, base) and not (r.unless and re.search(r.unless, base)):
+            if placed and (not r.before or _found(r.before)(base)) and not (r.unless and _found(r.unless)(base)):
                 return base + r.put
         return word
     return word
 
 
 def stem(word: str, language: str) -> str:
-    """The stem of a single word, for the few words of a query; "simple" gives the word."""
-
-    def behind(w: str, vowels: str, pairs: int) -> int:
-        found = re.match(f".*?[{vowels}][^{vowels}]" * pairs, w)
-        return found.end() if found else len(w)
-
+    """The stem of a single word, for words that are met one by one in a task or a query; "simple" gives the word."""
     if language == "english":
         if len(word) <= 2 or word in ENGLISH_WORDS:
             return ENGLISH_WORDS.get(word, word)
-        w = re.sub(f"([{VOWELS}])y", r"\1Y", re.sub("^y", "Y", word))
-        head = re.match("gener|commun|arsen", w)
-        r1 = head.end() if head else behind(w, VOWELS, 1)
-        starts = {"r1": r1, "r2": r1 + behind(w[r1:], VOWELS, 1)}
+        w = re.sub(f"([{VOWELS}])y", r"\1Y", re.sub("^y", "Y", word)) if "y" in word else word
+        starts = _Starts(w, language)
         first = _next(w, ENGLISH[0], starts)
         if first.lower() in ENGLISH_WHOLE:
             return first.lower()
         w = _next(first, ENGLISH[1], starts)
-        if w != first and not re.search("eed(ly)?$", first):
+        if w != first and not first.endswith(("eed", "eedly")):
             w = _next(w, ENGLISH[2], starts)
         for step in ENGLISH[3:]:
             w = _next(w, step, starts)
@@ -240,11 +273,11 @@ def stem(word: str, language: str) -> str:
     if language == "french":
         w = word.replace("qu", "qU")
         for letter, capital in (("u", "U"), ("i", "I")):
-            w = re.sub(f"({_FV}){letter}(?={_FV})", rf"\1{capital}", w)
-        w = re.sub(f"({_FV})y", r"\1Y", re.sub(f"y(?={_FV})", "Y", w))
-        first = re.match(f".{_NV}*{_FV}", w)
-        rv = min(3, len(w)) if re.match(f"{_FV}{_FV}|par|col|tap", w) else first.end() if first else len(w)
-        starts = {"rv": rv, "r1": behind(w, FRENCH_VOWELS, 1), "r2": behind(w, FRENCH_VOWELS, 2)}
+            if letter in w:
+                w = re.sub(f"({_FV}){letter}(?={_FV})", rf"\1{capital}", w)
+        if "y" in w:
+            w = re.sub(f"({_FV})y", r"\1Y", re.sub(f"y(?={_FV})", "Y", w))
+        starts = _Starts(w, language)
         one = _next(w, FRENCH[0], starts)
         done = one != w
         if not done:
@@ -255,5 +288,6 @@ def stem(word: str, language: str) -> str:
                     one, done = then, True
                     break
         one = _next(one, FRENCH[4], starts) if done else _next(_next(one, FRENCH[5], starts), FRENCH[6], starts)
-        return re.sub(f"[éè]({_NV}+)$", r"e\1", _next(one, FRENCH[7], starts)).lower()
+        last = _next(one, FRENCH[7], starts)
+        return (last if last.isascii() else re.sub(f"[éè]({_NV}+)$", r"e\1", last)).lower()
     return word

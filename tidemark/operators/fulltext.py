@@ -15,8 +15,12 @@ Windows run over one document's hits, rows of the query's own tokens.
 from __future__ import annotations
 
 import re
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,54 +55,147 @@ class Field:
     languages: tuple[str, ...] = LANGUAGES
 
 
-def sections(docs: DataFrame, key: str, fields: list[Field]) -> DataFrame:
-    """(key, length, places): places are structs (word, language, weight, pos), the document's kept words; length is their number."""
-    read = F.array(*(F.struct(search.words(F.coalesce(F.col(f.column), F.lit(""))).alias("words"), F.lit(x).alias("language"), F.lit(f.weight).alias("weight")) for f in fields for x in f.languages))
+#: Letters of words before they are folded.
+LETTERS = re.compile(f"[a-z0-9{search.ACCENTED}œæß]+")
+#: Different words whose tokens a task keeps, and as many of before them; documents, and bytes of their texts, that a task reads side by side.
+KEPT, PIECE, PIECE_BYTES = 250_000, 500, 4_000_000
 
-    def is_kept(word: Column, language: Column) -> Column:
-        english, french = (word.isin(STOP_WORDS[x]) for x in ("english", "french"))
-        return ~(((language == "english") & english) | ((language == "french") & french))
 
-    def added(acc: Column, s: Column) -> Column:
-        kept = F.filter(F.transform(s["words"], lambda w, i: F.struct(w.alias("word"), s["language"].alias("language"), s["weight"].alias("weight"), (i + 1 + acc["shift"]).alias("pos"))), lambda x: is_kept(x["word"], s["language"]))
-        return F.concat(acc["places"], kept)
+class _Tokens(dict):
+    """Unfolded words with their tokens in a language, None for stop words; each word is folded and stemmed when first met."""
 
-    def moved(acc: Column) -> Column:
-        return F.struct(F.coalesce(F.get(acc["places"], F.size(acc["places"]) - 1)["pos"], F.lit(0)).alias("shift"), acc["places"].alias("places"))
+    def __init__(self, language: str) -> None:
+        super().__init__()
+        self.language, self.stop, self.before = language, frozenset(STOP_WORDS[language]), {}
 
-    kind = "array<struct<word: string, language: string, weight: string, pos: int>>"
-    begin = F.struct(F.lit(0).alias("shift"), F.array().cast(kind).alias("places"))
-    # Each section starts behind the last kept word of those before it; lambdas bind each value once.
-    places = F.aggregate(read, begin, lambda acc, s: F.get(F.transform(F.array(F.struct(added(acc, s).alias("places"))), moved), F.lit(0)), lambda acc: acc["places"])
-    return docs.select(key, places.alias("places")).withColumn("length", F.size("places"))
-
-
-def as_tokens(rows: DataFrame) -> DataFrame:
-    """rows (word, language) with token, the word as its language has it; each distinct word is stemmed once."""
-    known = rows.where(F.col("language") != "simple").select("word", "language").distinct()
-    parts = [stemming.stemmed(known.where(F.col("language") == name), "word", name, "token") for name in ("english", "french")]
-    stems = parts[0].unionByName(parts[1])
-    return rows.join(stems, ["word", "language"], "left").withColumn("token", F.coalesce("token", "word"))
-
-
-def tokens(docs: DataFrame, key: str, fields: list[Field]) -> DataFrame:
-    """(key, length, token, pos, weight): a row for each kept word of each section."""
-    places = sections(docs, key, fields).select(key, "length", F.inline("places"))
-    return as_tokens(places).select(key, "length", "token", "pos", "weight")
-
-
-def index(docs: DataFrame, key: str, fields: list[Field]) -> DataFrame:
-    """(token, key, length, places): the positional index; a caller stores it partitioned or sorted by token."""
-    places = F.array_sort(F.collect_list(F.struct("pos", "weight")))
-    return tokens(docs, key, fields).groupBy("token", key, "length").agg(places.alias("places"))
+    def __missing__(self, word: str) -> str | None:
+        if word in self.before:
+            token = self.before[word]
+        else:
+            folded = word if word.isascii() else search.fold_text(word)
+            token = None if folded in self.stop else stemming.stem(folded, self.language)
+        self[word] = token
+        return token
+
+    def trim(self) -> None:
+        if len(self) > KEPT:
+            self.before = dict(self)
+            self.clear()
+
+
+#: By language, the tokens that a Python worker has met; it keeps them from task to task.
+_MET: dict[str, _Tokens] = {}
+
+
+@dataclass
+class _Places:
+    """The kept words of some documents, by document, token and position: parallel arrays; field is a field's number."""
+
+    row: np.ndarray
+    token: np.ndarray
+    pos: np.ndarray
+    field: np.ndarray
+    vocabulary: pa.Array
+    lengths: np.ndarray
+
+    def groups(self) -> np.ndarray:
+        """Where the places of each document's tokens begin, and the end."""
+        new = (np.diff(self.row) != 0) | (np.diff(self.token) != 0)
+        return np.concatenate([[0], np.flatnonzero(new) + 1, [len(self.row)]]) if len(self.row) else np.zeros(1, np.int64)
+
+
+def _read(batch: pa.RecordBatch, fields: list[Field], only: frozenset[str] | None = None) -> _Places:
+    """The places of a batch's documents: a key, then the fields' texts. only: the tokens that are wanted, all if None."""
+    n, words, ids, parts = batch.num_rows, {}, {}, []
+    lengths, shift = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for k, field in enumerate(fields):
+        found = [LETTERS.findall((text or "").lower()) for text in batch.column(k + 1).to_pylist()]
+        sizes = np.fromiter(map(len, found), np.int64, n)
+        codes = np.fromiter((words.setdefault(w, len(words)) for each in found for w in each), np.int64, sizes.sum())
+        row = np.repeat(np.arange(n), sizes)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+        for language in field.languages:
+            met = _MET.setdefault(language, _Tokens(language))
+            met.trim()
+            tokens = np.fromiter((-1 if t is None else ids.setdefault(t, len(ids)) for t in map(met.__getitem__, words)), np.int64, len(words))[codes]
+            kept = np.flatnonzero(tokens >= 0)
+            lengths += np.bincount(row[kept], minlength=n)
+            parts.append((row[kept], tokens[kept], (at + shift[row])[kept], np.full(len(kept), k)))
+            last = np.zeros(n, np.int64)
+            np.maximum.at(last, row[kept], at[kept])
+            shift += last  # each section starts behind the last kept word of those before it
+    row, token, pos, number = (np.concatenate(x) for x in zip(*parts))
+    names = list(ids)
+    if only is not None:
+        chosen = np.fromiter((t in only for t in names), bool, len(names))[token]
+        row, token, pos, number = (x[chosen] for x in (row, token, pos, number))
+    vocabulary = pa.array(names, pa.string())
+    order = pc.array_sort_indices(pc.binary_join_element_wise(vocabulary, ":", ""))  # as entries of a vector are sorted
+    place = np.empty(len(names), np.int64)
+    place[order.to_numpy()] = np.arange(len(names))
+    token = place[token]
+    sort = np.argsort(row * max(1, len(names)) + token, kind="stable")  # positions rise already
+    return _Places(row[sort], token[sort], pos[sort], number[sort], vocabulary.take(order), lengths)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most PIECE documents and about PIECE_BYTES of texts; a larger text comes alone."""
+    for batch in batches:
+        size = sum(np.nan_to_num(pc.binary_length(c).to_numpy(zero_copy_only=False).astype(float)) for c in batch.columns[1:])
+        begin, held = 0, 0.0
+        for k, x in enumerate(size):
+            if k > begin and (k - begin >= PIECE or held + x > PIECE_BYTES):
+                yield batch.slice(begin, k - begin)
+                begin, held = k, 0.0
+            held += x
+        if begin < batch.num_rows:
+            yield batch.slice(begin)
+
+
+def _texts(docs: DataFrame, key: str, fields: list[Field]) -> DataFrame:
+    return docs.select(key, *(F.col(f.column).cast("string").alias(f"_text{k}") for k, f in enumerate(fields)))
+
+
+def index(docs: DataFrame, key: str, fields: list[Field], only: Collection[str] | None = None) -> DataFrame:
+    """(token, key, length, places): the positional index; a caller stores it partitioned or sorted by token. No two documents share a key.
+
+    Each document is read whole inside a task, so that its words are not shuffled. only: the tokens that are wanted, all if None; a
+    document's length counts all its kept words.
+    """
+    wanted, letters = None if only is None else frozenset(only), pa.array([f.weight for f in fields], pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            p = _read(batch, fields, wanted)
+            ends = p.groups()
+            rows = p.row[ends[:-1]]
+            places = pa.StructArray.from_arrays([pa.array(p.pos, pa.int32()), letters.take(pa.array(p.field))], ["pos", "weight"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), places)
+            yield pa.RecordBatch.from_arrays([p.vocabulary.take(pa.array(p.token[ends[:-1]])), batch.column(0).take(pa.array(rows)), pa.array(p.lengths[rows], pa.int32()), lists], ["token", key, "length", "places"])
+
+    texts = _texts(docs, key, fields)
+    none = F.array().cast("array<struct<pos:int,weight:string>>")
+    return texts.mapInArrow(run, texts.select(F.lit("").alias("token"), key, F.lit(0).alias("length"), none.alias("places")).schema)
 
 
 def vectors(docs: DataFrame, key: str, fields: list[Field]) -> DataFrame:
     """(key, n_tokens, n_places, vector): each document's tokens in order, `token:1A,7C`; documents without tokens have none."""
-    rows = index(docs, key, fields)
-    entry = F.concat("token", F.lit(":"), F.array_join(F.transform("places", lambda p: F.concat(p["pos"].cast("string"), p["weight"])), ","))
-    found = rows.select(key, "length", entry.alias("entry")).groupBy(key, "length").agg(F.array_sort(F.collect_list("entry")).alias("entries"))
-    return found.select(key, F.size("entries").cast("long").alias("n_tokens"), F.col("length").cast("long").alias("n_places"), F.array_join("entries", " ").alias("vector"))
+    letters = pa.array([f.weight for f in fields], pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            p = _read(batch, fields)
+            ends = p.groups()
+            spots = pc.binary_join_element_wise(pa.array(p.pos).cast(pa.string()), letters.take(pa.array(p.field)), "")
+            lists = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spots), ",")
+            entries = pc.binary_join_element_wise(p.vocabulary.take(pa.array(p.token[ends[:-1]])), lists, ":")
+            rows, sizes = np.unique(p.row[ends[:-1]], return_counts=True)
+            said = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), entries), " ")
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(sizes, pa.int64()), pa.array(p.lengths[rows], pa.int64()), said], [key, "n_tokens", "n_places", "vector"])
+
+    texts = _texts(docs, key, fields)
+    zero = F.lit(0).cast("long")
+    return texts.mapInArrow(run, texts.select(key, zero.alias("n_tokens"), zero.alias("n_places"), F.lit("").alias("vector")).schema)
 
 
 @dataclass(frozen=True)
@@ -135,6 +232,11 @@ def readings(query: str) -> list[Slot]:
     return out
 
 
+def asked(query: str) -> set[str]:
+    """The tokens that ranks() of a query reads."""
+    return {stemming.stem(s.word, s.language) for s in readings(query)}
+
+
 def ranks(postings: DataFrame, key: str, query: str) -> DataFrame:
     """(key, rank) of the documents that match the query, from the index (token, key, length, places)."""
     slots = readings(query)
