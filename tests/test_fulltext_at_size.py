@@ -1,8 +1,11 @@
 """The positional index and vectors made inside tasks."""
 
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
+from tidemark.functions import stemming
 from tidemark.operators import fulltext, search
 from tidemark.plans import oracle_text
 
@@ -46,3 +49,24 @@ def test_tokens_of_a_query_are_all_that_its_ranks_read(spark):
     docs = spark.createDataFrame([(1, "Apache versions licensed", "x"), (2, "gnu", "mit"), (3, "gnu", "")], "id long, title string, body string")
     ranks = [sorted(map(tuple, fulltext.ranks(p, "id", query).collect())) for p in (fulltext.index(docs, "id", FIELDS), fulltext.index(docs, "id", FIELDS, only=fulltext.asked(query)))]
     assert ranks[0] == ranks[1] and [r[0] for r in ranks[0]] == [1, 3]
+
+
+def test_a_search_of_documents_reads_them_once_and_shuffles_only_its_own_tokens(spark, tmp_path, monkeypatch):
+    from tidemark.plans import registry, search_queries
+
+    kept = []
+    monkeypatch.setattr(search_queries, "staged", lambda df, name: kept.append(df) or df)
+    spark.createDataFrame([(1, "Apache license version"), (2, "words without any hit " * 50)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = registry.QUERIES["q_05_document_hits"](spark, str(tmp_path))
+    assert [r["doc_id"] for r in found.collect()] == [1]
+    (postings,) = kept
+    assert {r["token"] for r in postings.collect()} <= {"licens", "license", "licensed", "apach", "apache", "version"}
+    assert "Exchange" not in postings._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stems_begin_as_their_words():
+    rng = random.Random(3)
+    parts = [r.suffix for steps in stemming.STEPS.values() for step in steps for r in step.rules if r.suffix.isascii()] + list("abcdefghijklmnopqrstuvwxyz0123456789")
+    words = {search.fold_text("".join(rng.choices(parts, k=rng.randint(1, 3)))) for _ in range(60_000)} | set(stemming.ENGLISH_WORDS) | {search.fold_text(p) for p in parts}
+    words -= {""}
+    assert [w for w in words for x in fulltext.LANGUAGES if stemming.stem(w, x)[:1] != w[0]] == []

@@ -62,18 +62,21 @@ KEPT, PIECE, PIECE_BYTES = 250_000, 500, 4_000_000
 
 
 class _Tokens(dict):
-    """Unfolded words with their tokens in a language, None for stop words; each word is folded and stemmed when first met."""
+    """Unfolded words with their tokens in a language, None for stop words; each word is folded and stemmed when first met.
 
-    def __init__(self, language: str) -> None:
+    A stem begins with its word's first letter: of words with another one than `begun` the token is left empty (None: of no word).
+    """
+
+    def __init__(self, language: str, begun: frozenset[str] | None = None) -> None:
         super().__init__()
-        self.language, self.stop, self.before = language, frozenset(STOP_WORDS[language]), {}
+        self.language, self.begun, self.stop, self.before = language, begun, frozenset(STOP_WORDS[language]), {}
 
     def __missing__(self, word: str) -> str | None:
         if word in self.before:
             token = self.before[word]
         else:
             folded = word if word.isascii() else search.fold_text(word)
-            token = None if folded in self.stop else stemming.stem(folded, self.language)
+            token = None if folded in self.stop else "" if self.begun is not None and folded[0] not in self.begun else stemming.stem(folded, self.language)
         self[word] = token
         return token
 
@@ -83,8 +86,8 @@ class _Tokens(dict):
             self.clear()
 
 
-#: By language, the tokens that a Python worker has met; it keeps them from task to task.
-_MET: dict[str, _Tokens] = {}
+#: By language and first letters, the tokens that a Python worker has met; it keeps them from task to task.
+_MET: dict[tuple[str, frozenset[str] | None], _Tokens] = {}
 
 
 @dataclass
@@ -107,6 +110,7 @@ class _Places:
 def _read(batch: pa.RecordBatch, fields: list[Field], only: frozenset[str] | None = None) -> _Places:
     """The places of a batch's documents: a key, then the fields' texts. only: the tokens that are wanted, all if None."""
     n, words, ids, parts = batch.num_rows, {}, {}, []
+    begun = None if only is None else frozenset(t[:1] for t in only)
     lengths, shift = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for k, field in enumerate(fields):
         found = [LETTERS.findall((text or "").lower()) for text in batch.column(k + 1).to_pylist()]
@@ -115,7 +119,9 @@ def _read(batch: pa.RecordBatch, fields: list[Field], only: frozenset[str] | Non
         row = np.repeat(np.arange(n), sizes)
         at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
         for language in field.languages:
-            met = _MET.setdefault(language, _Tokens(language))
+            if (language, begun) not in _MET and len(_MET) >= 2 * len(LANGUAGES):
+                _MET.clear()  # of earlier searches
+            met = _MET.setdefault((language, begun), _Tokens(language, begun))
             met.trim()
             tokens = np.fromiter((-1 if t is None else ids.setdefault(t, len(ids)) for t in map(met.__getitem__, words)), np.int64, len(words))[codes]
             kept = np.flatnonzero(tokens >= 0)

@@ -104,7 +104,7 @@ def hits(links: DataFrame, mentions: DataFrame, entities: DataFrame, search: str
     wanted = [w for w in fold_text(search).split() if w]
     folded = fold_text(" ".join(wanted))
     links = staged(links.select("link_id", "title", "created_at"), "search-links")  # read four times below
-    postings = fulltext.index(links.select("link_id", "title"), "link_id", [fulltext.Field("title", "A")])
+    postings = fulltext.index(links.select("link_id", "title"), "link_id", [fulltext.Field("title", "A")], only=fulltext.asked(search))
     text = fulltext.ranks(postings, "link_id", search)
     text = text.select("link_id", F.col("rank").alias("r"), F.lit(None).cast("string").alias("name"), F.lit(True).alias("qualifies"))
     whole = fold(F.col("name")) == folded

@@ -13,6 +13,7 @@ from tidemark.plans.domain import AS_OF, VIEWER, Domain
 from tidemark.plans.expression_queries import DOCUMENT_FIELDS, DOCUMENT_TEXTS, document_texts
 from tidemark.plans.ranking_queries import feed
 from tidemark.plans.registry import query
+from tidemark.session import staged
 
 RANGES = """ranges AS (SELECT event_id, link_id, starts_on + to_hours(coalesce(start_hour, 6)) AS start,
 CASE WHEN start_hour IS NOT NULL AND starts_on IS NOT NULL AND (ends_on IS NULL OR ends_on = starts_on) THEN starts_on + to_hours(start_hour + 3)
@@ -183,8 +184,9 @@ def search_links(d: Domain) -> DataFrame:
 @query("q_05_document_hits", f"WITH {DOCUMENT_TEXTS}, {oracle_text.ranks('document_texts', 'doc_id', DOCUMENT_FIELDS, [['apach', 'licens', 'version'], ['apach', 'licensed', 'version'], ['apache', 'licensed', 'versions'], ['gnu', 'licens'], ['gnu', 'licenses']], ['mit'])} SELECT doc_id, round(rank, 9) AS rank FROM ranks")
 def document_hits(d: Domain) -> DataFrame:
     """Stems of licensing lines in every document, either of two alternatives, without a word."""
-    postings = fulltext.index(document_texts(d), "doc_id", DOCUMENT_FIELDS)
-    found = fulltext.ranks(postings, "doc_id", "licensed apache versions -mit or gnu licenses -mit")
+    asked = "licensed apache versions -mit or gnu licenses -mit"
+    postings = staged(fulltext.index(document_texts(d), "doc_id", DOCUMENT_FIELDS, only=fulltext.asked(asked)), "document-hits")  # read twice below
+    found = fulltext.ranks(postings, "doc_id", asked)
     return found.select("doc_id", F.round("rank", 9).alias("rank"))
 
 
