@@ -55,3 +55,12 @@ def test_a_batch_is_never_multiplied_at_once(spark, monkeypatch):
     except StopIteration:
         pass
     assert taken["rows"] == 10_000 and taken["peak"] < 200e6  # all scores: 800 MB
+
+
+def test_a_sweep_multiplies_the_vectors_once(spark, monkeypatch):
+    from tidemark.plans import registry
+
+    made, nearest = [], vectors.nearest
+    monkeypatch.setattr(vectors, "nearest", lambda *a: made.append(nearest(*a)) or made[-1])
+    found = registry.QUERIES["vec_11_matched_coverage"](spark, "/root/testdata/sf0.001")
+    assert len(made) == 1 and "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString() and found.count()
