@@ -90,10 +90,10 @@ def case_rates(d: Domain) -> DataFrame:
     SELECT doc_id, count(rate) AS rated, count(*) FILTER (rate >= 0.5) AS mostly_names, coalesce(sum(n) FILTER (starts), 0)::BIGINT AS known FROM w LEFT JOIN rates ON rates.word = key LEFT JOIN firsts ON firsts.word = key GROUP BY 1""",
 )
 def name_hints(d: Domain) -> DataFrame:
-    words = names.text_words(names.tokens(d.raw("documents"))).withColumnRenamed("key", "word")
-    rates = names.case_rates(counts_of(d), words)
+    words = names.words_of_texts(d.raw("documents")).withColumnRenamed("key", "word")
+    rates = names.case_rates(counts_of(d))
     firsts = names_of(d).groupBy(names.fold(F.regexp_extract("name", "^[^ ]+", 0)).alias("word")).agg(F.count(F.lit(1)).alias("n"))
-    rows = words.join(rates, "word", "left").join(firsts, "word", "left")
+    rows = words.join(rates.join(firsts, "word", "full"), "word", "left")  # the words of texts are shuffled once
     return rows.groupBy("doc_id").agg(F.count("rate").alias("rated"), F.count_if(F.col("rate") >= names.NAME_RATE).alias("mostly_names"), F.coalesce(F.sum(F.when(F.col("starts"), F.col("n"))), F.lit(0)).alias("known"))
 
 
